@@ -1,0 +1,8 @@
+"""All registered queries."""
+
+from threatflow.catalog import (  # noqa: F401
+    fields,
+)
+from threatflow.catalog.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -21,7 +21,8 @@ from pyspark.sql.window import Window
 
 # A key with more rows than this is cut into chunks of about this many rows.
 CHUNK_ROWS = 1_000_000
-# Never more hot keys than this, so that the table of hot keys can be broadcast.
+# Never more hot keys than this.  Any other key has fewer rows than each of these,
+# so at most 1 / HOT_KEYS of all rows.
 HOT_KEYS = 100_000
 COLD = -1
 
@@ -29,19 +30,28 @@ COLD = -1
 def split_hot(df: DataFrame, keys, at, chunk_rows=CHUNK_ROWS):
     """Add ``_chunk``: -1 on rows of cold keys, else a number rising with ``at``.
 
-    A key is hot if it has over ``chunk_rows`` rows and over 1/HOT_KEYS of all
-    rows.  The second test bounds the hot keys by HOT_KEYS whatever the data is,
-    which is what allows the broadcast.  Keys and ``at`` must not be NULL.
+    One job over the key and time columns counts rows per key and brings back the
+    keys with over ``chunk_rows`` rows, at most HOT_KEYS of them; that bound is what
+    allows the broadcast.  Where no key is hot the column is left out, and the
+    helpers below run as plain windows.  Keys and ``at`` must not be NULL.
     """
     per_key = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
     )
-    share = per_key.agg(F.coalesce(F.sum("_n"), F.lit(0)) / F.lit(HOT_KEYS)).scalar()
-    hot = per_key.where((F.col("_n") > chunk_rows) & (F.col("_n") > share)).select(
-        *keys,
-        "_lo",
-        ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(chunk_rows))).alias("_step"),
+    hot = (
+        per_key.where(F.col("_n") > chunk_rows)
+        .withColumn(
+            "_step",
+            ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(chunk_rows))).cast("double"),
+        )
+        .orderBy(F.desc("_n"))
+        .limit(HOT_KEYS)
+        .select(*keys, "_lo", "_step")
     )
+    found = hot.collect()
+    if not found:
+        return df
+    hot = df.sparkSession.createDataFrame(found, hot.schema)
     chunk = (
         F.when(F.col("_lo").isNull(), F.lit(COLD))
         .when(F.col("_step") <= 0, F.lit(0))
@@ -55,12 +65,13 @@ def split_hot(df: DataFrame, keys, at, chunk_rows=CHUNK_ROWS):
     )
 
 
-def _order(order):
-    return [F.col(c) for c in order]
+def parts(df, keys):
+    """Columns that tell apart the groups a window or a pandas pass runs in."""
+    return [*keys, "_chunk"] if "_chunk" in df.columns else list(keys)
 
 
 def carry(df: DataFrame, keys, order, **specs):
-    """Running values per key over rows already split by ``split_hot``.
+    """Running values per key over rows already seen by ``split_hot``.
 
     Each spec is ``name=(kind, column)`` with kind one of
 
@@ -69,7 +80,8 @@ def carry(df: DataFrame, keys, order, **specs):
     * ``prior`` last non-NULL value before this row
     * ``sum`` / ``max``  running sum / maximum with this row
     """
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*_order(order))
+    split = "_chunk" in df.columns
+    inner = Window.partitionBy(*parts(df, keys)).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
@@ -78,59 +90,49 @@ def carry(df: DataFrame, keys, order, **specs):
         col = F.col(col) if isinstance(col, str) else col
         if kind == "lag":
             # a struct is never NULL, so a NULL value still counts as a row
-            local[name] = F.last(F.struct(col.alias("v")), True).over(before)
-            summary.append(F.max_by(F.struct(col.alias("v")), position).alias(f"_s_{name}"))
+            value = F.struct(col.alias("v"))
+            local[name] = F.last(value, True).over(before)
+            summary.append(F.max_by(value, position).alias(f"_s_{name}"))
         elif kind in ("last", "prior"):
             local[name] = F.last(col, True).over(upto if kind == "last" else before)
             summary.append(F.max_by(col, F.when(col.isNotNull(), position)).alias(f"_s_{name}"))
-        elif kind == "sum":
-            local[name] = F.sum(col).over(upto)
-            summary.append(F.sum(col).alias(f"_s_{name}"))
-        elif kind == "max":
-            local[name] = F.max(col).over(upto)
-            summary.append(F.max(col).alias(f"_s_{name}"))
         else:
-            raise ValueError(f"unknown running value {kind!r}")
-
-    # One row per chunk of a hot key; cold keys have no summary at all.
-    chunks = df.where(F.col("_chunk") >= 0).groupBy(*keys, "_chunk").agg(*summary)
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    entry = []
-    for name, (kind, _) in specs.items():
-        col = F.col(f"_s_{name}")
-        value = {
-            "sum": F.sum(col),
-            "max": F.max(col),
-        }.get(kind, F.last(col, True))
-        entry.append(value.over(earlier).alias(f"_e_{name}"))
-    entry = chunks.select(*keys, "_chunk", *entry)
-
-    # the windows first: the join then reuses their partitioning
+            whole = {"sum": F.sum, "max": F.max}[kind]
+            local[name] = whole(col).over(upto)
+            summary.append(whole(col).alias(f"_s_{name}"))
     out = df.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()])
-    out = out.join(entry, [*keys, "_chunk"], "left")
-    for name, (kind, _) in specs.items():
-        inside, entered = F.col(f"_l_{name}"), F.col(f"_e_{name}")
-        if kind == "sum":
-            value = F.when(
-                inside.isNotNull() | entered.isNotNull(),
-                F.coalesce(inside, F.lit(0)) + F.coalesce(entered, F.lit(0)),
-            )
-        elif kind == "max":
-            value = F.greatest(inside, entered)
-        else:
-            value = F.coalesce(inside, entered)
-            if kind == "lag":
-                value = value["v"]
-        out = out.withColumn(name, value)
-    return out.drop(*[f"_l_{n}" for n in specs], *[f"_e_{n}" for n in specs])
 
+    if split:
+        # One row per chunk of a hot key; cold keys have no summary at all.
+        chunks = df.where(F.col("_chunk") >= 0).groupBy(*keys, "_chunk").agg(*summary)
+        earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        fold = {"sum": F.sum, "max": F.max}
+        entry = [
+            fold.get(kind, lambda c: F.last(c, True))(F.col(f"_s_{name}")).over(earlier).alias(f"_e_{name}")
+            for name, (kind, _) in specs.items()
+        ]
+        # the windows came first, so the join finds its rows partitioned already
+        out = out.join(chunks.select(*keys, "_chunk", *entry), [*keys, "_chunk"], "left")
 
-def number_rows(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS, split=True):
+    values = []
+    for name, (kind, _) in specs.items():
+        value = F.col(f"_l_{name}")
+        if split:
+            entered = F.col(f"_e_{name}")
+            if kind == "sum":
+                value = F.coalesce(value + F.coalesce(entered, F.lit(0)), entered)
+            elif kind == "max":
+                value = F.greatest(value, entered)
+            else:
+                value = F.coalesce(value, entered)
+        values.append((value["v"] if kind == "lag" else value).alias(name))
+    return out.select(*[F.col(c) for c in df.columns], *values)
+
+
+def number_rows(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS):
     """``row_number()`` per key; the first order column must be a number."""
-    one = "_one"
-    src = split_hot(df, keys, order[0], chunk_rows) if split else df
-    res = carry(src.withColumn(one, F.lit(1).cast("long")), keys, order, **{out: ("sum", one)})
-    return res.drop(one, "_chunk") if split else res.drop(one)
+    rows = split_hot(df, keys, order[0], chunk_rows).withColumn("_one", F.lit(1).cast("long"))
+    return carry(rows, keys, order, **{out: ("sum", "_one")}).drop("_one", "_chunk")
 
 
 def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, **aggs):
@@ -187,6 +189,28 @@ def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, **aggs):
     )
 
 
+def halo_blocks(df: DataFrame, number, back, block_rows):
+    """Cut numbered rows into blocks, each also holding the ``back`` rows before it.
+
+    Adds ``_in``, the block to run a window in, and ``_own``, true on the one copy of
+    a row that counts.  ``number`` is contiguous per key.
+    """
+    width = max(block_rows, back + 1)
+    block = F.floor(F.col(number) / width).cast("long")
+    late = F.col(number) % width >= width - back
+    return (
+        df.withColumn("_at_home", block)
+        .withColumn(
+            "_in",
+            F.explode(
+                F.when(late, F.array("_at_home", F.col("_at_home") + 1)).otherwise(F.array("_at_home"))
+            ),
+        )
+        .withColumn("_own", F.col("_in") == F.col("_at_home"))
+        .drop("_at_home")
+    )
+
+
 # --------------------------------------------------------------- suppression
 
 
@@ -227,7 +251,8 @@ def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):
     rows = carry(rows, keys, [at, tie], _run=("last", "_start"))
     settled = rows.where(F.col("_start").isNotNull()).select(*cols)
     open_rows = rows.where(F.col("_start").isNull() & (F.col(at) - F.col("_run") >= gap))
-    open_rows = open_rows.select(*cols, "_chunk")
+    group = parts(rows, keys)
+    open_rows = open_rows.select(*dict.fromkeys([*cols, *group]))
 
     key_fields = [df.schema[k] for k in keys]
     report = T.StructType(
@@ -269,14 +294,12 @@ def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):
             res[k] = pdf[k].iloc[0]
         return res[[f.name for f in entry]]
 
-    slim = open_rows.where(F.col("_chunk") >= 0).select(*keys, "_chunk", at, tie)
-    entries = (
-        slim.groupBy(*keys, "_chunk")
-        .applyInPandas(leave_chunk, report)
-        .groupBy(*keys)
-        .applyInPandas(chain, entry)
-    )
-    entered = open_rows.join(entries, [*keys, "_chunk"], "left").select(*cols, "_chunk", "_last")
+    if "_chunk" in group:
+        slim = open_rows.where(F.col("_chunk") >= 0).select(*group, at, tie)
+        reports = slim.groupBy(*group).applyInPandas(leave_chunk, report)
+        open_rows = open_rows.join(reports.groupBy(*keys).applyInPandas(chain, entry), group, "left")
+    else:
+        open_rows = open_rows.withColumn("_last", F.lit(None).cast("long"))
 
     def run_chunk(pdf):
         pdf = pdf.sort_values([at, tie], kind="stable")
@@ -284,7 +307,7 @@ def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):
         last = None if pd.isna(last) else int(last)
         return pdf.iloc[_greedy(pdf[at].to_numpy(), gap, last)][cols]
 
-    kept = entered.groupBy(*keys, "_chunk").applyInPandas(run_chunk, df.schema)
+    kept = open_rows.groupBy(*group).applyInPandas(run_chunk, df.schema)
     return settled.unionByName(kept)
 
 
