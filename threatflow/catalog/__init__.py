@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from threatflow.catalog import (  # noqa: F401
+    detect,
     fields,
 )
 from threatflow.catalog.registry import QUERIES, SQL

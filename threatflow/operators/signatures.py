@@ -1,78 +1,96 @@
 """Signature matching: packets against rules, per-packet alerts, rule statistics.
 
-The rules are few and known before the job runs, so the theta join is written as
-expressions: each rule is a guard on protocol, ports and fields, followed by its
+The rules are few and known before the job runs, so the theta join is written as one
+SQL expression: each rule is a guard on protocol, ports and fields, followed by its
 patterns as literal regular expressions, which Spark compiles once.  Matching
 needs no join and no shuffle.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
 from threatflow.functions.fields import protocol_name
+from threatflow.sources.rules import needed_texts
+
+
+def quoted(text):
+    """A text as a SQL literal."""
+    return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _guard(rule, cols):
     tests = []
     if rule.protocol and "protocol" in cols:
-        proto = protocol_name(F.col("protocol"))
-        tests.append(F.coalesce(proto == rule.protocol.lower(), F.lit(True)))
+        # numbers are named first; a packet without protocol passes
+        tests.append(f"coalesce(_protocol = {quoted(rule.protocol.lower())}, true)")
     for name, ports in (("src_port", rule.src_ports), ("dst_port", rule.dst_ports)):
         if ports and name in cols:
             # port 0 counts as not given
-            port = F.when(F.col(name) != 0, F.col(name))
-            tests.append(F.coalesce(port.isin(list(ports)), F.lit(True)))
+            tests.append(f"coalesce(nullif({name}, 0) IN ({', '.join(map(str, ports))}), true)")
     for name, value in rule.equals.items():
-        if name not in cols:
-            tests.append(F.lit(False))
-        else:
-            same = F.lower(F.col(name).cast("string")) == str(value).lower()
-            tests.append(F.coalesce(same, F.lit(False)))
-    out = F.lit(True)
-    for t in tests:
-        out = out & t
-    return out
-
-
-def match_struct(ord_, rule, cols) -> Column:
-    payload = F.coalesce(F.col("payload"), F.lit("")) if "payload" in cols else F.lit("")
+        known = f"coalesce(lower(CAST(`{name}` AS STRING)) = {quoted(str(value).lower())}, false)"
+        tests.append(known if name in cols else "false")
+    return " AND ".join(tests) or "true"
+
+
+def _pattern_test(pattern):
+    """The literal pattern, behind a plain search for a text it cannot match without."""
+    found = f"payload RLIKE {quoted(pattern)}"
+    near = " OR ".join(f"contains(_lower, {quoted(t)})" for t in needed_texts(pattern))
+    return f"({near}) AND {found}" if near else found
+
+
+def match_sql(place, rule, cols):
+    """One rule as a struct whose evidence is empty where the rule does not match."""
+    none = "CAST(array() AS ARRAY<STRING>)"
     if rule.patterns:
-        evidence = F.filter(
-            F.array(*[F.when(payload.rlike(p), F.lit(p)) for p in rule.patterns]),
-            lambda p: p.isNotNull(),
-        )
+        hits = [f"IF({_pattern_test(p)}, array({quoted(p)}), {none})" for p in rule.patterns]
+        evidence = f"concat({', '.join(hits)})"
     else:
-        evidence = F.array(F.lit("metadata-match"))
-    evidence = F.when(_guard(rule, cols), evidence).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        F.lit(ord_).alias("ord"),
-        F.lit(rule.id).alias("id"),
-        F.lit(rule.name).alias("name"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(V.SEVERITY_CONFIDENCE.get(rule.severity, V.OTHER_CONFIDENCE)).alias("confidence"),
-        F.array(*[F.lit(t) for t in rule.tags]).cast("array<string>").alias("tags"),
-        evidence.alias("evidence"),
+        evidence = "array('metadata-match')"
+    tags = f"array({', '.join(map(quoted, rule.tags))})" if rule.tags else none
+    return (
+        f"named_struct('ord', {place}, 'id', {quoted(rule.id)}, 'name', {quoted(rule.name)}, "
+        f"'severity', {quoted(rule.severity)}, "
+        f"'confidence', {V.SEVERITY_CONFIDENCE.get(rule.severity, V.OTHER_CONFIDENCE)}, "
+        f"'tags', {tags}, 'evidence', IF({_guard(rule, cols)}, {evidence}, {none}))"
     )
 
 
 def with_matches(packets: DataFrame, rules, out="signatures"):
     """Add the array of matching rules, in rule order, each with all its evidence."""
     cols = set(packets.columns)
-    tried = F.array(*[match_struct(i, r, cols) for i, r in enumerate(rules)])
-    return packets.withColumn(out, F.filter(tried, lambda m: F.size(m["evidence"]) > 0))
+    text = F.coalesce("payload", F.lit("")) if "payload" in cols else F.lit("")
+    rows = packets.withColumn("payload", text).withColumn("_lower", F.lower("payload"))
+    if "protocol" in cols:
+        rows = rows.withColumn("_protocol", protocol_name(F.col("protocol")))
+    tried = ", ".join(match_sql(i, r, cols) for i, r in enumerate(rules))
+    rows = rows.withColumn(out, F.expr(f"filter(array({tried}), m -> size(m.evidence) > 0)"))
+    return rows.select(*packets.columns, out)
 
 
 def matches(packets: DataFrame, rules, keep=("packet_id",)):
-    """One row per packet and matching rule."""
+    """One row per packet and matching rule.
+
+    The outer explode and the filter after it keep Spark from evaluating all rules
+    twice, once to filter rows early and once for the result.
+    """
     found = with_matches(packets, rules)
-    return found.select(*keep, F.explode("signatures").alias("m")).select(*keep, "m.*")
+    return (
+        found.select(*keep, F.explode_outer("signatures").alias("m"))
+        .where(F.col("m").isNotNull())
+        .select(*keep, "m.*")
+    )
 
 
 def packet_alerts(packets: DataFrame, rules):
     """One alert per packet with a match: names in rule order and the top confidence."""
-    found = with_matches(packets, rules).where(F.size("signatures") > 0)
+    found = with_matches(packets, rules)
+    some = F.when(F.size("signatures") > 0, F.array("signatures"))
+    found = found.select(*packets.columns, F.explode_outer(some).alias("signatures"))
     return (
-        found.withColumn("attack_types", F.col("signatures.name"))
+        found.where(F.col("signatures").isNotNull())
+        .withColumn("attack_types", F.col("signatures.name"))
         .withColumn("attack_types_short", F.transform("attack_types", lambda a: F.split(a, " ")[0]))
         .withColumn("confidence", F.array_max(F.col("signatures.confidence")))
         .withColumn("detector", F.lit("rule-based-detector"))

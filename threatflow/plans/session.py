@@ -12,6 +12,7 @@ def build_session(app="threatflow", cores="*", shuffle_partitions=None, **conf):
         SparkSession.builder.appName(app)
         .master(f"local[{cores}]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

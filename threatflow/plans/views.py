@@ -134,17 +134,27 @@ def scored(spark, sf_dir):
     return _view(joined, SCORED)
 
 
+PAYLOADS = {
+    "packet_id": "packet_id",
+    "payload": "payload",
+    "protocol": "CASE n % 7 WHEN 0 THEN NULL WHEN 1 THEN 'UDP' ELSE 'tcp' END",
+    "src_port": "CAST(40000 + n % 1000 AS INT)",
+    "dst_port": "CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN 22 WHEN 2 THEN 25 WHEN 3 THEN 443 ELSE 80 END",
+    "service": "CASE n % 11 WHEN 0 THEN 'FTP' WHEN 1 THEN NULL ELSE 'http' END",
+}
+_TEXTS = {
+    "pages": ["concat('page-', page_id) AS packet_id", "html AS payload", "page_id AS n"],
+    "documents": ["concat('doc-', doc_id) AS packet_id", "text AS payload", "doc_id AS n"],
+    "conversations": ["concat('talk-', conv_id, '-', turn) AS packet_id", "text AS payload", "conv_id + turn AS n"],
+}
+
+
 def payloads(spark, sf_dir):
-    """Whole page, document and conversation texts as packets to port 80."""
+    """Whole page, document and conversation texts as packet payloads."""
     parts = [
-        table(spark, sf_dir, "pages").selectExpr("concat('page-', page_id) AS packet_id", "html AS payload"),
-        table(spark, sf_dir, "documents").selectExpr("concat('doc-', doc_id) AS packet_id", "text AS payload"),
-        table(spark, sf_dir, "conversations").selectExpr(
-            "concat('talk-', conv_id, '-', turn) AS packet_id", "text AS payload"
-        ),
+        table(spark, sf_dir, name).selectExpr(*exprs) for name, exprs in _TEXTS.items()
     ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.selectExpr("packet_id", "payload", "'tcp' AS protocol", "80 AS dst_port")
+    return _view(parts[0].unionByName(parts[1]).unionByName(parts[2]), PAYLOADS)
 
 
 def _select(columns, source):
@@ -157,11 +167,8 @@ SQL = {
     "alerts": _select(ALERTS, "events"),
     "flows": _select(FLOWS, "lineitem"),
     "scored": _select(SCORED, "labels l JOIN documents d USING (doc_id)"),
-    "payloads": (
-        "SELECT *, 'tcp' AS protocol, 80 AS dst_port FROM ("
-        "SELECT concat('page-', page_id) AS packet_id, html AS payload FROM pages UNION ALL "
-        "SELECT concat('doc-', doc_id), text FROM documents UNION ALL "
-        "SELECT concat('talk-', conv_id, '-', turn), text FROM conversations)"
+    "payloads": _select(
+        PAYLOADS, "(" + " UNION ALL ".join(f"SELECT {', '.join(e)} FROM {t}" for t, e in _TEXTS.items()) + ")"
     ),
 }
 

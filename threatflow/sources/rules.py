@@ -4,6 +4,7 @@ A rule set is configuration, a few dozen rows, so it lives on the driver as a
 list of ``Rule`` and is turned into column expressions by the signature operator.
 """
 
+import re
 import warnings
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -191,6 +192,36 @@ def rule_from(entry):
     )
 
 
+def needed_texts(pattern):
+    """Lower-case texts of which every match holds at least one; empty if none is known.
+
+    A plain text search is many times cheaper than a regular expression, so payloads
+    without any of these texts never reach it.
+    """
+    found = _needed(re._parser.parse(pattern))
+    return sorted(found) if found and min(map(len, found)) > 1 else []
+
+
+def _needed(parts):
+    options, run = [], ""
+    for op, arg in [*parts, (None, None)]:
+        if op is re._constants.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            options.append({run})
+            run = ""
+        if op is re._constants.SUBPATTERN:
+            options.append(_needed(arg[-1]))
+        elif op is re._constants.BRANCH:
+            branches = [_needed(b) for b in arg[1]]
+            options.append(set().union(*branches) if all(branches) else set())
+        elif op is re._constants.MAX_REPEAT and arg[0] > 0:
+            options.append(_needed(arg[2]))
+    # the option whose shortest text is longest filters best
+    return max((o for o in options if o), key=lambda o: min(map(len, o)), default=set())
+
+
 def load_rules(path=None):
     """Rules from a YAML file; a missing file gives the built-in rules."""
     if path is None:
