@@ -1,8 +1,10 @@
 """All registered queries."""
 
 from threatflow.catalog import (  # noqa: F401
+    analytics,
     detect,
     fields,
+    respond,
 )
 from threatflow.catalog.registry import QUERIES, SQL
 

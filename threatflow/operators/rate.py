@@ -24,14 +24,14 @@ def top_sources(rows: DataFrame, n=5, key="src_ip"):
     return counts.orderBy(F.desc("hits"), key).limit(n)
 
 
-def rate_limit(requests: DataFrame, key, limit=100, window_s=60):
+def rate_limit(requests: DataFrame, key, limit=100, window_s=60, tie="packet_id"):
     """Per request: allowed or not, what remains, and when the window ends.
 
     Requests count per key and window, so a busy key spreads over its windows.
     """
     width = window_s * SECOND
     bucket = F.floor(F.col("ts_us") / width)
-    nth = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("ts_us", "packet_id"))
+    nth = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("ts_us", tie))
     return (
         requests.withColumn("bucket", bucket)
         .withColumn("nth", nth)
@@ -46,14 +46,20 @@ def per_step(rows: DataFrame, step_s, *aggs):
     return rows.groupBy(F.floor(F.col("ts_us") / (step_s * SECOND)).alias("step")).agg(*aggs)
 
 
-def sustained(steps: DataFrame, condition, hold_steps, chunk_rows=ordered.CHUNK_ROWS):
-    """Runs of consecutive steps on which ``condition`` held at least ``hold_steps`` long.
+def sustained(steps: DataFrame, alarms, hold_steps, chunk_rows=ordered.CHUNK_ROWS):
+    """Runs of consecutive steps on which an alarm's metric stayed above its level.
 
-    ``steps`` has a whole-number column ``step``.  A step without a row breaks a run.
+    ``steps`` has a whole-number column ``step`` and one column per metric; ``alarms``
+    are (name, metric, level, severity).  A step without a row breaks a run, and runs
+    shorter than ``hold_steps`` do not count.
     """
-    on = steps.where(condition).withColumn("_k", F.lit(0))
-    on = ordered.number_rows(on, ["_k"], ["step"], "_rn", chunk_rows)
-    runs = on.groupBy((F.col("step") - F.col("_rn")).alias("_run")).agg(
+    over = F.array(*[
+        F.when(F.col(metric) > level, F.struct(F.lit(name).alias("alarm"), F.lit(sev).alias("severity")))
+        for name, metric, level, sev in alarms
+    ])
+    on = steps.select("step", F.explode(F.filter(over, lambda a: a.isNotNull())).alias("a")).select("step", "a.*")
+    on = ordered.number_rows(on, ["alarm"], ["step"], "_rn", chunk_rows)
+    runs = on.groupBy("alarm", "severity", (F.col("step") - F.col("_rn")).alias("_run")).agg(
         F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count(F.lit(1)).alias("steps")
     )
     return runs.where(F.col("steps") >= hold_steps).drop("_run")
