@@ -3,8 +3,10 @@
 from threatflow.catalog import (  # noqa: F401
     analytics,
     detect,
+    evaluate,
     fields,
     respond,
+    tables,
 )
 from threatflow.catalog.registry import QUERIES, SQL
 

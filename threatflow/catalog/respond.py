@@ -52,7 +52,7 @@ KEY_SQL = "concat(source_ip, '|', attack_type)"
 
 def incident_sql(tail):
     return (
-        f"WITH RECURSIVE {greedy_ctes('alerts', chr(39).join(['concat(source_ip, ', '|', ', attack_type)']), DAY_US)}, "
+        f"WITH RECURSIVE {greedy_ctes('alerts', KEY_SQL, DAY_US)}, "
         f"d(name, severity, mitre_id, automated, manual) AS (VALUES {_rows_sql(PB_ROWS)}), "
         f"i AS (SELECT kept.*, row_number() OVER (ORDER BY ts_us, alert_id) AS seq, coalesce({_fuzzy_sql(V.PLAYBOOKS, 'attack_type')}, '') AS name FROM kept), "
         f"j AS (SELECT i.*, d.severity, d.mitre_id, d.automated, d.manual FROM i JOIN d USING (name)) {tail}"

@@ -15,3 +15,30 @@ def model_health(drift: DataFrame, key, window_s=3600, red_at=3, tie="alert_id")
     yellow = max(1, red_at // 2)
     health = F.when(F.col("recent") >= red_at, "red").when(F.col("recent") >= yellow, "yellow").otherwise("green")
     return rows.withColumn("health", health).withColumn("retrain", F.col("recent") >= red_at)
+
+
+def shadow_comparison(active: DataFrame, shadow: DataFrame, row_id, first_n=100, at="ts_us"):
+    """Accuracy of both models on the first rows both have scored; ties go to the new one."""
+    both = active.join(shadow.withColumnRenamed("correct", "shadow_correct"), row_id)
+    rows = both.orderBy(at, row_id).limit(first_n)
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("correct").cast("int")).alias("active_accuracy"),
+        F.avg(F.col("shadow_correct").cast("int")).alias("shadow_accuracy"),
+    )
+    done = F.col("n") >= first_n
+    better = F.col("shadow_accuracy") >= F.col("active_accuracy")
+    return out.withColumn("decision", F.when(done, F.when(better, "swap").otherwise("keep")))
+
+
+def promotion(new: DataFrame, old: DataFrame):
+    """Swap if F1 is no worse, or AUC is no worse and F1 lost at most five percent.
+
+    ``old`` is the one row of the model in use, read before it was replaced.
+    """
+    f1, auc = old.select("f1").scalar(), old.select("roc_auc").scalar()
+    rows = new.withColumn("_f1", f1).withColumn("_auc", auc)
+    good = (F.col("f1") >= F.col("_f1")) | (
+        (F.col("roc_auc") >= F.col("_auc")) & (F.col("f1") >= F.col("_f1") * 0.95)
+    )
+    return rows.withColumn("decision", F.when(good, "swap").otherwise("keep")).drop("_f1", "_auc")

@@ -16,6 +16,8 @@ table with one row per hot chunk.  Results equal those of the plain window.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -301,13 +303,13 @@ def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):
     else:
         open_rows = open_rows.withColumn("_last", F.lit(None).cast("long"))
 
-    def run_chunk(pdf):
-        pdf = pdf.sort_values([at, tie], kind="stable")
-        last = pdf["_last"].iloc[0]
-        last = None if pd.isna(last) else int(last)
-        return pdf.iloc[_greedy(pdf[at].to_numpy(), gap, last)][cols]
+    def run_chunk(table):
+        table = table.take(pc.sort_indices(table, [(at, "ascending"), (tie, "ascending")]))
+        last = table.column("_last")[0].as_py()
+        keep = _greedy(table.column(at).to_numpy(), gap, last)
+        return table.select(cols).take(pa.array(keep, pa.int64()))
 
-    kept = open_rows.groupBy(*group).applyInPandas(run_chunk, df.schema)
+    kept = open_rows.groupBy(*group).applyInArrow(run_chunk, df.schema)
     return settled.unionByName(kept)
 
 
