@@ -5,7 +5,9 @@ from threatflow.catalog import (  # noqa: F401
     detect,
     evaluate,
     fields,
+    learn,
     respond,
+    streams,
     tables,
 )
 from threatflow.catalog.registry import QUERIES, SQL

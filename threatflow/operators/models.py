@@ -1,8 +1,20 @@
 """Model training, scoring, evaluation runs and the decisions around them."""
 
+import json
+import random
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from threatflow.functions import values as V
+from threatflow.operators import evaluate, prep
+from threatflow.operators.prep import align_features, finite_rows
 from threatflow.plans import ordered
+from threatflow.plans.session import ensure_checkpoint_dir
 
 SECOND = 1_000_000
 
@@ -42,3 +54,151 @@ def promotion(new: DataFrame, old: DataFrame):
         (F.col("roc_auc") >= F.col("_auc")) & (F.col("f1") >= F.col("_f1") * 0.95)
     )
     return rows.withColumn("decision", F.when(good, "swap").otherwise("keep")).drop("_f1", "_auc")
+
+
+# ----------------------------------------------------------------- training
+
+DEFAULTS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+
+
+def assembler(features, scaler=None):
+    """Stages from named columns to one vector; a fitted scaler is stored with the model."""
+    stages, inputs = [], list(features)
+    if scaler is not None:
+        fitted = {r["feature"]: (r["centre"], r["width"]) for r in scaler.collect()}
+        cols = ", ".join(f"(`{f}` - {fitted[f][0]!r}D) / {fitted[f][1]!r}D AS `_scaled_{i}`" for i, f in enumerate(features))
+        stages.append(SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"))
+        inputs = [f"_scaled_{i}" for i in range(len(features))]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+
+
+def train_classifier(
+    train: DataFrame, features, label="y", weight=None, scaler=None, multiclass=False, raise_rare=False,
+    early_stop=None, seed=42, **params,
+):
+    """Boosted trees as a pipeline model.
+
+    ``raise_rare`` weighs attacks by the ratio of normal rows to attacks.  With
+    ``early_stop`` (a 0/1 column) training ends when the marked rows stop improving.
+    """
+    ensure_checkpoint_dir(train.sparkSession)
+    rows = train.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
+    if raise_rare and not multiclass:
+        n = rows.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
+        ratio = n["neg"] / n["pos"] if n["pos"] else 1.0
+        rows = rows.withColumn("_w", F.when(F.col(label) == 1, F.col("_w") * ratio).otherwise(F.col("_w")))
+    settings = {**DEFAULTS, "seed": seed, "cacheNodeIds": False, **params}
+    trees = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_w", **settings)
+    if early_stop:
+        rows = rows.withColumn(early_stop, F.col(early_stop).cast("boolean"))
+        trees = trees.setValidationIndicatorCol(early_stop)
+    if multiclass:
+        index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
+        last = OneVsRest(classifier=trees, labelCol="_label", featuresCol="features", weightCol="_w", parallelism=2)
+        stages = [index, *assembler(features, scaler), last]
+    else:
+        rows = rows.withColumn("_label", F.col(label).cast("double"))
+        stages = [*assembler(features, scaler), trees]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def score(model, df: DataFrame, features, out="p"):
+    """Attack probability per row; absent or bad feature values count as 0."""
+    rows = align_features(df, features, keep=[c for c in df.columns if c not in features])
+    scored = model.transform(rows)
+    extra = [c for c in scored.columns if c not in rows.columns]
+    return scored.withColumn(out, vector_to_array("probability")[1]).drop(*extra)
+
+
+def predict_classes(model, df: DataFrame, features, out="predicted"):
+    """Class name per row from a multiclass pipeline."""
+    rows = align_features(df, features, keep=[c for c in df.columns if c not in features])
+    names = model.stages[0].labels
+    scored = PipelineModel(model.stages[1:]).transform(rows)
+    extra = [c for c in scored.columns if c not in rows.columns]
+    labels = F.array(*[F.lit(n) for n in names])
+    return scored.withColumn(out, F.get(labels, F.col("prediction").cast("int"))).drop(*extra)
+
+
+def runtime_threshold(tuned, least=0.5):
+    """A tuned threshold, but never below the floor for live use."""
+    return None if tuned is None else max(float(tuned), least)
+
+
+def classifier_alerts(scored: DataFrame, threshold, p="p"):
+    """Alerts from scored packets at the policy threshold."""
+    return scored.where(F.col(p) >= threshold).select(
+        "packet_id",
+        F.array(F.lit("XGBoost Detection")).alias("attack_types"),
+        F.col(p).alias("confidence"),
+        F.lit("flagged").alias("action"),
+        F.lit("xgboost").alias("detector"),
+    )
+
+
+# --------------------------------------------------------------- evaluation
+
+
+def evaluate_days(model, days: DataFrame, features, label="y", by="_day", threshold=0.5):
+    """Confusion counts and metrics per day and overall; incomplete rows are dropped and counted."""
+    aligned = align_features(days, features, keep=[label, by], fill=None)
+    marked = finite_rows(aligned, features)
+    scored = score(model, marked, features)
+    pred = F.when(F.col("valid"), (F.col("p") >= threshold).cast("int"))
+    return evaluate.confusion(scored.withColumn("_pred", pred), label, "_pred", [by])
+
+
+def generalisation(model, datasets: dict, features, label="y", threshold=0.5):
+    """One evaluation over several datasets, a row per dataset and one overall."""
+    parts = [df.withColumn("dataset", F.lit(name)) for name, df in datasets.items()]
+    return evaluate_days(model, reduce(lambda a, b: a.unionByName(b, True), parts), features, label, "dataset", threshold)
+
+
+def sample_params(trials, seed=42):
+    """Random points of the search space, the same for the same seed."""
+    rng = random.Random(seed)
+    return [{k: rng.choice(v) for k, v in V.TUNER_SPACE.items()} for _ in range(trials)]
+
+
+def spark_params(p, max_trees=None):
+    """A point of the search space in the names Spark's trainer uses."""
+    trees = p["n_estimators"] if max_trees is None else min(p["n_estimators"], max_trees)
+    return {
+        "maxIter": trees, "maxDepth": p["max_depth"], "stepSize": p["learning_rate"], "subsamplingRate": p["subsample"],
+        "featureSubsetStrategy": str(p["colsample_bytree"]), "minInstancesPerNode": int(p["min_child_weight"]),
+        "minInfoGain": p["gamma"],
+    }
+
+
+def random_search(train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, max_trees=None):
+    """Train each sampled setting, rate it on the holdout rows, best first.
+
+    Trials follow one another: each is a distributed job that fills the cluster.
+    """
+    board = []
+    for i, p in enumerate(sample_params(trials, seed), 1):
+        model = train_classifier(train, features, label, seed=seed, **spark_params(p, max_trees))
+        scored = score(model, holdout, features)
+        figures = {**evaluate.ranking(scored, label, "p").first().asDict(), **evaluate.at_threshold(scored, label, "p", 0.5).first().asDict()}
+        board.append((i, metric, float(figures[metric] or 0.0), float(figures["f1"]), float(figures["accuracy"]), json.dumps(p, sort_keys=True)))
+    table = train.sparkSession.createDataFrame(board, "trial int, score_metric string, score double, f1 double, accuracy double, params string")
+    return table.orderBy(F.desc("score"), "trial")
+
+
+def should_retrain(alerts: DataFrame, now_us, lookback_h=24, force=False):
+    """True if a drift alert lies within the lookback, or if forced."""
+    if force:
+        return True
+    since = now_us - lookback_h * 3600 * SECOND
+    return not alerts.where((F.col("ts_us") >= since) & F.array_contains("attack_types", "Drift")).isEmpty()
+
+
+def retrain(base: DataFrame, feedback: DataFrame, snapshots: DataFrame, features, label="y", row_id="row_id", test_size=0.2, **params):
+    """Training with analyst feedback: split, scale, train with weights, rate on the test rows."""
+    parts = prep.split_random(base, label, row_id, test_size)
+    train, test = parts.where(~F.col("is_test")), parts.where("is_test")
+    samples = prep.feedback_samples(feedback, snapshots)
+    rows = prep.weighted_training(train, samples, features, label)
+    scaler = prep.fit_scaler(train, features, "standard")
+    model = train_classifier(rows, features, "y", weight="weight", scaler=scaler, **params)
+    return model, evaluate.at_threshold(score(model, test, features), label, "p", 0.5)

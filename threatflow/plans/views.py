@@ -112,6 +112,18 @@ def _view(df, columns):
     return df.selectExpr(*[f"{_fill(e, 'spark')} AS {c}" for c, e in columns.items()])
 
 
+def as_packets(events):
+    return _view(events, PACKETS)
+
+
+def as_alerts(events):
+    return _view(events, ALERTS)
+
+
+def as_flow_packets(events):
+    return _view(events, FLOW_PACKETS)
+
+
 def packets(spark, sf_dir):
     return _view(table(spark, sf_dir, "events"), PACKETS)
 

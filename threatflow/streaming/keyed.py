@@ -1,0 +1,244 @@
+"""Keyed state for streams: one processor, and the folds it runs.
+
+A fold takes the state of a key and its new rows in time order and returns the new
+state and the output rows.  Rows come in per micro-batch, so the state is read and
+written once per key and batch, and folds work on whole columns where they can.
+State lives in the state store and is dropped ``keep_s`` after the last row of a
+key, by event time.
+"""
+
+import json
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+SECOND = 1_000_000
+
+
+class KeyedFold(StatefulProcessor):
+    def __init__(self, fold, order, keep_s):
+        self.fold, self.order, self.keep_s = fold, order, keep_s
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("state", "body string, last_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        held = self.state.get() if self.state.exists() else None
+        state, out = self.fold(json.loads(held[0]) if held else None, pdf)
+        last = max(int(pdf["ts_us"].iloc[-1]), int(held[1]) if held else 0)
+        self.state.update((json.dumps(state), last))
+        if self.keep_s is not None:
+            self.handle.registerTimer(last // 1000 + int(self.keep_s * 1000) + 1)
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.state.get() if self.state.exists() else None
+        due = held is not None and held[1] // 1000 + int(self.keep_s * 1000) + 1 <= expiredTimerInfo.getExpiryTimeInMs()
+        if due:
+            self.state.clear()
+        yield from ()
+
+    def close(self):
+        pass
+
+
+def with_event_time(rows: DataFrame, delay="10 minutes"):
+    """Add ``event_time`` from ``ts_us`` and let rows be late by ``delay``."""
+    return rows.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
+
+
+def run_fold(rows: DataFrame, key, fold, schema, order=("ts_us",), keep_s=None):
+    """Apply a fold per key to a stream that has an event time with watermark."""
+    return rows.groupBy(key).transformWithStateInPandas(
+        KeyedFold(fold, list(order), keep_s), schema, "Append", "EventTime" if keep_s is not None else "None"
+    )
+
+
+# ------------------------------------------------------------------- folds
+
+
+def sliding_count(key, id_col, window_us, threshold):
+    """Rate detector: exact count in the window up to each row, alerts from ``threshold``."""
+
+    def fold(state, pdf):
+        state = state or {"recent": [], "total": 0}
+        old, new = np.array(state["recent"], dtype=np.int64), pdf["ts_us"].to_numpy(np.int64)
+        times = np.concatenate([old, new])
+        place = np.arange(len(old), len(times))
+        count = place + 1 - np.searchsorted(times, new - window_us, side="left")
+        out = pdf[[key, id_col, "ts_us"]].assign(
+            in_window=count, packets_analyzed=state["total"] + 1 + np.arange(len(new)),
+            confidence=np.minimum(0.95, 0.60 + (count - threshold) * 0.05),
+        )
+        recent = times[times >= new[-1] - window_us]
+        return {"recent": recent.tolist(), "total": state["total"] + len(new)}, out[count >= threshold]
+
+    return fold
+
+
+def refractory(window_us):
+    """Keep a row, drop followers within the window; dropped rows do not extend it."""
+
+    def fold(state, pdf):
+        times = pdf["ts_us"].to_numpy(np.int64)
+        i, keep = (0 if state is None else int(np.searchsorted(times, state + window_us))), []
+        last = state
+        while i < len(times):
+            keep.append(i)
+            last = int(times[i])
+            i = int(np.searchsorted(times, last + window_us))
+        return last, pdf.iloc[keep]
+
+    return fold
+
+
+def rolling_quantile(key, id_col, value, window, quantile, least):
+    """Adaptive threshold over the last ``window`` values with this one."""
+
+    def fold(state, pdf):
+        seen = state or {"values": [], "n": 0}
+        new = pdf[value].to_numpy(float)
+        values = np.concatenate([seen["values"], new])
+        first = len(seen["values"])
+        low = np.full(len(new), np.nan)
+        for i in range(len(new)):
+            if seen["n"] + i + 1 >= least:
+                low[i] = np.quantile(values[max(0, first + i + 1 - window) : first + i + 1], quantile)
+        out = pdf[[key, id_col]].assign(threshold=low, is_anomaly=new < low)
+        return {"values": values[-window:].tolist(), "n": seen["n"] + len(new)}, out
+
+    return fold
+
+
+def moving_average(key, features, alpha):
+    """Exponentially weighted mean and variance; emits the state after each batch."""
+
+    def fold(state, pdf):
+        state = state or {"n": 0, "mean": {}, "var": {}}
+        for f in features:
+            mean, var = state["mean"].get(f), state["var"].get(f, 0.0)
+            for x in pdf[f].to_numpy(float):
+                if mean is None:
+                    mean, var = float(x), 0.0
+                else:
+                    var = (1 - alpha) * (var + alpha * (x - mean) ** 2)
+                    mean = (1 - alpha) * mean + alpha * x
+            state["mean"][f], state["var"][f] = float(mean), float(var)
+        state["n"] += len(pdf)
+        row = {key: pdf[key].iloc[0], "n": state["n"]}
+        for f in features:
+            row |= {f"mean_{f}": state["mean"][f], f"var_{f}": state["var"][f]}
+        return state, pd.DataFrame([row])
+
+    return fold
+
+
+def drift(key, id_col, features, baseline, window, z_at, min_features, cooldown_us):
+    """Rolling means against the baseline ``{feature: (mean, std)}``, one alert per cooldown."""
+    least = max(50, min_features * 5)
+
+    def fold(state, pdf):
+        state = state or {"rows": [], "n": 0, "last": None}
+        rows = np.array(state["rows"] + pdf[features].to_numpy(float).tolist())
+        first, out = len(state["rows"]), []
+        for i, (ts, rid) in enumerate(zip(pdf["ts_us"], pdf[id_col])):
+            at = first + i + 1
+            if state["n"] + i + 1 < least:
+                continue
+            mean = rows[max(0, at - window) : at].mean(axis=0)
+            z = [abs(m - baseline[f][0]) / (baseline[f][1] or 1.0) for m, f in zip(mean, features)]
+            drifted = [f for f, s in zip(features, z) if s >= z_at]
+            if len(drifted) >= min_features and (state["last"] is None or ts - state["last"] >= cooldown_us):
+                state["last"] = int(ts)
+                out.append((pdf[key].iloc[i], rid, len(drifted), 0.6))
+        held = {"rows": rows[-window:].tolist(), "n": state["n"] + len(pdf), "last": state["last"]}
+        return held, pd.DataFrame(out, columns=[key, id_col, "n_features", "confidence"])
+
+    return fold
+
+
+def kill_chain(gap_us, least=3):
+    """Stages of a source in a row; a row out each time three or more are reached anew."""
+
+    def fold(state, pdf):
+        out = []
+        for row in pdf.itertuples(index=False):
+            if state is None or row.ts_us - state["last"] > gap_us:
+                state = {"start": int(row.ts_us), "stages": [], "alerts": 0, "sent": 0}
+            state["last"] = int(row.ts_us)
+            state["alerts"] += 1
+            if row.stage not in state["stages"]:
+                state["stages"].append(row.stage)
+            if len(state["stages"]) >= max(least, state["sent"] + 1):
+                state["sent"] = len(state["stages"])
+                out.append((row.source_ip, row.alert_id, state["sent"], state["alerts"]))
+        return state, pd.DataFrame(out, columns=["source_ip", "trigger_id", "n_stages", "total_alerts"])
+
+    return fold
+
+
+def partners(window_us):
+    """Earlier alerts of the same side within the window, counted, with their types united."""
+
+    def fold(state, pdf):
+        times = [t for t, _ in state or []] + pdf["ts_us"].tolist()
+        types = [a for _, a in state or []] + pdf["attack_type"].tolist()
+        first, start, held, out = len(state or []), 0, {}, []
+        for i, t in enumerate(times):
+            while times[start] <= t - window_us:
+                held[types[start]] -= 1
+                start += 1
+            if i >= first and i > start:
+                row = pdf.iloc[i - first]
+                names = sorted({a for a, n in held.items() if n > 0} | {types[i]})
+                out.append((row["alert_id"], row["side"], i - start, ",".join(names)))
+            held[types[i]] = held.get(types[i], 0) + 1
+        return list(zip(times[start:], types[start:])), pd.DataFrame(out, columns=["alert_id", "side", "partners", "attacks"])
+
+    return fold
+
+
+def policy(key, learn, move, actions, interval=50, start=0.5):
+    """Threshold policy: a decision after every ``interval`` votes."""
+
+    def fold(state, pdf):
+        state = state or {"n": 0, "tp": 0, "q": {}, "threshold": start}
+        out = []
+        for name, vote in zip(pdf[key], pdf["is_tp"]):
+            state["n"] += 1
+            state["tp"] += bool(vote)
+            if state["n"] % interval:
+                continue
+            good = state["tp"] / state["n"]
+            bad = (state["n"] - state["tp"]) / state["n"]
+            at = f"{min(4, int(good * 5))}:{min(4, int(bad * 5))}"
+            state["q"][at], a = learn(state["q"].get(at), good - bad * bad)
+            state["threshold"] = move(state["threshold"], actions[a])
+            out.append((name, state["n"] // interval, actions[a], state["threshold"]))
+        return state, pd.DataFrame(out, columns=[key, "block", "action", "new_threshold"])
+
+    return fold
+
+
+def flow_session(timeout_us):
+    """Packets of a flow into sessions; a session comes out when the next one begins."""
+
+    def fold(state, pdf):
+        out = []
+        for row in pdf.itertuples(index=False):
+            if state is not None and row.ts_us - state["last"] > timeout_us:
+                out.append((row.flow, state["start"], state["n"], state["bytes"], state["last"] - state["start"]))
+                state = None
+            if state is None:
+                state = {"start": int(row.ts_us), "n": 0, "bytes": 0}
+            state["last"] = int(row.ts_us)
+            state["n"] += 1
+            state["bytes"] += int(row.size)
+        return state, pd.DataFrame(out, columns=["flow", "session_us", "packets", "bytes", "flow_duration"])
+
+    return fold
