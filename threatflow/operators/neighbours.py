@@ -57,6 +57,8 @@ def class_neighbours(df: DataFrame, group, row_id, vector, k=5, pivots=64, block
     def place(g: pd.Series, v: pd.Series) -> pd.DataFrame:
         cell, far = np.zeros(len(g), int), np.zeros(len(g))
         for name, idx in g.groupby(g).groups.items():
+            if name not in shared.value:
+                continue  # Spark may place rows before a join that drops their class
             at = g.index.get_indexer(idx)
             d = _distances(np.stack(v.iloc[at].to_numpy()), shared.value[name])
             cell[at], far[at] = d.argmin(1), d.min(1)
