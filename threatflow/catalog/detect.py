@@ -388,8 +388,8 @@ def risk_scores(spark, sf):
 STREAMS_SQL = """u AS (
   SELECT packet_id, 0 AS ord, 'rule-based-detector' AS detector, 'flagged' AS action, 0.92 AS confidence, ['SQL Injection'] AS attack_types FROM packets WHERE event_type = 'click'
   UNION ALL SELECT packet_id, 1, 'dos-detector', 'blocked', round(least(0.95, value / 100), 6), ['DDoS'] FROM packets WHERE value > 60
-  UNION ALL SELECT packet_id, 3, 'isolation-forest', 'flagged', 0.8, ['Anomaly', 'SQL Injection'] FROM packets WHERE packet_id % 3 = 0
-  UNION ALL SELECT packet_id, 4, 'drift-monitor', 'flagged', 0.6, ['Drift'] FROM packets WHERE packet_id % 7 = 0)"""
+  UNION ALL SELECT packet_id, 3, 'isolation-forest', 'flagged', 0.8, ['Anomaly', 'SQL Injection'] FROM packets WHERE value < 30
+  UNION ALL SELECT packet_id, 4, 'drift-monitor', 'flagged', 0.6, ['Drift'] FROM packets WHERE event_type = 'error')"""
 
 
 def detector_streams(spark, sf):
@@ -404,8 +404,8 @@ def detector_streams(spark, sf):
     return {
         "rule": stream("event_type = 'click'", "rule-based-detector", "flagged", F.lit(0.92), ["SQL Injection"]),
         "dos": stream("value > 60", "dos-detector", "blocked", F.round(F.least(F.lit(0.95), F.col("value") / 100), 6), ["DDoS"]),
-        "anomaly": stream("packet_id % 3 = 0", "isolation-forest", "flagged", F.lit(0.8), ["Anomaly", "SQL Injection"]),
-        "drift": stream("packet_id % 7 = 0", "drift-monitor", "flagged", F.lit(0.6), ["Drift"]),
+        "anomaly": stream("value < 30", "isolation-forest", "flagged", F.lit(0.8), ["Anomaly", "SQL Injection"]),
+        "drift": stream("event_type = 'error'", "drift-monitor", "flagged", F.lit(0.6), ["Drift"]),
     }
 
 

@@ -179,11 +179,11 @@ def scale_robust(spark, sf):
     return scaled(spark, sf, "robust")
 
 
-FEEDBACK = "fb AS (SELECT CASE WHEN alert_id % 13 = 0 THEN NULL WHEN alert_id % 17 = 0 THEN -alert_id ELSE alert_id END AS alert_id, CASE alert_id % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'attack' ELSE '' END AS label, CASE WHEN alert_id % 4 = 0 THEN NULL ELSE (alert_id % 4) * 1.0E0 END AS weight FROM alerts WHERE alert_id % 5 = 0)"
+FEEDBACK = "fb AS (SELECT CASE WHEN alert_id % 13 = 0 THEN NULL WHEN alert_id % 17 = 0 THEN -alert_id ELSE alert_id END AS alert_id, CASE alert_id % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'attack' ELSE '' END AS label, CASE WHEN alert_id % 4 = 0 THEN NULL ELSE (alert_id % 4) * 1.0E0 END AS weight FROM alerts WHERE confidence >= 0.3)"
 
 
 def feedback(spark, sf):
-    a = views.alerts(spark, sf).where("alert_id % 5 = 0")
+    a = views.alerts(spark, sf).where("confidence >= 0.3")
     return a.selectExpr(
         "CASE WHEN alert_id % 13 = 0 THEN NULL WHEN alert_id % 17 = 0 THEN -alert_id ELSE alert_id END AS alert_id",
         "CASE alert_id % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'attack' ELSE '' END AS label",
@@ -222,13 +222,13 @@ def weighted_training(spark, sf):
 
 @query(
     "verdict_override",
-    """WITH v AS (SELECT alert_id, CASE WHEN alert_id % 2 = 0 THEN 'true_positive' ELSE 'false_positive' END AS verdict FROM alerts WHERE alert_id % 3 = 0)
+    """WITH v AS (SELECT alert_id, CASE WHEN alert_id % 2 = 0 THEN 'true_positive' ELSE 'false_positive' END AS verdict FROM alerts WHERE value > 40)
     SELECT alert_id, coalesce(verdict = 'true_positive', confidence >= 0.5) AS is_tp, coalesce((verdict = 'true_positive') <> (confidence >= 0.5), false) AS corrected FROM alerts LEFT JOIN v USING (alert_id)""",
     over=["alerts"],
 )
 def verdict_override(spark, sf):
-    a = views.alerts(spark, sf).select("alert_id", "ts_us", (F.col("confidence") >= 0.5).alias("is_tp"))
-    v = a.where("alert_id % 3 = 0").select("alert_id", "ts_us", F.expr("IF(alert_id % 2 = 0, 'true_positive', 'false_positive')").alias("verdict"))
+    a = views.alerts(spark, sf).select("alert_id", "ts_us", "value", (F.col("confidence") >= 0.5).alias("is_tp"))
+    v = a.where("value > 40").select("alert_id", "ts_us", F.expr("IF(alert_id % 2 = 0, 'true_positive', 'false_positive')").alias("verdict"))
     return prep.override_votes(a, v).select("alert_id", "is_tp", "corrected")
 
 
@@ -321,7 +321,7 @@ def feature_quantiles(spark, sf):
 
 @query(
     "shadow_comparison",
-    """WITH r AS (SELECT alert_id, row_number() OVER (ORDER BY ts_us, alert_id) AS rn, confidence >= 0.5 AS a, confidence >= 0.6 AS s, value > 45 AS y FROM alerts WHERE alert_id % 3 = 0)
+    """WITH r AS (SELECT alert_id, row_number() OVER (ORDER BY ts_us, alert_id) AS rn, confidence >= 0.5 AS a, confidence >= 0.6 AS s, value > 45 AS y FROM alerts WHERE event_type = 'click')
     SELECT count(*) AS n, round(avg(CAST(a = y AS INT)), 6) AS active_accuracy, round(avg(CAST(s = y AS INT)), 6) AS shadow_accuracy,
       CASE WHEN avg(CAST(s = y AS INT)) >= avg(CAST(a = y AS INT)) THEN 'swap' ELSE 'keep' END AS decision FROM r WHERE rn <= 100""",
     over=["alerts"],
@@ -330,7 +330,7 @@ def shadow_comparison(spark, sf):
     a = views.alerts(spark, sf)
     truth = F.col("value") > 45
     active = a.select("alert_id", "ts_us", ((F.col("confidence") >= 0.5) == truth).alias("correct"))
-    shadow = a.where("alert_id % 3 = 0").select("alert_id", ((F.col("confidence") >= 0.6) == truth).alias("correct"))
+    shadow = a.where("event_type = 'click'").select("alert_id", ((F.col("confidence") >= 0.6) == truth).alias("correct"))
     return rounded(models.shadow_comparison(active, shadow, "alert_id"))
 
 

@@ -85,13 +85,13 @@ def incident_statistics(spark, sf):
 @query(
     "block_decisions",
     f"""SELECT source_ip AS key, ts_us, ts_us + 300000000 AS expires_us FROM alerts
-    WHERE alert_id % 2 = 0 AND confidence >= 0.92 AND alert_id % 4 >= 2""",
+    WHERE event_type = 'click' AND confidence >= 0.92""",
     over=["alerts"],
 )
 def block_decisions(spark, sf):
     a = views.alerts(spark, sf).select(
-        "source_ip", "ts_us", F.when(F.col("alert_id") % 2 == 0, "Block").otherwise("flagged").alias("action"),
-        F.col("confidence").alias("risk_score"), (F.col("alert_id") % 4).alias("signal_count"),
+        "source_ip", "ts_us", F.when(F.col("event_type").isin("click", "view"), "Block").otherwise("flagged").alias("action"),
+        F.col("confidence").alias("risk_score"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("signal_count"),
     )
     return respond.block_decisions(a, enabled=True).select("key", "ts_us", "expires_us")
 

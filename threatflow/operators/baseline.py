@@ -2,7 +2,10 @@
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from threatflow.plans import ordered
@@ -21,14 +24,21 @@ def adaptive_threshold(
     ``window`` - 1 rows before it, so a key spreads over any number of tasks.
     """
     rows = ordered.halo_blocks(numbered(scores, key, order, chunk_rows), "rn", window - 1, window * 20)
-    frame = Window.partitionBy(key, "_in").orderBy("rn").rowsBetween(-(window - 1), 0)
-    low = F.percentile(F.col(score), F.lit(quantile)).over(frame)
+    schema = T.StructType([*rows.schema.fields, T.StructField("threshold", T.DoubleType())])
+
+    def roll(table):
+        # a percentile over a Spark window sorts each frame anew; this keeps one sorted
+        table = table.take(pc.sort_indices(table, [("rn", "ascending")]))
+        values = pd.Series(table.column(score).to_numpy())
+        low = values.rolling(window, min_periods=1).quantile(quantile)
+        low = low.where(table.column("rn").to_numpy() >= least)
+        return table.append_column("threshold", pa.array(low, pa.float64(), from_pandas=True)).filter(table.column("_own"))
+
     return (
-        rows.withColumn("_low", low)
-        .where("_own")
-        .withColumn("threshold", F.when(F.col("rn") >= least, F.col("_low")))
+        rows.groupBy(key, "_in")
+        .applyInArrow(roll, schema)
         .withColumn("is_anomaly", F.coalesce(F.col(score) < F.col("threshold"), F.lit(False)))
-        .drop("_in", "_own", "_low")
+        .drop("_in", "_own")
     )
 
 

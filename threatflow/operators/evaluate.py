@@ -123,7 +123,8 @@ def tune_threshold(df: DataFrame, y, p, target_fpr, chunk_rows=ordered.CHUNK_ROW
     """
     steps = score_steps(df, y, p, chunk_rows)
     pos, neg = _totals(steps)
-    rows = steps.withColumn("_p", pos).withColumn("_n", neg)
+    # NULL instead of 0, so that a missing class gives NULL and no division by zero
+    rows = steps.withColumn("_p", F.nullif(pos, F.lit(0))).withColumn("_n", F.nullif(neg, F.lit(0)))
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.col("_p")
     rows = rows.withColumn("f1", 2 * precision * recall / (precision + recall + 1e-12)).withColumn("tpr", recall)
     within = F.col("fp") / F.col("_n") <= target_fpr

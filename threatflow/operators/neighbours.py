@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from threatflow.operators.prep import balance_plan
 from threatflow.plans import ordered
+from threatflow.plans.sizes import broadcast_if_small
 
 
 def _distances(a, b):
@@ -135,7 +136,7 @@ def smote(df: DataFrame, group, row_id, vector, k=5, seed=42, **options):
     plan = balance_plan(df, group, "smote")
     rows = df.select(F.col(group).alias("g"), F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     plan = plan.select(F.col(group).alias("g"), "have", "want").where(F.col("want") > F.col("have"))
-    small = rows.join(F.broadcast(plan), "g")
+    small = rows.join(broadcast_if_small(plan), "g")
     near = class_neighbours(small.select("g", "id", "v"), "g", "id", "v", k, seed=seed, **options)
     numbered = ordered.number_rows(small.withColumn("_h", F.xxhash64("id", F.lit(seed))), ["g"], ["_h", "id"], "_rn")
     extra = F.col("want") - F.col("have")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
 from threatflow.plans import ordered
+from threatflow.plans.sizes import broadcast_if_small
 
 
 # ------------------------------------------------------------------- labels
@@ -96,8 +97,7 @@ def balance(df: DataFrame, label, row_id, method="hybrid", least=10_000, most=10
     plan = balance_plan(df, label, method, least, most)
     rows = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
     rows = ordered.number_rows(rows, [label], ["_h", row_id], "_rn", chunk_rows)
-    # one row per class
-    rows = rows.join(F.broadcast(plan), label)
+    rows = rows.join(broadcast_if_small(plan), label)
     copies = F.floor(F.col("want") / F.col("have")) + (F.col("_rn") <= F.col("want") % F.col("have")).cast("long")
     rows = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
     return rows.select(*df.columns, "copy")
@@ -111,7 +111,7 @@ def split_random(df: DataFrame, label, row_id, test_size=0.2, seed=42, chunk_row
     rows = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
     rows = ordered.number_rows(rows, [label], ["_h", row_id], "_rn", chunk_rows)
     counts = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * test_size + 0.5).alias("_take"))
-    rows = rows.join(F.broadcast(counts), label)
+    rows = rows.join(broadcast_if_small(counts), label)
     return rows.withColumn("is_test", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_test")
 
 
@@ -181,11 +181,11 @@ def scale(df: DataFrame, features, stats: DataFrame):
 
 def feedback_samples(feedback: DataFrame, alerts: DataFrame, features="features"):
     """Analyst labels with the features of their alert; one alert row per id is used."""
-    snap = F.col(features)
-    known = alerts.where(F.col("alert_id").isNotNull()).groupBy("alert_id").agg(
-        F.min_by(snap, "ts_us").alias("features")
-    )
-    rows = feedback.where(F.col("alert_id").isNotNull()).join(known, "alert_id")
+    told = feedback.where(F.col("alert_id").isNotNull())
+    # far fewer alerts are labelled than stored: drop the others before they are grouped
+    known = alerts.join(broadcast_if_small(told.select("alert_id").distinct()), "alert_id", "left_semi")
+    known = known.groupBy("alert_id").agg(F.min_by(F.col(features), "ts_us").alias("features"))
+    rows = told.join(known, "alert_id")
     return rows.where(F.coalesce(F.size("features"), F.lit(0)) > 0).select(
         "alert_id",
         F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("unknown")).alias("label"),

@@ -3,13 +3,14 @@
 The rules are few and known before the job runs, so the theta join is written as one
 SQL expression: each rule is a guard on protocol, ports and fields, followed by its
 patterns as literal regular expressions, which Spark compiles once.  Matching
-needs no join and no shuffle.
+needs no join, and no shuffle where the input has enough splits.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
 from threatflow.functions.fields import protocol_name
+from threatflow.plans.sizes import spread
 from threatflow.sources.rules import needed_texts
 
 
@@ -61,7 +62,7 @@ def with_matches(packets: DataFrame, rules, out="signatures"):
     """Add the array of matching rules, in rule order, each with all its evidence."""
     cols = set(packets.columns)
     text = F.coalesce("payload", F.lit("")) if "payload" in cols else F.lit("")
-    rows = packets.withColumn("payload", text).withColumn("_lower", F.lower("payload"))
+    rows = spread(packets).withColumn("payload", text).withColumn("_lower", F.lower("payload"))
     if "protocol" in cols:
         rows = rows.withColumn("_protocol", protocol_name(F.col("protocol")))
     tried = ", ".join(match_sql(i, r, cols) for i, r in enumerate(rules))

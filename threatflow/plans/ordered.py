@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from threatflow.plans.sizes import broadcast_if_small
+
 # A key with more rows than this is cut into chunks of about this many rows.
 CHUNK_ROWS = 1_000_000
 # Never more hot keys than this.  Any other key has fewer rows than each of these,
@@ -331,8 +333,11 @@ def quantiles(df: DataFrame, keys, value, probs, chunk_rows=CHUNK_ROWS):
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     rows = carry(split_hot(counts, keys, "_v", chunk_rows), keys, ["_v"], _cum=("sum", "_c"))
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    rows = rows.join(totals, list(keys))
+    if whole:
+        rows = rows.withColumn("_n", counts.agg(F.sum("_c")).scalar())
+    else:
+        totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+        rows = rows.join(broadcast_if_small(totals), list(keys))
 
     def pick(offset):
         return F.max(

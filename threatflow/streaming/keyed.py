@@ -104,11 +104,8 @@ def rolling_quantile(key, id_col, value, window, quantile, least):
         seen = state or {"values": [], "n": 0}
         new = pdf[value].to_numpy(float)
         values = np.concatenate([seen["values"], new])
-        first = len(seen["values"])
-        low = np.full(len(new), np.nan)
-        for i in range(len(new)):
-            if seen["n"] + i + 1 >= least:
-                low[i] = np.quantile(values[max(0, first + i + 1 - window) : first + i + 1], quantile)
+        low = pd.Series(values).rolling(window, min_periods=1).quantile(quantile).to_numpy()[len(seen["values"]) :]
+        low = np.where(seen["n"] + 1 + np.arange(len(new)) >= least, low, np.nan)
         out = pdf[[key, id_col]].assign(threshold=low, is_anomaly=new < low)
         return {"values": values[-window:].tolist(), "n": seen["n"] + len(new)}, out
 
