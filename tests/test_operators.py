@@ -126,6 +126,8 @@ def test_hot_keys_change_nothing(spark):
     p, a = views.packets(spark, SF), views.alerts(spark, SF)
     flow = views.flow_packets(spark, SF)
     same(ff.flow_features(flow, 8.0, 1.0), ff.flow_features(flow, 8.0, 1.0, chunk_rows=20))
+    run = ff.flow_features(flow, 8.0, 1.0, running=True)
+    same(run, ff.flow_features(flow, 8.0, 1.0, running=True, chunk_rows=20))
     args = dict(threshold=3, window_s=86_400.0)
     same(rate.rate_alerts(p, **args), rate.rate_alerts(p, **args, chunk_rows=10))
     same(correlate.chain_alerts(a, 86_400), correlate.chain_alerts(a, 86_400, chunk_rows=10))

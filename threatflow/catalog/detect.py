@@ -1,5 +1,7 @@
 """Queries for signatures, flow features, rates, rolling baselines, risk and fusion."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from threatflow.catalog.registry import query, rounded
@@ -195,6 +197,49 @@ def flow_features(spark, sf):
     return rounded(ff.flow_features(views.flow_packets(spark, sf), TIMEOUT, IDLE))
 
 
+def running_sql():
+    """The features after each packet: the same figures over the rows of the session so far."""
+    cols = _flow_columns()
+    over = "OVER w"
+    out = ["packet_id", "flow", "session_us"]
+    for name, expr in cols.items():
+        if name in ("dst_port", "protocol"):
+            run = "first_value(dst_port) OVER w" if name == "dst_port" else "6"
+        elif name.startswith("init_"):
+            d = name.split("_")[1]
+            run = f"first_value(CASE WHEN dir = '{d}' THEN tcp_window END IGNORE NULLS) OVER w"
+        else:
+            run = re.sub(r"\b(sum|min|max|avg|count|stddev_pop|var_pop)(\((?:\*|[a-z_]+|length\(flags\) - length\(replace\(flags, '.', ''\)\))\))( FILTER \([^()]*(?:\([^()]*\))?[^()]*\))?", r"\1\2\3 OVER w", expr)
+        kind = "BIGINT" if name in ("dst_port", "protocol", "flow_duration") else "DOUBLE"
+        out.append(f"CAST({run} AS BIGINT) AS {name}" if kind == "BIGINT" else f"coalesce(round(CAST({run} AS DOUBLE), 6), 0) AS {name}")
+    for k, f in (("mean", "avg"), ("std", "stddev_pop"), ("max", "max"), ("min", "min")):
+        out.append(f"coalesce(round({f}(awake) {over}, 6), 0) AS active_{k}")
+    for d in ("fwd", "bwd"):
+        n, b = f"sum(bn) FILTER (dir = '{d}') OVER w", f"sum(bb) FILTER (dir = '{d}') OVER w"
+        out += [
+            f"coalesce(round({b} / nullif({n}, 0), 6), 0) AS {d}_byts_b_avg",
+            f"coalesce(round(sum(bp) FILTER (dir = '{d}') OVER w / nullif({n}, 0), 6), 0) AS {d}_pkts_b_avg",
+            f"coalesce(round({b} / nullif(sum(bs) FILTER (dir = '{d}') OVER w, 0), 6), 0) AS {d}_blk_rate_avg",
+        ]
+    return (
+        f"WITH {FLOW_CTES}, "
+        "aw AS (SELECT flow, sid, isl, min(ts_us) AS isl_from, max(ts_us) AS isl_to FROM j GROUP BY 1, 2, 3), "
+        "p AS (SELECT *, row_number() OVER (PARTITION BY flow, sid, dir, run ORDER BY ts_us, packet_id) AS pos, "
+        "sum(payload_len) OVER (PARTITION BY flow, sid, dir, run ORDER BY ts_us, packet_id) AS vol, "
+        "min(ts_us) OVER (PARTITION BY flow, sid, dir, run) AS run_from FROM r), "
+        "inc AS (SELECT packet_id, CAST(pos = 4 AS INT) AS bn, CASE WHEN pos = 4 THEN 4 WHEN pos > 4 THEN 1 ELSE 0 END AS bp, "
+        "CASE WHEN pos = 4 THEN vol WHEN pos > 4 THEN payload_len ELSE 0 END AS bb, CASE WHEN pos = 4 THEN (ts_us - run_from) / 1e6 WHEN pos > 4 THEN pg / 1e6 ELSE 0 END AS bs FROM p), "
+        "x AS (SELECT j.*, bn, bp, bb, bs, CASE WHEN idle IS NOT NULL AND isl_to > isl_from THEN (isl_to - isl_from) / 1e6 END AS awake FROM j "
+        "LEFT JOIN inc USING (packet_id) LEFT JOIN aw ON aw.flow = j.flow AND aw.sid = j.sid AND aw.isl = j.isl - 1) "
+        f"SELECT {', '.join(out)} FROM x WINDOW w AS (PARTITION BY flow, sid ORDER BY ts_us, packet_id ROWS UNBOUNDED PRECEDING)"
+    )
+
+
+@query("running_flow_features", running_sql(), over=["flow_packets"])
+def running_flow_features(spark, sf):
+    return rounded(ff.flow_features(views.flow_packets(spark, sf), TIMEOUT, IDLE, running=True))
+
+
 @query(
     "flow_sessions",
     f"WITH {FLOW_CTES} SELECT packet_id, flow, session_us, dir, round(iat, 6) AS iat, round(dir_iat, 6) AS dir_iat, round(idle, 6) AS idle FROM j",
@@ -202,6 +247,7 @@ def flow_features(spark, sf):
 )
 def flow_sessions(spark, sf):
     rows = ff.sessionize(views.flow_packets(spark, sf), TIMEOUT, IDLE)
+    # each flow session has one first side
     first = rows.groupBy("flow", "session_us").agg(F.min_by("side", F.struct("ts_us", "packet_id")).alias("first"))
     return rounded(
         rows.join(first, ["flow", "session_us"]).select(
@@ -218,16 +264,7 @@ def flow_sessions(spark, sf):
     over=["flow_packets"],
 )
 def bulk_transfers(spark, sf):
-    totals = ff.bulk_totals(ff.sessionize(views.flow_packets(spark, sf), TIMEOUT, IDLE))
-    zero = F.lit(0)
-
-    def both(name):
-        return F.coalesce(f"{name}0", zero) + F.coalesce(f"{name}1", zero)
-
-    return rounded(totals.select(
-        "flow", "session_us", both("runs").alias("runs"), both("run_pkts").alias("packets"),
-        both("run_bytes").alias("bytes"), both("run_secs").alias("secs"),
-    ))
+    return rounded(ff.bulk_totals(ff.sessionize(views.flow_packets(spark, sf), TIMEOUT, IDLE)))
 
 
 def packet17_sql(span):

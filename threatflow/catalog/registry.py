@@ -9,10 +9,13 @@ SQL = {}
 
 
 def rounded(df):
-    """Doubles to six digits.  The offset keeps means such as x.5 microseconds, which sit
-    right on a rounding border, from falling either way by their last bit."""
+    """Doubles to six digits.
+
+    Means of whole numbers sit on the borders of plain rounding and would fall either
+    way by their last bit; the odd offset moves the borders to where no such mean lies.
+    """
     return df.select(
-        *[(F.floor(F.col(c) * 1e6 + 0.3) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+        *[(F.floor(F.col(c) * 1e6 + 0.3127) / 1e6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     )
 
 
@@ -29,7 +32,7 @@ def _same_rounding(sql):
         inner, rest = tail[:end], tail[end + 1 :]
         value, _, digits = inner.rpartition(",")
         if digits.strip() == "6":
-            out += f"{head}(floor(CAST({_same_rounding(value)} AS DOUBLE) * 1e6 + 0.3) / 1e6)"
+            out += f"{head}(floor(CAST({_same_rounding(value)} AS DOUBLE) * 1e6 + 0.3127) / 1e6)"
         else:
             out += f"{head}round({inner})"
     return out + rest

@@ -29,189 +29,224 @@ def with_flow_key(packets: DataFrame):
     ).withColumn("side", F.when(src <= dst, 0).otherwise(1))
 
 
-def sessionize(packets: DataFrame, timeout_s=120.0, idle_s=1.0, chunk_rows=ordered.CHUNK_ROWS):
-    """Packets with their flow, session start, inter-arrival gaps, idle and bulk runs.
+def sessionize(packets: DataFrame, timeout_s=120.0, idle_s=1.0, min_bulk=4, chunk_rows=ordered.CHUNK_ROWS):
+    """Packets with their flow, session start, gaps, pauses and share in bulk transfers.
 
     A gap over ``timeout_s`` starts a new session of the flow.  Gap columns are in
-    seconds and NULL where the gap does not count.
+    seconds and NULL where the gap does not count.  A bulk transfer is a run of at least
+    ``min_bulk`` packets with payload from one side, none over ``idle_s`` after the one
+    before; the ``bulk_`` columns hold what a row adds to the transfers so far, so
+    their sum over a session is its total.
     """
     timeout, idle = int(timeout_s * SECOND), int(idle_s * SECOND)
     if timeout < idle:
         raise ValueError("the flow timeout must not be shorter than the idle gap")
     ts = F.col("ts_us")
+    order = ["ts_us", "packet_id"]
     rows = with_flow_key(packets).withColumn("_data", F.col("payload_len") > 0)
     rows = ordered.split_hot(rows, ["flow"], "ts_us", chunk_rows)
     seen = {"_prev": ("prior", "ts_us")}
     for s in SIDES:
-        seen[f"_prev{s}"] = ("prior", F.when(F.col("side") == s, ts))
-        seen[f"_data{s}"] = ("prior", F.when((F.col("side") == s) & F.col("_data"), ts))
-    rows = ordered.carry(rows, ["flow"], ["ts_us", "packet_id"], **seen)
+        mine = F.col("side") == s
+        seen[f"_prev{s}"] = ("prior", F.when(mine, ts))
+        seen[f"_last{s}"] = ("prior", F.when(mine & F.col("_data"), ts))
+        seen[f"_cnt{s}"] = ("sum", F.when(mine & F.col("_data"), F.lit(1).cast("long")))
+        seen[f"_vol{s}"] = ("sum", F.when(mine & F.col("_data"), F.col("payload_len").cast("long")))
+    rows = ordered.carry(rows, ["flow"], order, **seen)
+
+    def own(name):
+        return F.when(F.col("side") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
 
     new = F.col("_prev").isNull() | (ts - F.col("_prev") > timeout)
     pause = ts - F.col("_prev") > idle
-    rows = rows.withColumn("_new", new).withColumn("_pause", ~new & pause)
+    # a run never spans sessions, since idle <= timeout
+    run = F.col("_data") & (own("_last").isNull() | (ts - own("_last") > idle))
+    rows = rows.withColumn("_new", new).withColumn("_pause", ~new & pause).withColumn("_run", run)
     starts = {
         "session_us": ("last", F.when(F.col("_new"), ts)),
         "_awake": ("prior", F.when(F.col("_new") | F.col("_pause"), ts)),
     }
     for s in SIDES:
-        # a run never spans sessions, since idle <= timeout
-        first = F.col(f"_data{s}").isNull() | (ts - F.col(f"_data{s}") > idle)
-        starts[f"_run{s}"] = ("last", F.when((F.col("side") == s) & F.col("_data") & first, ts))
-    rows = ordered.carry(rows, ["flow"], ["ts_us", "packet_id"], **starts)
+        begins = F.struct(
+            ts.alias("at"), (F.col(f"_cnt{s}") - 1).alias("cnt"), (F.col(f"_vol{s}") - F.col("payload_len")).alias("vol")
+        )
+        starts[f"_begin{s}"] = ("last", F.when((F.col("side") == s) & F.col("_run"), begins))
+    rows = ordered.carry(rows, ["flow"], order, **starts)
 
-    own_prev = F.when(F.col("side") == 0, F.col("_prev0")).otherwise(F.col("_prev1"))
-    own_prev = F.when(own_prev >= F.col("session_us"), own_prev)
-    awake = F.col("_prev") - F.col("_awake")
+    own_prev = F.when(own("_prev") >= F.col("session_us"), own("_prev"))
+    begin = own("_begin")
+    place = F.when(F.col("_data"), own("_cnt") - begin["cnt"])
 
     def seconds(gap, when):
         return F.when(when & (gap > 0), gap / SECOND)
 
-    return (
-        rows.withColumn("iat", seconds(ts - F.col("_prev"), ~F.col("_new")))
-        .withColumn("side_iat", seconds(ts - own_prev, own_prev.isNotNull()))
-        .withColumn("idle", seconds(ts - F.col("_prev"), F.col("_pause")))
-        .withColumn("active", seconds(awake, F.col("_pause")))
-        .withColumn(
-            "run_us",
-            F.when(F.col("_data"), F.when(F.col("side") == 0, F.col("_run0")).otherwise(F.col("_run1"))),
-        )
-        .drop("_data", "_prev", "_prev0", "_prev1", "_data0", "_data1", "_new", "_pause", "_awake",
-              "_run0", "_run1", "_chunk")
+    def adds(at_start, later):
+        return F.when(place == min_bulk, at_start).when(place > min_bulk, later).otherwise(0)
+
+    return rows.select(
+        *packets.columns, "flow", "side", "session_us",
+        seconds(ts - F.col("_prev"), ~F.col("_new")).alias("iat"),
+        seconds(ts - own_prev, own_prev.isNotNull()).alias("side_iat"),
+        seconds(ts - F.col("_prev"), F.col("_pause")).alias("idle"),
+        seconds(F.col("_prev") - F.col("_awake"), F.col("_pause")).alias("active"),
+        adds(F.lit(1), F.lit(0)).alias("bulk_runs"),
+        adds(F.lit(min_bulk), F.lit(1)).alias("bulk_pkts"),
+        adds(own("_vol") - begin["vol"], F.col("payload_len").cast("long")).alias("bulk_bytes"),
+        adds(ts - begin["at"], ts - own("_last")).alias("bulk_us"),
     )
 
 
-def bulk_totals(sessions: DataFrame, min_packets=4):
-    """Per flow and side: number, packets, bytes and seconds of its bulk transfers."""
-    runs = (
-        sessions.where(F.col("run_us").isNotNull())
-        .groupBy("flow", "session_us", "side", "run_us")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("payload_len").alias("bytes"),
-            ((F.max("ts_us") - F.min("ts_us")) / SECOND).alias("secs"),
-        )
-        .where(F.col("n") >= min_packets)
+def bulk_totals(sessions: DataFrame):
+    """Per flow session: number, packets, bytes and seconds of its bulk transfers."""
+    out = sessions.groupBy("flow", "session_us").agg(
+        F.sum("bulk_runs").alias("runs"), F.sum("bulk_pkts").alias("packets"), F.sum("bulk_bytes").alias("bytes"),
+        (F.sum("bulk_us") / SECOND).alias("secs"),
     )
-    aggs = []
-    for s in SIDES:
-        mine = F.col("side") == s
-        aggs += [
-            F.count(F.when(mine, 1)).alias(f"runs{s}"),
-            F.sum(F.when(mine, F.col("n"))).alias(f"run_pkts{s}"),
-            F.sum(F.when(mine, F.col("bytes"))).alias(f"run_bytes{s}"),
-            F.sum(F.when(mine, F.col("secs"))).alias(f"run_secs{s}"),
-        ]
-    return runs.groupBy("flow", "session_us").agg(*aggs)
+    return out.where("runs > 0")
 
 
-STATS = {
-    "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "tot": F.sum,
+LETTERS = {
+    "fin_flag_cnt": "F", "syn_flag_cnt": "S", "rst_flag_cnt": "R", "psh_flag_cnt": "P",
+    "ack_flag_cnt": "A", "urg_flag_cnt": "U", "cwe_flag_count": "C", "ece_flag_cnt": "E",
 }
 
 
-def flow_features(packets: DataFrame, timeout_s=120.0, idle_s=1.0, min_bulk=4, chunk_rows=ordered.CHUNK_ROWS):
-    """One row of 78 features per flow session."""
-    rows = sessionize(packets, timeout_s, idle_s, chunk_rows)
-    flags = F.coalesce("flags", F.lit(""))
-    place = F.struct("ts_us", "packet_id")
-    aggs = [
-        F.min_by("side", place).alias("_first"),
-        F.min_by(to_int(F.col("dst_port")), place).alias("dst_port"),
-        F.max_by(protocol_number(F.col("protocol")), place).alias("protocol"),
-        F.greatest(F.max("ts_us") - F.min("ts_us"), F.lit(1)).alias("flow_duration"),
-    ]
+def _measures():
+    """What is measured over the packets of a session: name -> (kind, column)."""
+    flags = F.upper(F.coalesce("flags", F.lit("")))
+    out = {"_first": ("first", F.col("side")), "dst_port": ("first", to_int(F.col("dst_port")))}
 
-    def stats(col, name, kinds):
-        return [STATS[k](col).alias(f"{name}_{k}") for k in kinds]
+    def stats(name, col, *kinds):
+        for kind in kinds:
+            out[f"{name}_{kind}"] = (kind, col)
 
     for s in SIDES:
         mine = F.col("side") == s
-        size = F.when(mine, F.col("size"))
-        gap = F.when(mine, F.col("side_iat"))
-        window = F.when(mine, F.col("tcp_window"))
-        aggs += [
-            F.count(size).alias(f"_pkts{s}"),
-            F.sum(size).alias(f"_bytes{s}"),
-            *stats(size, f"_len{s}", ("max", "min", "mean", "std")),
-            *stats(gap, f"_iat{s}", ("tot", "mean", "std", "max", "min")),
-            F.count_if(mine & F.upper(flags).contains("P")).alias(f"_psh{s}"),
-            F.count_if(mine & F.upper(flags).contains("U")).alias(f"_urg{s}"),
-            F.sum(F.when(mine, F.col("header_len"))).alias(f"_head{s}"),
-            F.min_by(window, F.when(window.isNotNull(), place)).alias(f"_win{s}"),
-            F.count_if(mine & (F.col("payload_len") > 0)).alias(f"_act{s}"),
-        ]
-    aggs += stats(F.col("size"), "pkt_len", ("min", "max", "mean", "std", "var"))
-    aggs += stats(F.col("iat"), "flow_iat", ("mean", "std", "max", "min"))
-    aggs += stats(F.col("active"), "active", ("mean", "std", "max", "min"))
-    aggs += stats(F.col("idle"), "idle", ("mean", "std", "max", "min"))
-    letters = {"fin_flag_cnt": "F", "syn_flag_cnt": "S", "rst_flag_cnt": "R", "psh_flag_cnt": "P",
-               "ack_flag_cnt": "A", "urg_flag_cnt": "U", "cwe_flag_count": "C", "ece_flag_cnt": "E"}
-    aggs += [F.sum(flag_count(flags, ch)).alias(name) for name, ch in letters.items()]
-
-    out = rows.groupBy("flow", "session_us").agg(*aggs)
-    out = out.join(bulk_totals(rows, min_bulk), ["flow", "session_us"], "left")
 
-    def fwd(name):
-        return F.when(F.col("_first") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+        def total(name, col, mine=mine, s=s):
+            out[f"{name}{s}"] = ("sum", F.when(mine, col))
+
+        total("_pkts", F.lit(1))
+        total("_bytes", F.col("size"))
+        total("_psh", flags.contains("P").cast("int"))
+        total("_urg", flags.contains("U").cast("int"))
+        total("_head", F.col("header_len"))
+        total("_act", (F.col("payload_len") > 0).cast("int"))
+        for name in ("runs", "pkts", "bytes", "us"):
+            total(f"_bulk_{name}", F.col(f"bulk_{name}"))
+        out[f"_win{s}"] = ("first", F.when(mine, F.col("tcp_window")))
+        stats(f"_len{s}", F.when(mine, F.col("size")), "max", "min", "mean", "std")
+        stats(f"_iat{s}", F.when(mine, F.col("side_iat")), "sum", "mean", "std", "max", "min")
+    stats("pkt_len", F.col("size"), "min", "max", "mean", "std", "var")
+    for name, col in (("flow_iat", "iat"), ("active", "active"), ("idle", "idle")):
+        stats(name, F.col(col), "mean", "std", "max", "min")
+    for name, letter in LETTERS.items():
+        out[name] = ("sum", flag_count(flags, letter))
+    return out
+
+
+def _per_session(rows):
+    place = F.struct("ts_us", "packet_id")
+    make = {
+        "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "var": F.var_pop,
+        "first": lambda c: F.min_by(c, F.when(c.isNotNull(), place)),
+    }
+    return rows.groupBy("flow", "session_us").agg(
+        *[make[kind](col).alias(name) for name, (kind, col) in _measures().items()],
+        F.max_by(protocol_number(F.col("protocol")), place).alias("protocol"),
+        F.greatest(F.max("ts_us") - F.min("ts_us"), F.lit(1)).alias("flow_duration"),
+    )
 
-    def bwd(name):
-        return F.when(F.col("_first") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
 
-    def stat(side, base, kind):
-        pick = {"fwd": (0, 1), "bwd": (1, 0)}[side]
-        a, b = (F.col(f"_{base}{i}_{kind}") for i in pick)
+def _so_far(rows, chunk_rows):
+    """The same measures after each packet, as running values of its session."""
+    keys, order = ["flow", "session_us"], ["ts_us", "packet_id"]
+    specs, result = {}, {}
+    for name, (kind, col) in _measures().items():
+        if kind in ("sum", "min", "max", "first"):
+            specs[name] = (kind, col)
+            continue
+        base = name.rsplit("_", 1)[0]
+        x = col.cast("double")
+        n, total = F.col(f"_n_{base}"), F.col(f"_t_{base}")
+        specs[f"_n_{base}"] = ("sum", F.when(x.isNotNull(), F.lit(1).cast("long")))
+        specs[f"_t_{base}"] = ("sum", x)
+        if kind == "mean":
+            result[name] = F.when(n > 0, total / n)
+        else:
+            specs[f"_q_{base}"] = ("sum", x * x)
+            var = F.when(n > 0, F.greatest(F.col(f"_q_{base}") / n - (total / n) * (total / n), F.lit(0.0)))
+            result[name] = var if kind == "var" else F.sqrt(var)
+    rows = rows.withColumnRenamed("dst_port", "_dst_port")
+    specs["dst_port"] = ("first", to_int(F.col("_dst_port")))
+    rows = ordered.carry(ordered.split_hot(rows, keys, "ts_us", chunk_rows), keys, order, **specs)
+    return rows.withColumns({
+        **result,
+        "protocol": protocol_number(F.col("protocol")),
+        "flow_duration": F.greatest(F.col("ts_us") - F.col("session_us"), F.lit(1)),
+    })
+
+
+def flow_features(
+    packets: DataFrame, timeout_s=120.0, idle_s=1.0, min_bulk=4, running=False, chunk_rows=ordered.CHUNK_ROWS
+):
+    """The 78 features per flow session or, with ``running``, after each packet of it."""
+    rows = sessionize(packets, timeout_s, idle_s, min_bulk, chunk_rows)
+    out = _so_far(rows, chunk_rows) if running else _per_session(rows)
+
+    def side(name, first):
+        a, b = (F.col(name.format(i)) for i in ((0, 1) if first else (1, 0)))
         return F.when(F.col("_first") == 0, a).otherwise(b)
 
     secs = F.col("flow_duration") / SECOND
 
+    def count(col):
+        return F.coalesce(col, F.lit(0))
+
     def ratio(top, bottom):
         return F.when(bottom > 0, top / bottom)
 
-    named = {
-        "flow": F.col("flow"), "session_us": F.col("session_us"), "dst_port": F.col("dst_port"),
-        "protocol": F.col("protocol"), "flow_duration": F.col("flow_duration"),
-    }
-    for side, of in (("fwd", fwd), ("bwd", bwd)):
-        named[f"tot_{side}_pkts"] = of("_pkts")
-        named[f"totlen_{side}_pkts"] = of("_bytes")
+    named = {"dst_port": F.col("dst_port"), "protocol": F.col("protocol"), "flow_duration": F.col("flow_duration")}
+    for name, first in (("fwd", True), ("bwd", False)):
+        def of(col, first=first):
+            return side(col + "{}", first)
+
+        named[f"tot_{name}_pkts"] = of("_pkts")
+        named[f"totlen_{name}_pkts"] = of("_bytes")
         for kind in ("max", "min", "mean", "std"):
-            named[f"{side}_pkt_len_{kind}"] = stat(side, "len", kind)
-        for kind in ("tot", "mean", "std", "max", "min"):
-            named[f"{side}_iat_{kind}"] = stat(side, "iat", kind)
-        named[f"{side}_psh_flags"] = of("_psh")
-        named[f"{side}_urg_flags"] = of("_urg")
-        named[f"{side}_header_len"] = of("_head")
-        named[f"{side}_pkts_s"] = of("_pkts") / secs
-        named[f"{side}_seg_size_avg"] = stat(side, "len", "mean")
-        named[f"{side}_byts_b_avg"] = ratio(of("run_bytes"), of("runs"))
-        named[f"{side}_pkts_b_avg"] = ratio(of("run_pkts"), of("runs"))
-        named[f"{side}_blk_rate_avg"] = ratio(of("run_bytes"), of("run_secs"))
-        named[f"subflow_{side}_pkts"] = of("_pkts")
-        named[f"subflow_{side}_byts"] = of("_bytes")
-        named[f"init_{side}_win_byts"] = of("_win")
-    named["fwd_act_data_pkts"] = fwd("_act")
-    named["fwd_seg_size_min"] = stat("fwd", "len", "min")
-    named["flow_byts_s"] = (F.coalesce(fwd("_bytes"), F.lit(0)) + F.coalesce(bwd("_bytes"), F.lit(0))) / secs
-    named["flow_pkts_s"] = (fwd("_pkts") + bwd("_pkts")) / secs
-    named["down_up_ratio"] = ratio(bwd("_pkts"), fwd("_pkts"))
+            named[f"{name}_pkt_len_{kind}"] = side("_len{}_" + kind, first)
+        named[f"{name}_iat_tot"] = side("_iat{}_sum", first)
+        for kind in ("mean", "std", "max", "min"):
+            named[f"{name}_iat_{kind}"] = side("_iat{}_" + kind, first)
+        named[f"{name}_psh_flags"] = of("_psh")
+        named[f"{name}_urg_flags"] = of("_urg")
+        named[f"{name}_header_len"] = of("_head")
+        named[f"{name}_pkts_s"] = of("_pkts") / secs
+        named[f"{name}_seg_size_avg"] = side("_len{}_mean", first)
+        named[f"{name}_byts_b_avg"] = ratio(of("_bulk_bytes"), of("_bulk_runs"))
+        named[f"{name}_pkts_b_avg"] = ratio(of("_bulk_pkts"), of("_bulk_runs"))
+        named[f"{name}_blk_rate_avg"] = ratio(of("_bulk_bytes"), of("_bulk_us") / SECOND)
+        named[f"subflow_{name}_pkts"] = of("_pkts")
+        named[f"subflow_{name}_byts"] = of("_bytes")
+        named[f"init_{name}_win_byts"] = of("_win")
+    fwd, bwd = count(side("_pkts{}", True)), count(side("_pkts{}", False))
+    named["fwd_act_data_pkts"] = side("_act{}", True)
+    named["fwd_seg_size_min"] = side("_len{}_min", True)
+    named["flow_byts_s"] = (count(F.col("_bytes0")) + count(F.col("_bytes1"))) / secs
+    named["flow_pkts_s"] = (fwd + bwd) / secs
+    named["down_up_ratio"] = ratio(bwd, fwd)
     named["pkt_size_avg"] = F.col("pkt_len_mean")
-    for kind in ("min", "max", "mean", "std", "var"):
-        named[f"pkt_len_{kind}"] = F.col(f"pkt_len_{kind}")
-    for kind in ("mean", "std", "max", "min"):
-        for base in ("flow_iat", "active", "idle"):
+    for base, kinds in (("pkt_len", "min max mean std var"), ("flow_iat", "mean std max min"),
+                        ("active", "mean std max min"), ("idle", "mean std max min")):
+        for kind in kinds.split():
             named[f"{base}_{kind}"] = F.col(f"{base}_{kind}")
-    for name in letters:
+    for name in LETTERS:
         named[name] = F.col(name)
-    ids = ("flow", "session_us")
+    ids = ["flow", "session_us", *(["packet_id"] if running else [])]
     whole = ("dst_port", "protocol", "flow_duration")
-    return out.select(
-        *[
-            c.alias(n) if n in ids
-            else F.coalesce(c.cast("long" if n in whole else "double"), F.lit(0)).alias(n)
-            for n, c in named.items()
-        ]
-    )
+    return out.select(*ids, *[
+        F.coalesce(c.cast("long" if n in whole else "double"), F.lit(0)).alias(n) for n, c in named.items()
+    ])
 
 
 def packet_features(packets: DataFrame, window_s=1.0):

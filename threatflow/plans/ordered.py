@@ -29,6 +29,7 @@ CHUNK_ROWS = 1_000_000
 # so at most 1 / HOT_KEYS of all rows.
 HOT_KEYS = 100_000
 COLD = -1
+FIGURES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def split_hot(df: DataFrame, keys, at, chunk_rows=CHUNK_ROWS):
@@ -82,7 +83,8 @@ def carry(df: DataFrame, keys, order, **specs):
     * ``lag``   value of the row before
     * ``last``  last non-NULL value up to and with this row
     * ``prior`` last non-NULL value before this row
-    * ``sum`` / ``max``  running sum / maximum with this row
+    * ``first`` first non-NULL value up to and with this row
+    * ``sum`` / ``max`` / ``min``  running figure with this row
     """
     split = "_chunk" in df.columns
     inner = Window.partitionBy(*parts(df, keys)).orderBy(*order)
@@ -100,8 +102,11 @@ def carry(df: DataFrame, keys, order, **specs):
         elif kind in ("last", "prior"):
             local[name] = F.last(col, True).over(upto if kind == "last" else before)
             summary.append(F.max_by(col, F.when(col.isNotNull(), position)).alias(f"_s_{name}"))
+        elif kind == "first":
+            local[name] = F.first(col, True).over(upto)
+            summary.append(F.min_by(col, F.when(col.isNotNull(), position)).alias(f"_s_{name}"))
         else:
-            whole = {"sum": F.sum, "max": F.max}[kind]
+            whole = FIGURES[kind]
             local[name] = whole(col).over(upto)
             summary.append(whole(col).alias(f"_s_{name}"))
     out = df.select("*", *[c.alias(f"_l_{n}") for n, c in local.items()])
@@ -110,7 +115,7 @@ def carry(df: DataFrame, keys, order, **specs):
         # One row per chunk of a hot key; cold keys have no summary at all.
         chunks = df.where(F.col("_chunk") >= 0).groupBy(*keys, "_chunk").agg(*summary)
         earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        fold = {"sum": F.sum, "max": F.max}
+        fold = {**FIGURES, "first": lambda c: F.first(c, True)}
         entry = [
             fold.get(kind, lambda c: F.last(c, True))(F.col(f"_s_{name}")).over(earlier).alias(f"_e_{name}")
             for name, (kind, _) in specs.items()
@@ -125,8 +130,10 @@ def carry(df: DataFrame, keys, order, **specs):
             entered = F.col(f"_e_{name}")
             if kind == "sum":
                 value = F.coalesce(value + F.coalesce(entered, F.lit(0)), entered)
-            elif kind == "max":
-                value = F.greatest(value, entered)
+            elif kind in ("max", "min"):
+                value = (F.greatest if kind == "max" else F.least)(value, entered)
+            elif kind == "first":
+                value = F.coalesce(entered, value)
             else:
                 value = F.coalesce(value, entered)
         values.append((value["v"] if kind == "lag" else value).alias(name))
