@@ -16,6 +16,7 @@ def build_session(app="threatflow", cores="*", shuffle_partitions=None, **conf):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
     if shuffle_partitions:
