@@ -5,8 +5,13 @@ from pyspark.sql import Column, functions as F
 from threatflow.functions import values as V
 
 
-def _texts(items):
-    return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
+def _any_of(attacks, types):
+    return F.exists(attacks, lambda a: a.isin(types))
+
+
+def _all_of(attacks, types):
+    """True for an empty list too."""
+    return F.forall(attacks, lambda a: a.isin(types))
 
 
 def is_noise(attacks: Column, source_ip: Column):
@@ -16,9 +21,9 @@ def is_noise(attacks: Column, source_ip: Column):
 
 def is_true_positive(attacks: Column, confidence: Column):
     """Vote on an alert: confirmed by signature or strong DDoS, else not if only weak types."""
-    confirmed = F.arrays_overlap(attacks, _texts(V.CONFIRMED_TYPES))
+    confirmed = _any_of(attacks, V.CONFIRMED_TYPES)
     flood = F.array_contains(attacks, "DDoS") & F.coalesce(confidence >= 0.8, F.lit(False))
-    weak_only = F.size(F.array_except(attacks, _texts(V.UNCERTAIN_TYPES))) == 0
+    weak_only = _all_of(attacks, V.UNCERTAIN_TYPES)
     return F.when(confirmed | flood, True).when(weak_only, False).otherwise(True)
 
 
@@ -40,7 +45,10 @@ def board_severity(primary: Column, confidence: Column):
     pct = percent(confidence)
 
     def named(types):
-        return F.exists(_texts(types), lambda t: F.contains(primary, t))
+        hit = F.lit(False)
+        for t in types:
+            hit = hit | F.contains(primary, F.lit(t))
+        return hit
 
     return (
         F.when(named(V.BOARD_CRITICAL) | (pct >= 95), "critical")
@@ -70,8 +78,8 @@ def gate_mitigation(mitigation: Column, allowed: Column):
 
 def fallback_triage(attacks: Column):
     """Verdict and confidence when no analyst model answered."""
-    confirmed = F.arrays_overlap(attacks, _texts(V.TRIAGE_CONFIRMED_TYPES))
-    weak_only = F.size(F.array_except(attacks, _texts(V.TRIAGE_UNCERTAIN_TYPES))) == 0
+    confirmed = _any_of(attacks, V.TRIAGE_CONFIRMED_TYPES)
+    weak_only = _all_of(attacks, V.TRIAGE_UNCERTAIN_TYPES)
     return F.struct(
         F.when(confirmed, "true_positive").otherwise("uncertain").alias("verdict"),
         F.when(confirmed, 0.85).when(weak_only, 0.4).otherwise(0.5).alias("confidence"),

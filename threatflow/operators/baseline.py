@@ -150,15 +150,12 @@ def drift_alerts(
         std = F.when(base["std"] == 0, 1.0).otherwise(base["std"])
         return F.abs(F.col(f"_sum_{f}") / F.col("_n") - base["mean"]) / std
 
-    scored = F.array(*[F.struct(F.lit(f).alias("feature"), z(f).alias("z")) for f in features])
-    drifted = F.filter(scored, lambda s: s["z"] >= z_at)
-    rows = rows.withColumn("_drifted", drifted).where(
-        (F.col("_n") >= max(50, min_features * 5)) & (F.size("_drifted") >= min_features)
-    )
+    rows = rows.where(F.col("_n") >= max(50, min_features * 5))
+    rows = rows.select(key, *order, *[(z(f) >= z_at).alias(f"_z_{f}") for f in features])
+    n_features = sum((F.col(f"_z_{f}").cast("int") for f in features), F.lit(0))
+    rows = rows.withColumn("n_features", n_features).where(F.col("n_features") >= min_features)
+    named = F.filter(F.array(*[F.when(F.col(f"_z_{f}"), F.lit(f)) for f in features]), lambda n: n.isNotNull())
     rows = rows.select(
-        key, *order,
-        F.size("_drifted").alias("n_features"),
-        F.transform(F.slice("_drifted", 1, 10), lambda s: s["feature"]).alias("features"),
-        F.lit(0.6).alias("confidence"),
+        key, *order, "n_features", F.slice(named, 1, 10).alias("features"), F.lit(0.6).alias("confidence")
     )
     return ordered.keep_spaced(rows, [key], order[0], tie, cooldown_us, chunk_rows)

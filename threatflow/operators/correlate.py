@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
-from threatflow.operators.lookup import stage_of, stage_order
+from threatflow.operators.lookup import stage_name, stage_ord_of
 from threatflow.plans import ordered
 
 SECOND = 1_000_000
@@ -50,9 +50,9 @@ def staged(alerts: DataFrame):
     tags = F.col("tags") if "tags" in alerts.columns else None
     return (
         alerts.where((F.coalesce("source_ip", F.lit("")) != "") & (F.coalesce("dest_ip", F.lit("")) != ""))
-        .withColumn("stage", stage_of(F.col("attack_types"), tags))
-        .where(F.col("stage").isNotNull())
-        .withColumn("stage_ord", stage_order(F.col("stage")))
+        .withColumn("stage_ord", stage_ord_of(F.col("attack_types"), tags))
+        .where(F.col("stage_ord").isNotNull())
+        .withColumn("stage", stage_name(F.col("stage_ord")))
     )
 
 

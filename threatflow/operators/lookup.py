@@ -13,9 +13,10 @@ from threatflow.functions import values as V
 def first_name_match(attack: Column, names):
     """The name equal to ``attack``, else the first with one text inside the other."""
     lowered = F.lower(attack)
-    listed = F.array(*[F.lit(n) for n in names])
-    near = F.filter(listed, lambda n: F.contains(lowered, F.lower(n)) | F.contains(F.lower(n), lowered))
-    return F.when(attack.isin(list(names)), attack).otherwise(F.get(near, F.lit(0)))
+    near = [
+        F.when(F.contains(lowered, F.lit(n.lower())) | F.contains(F.lit(n.lower()), lowered), n) for n in names
+    ]
+    return F.when(attack.isin(list(names)), attack).otherwise(F.coalesce(*near))
 
 
 def technique_of(attack: Column):
@@ -65,22 +66,28 @@ def playbook_of(attack: Column):
     return F.coalesce(found, row(*V.DEFAULT_PLAYBOOK))
 
 
-def stage_of(attacks: Column, tags: Column | None = None):
-    """First kill-chain stage, in order, that names one of the types or tags."""
-    tests = []
-    for stage, (types, stage_tags) in V.STAGES.items():
-        hit = F.arrays_overlap(attacks, F.array(*[F.lit(t) for t in types]))
-        if tags is not None:
-            hit = hit | F.coalesce(
-                F.arrays_overlap(tags, F.array(*[F.lit(t) for t in stage_tags])), F.lit(False)
-            )
-        tests.append(F.when(F.coalesce(hit, F.lit(False)), F.lit(stage)))
-    return F.coalesce(*tests)
+def _order_of(name: Column, place):
+    """Place of the stage that lists a type (place 0) or a tag (place 1)."""
+    out = F.lit(None).cast("int")
+    for i, lists in reversed(list(enumerate(V.STAGES.values(), 1))):
+        out = F.when(name.isin(lists[place]), i).otherwise(out)
+    return out
+
+
+def stage_ord_of(attacks: Column, tags: Column | None = None):
+    """Order of the first kill-chain stage that names one of the types or tags."""
+    found = F.array_min(F.transform(attacks, lambda a: _order_of(a, 0)))
+    if tags is not None:
+        found = F.least(found, F.array_min(F.transform(tags, lambda t: _order_of(t, 1))))
+    return found
 
 
-def stage_order(stage: Column):
-    order = F.create_map(*[x for i, s in enumerate(V.STAGES, 1) for x in (F.lit(s), F.lit(i))])
-    return F.try_element_at(order, stage)
+def stage_name(order: Column):
+    return F.get(F.array(*[F.lit(s) for s in V.STAGES]), order - 1)
+
+
+def stage_of(attacks: Column, tags: Column | None = None):
+    return stage_name(stage_ord_of(attacks, tags))
 
 
 def route_sensor(location: Column, sensors):

@@ -185,15 +185,15 @@ def partners(window_us):
     def fold(state, pdf):
         times = [t for t, _ in state or []] + pdf["ts_us"].tolist()
         types = [a for _, a in state or []] + pdf["attack_type"].tolist()
+        ids, sides = pdf["alert_id"].tolist(), pdf["side"].tolist()
         first, start, held, out = len(state or []), 0, {}, []
         for i, t in enumerate(times):
             while times[start] <= t - window_us:
                 held[types[start]] -= 1
                 start += 1
             if i >= first and i > start:
-                row = pdf.iloc[i - first]
                 names = sorted({a for a, n in held.items() if n > 0} | {types[i]})
-                out.append((row["alert_id"], row["side"], i - start, ",".join(names)))
+                out.append((ids[i - first], sides[i - first], i - start, ",".join(names)))
             held[types[i]] = held.get(types[i], 0) + 1
         return list(zip(times[start:], types[start:])), pd.DataFrame(out, columns=["alert_id", "side", "partners", "attacks"])
 
