@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import bpe, chat, fingerprints, mixing, quality, sharding, urls
+from threatflow.llm import bpe, chat, fingerprints, minhash, mixing, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -61,6 +61,12 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op3_minhash")
+def op3(spark, sf_dir):
+    """Each document's component of near duplicates over two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The public vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_50k.tiktoken"
 

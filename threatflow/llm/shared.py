@@ -31,3 +31,52 @@ def key_of(column):
 def listed(values):
     """An array of whole numbers as a constant."""
     return F.from_json(F.lit("[" + ",".join(str(int(v)) for v in values) + "]"), "array<bigint>")
+
+
+def components(edges):
+    """Connected components of ``edges`` (a, b): rows (node, root), ``root`` the least node reachable.
+
+    Alternates large and small stars: every node's greater neighbours, then its lesser ones, are tied
+    to its least neighbour, until all edges point at roots. Each round is written to the shared folder.
+    """
+    pairs = saved(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    )
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = saved(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        roots = pairs.select(F.col("b").alias("a")).distinct()
+        if pairs.join(roots, "a", "left_semi").isEmpty() and pairs.groupBy("a").count().where("count > 1").isEmpty():
+            break
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        roots.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    )
+
+
+def groups(batches, key="g"):
+    """Tables of the rows of one key each, from Arrow batches sorted by ``key``; holds one group and one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        start = 0
+        for end in ends:
+            if held and start == 0 and held[0].column(key)[0].as_py() != keys[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            if end < len(keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
