@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import bpe, chat, fingerprints, minhash, mixing, quality, sharding, urls
+from threatflow.llm import bpe, chat, fingerprints, lines, minhash, mixing, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -67,6 +67,21 @@ def op3(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_line_dedup")
+def op4(spark, sf_dir):
+    """Each document's lines, and which of them repeat an earlier line of any document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = lines.later_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return counted.join(gone, "doc_id", "left").select(
+        "doc_id",
+        F.col("n_lines").cast("bigint"),
+        F.size(removed).cast("bigint").alias("n_removed"),
+        F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"),
+    )
+
+
 #: The public vocabulary of the byte-level BPE queries.
 RANKS = "byte_bpe_50k.tiktoken"
 

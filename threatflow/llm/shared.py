@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threatflow.plans.session import ensure_checkpoint_dir
+from threatflow.plans.session import ensure_checkpoint_dir, shared_dir
 
 #: Words are runs of anything but these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,19 @@ def saved(df):
     return df.checkpoint()
 
 
+def stored(df):
+    """The table as Parquet in the shared folder, read from there; removed when the session's JVM ends.
+
+    Smaller than a checkpoint, and its columns are read one by one.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, "stored")
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_of(column):
     return F.coalesce(F.col(column), F.lit(""))
 
