@@ -79,21 +79,25 @@ def estimates(regs, others):
     return np.maximum(share - CHANCE, 0) / (1 - CHANCE)
 
 
-def _sketches(batches):
+def _sketches(size):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("est", pa.binary()), ("bands", pa.list_(pa.int64()))]
     )
-    for batch in batches:
-        rows = {name: [] for name in schema.names}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            hashes = shingles(text.as_py())
-            rows["doc_id"].append(doc)
-            rows["n"].append(len(hashes))
-            regs = registers(hashes) if len(hashes) else None
-            rows["key"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            rows["est"].append(None if regs is None else regs[:ESTIMATED].tobytes())
-            rows["bands"].append(None if regs is None else band_keys(regs))
-        yield pa.RecordBatch.from_pydict(rows, schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = {name: [] for name in schema.names}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingles(text.as_py(), size)
+                rows["doc_id"].append(doc)
+                rows["n"].append(len(hashes))
+                regs = registers(hashes) if len(hashes) else None
+                rows["key"].append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                rows["est"].append(None if regs is None else regs[:ESTIMATED].tobytes())
+                rows["bands"].append(None if regs is None else band_keys(regs))
+            yield pa.RecordBatch.from_pydict(rows, schema)
+
+    return run
 
 
 class Sets:
@@ -152,7 +156,7 @@ def _hubs(near, close, final):
     return run
 
 
-def _links(threshold):
+def _links(threshold, size):
     """For each group of texts, ties between sets whose exact likeness is at least ``threshold`` percent."""
 
     def run(batches):
@@ -160,7 +164,7 @@ def _links(threshold):
             nodes = {}
             for key, text in zip(group.column("key").to_pylist(), group.column("text")):
                 if key not in nodes:
-                    hashes = shingles(text.as_py())
+                    hashes = shingles(text.as_py(), size)
                     if xxhash.xxh3_128_digest(hashes.tobytes()) == key:
                         nodes[key] = hashes
             keys = sorted(nodes)
@@ -236,11 +240,11 @@ def candidates(nodes):
     return ties
 
 
-def near_duplicates(docs, text="text", key="doc_id", threshold=80):
+def near_duplicates(docs, text="text", key="doc_id", threshold=80, size=2):
     """One row per document: key, ``n_shingles``, ``component_id``, ``kept``.
 
-    Documents are linked if 100 * |A and B| >= ``threshold`` * |A or B| for their sets of different two-word
-    shingles; ``component_id`` is the least key reachable by links and ``kept`` marks its row. Equal
+    Documents are linked if 100 * |A and B| >= ``threshold`` * |A or B| for their sets of different shingles
+    of ``size`` words; ``component_id`` is the least key reachable by links and ``kept`` marks its row. Equal
     sets are one node. Registers of HyperMinHash, banded, tie candidates together; whole sets decide
     in blocks of a candidate component, so no pairs are written. A component of more than ``BLOCK`` sets
     is cut into blocks by a hash and settled in three steps: inside blocks, among the blocks'
@@ -251,7 +255,7 @@ def near_duplicates(docs, text="text", key="doc_id", threshold=80):
     """
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketches = saved(
-        texts.mapInArrow(_sketches, "doc_id bigint, n bigint, key binary, est binary, bands array<bigint>")
+        texts.mapInArrow(_sketches(size), "doc_id bigint, n bigint, key binary, est binary, bands array<bigint>")
     )
     whole = sketches.where("key is not null")
     classes = whole.groupBy("key").agg(F.min("doc_id").alias("first"))
@@ -266,10 +270,10 @@ def near_duplicates(docs, text="text", key="doc_id", threshold=80):
     one = loaded.withColumn("g", F.xxhash64("part", "block"))
     large = saved(one.where("blocks > 1"))
     ties = saved(
-        _grouped(one.where("blocks = 1").unionByName(large).select("g", "key", "text")).mapInArrow(_links(threshold), TIES)
+        _grouped(one.where("blocks = 1").unionByName(large).select("g", "key", "text")).mapInArrow(_links(threshold, size), TIES)
     )
     if not large.isEmpty():
-        ties = _large_parts(large, ties, threshold)
+        ties = _large_parts(large, ties, threshold, size)
     settled = components(ties).withColumnsRenamed({"node": "key", "root": "part"})
     found = classes.join(settled, "key", "left").withColumn("part", F.coalesce("part", "key"))
     least = found.groupBy("part").agg(F.min("first").alias("component_id"))
@@ -286,7 +290,7 @@ def near_duplicates(docs, text="text", key="doc_id", threshold=80):
     )
 
 
-def _large_parts(large, ties, threshold, main=8):
+def _large_parts(large, ties, threshold, size, main=8):
     """Ties across the blocks of components too large for one."""
     inside = components(ties).withColumnsRenamed({"node": "key", "root": "label"})
     placed = large.select("key", "part", "block", "blocks").join(inside, "key", "left")
@@ -299,7 +303,7 @@ def _large_parts(large, ties, threshold, main=8):
     rooms = F.ceil(F.col("blocks") * main / BLOCK)
     heads = heads.withColumn("g", F.xxhash64("part", F.pmod(F.xxhash64("key"), rooms))).select("key", "g")
     texts = large.select("key", "text")
-    among = _grouped(texts.join(heads, "key").select("g", "key", "text")).mapInArrow(_links(threshold), TIES)
+    among = _grouped(texts.join(heads, "key").select("g", "key", "text")).mapInArrow(_links(threshold, size), TIES)
     ties = saved(ties.unionByName(among))
 
     labels = components(ties).withColumnsRenamed({"node": "key", "root": "label"})
@@ -329,4 +333,4 @@ def _large_parts(large, ties, threshold, main=8):
     )
     meets = F.when(F.col("label") == F.col("main"), as_main).otherwise(F.concat(rest, with_main))
     pairs = rows.select(F.explode(F.array_distinct(meets)).alias("g"), "key", "text")
-    return saved(ties.unionByName(_grouped(pairs).mapInArrow(_links(threshold), TIES)))
+    return saved(ties.unionByName(_grouped(pairs).mapInArrow(_links(threshold, size), TIES)))

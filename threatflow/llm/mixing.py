@@ -132,7 +132,7 @@ def mixed(docs, size, source="source", key="doc_id", weight=None, shards=16, blo
     quota tree deals each source's blocks to shards, which draw permuted blocks, no block twice. In a
     shard, rows are read in the order of ``place``, a hash.
 
-    Null sizes count as 0, null sources are a source, repeated rows are rows, an empty table gives no rows,
+    Rows of size 0 or null are never taken, null sources are a source, repeated rows are rows, an empty table gives no rows,
     and columns named like the results are replaced. A large source spreads over ranges of the
     hash; only one row per source and range (16 ** digits of them) is gathered.
     """
@@ -189,7 +189,7 @@ def mixed(docs, size, source="source", key="doc_id", weight=None, shards=16, blo
         block = F.floor(place / p["width"])
         drawn = (block * STRIDE + p["no"]) % p["blocks"]
         return F.when(
-            2 * place + F.col(units) < 2 * p["target"],
+            (F.col(units) > 0) & (2 * place + F.col(units) < 2 * p["target"]),
             F.struct(
                 F.lit(copy).alias("copy"),
                 F.size(F.filter(p["cuts"], lambda c: c <= drawn)).alias("shard"),

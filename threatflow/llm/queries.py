@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import bpe, chat, fingerprints, lines, minhash, mixing, quality, sharding, urls
+from threatflow.llm import bpe, chat, covertree, fingerprints, lines, minhash, mixing, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -61,6 +61,12 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op2_cover_tree")
+def op2(spark, sf_dir):
+    """Each vector's links and component among the vectors of its label."""
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_minhash")
 def op3(spark, sf_dir):
     """Each document's component of near duplicates over two-word shingles."""
