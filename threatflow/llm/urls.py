@@ -121,16 +121,17 @@ class UrlFilter:
         named like the results are replaced."""
         made = {"host", "path", "rule", "verdict", "score"}
         kept = [c for c in urls.columns if c.lower() not in made or c == url]
-        rows = parts(urls.select(*kept), url).withColumn("_rule", fitting(self.rules))
+        own = F.struct(*[F.col(c) for c in kept]).alias("_row")
+        rows = parts(urls.select(own, F.col(url).alias("_url")), "_url").withColumn("_rule", fitting(self.rules))
         if self.model is None:
             rows = rows.withColumn("score", F.lit(None).cast("double"))
             guess = F.lit(self.only)
         else:
-            rows = self.model.transform(self._vectors(lexical(rows, url)))
+            rows = self.model.transform(self._vectors(lexical(rows, "_url")))
             rows = rows.withColumn("score", vector_to_array("probability")[1])
             guess = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
         return rows.select(
-            *kept,
+            "_row.*",
             "host",
             "path",
             F.col("_rule.rule").alias("rule"),
