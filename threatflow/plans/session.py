@@ -1,6 +1,7 @@
 """Session set-up and the shared folder used for files between jobs."""
 
 import os
+import re
 import tempfile
 import uuid
 
