@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+#: Texts that are worked on before their ids leave a task.
+ROWS = 500
 #: Code points that are split and encoded at once, and ids that are decoded at once.
 LEAF = 2048
 #: Pieces whose ids a Python worker remembers.
@@ -28,12 +30,23 @@ def read_ranks(path):
         return f.read()
 
 
+def read_lines(content):
+    """Tokens and their ranks."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+
+
+def _sliced(batches):
+    for rows in batches:
+        for at in range(0, len(rows), ROWS):
+            yield rows.slice(at, ROWS)
+
+
 class Merges(dict):
     """Ids of pieces, worked out when first asked for. A token's id is its rank."""
 
     def __init__(self, content):
         super().__init__()
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
+        self.ranks = read_lines(content)
         self.bytes = [self.ranks.get(bytes([i])) for i in range(256)]
         self.pairs = {}
         for token, rank in self.ranks.items():
@@ -159,7 +172,7 @@ def _splitter(pattern):
 
 @lru_cache(2)
 def _tokens(content):
-    ranks = Merges(content).ranks
+    ranks = read_lines(content)
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
         tokens[i] = token
@@ -190,7 +203,7 @@ def encode(column, content, pattern):
     @arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         merges, split = _merges(content), _splitter(pattern).pieces
-        for texts in batches:
+        for texts in _sliced(batches):
             ids, ends = array("i"), np.zeros(len(texts) + 1, np.int32)
             for k, text in enumerate(texts):
                 ids.extend(chain.from_iterable(map(merges.__getitem__, split(text.as_py() or ""))))
@@ -206,10 +219,9 @@ def decode(column, content):
     @arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _tokens(content)
-        for lists in batches:
-            values, ends = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
-            yield pa.array(
-                [decode_ids(values[a:b], tokens) for a, b in zip(ends, ends[1:])], pa.binary()
-            )
+        for lists in _sliced(batches):
+            values, ends = lists.values, lists.offsets.to_pylist()
+            texts = (decode_ids(values[a:b].to_numpy().tolist(), tokens) for a, b in zip(ends, ends[1:]))
+            yield pa.array(list(texts), pa.binary())
 
     return run(F.coalesce(column, F.array().cast("array<int>")))
