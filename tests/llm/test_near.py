@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threatflow.llm import covertree, lines, minhash
+from threatflow.llm import covertree, lines, minhash, shared
 from threatflow.llm.queries import op2, op3, op4
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,19 @@ def joined(nodes, links):
     return {n: root(n) for n in nodes}
 
 
+@pytest.mark.parametrize("tied", [0, 5, 1000])
+def test_components(spark, monkeypatch, tied):
+    """In one task, by rounds of stars, and by both."""
+    monkeypatch.setattr(shared, "TIED", tied)
+    random.seed(4)
+    links = [(random.randrange(90), random.randrange(90)) for _ in range(50)] + [(i, i + 1) for i in range(200, 240)]
+    links += [(300, i) for i in range(301, 320)] + [(7, 7)]
+    got = {r.node: r.root for r in shared.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    roots = joined(nodes, [x for x in links if x[0] != x[1]])
+    assert got == roots
+
+
 def shingle_set(text, size=2):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)

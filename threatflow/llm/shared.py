@@ -46,16 +46,46 @@ def listed(values):
     return F.from_json(F.lit("[" + ",".join(str(int(v)) for v in values) + "]"), "array<bigint>")
 
 
+#: Edges that one task ties together.
+TIED = 200_000
+
+
+def _tied(batches):
+    """Each node of some edges with the least node it reaches by them."""
+    import pyarrow as pa
+
+    up, kind = {}, None
+
+    def root(n):
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, kind), pa.array([root(n) for n in nodes], kind)], ["node", "root"]
+        )
+
+
 def components(edges):
     """Connected components of ``edges`` (a, b): rows (node, root), ``root`` the least node reachable.
 
-    Alternates large and small stars: every node's greater neighbours, then its lesser ones, are tied
-    to its least neighbour, until all edges point at roots. Each round is written to the shared folder.
+    Up to ``TIED`` edges are tied together in one task. More are turned into stars by rounds of large and
+    small stars: every node's greater neighbours, then its lesser ones, are tied to its least neighbour,
+    until all edges point at roots or few are left. Each round is written to the shared folder.
     """
     pairs = saved(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    while True:
+    kind = pairs.schema["a"].dataType.simpleString()
+    while pairs.count() > TIED:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -64,10 +94,10 @@ def components(edges):
         pairs = saved(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         roots = pairs.select(F.col("b").alias("a")).distinct()
         if pairs.join(roots, "a", "left_semi").isEmpty() and pairs.groupBy("a").count().where("count > 1").isEmpty():
-            break
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        roots.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    )
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                roots.select(F.col("a").alias("node"), F.col("a").alias("root"))
+            )
+    return saved(pairs.coalesce(1).mapInArrow(_tied, f"node {kind}, root {kind}"))
 
 
 def groups(batches, key="g"):
