@@ -114,3 +114,13 @@ def test_quantiles(spark, chunk):
     for r in res:
         want = np.quantile([x[1] for x in rows if x[0] == r.k], [0.01, 0.25, 0.5, 0.99])
         assert np.allclose([r.q0, r.q1, r.q2, r.q3], want)
+
+
+def test_a_burst_in_one_instant_is_split_by_rows(spark):
+    """Nearly all rows of a key at one time: no chunk holds over twice the target."""
+    rows = spark.range(20_000).selectExpr("'hot' AS k", "IF(id = 0, -86400000000L, 5L) AS t", "id")
+    split = ordered.split_hot(rows, ["k"], ["t", "id"], 1000)
+    sizes = [r["count"] for r in split.groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2000 and len(sizes) >= 15
+    numbered = ordered.number_rows(rows, ["k"], ["t", "id"], "rn", 1000)
+    assert numbered.where("rn <> id + 1").count() == 0

@@ -44,7 +44,7 @@ def sessionize(packets: DataFrame, timeout_s=120.0, idle_s=1.0, min_bulk=4, chun
     ts = F.col("ts_us")
     order = ["ts_us", "packet_id"]
     rows = with_flow_key(packets).withColumn("_data", F.col("payload_len") > 0)
-    rows = ordered.split_hot(rows, ["flow"], "ts_us", chunk_rows)
+    rows = ordered.split_hot(rows, ["flow"], order, chunk_rows)
     seen = {"_prev": ("prior", "ts_us")}
     for s in SIDES:
         mine = F.col("side") == s
@@ -179,7 +179,7 @@ def _so_far(rows, chunk_rows):
             result[name] = var if kind == "var" else F.sqrt(var)
     rows = rows.withColumnRenamed("dst_port", "_dst_port")
     specs["dst_port"] = ("first", to_int(F.col("_dst_port")))
-    rows = ordered.carry(ordered.split_hot(rows, keys, "ts_us", chunk_rows), keys, order, **specs)
+    rows = ordered.carry(ordered.split_hot(rows, keys, order, chunk_rows), keys, order, **specs)
     return rows.withColumns({
         **result,
         "protocol": protocol_number(F.col("protocol")),

@@ -100,7 +100,7 @@ def split_by_block(events: DataFrame, changes: DataFrame, source="source_ip", bl
         F.lit("").alias("_tie"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"),
         mark.alias("_mark"),
     )
-    rows = ordered.split_hot(left.unionByName(right), ["_key"], "ts_us")
+    rows = ordered.split_hot(left.unionByName(right), ["_key"], ["ts_us", "_kind", "_tie"])
     rows = ordered.carry(rows, ["_key"], ["ts_us", "_kind", "_tie"], _seen=("last", "_mark"))
     held = F.col("_seen").isNotNull() & ~F.col("_seen.deleted") & (F.col("_seen.expires_us") >= F.col("ts_us"))
     rows = rows.where(F.col("_kind") == 1).where(F.coalesce(held, F.lit(False)) == F.lit(blocked))

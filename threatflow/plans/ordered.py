@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(key)`` puts all rows of a key into one task, so a
 source that sends a third of the traffic would hold up the whole job.  The
-helpers here cut hot keys into time chunks, run the window per (key, chunk), and
+helpers here cut hot keys into chunks of about equal row counts, run the window per (key, chunk), and
 carry what a chunk needs to know about the earlier ones through a small summary
 table with one row per hot chunk.  Results equal those of the plain window.
 
@@ -14,6 +14,8 @@ table with one row per hot chunk.  Results equal those of the plain window.
 * ``quantiles``      exact interpolated quantiles without one big buffer
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,48 +27,67 @@ from threatflow.plans.sizes import broadcast_if_small
 
 # A key with more rows than this is cut into chunks of about this many rows.
 CHUNK_ROWS = 1_000_000
-# Never more hot keys than this.  Any other key has fewer rows than each of these,
-# so at most 1 / HOT_KEYS of all rows.
-HOT_KEYS = 100_000
+# Sampled rows per chunk: chunk sizes vary by about an eighth.
+SAMPLED = 64
 COLD = -1
 FIGURES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def split_hot(df: DataFrame, keys, at, chunk_rows=CHUNK_ROWS):
-    """Add ``_chunk``: -1 on rows of cold keys, else a number rising with ``at``.
+def split_hot(df: DataFrame, keys, order, chunk_rows=CHUNK_ROWS):
+    """Add ``_chunk``: -1 on rows of cold keys, else a number rising in the order of ``order``.
 
-    One job over the key and time columns counts rows per key and brings back the
-    keys with over ``chunk_rows`` rows, at most HOT_KEYS of them; that bound is what
-    allows the broadcast.  Where no key is hot the column is left out, and the
-    helpers below run as plain windows.  Keys and ``at`` must not be NULL.
+    One job over the key and order columns samples ``SAMPLED`` rows per chunk and brings back, for
+    keys with over ``chunk_rows`` rows, the places that cut them into chunks of about that many rows:
+    about one place per ``chunk_rows`` rows of the table, a bound that allows the broadcast. ``order`` is
+    one column or several; with a tie-breaker among them even rows of one instant are split.
+    Where no key is hot the column is left out, and the helpers below run as plain windows.
+    Keys and order columns must not be NULL.
     """
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
-    hot = (
-        per_key.where(F.col("_n") > chunk_rows)
-        .withColumn(
-            "_step",
-            ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(chunk_rows))).cast("double"),
-        )
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
-        .select(*keys, "_lo", "_step")
-    )
-    found = hot.collect()
+    order = [order] if isinstance(order, str) else list(order)
+    rate = min(1.0, SAMPLED / chunk_rows)
+    step = max(1, round(chunk_rows * rate))
+    in_key = Window.partitionBy(*keys)
+    picked = df.select(*keys, F.struct(*order).alias("_place"))
+    if rate < 1:
+        picked = picked.where(F.rand(17) < rate)
+    ranked = picked.withColumn("_n", F.count(F.lit(1)).over(in_key)).where(F.col("_n") > step)
+    ranked = ranked.withColumn("_rn", F.row_number().over(in_key.orderBy("_place")))
+    found = ranked.where((F.col("_rn") > 1) & (F.col("_rn") % step == 1 % step)).select(*keys, "_place").collect()
     if not found:
         return df
-    hot = df.sparkSession.createDataFrame(found, hot.schema)
+    borders = {}
+    for row in found:
+        borders.setdefault(tuple(row[:-1]), []).append(row[-1])
+    rows = []
+    for key, places in borders.items():
+        places.sort()
+        stride = math.isqrt(len(places) - 1) + 1
+        rows.append((*key, stride, places[::stride], places))
+    places = T.ArrayType(picked.schema["_place"].dataType)
+    hot = df.sparkSession.createDataFrame(
+        rows,
+        T.StructType(
+            [
+                *[picked.schema[k] for k in keys],
+                T.StructField("_stride", T.IntegerType()),
+                T.StructField("_coarse", places),
+                T.StructField("_places", places),
+            ]
+        ),
+    )
+    here = F.struct(*order)
+    block = F.size(F.filter("_coarse", lambda p: p <= here))
+    near = F.slice("_places", (block - 1) * F.col("_stride") + 1, F.col("_stride"))
     chunk = (
-        F.when(F.col("_lo").isNull(), F.lit(COLD))
-        .when(F.col("_step") <= 0, F.lit(0))
-        .otherwise(F.floor((F.col(at) - F.col("_lo")) / F.col("_step")))
+        F.when(F.col("_stride").isNull(), F.lit(COLD))
+        .when(block == 0, F.lit(0))
+        .otherwise((block - 1) * F.col("_stride") + F.size(F.filter(near, lambda p: p <= here)))
         .cast("long")
     )
     return (
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn("_chunk", chunk)
-        .drop("_lo", "_step")
+        .drop("_stride", "_coarse", "_places")
     )
 
 
@@ -141,8 +162,8 @@ def carry(df: DataFrame, keys, order, **specs):
 
 
 def number_rows(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS):
-    """``row_number()`` per key; the first order column must be a number."""
-    rows = split_hot(df, keys, order[0], chunk_rows).withColumn("_one", F.lit(1).cast("long"))
+    """``row_number()`` per key."""
+    rows = split_hot(df, keys, order, chunk_rows).withColumn("_one", F.lit(1).cast("long"))
     return carry(rows, keys, order, **{out: ("sum", "_one")}).drop("_one", "_chunk")
 
 
@@ -255,7 +276,7 @@ def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):
     key, and then all chunks run at once.
     """
     cols = df.columns
-    rows = carry(split_hot(df, keys, at, chunk_rows), keys, [at, tie], _prev=("lag", at))
+    rows = carry(split_hot(df, keys, [at, tie], chunk_rows), keys, [at, tie], _prev=("lag", at))
     rows = rows.withColumn(
         "_start", F.when(F.col("_prev").isNull() | (F.col(at) - F.col("_prev") >= gap), F.col(at))
     )
