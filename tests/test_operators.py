@@ -326,3 +326,56 @@ def test_block_expiry(spark):
     events = spark.createDataFrame([(1, "a", 4), (2, "a", 8), (3, "a", 9), (4, "b", 0), (5, "b", 1), (6, "c", 1)], "event_id long, source_ip string, ts_us long")
     assert sorted(r["event_id"] for r in respond.split_by_block(events, df).collect()) == [1, 2, 4]
     assert sorted(r["event_id"] for r in respond.split_by_block(events, df, blocked=False).collect()) == [3, 5, 6]
+
+
+def test_one_technique_counts_once_per_alert(spark):
+    """Two types of one alert that point at the same technique."""
+    from threatflow.operators import analytics, lookup
+
+    a = spark.createDataFrame([(1, ["SQL Injection", "Log4Shell Exploit"])], "alert_id int, attack_types array<string>")
+    mapped = lookup.map_techniques(a)
+    assert [tuple(r) for r in analytics.technique_hits(mapped).collect()] == [("T1190", 1)]
+    assert {r.tactic_id: r.hits for r in analytics.tactic_hits(mapped).collect()}["TA0001"] == 1
+
+
+def test_packet_features_of_a_flood(spark):
+    """Products of sums beyond a bigint."""
+    from threatflow.operators import flow_features
+
+    rows = spark.range(3).selectExpr(
+        "id AS packet_id", "1000L + id AS ts_us", "'a' AS src_ip", "'b' AS dst_ip", "1 AS src_port", "2 AS dst_port",
+        "'tcp' AS protocol", "1500000000 + int(id) AS size", "0 AS payload_len", "20 AS header_len", "'S' AS flags",
+    )
+    many = rows.withColumn("size", F.col("size").cast("long"))
+    got = flow_features.packet_features(many).orderBy("packet_id").collect()
+    assert abs(got[-1]["Fwd Pkt Len Std"] - (2 / 3) ** 0.5) < 1e-6
+
+
+def test_writes_of_one_instant(spark):
+    """A deletion wins over a block at the same time, whatever the order of the rows."""
+    from threatflow.operators import respond
+
+    for rows in ([("k", 5, 9, False), ("k", 5, None, True)], [("k", 5, None, True), ("k", 5, 9, False)]):
+        changes = spark.createDataFrame(rows, "key string, ts_us bigint, expires_us bigint, deleted boolean").coalesce(1)
+        assert respond.latest_per_key(changes).count() == 0
+        events = spark.createDataFrame([(1, "k", 6)], "event_id int, source_ip string, ts_us bigint")
+        assert respond.split_by_block(events, changes, blocked=True).count() == 0
+
+
+def test_messages_keep_aliases_fractions_and_times(spark):
+    from threatflow.sources import messages
+
+    raw = spark.createDataFrame(
+        [('{"source_port": 5, "destination_port": "80", "size": 5.5, "timestamp": 12.5}',),
+         ('{"dest_port": 7, "timestamp": "2024-01-02T00:00:00Z"}',), ('{"size": 1, "timestamp": "soon"}',), ('{"size": 1}',)],
+        "value string",
+    )
+    got = [(r.src_port, r.dst_port, r["size"], r.timestamp) for r in messages.parse_messages(raw).collect()]
+    assert got == [(5, 80, 5, 12.5), (None, 7, None, 1704153600.0), (None, None, 1, None)]
+
+
+def test_patterns_that_are_not_read_have_no_needed_texts():
+    for pattern in ("(?i)\\p{L}+abc", "(?=x)abc", "(a)\\1bcd", "a{2", "x[a&&[b]]yz", "\\x41bc", "abc)"):
+        found = rules.needed_texts(pattern)
+        assert found in ([], ["abc"]), pattern
+    assert rules.needed_texts("(?i)union\\s+(all\\s+)?select") == ["select"] or rules.needed_texts("(?i)union\\s+select") == ["select"]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threatflow.catalog.fields import STAGE_ROWS, _rows_sql, listed
+from threatflow.catalog.fields import STAGE_ROWS, _fuzzy_sql, _rows_sql, listed
 from threatflow.catalog.registry import query, rounded
 from threatflow.functions import values as V
 from threatflow.operators import analytics, lookup, rate
@@ -37,23 +37,25 @@ def severity_counts(spark, sf):
 
 
 TECH_ROWS = [(n, v[0], v[2]) for n, v in V.TECHNIQUES.items()]
+TECH_HITS = (
+    f"d(name, technique_id, tactic_id) AS (VALUES {_rows_sql(TECH_ROWS)}), t AS (SELECT alert_id, unnest(mixed_types) AS typ FROM alerts), "
+    f"x AS (SELECT DISTINCT alert_id, technique_id, tactic_id FROM (SELECT alert_id, {_fuzzy_sql(V.TECHNIQUES, 'typ')} AS name FROM t) JOIN d USING (name))"
+)
+
+
+def _mixed(spark, sf):
+    """Alerts with several types, some spelled as in the technique table, some only like it."""
+    a = views.alerts(spark, sf)
+    return lookup.map_techniques(a.withColumn("attack_types", F.col("mixed_types")))
 
 
 @query(
     "technique_hits",
-    f"WITH d(name, technique_id, tactic_id) AS (VALUES {_rows_sql(TECH_ROWS)}), x AS (SELECT DISTINCT alert_id, technique_id FROM (SELECT alert_id, unnest(mixed_types) AS name FROM alerts) JOIN d USING (name)) "
-    "SELECT technique_id, count(*) AS hits FROM x GROUP BY 1",
+    f"WITH {TECH_HITS} SELECT technique_id, count(*) AS hits FROM (SELECT DISTINCT alert_id, technique_id FROM x) GROUP BY 1",
     over=["alerts"],
 )
 def technique_hits(spark, sf):
-    return analytics.technique_hits(lookup.map_techniques(_exact_types(spark, sf)))
-
-
-def _exact_types(spark, sf):
-    """Alerts whose types are named exactly in the technique table or not at all."""
-    a = views.alerts(spark, sf)
-    known = F.array(*[F.lit(n) for n in V.TECHNIQUES])
-    return a.withColumn("attack_types", F.array_intersect("mixed_types", known))
+    return analytics.technique_hits(_mixed(spark, sf))
 
 
 TACTIC_ROWS = [(i, t, n) for i, (t, n) in enumerate(V.TACTICS.items())]
@@ -61,13 +63,12 @@ TACTIC_ROWS = [(i, t, n) for i, (t, n) in enumerate(V.TACTICS.items())]
 
 @query(
     "tactic_heatmap",
-    f"WITH d(name, technique_id, tactic_id) AS (VALUES {_rows_sql(TECH_ROWS)}), t(ord, tactic_id, tactic) AS (VALUES {_rows_sql(TACTIC_ROWS)}), "
-    "x AS (SELECT DISTINCT alert_id, technique_id, tactic_id FROM (SELECT alert_id, unnest(mixed_types) AS name FROM alerts) JOIN d USING (name)) "
-    "SELECT t.tactic_id, t.tactic, count(x.alert_id) AS hits FROM t LEFT JOIN x USING (tactic_id) GROUP BY 1, 2",
+    f"WITH {TECH_HITS}, t2(ord, tactic_id, tactic) AS (VALUES {_rows_sql(TACTIC_ROWS)}) "
+    "SELECT t2.tactic_id, t2.tactic, count(x.alert_id) AS hits FROM t2 LEFT JOIN x USING (tactic_id) GROUP BY 1, 2",
     over=["alerts"],
 )
 def tactic_heatmap(spark, sf):
-    return analytics.tactic_hits(lookup.map_techniques(_exact_types(spark, sf))).drop("ord")
+    return analytics.tactic_hits(_mixed(spark, sf)).drop("ord")
 
 
 @query(

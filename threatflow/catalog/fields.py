@@ -374,7 +374,7 @@ def technique_map(spark, sf):
 
 
 PB_ROWS = [
-    (n, pb[0], pb[1], ",".join(pb[2][k] for k in sorted(pb[2])), ",".join(pb[3][k] for k in sorted(pb[3])))
+    (n, pb[0], pb[1], *[",".join(action for action, automated in pb[2] if automated == kind) for kind in (True, False)])
     for n, pb in {**V.PLAYBOOKS, "": V.DEFAULT_PLAYBOOK}.items()
 ]
 

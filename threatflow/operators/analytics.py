@@ -45,10 +45,12 @@ def technique_hits(alerts: DataFrame):
 
 
 def tactic_hits(alerts: DataFrame):
-    """All tactics with the hits of their techniques, zero included."""
-    per = alerts.select(F.explode(F.array_distinct("mitre_attack")).alias("t")).select(
-        "t.tactic_id", "t.technique_id"
-    )
+    """All tactics with the hits of their techniques, zero included.
+
+    A technique counts once per alert, however many of the alert's types point at it.
+    """
+    named = F.transform("mitre_attack", lambda t: F.struct(t["tactic_id"].alias("tactic_id"), t["technique_id"].alias("technique_id")))
+    per = alerts.select(F.explode(F.array_distinct(named)).alias("t")).select("t.tactic_id")
     hits = per.groupBy("tactic_id").agg(F.count(F.lit(1)).alias("n"))
     table = tactics_table(alerts.sparkSession)
     return table.join(hits, "tactic_id", "left").select(

@@ -64,8 +64,8 @@ def chain_steps(alerts: DataFrame, window_s=300.0, chunk_rows=ordered.CHUNK_ROWS
     running values per source stand in for a set that grows.
     """
     gap = int(window_s * SECOND)
-    rows = ordered.split_hot(staged(alerts), ["source_ip"], "ts_us", chunk_rows)
     order = ["ts_us", "alert_id"]
+    rows = ordered.split_hot(staged(alerts), ["source_ip"], order, chunk_rows)
     last = {f"_last{i}": ("last", F.when(F.col("stage_ord") == i, F.col("ts_us"))) for i in range(1, 8)}
     before = {f"_was{i}": ("prior", F.when(F.col("stage_ord") == i, F.col("ts_us"))) for i in range(1, 8)}
     rows = rows.withColumn("_one", F.lit(1).cast("long"))

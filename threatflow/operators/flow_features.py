@@ -161,25 +161,28 @@ def _per_session(rows):
 def _so_far(rows, chunk_rows):
     """The same measures after each packet, as running values of its session."""
     keys, order = ["flow", "session_us"], ["ts_us", "packet_id"]
-    specs, result = {}, {}
+    specs, origins, result = {}, {}, {}
     for name, (kind, col) in _measures().items():
         if kind in ("sum", "min", "max", "first"):
             specs[name] = (kind, col)
             continue
         base = name.rsplit("_", 1)[0]
         x = col.cast("double")
-        n, total = F.col(f"_n_{base}"), F.col(f"_t_{base}")
+        # distances from the session's first value, so that squares of large values don't cancel
+        origin, n, total = F.col(f"_o_{base}"), F.col(f"_n_{base}"), F.col(f"_t_{base}")
+        origins[f"_o_{base}"] = ("first", x)
         specs[f"_n_{base}"] = ("sum", F.when(x.isNotNull(), F.lit(1).cast("long")))
-        specs[f"_t_{base}"] = ("sum", x)
+        specs[f"_t_{base}"] = ("sum", x - origin)
         if kind == "mean":
-            result[name] = F.when(n > 0, total / n)
+            result[name] = F.when(n > 0, origin + total / n)
         else:
-            specs[f"_q_{base}"] = ("sum", x * x)
+            specs[f"_q_{base}"] = ("sum", (x - origin) * (x - origin))
             var = F.when(n > 0, F.greatest(F.col(f"_q_{base}") / n - (total / n) * (total / n), F.lit(0.0)))
             result[name] = var if kind == "var" else F.sqrt(var)
     rows = rows.withColumnRenamed("dst_port", "_dst_port")
     specs["dst_port"] = ("first", to_int(F.col("_dst_port")))
-    rows = ordered.carry(ordered.split_hot(rows, keys, order, chunk_rows), keys, order, **specs)
+    rows = ordered.carry(ordered.split_hot(rows, keys, order, chunk_rows), keys, order, **origins)
+    rows = ordered.carry(rows, keys, order, **specs)
     return rows.withColumns({
         **result,
         "protocol": protocol_number(F.col("protocol")),
@@ -281,7 +284,9 @@ def packet_features(packets: DataFrame, window_s=1.0):
 
     n, total = fwd("n"), fwd("sum").cast("double")
     other = F.when(F.col("_first") == 0, F.col("n1")).otherwise(F.col("n0"))
-    spread = n * fwd("sq") - fwd("sum") * fwd("sum")
+    # the products overflow a bigint from some million packets on
+    exact = [fwd(name).cast("decimal(19,0)") for name in ("n", "sq", "sum")]
+    spread = exact[0] * exact[1] - exact[2] * exact[2]
 
     def seconds(us):
         return F.greatest(us, F.lit(1)) / SECOND

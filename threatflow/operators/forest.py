@@ -43,24 +43,19 @@ def grow_tree(x, tree, seed):
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
-def fit_forest(df: DataFrame, features, row_id, trees=200, sample=256, seed=42):
+def fit_forest(df: DataFrame, features, row_id, trees=200, sample=256, seed=42, pool=16):
     """Node table of the forest.
 
-    All trees together need at most trees x sample rows, so a pool of that many is
-    drawn by hash, whatever the size of the input.  With a full pool each tree gets
-    its own part of it; from a smaller one each tree draws its own sample.
+    Every tree draws ``sample`` rows by a hash of row and tree from one pool of ``pool * sample`` rows,
+    which a hash of the row draws from the input, in the same way at every size. So the work is
+    bounded by trees x pool x sample rows.
     """
-    size = trees * sample
-    pool = df.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
-                     F.col(row_id).alias("_id"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("_h"))
-    pool = pool.orderBy("_h", "_id").limit(size)
-    if pool.count() == size:
-        place = F.row_number().over(Window.orderBy("_h", "_id"))
-        drawn = pool.withColumn("tree", F.pmod(place - 1, F.lit(trees)).cast("int"))
-    else:
-        drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))
-        drawn = drawn.withColumn("_r", rank).where(F.col("_r") <= sample)
+    drawn = df.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
+                      F.col(row_id).alias("_id"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("_h"))
+    drawn = drawn.orderBy("_h", "_id").limit(pool * sample)
+    drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))
+    drawn = drawn.withColumn("_r", rank).where(F.col("_r") <= sample)
     cols = [f"x{i}" for i in range(len(features))]
 
     def grow(pdf):

@@ -48,15 +48,14 @@ def map_techniques(df: DataFrame, attacks="attack_types"):
 
 
 def playbook_of(attack: Column):
-    def row(severity, technique, automated, manual):
-        steps = sorted([(k, a, True) for k, a in automated.items()] + [(k, a, False) for k, a in manual.items()])
+    def row(severity, technique, steps):
         return F.struct(
             F.lit(severity).alias("severity"),
             F.lit(technique).alias("mitre_id"),
             F.array(
                 *[
-                    F.struct(F.lit(a).alias("action"), F.lit(k).alias("priority"), F.lit(auto).alias("automated"))
-                    for k, a, auto in steps
+                    F.struct(F.lit(action).alias("action"), F.lit(i).alias("priority"), F.lit(automated).alias("automated"))
+                    for i, (action, automated) in enumerate(steps, 1)
                 ]
             ).alias("steps"),
         )

@@ -2,7 +2,6 @@
 
 import json
 import random
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest
@@ -148,36 +147,41 @@ def evaluate_days(model, days: DataFrame, features, label="y", by="_day", thresh
     return evaluate.confusion(scored.withColumn("_pred", pred), label, "_pred", [by])
 
 
-def generalisation(model, datasets: dict, features, label="y", threshold=0.5):
-    """One evaluation over several datasets, a row per dataset and one overall."""
-    parts = [df.withColumn("dataset", F.lit(name)) for name, df in datasets.items()]
-    return evaluate_days(model, reduce(lambda a, b: a.unionByName(b, True), parts), features, label, "dataset", threshold)
+def generalisation(model, rows: DataFrame, features, label="y", threshold=0.5, by="dataset"):
+    """One evaluation over all datasets named in column ``by``, a row per dataset and one overall."""
+    return evaluate_days(model, rows, features, label, by, threshold)
 
 
-def sample_params(trials, seed=42):
+#: Parameters of the search space that Spark's trainer has, with their names there. Its ``minInfoGain`` is on another
+#: scale than ``gamma``, and the two regularisation weights have no counterpart, so these are not searched.
+TRAINER_NAMES = {
+    "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+    "colsample_bytree": "featureSubsetStrategy", "min_child_weight": "minInstancesPerNode",
+}
+
+
+def sample_params(trials, seed=42, space=None):
     """Random points of the search space, the same for the same seed."""
     rng = random.Random(seed)
-    return [{k: rng.choice(v) for k, v in V.TUNER_SPACE.items()} for _ in range(trials)]
+    space = {k: v for k, v in (space or V.TUNER_SPACE).items() if k in TRAINER_NAMES}
+    return [{k: rng.choice(v) for k, v in space.items()} for _ in range(trials)]
 
 
-def spark_params(p, max_trees=None):
+def spark_params(p):
     """A point of the search space in the names Spark's trainer uses."""
-    trees = p["n_estimators"] if max_trees is None else min(p["n_estimators"], max_trees)
-    return {
-        "maxIter": trees, "maxDepth": p["max_depth"], "stepSize": p["learning_rate"], "subsamplingRate": p["subsample"],
-        "featureSubsetStrategy": str(p["colsample_bytree"]), "minInstancesPerNode": int(p["min_child_weight"]),
-        "minInfoGain": p["gamma"],
-    }
+    kinds = {"featureSubsetStrategy": str, "minInstancesPerNode": int}
+    return {TRAINER_NAMES[k]: kinds.get(TRAINER_NAMES[k], lambda x: x)(v) for k, v in p.items()}
 
 
-def random_search(train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, max_trees=None):
+def random_search(train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, space=None):
     """Train each sampled setting, rate it on the holdout rows, best first.
 
-    Trials follow one another: each is a distributed job that fills the cluster.
+    ``space`` maps parameters to the values tried, the full search space by default. Trials follow one
+    another: each is a distributed job that fills the cluster.
     """
     board = []
-    for i, p in enumerate(sample_params(trials, seed), 1):
-        model = train_classifier(train, features, label, seed=seed, **spark_params(p, max_trees))
+    for i, p in enumerate(sample_params(trials, seed, space), 1):
+        model = train_classifier(train, features, label, seed=seed, **spark_params(p))
         scored = score(model, holdout, features)
         figures = {**evaluate.ranking(scored, label, "p").first().asDict(), **evaluate.at_threshold(scored, label, "p", 0.5).first().asDict()}
         board.append((i, metric, float(figures[metric] or 0.0), float(figures["f1"]), float(figures["accuracy"]), json.dumps(p, sort_keys=True)))

@@ -70,10 +70,15 @@ def block_decisions(alerts: DataFrame, enabled, ttl_s=300, score="risk_score", s
 
 
 def latest_per_key(changes: DataFrame, key="key", order=("ts_us",)):
-    """Last write per key; a last write marked ``deleted`` removes the key."""
+    """Last write per key; a last write marked ``deleted`` removes the key.
+
+    Of writes at the same place in ``order`` a deletion wins; name a write number last in ``order``
+    where the sequence of such writes is known.
+    """
     rest = [c for c in changes.columns if c != key]
-    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return last.select(key, "r.*").where(~F.coalesce(F.col("deleted"), F.lit(False)))
+    deleted = F.coalesce(F.col("deleted"), F.lit(False))
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, deleted)).alias("r"))
+    return last.select(key, "r.*").where(~deleted)
 
 
 def active_at(entries: DataFrame, now_us):
@@ -97,7 +102,8 @@ def split_by_block(events: DataFrame, changes: DataFrame, source="source_ip", bl
     )
     right = changes.select(
         F.col("key").alias("_key"), "ts_us", F.lit(0).alias("_kind"),
-        F.lit("").alias("_tie"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"),
+        # of changes at one instant a deletion comes last
+        F.when(F.coalesce("deleted", F.lit(False)), "1").otherwise("0").alias("_tie"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"),
         mark.alias("_mark"),
     )
     rows = ordered.split_hot(left.unionByName(right), ["_key"], ["ts_us", "_kind", "_tie"])

@@ -4,16 +4,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions.fields import first_text
 
-FIELDS = """timestamp DOUBLE, id STRING, source_ip STRING, src_ip STRING, dest_ip STRING, dst_ip STRING,
-protocol STRING, protocol_name STRING, src_port INT, dst_port INT, size INT, flags STRING, header_len INT,
-payload_len INT, payload STRING, sensor_location STRING, location STRING, confidence DOUBLE,
+FIELDS = """timestamp STRING, id STRING, source_ip STRING, src_ip STRING, dest_ip STRING, dst_ip STRING,
+protocol STRING, protocol_name STRING, src_port STRING, source_port STRING, dst_port STRING, dest_port STRING,
+destination_port STRING, size STRING, flags STRING, header_len STRING, payload_len STRING, payload STRING, sensor_location STRING, location STRING, confidence DOUBLE,
 attack_types STRING, attacks STRING"""
 
 
+#: Whole numbers under one name, with the names they may come under.
+WHOLE = {
+    "src_port": ("src_port", "source_port"),
+    "dst_port": ("dst_port", "dest_port", "destination_port"),
+    "size": ("size",),
+    "header_len": ("header_len",),
+    "payload_len": ("payload_len",),
+}
+
+
+def seconds_of(text):
+    """Seconds since 1970 from a number or a time written as text; NULL where it is neither."""
+    moment = F.try_to_timestamp(text)
+    return F.coalesce(text.try_cast("double"), F.unix_micros(moment) / 1e6)
+
+
 def parse_messages(raw: DataFrame, value="value"):
     """Typed event rows; text that is no JSON object is left out, ``data`` is unwrapped.
 
-    Works on a stream as on a table.
+    Fractions of whole-number fields are cut off. A time that is neither a number nor a readable date
+    rejects its row, as it would else be filed under today. Works on a stream as on a table.
     """
     text = F.get_json_object(F.col(value), "$")
     inner = F.get_json_object(F.col(value), "$.data")
@@ -28,7 +45,13 @@ def parse_messages(raw: DataFrame, value="value"):
         return F.when(F.startswith(F.trim(col), F.lit("[")), F.when(F.size(listed) > 0, listed)).otherwise(one)
 
     types = F.coalesce(names(F.col("attack_types")), names(F.col("attacks")))
-    return rows.withColumn("attack_types", types).drop("attacks")
+    moment = seconds_of(F.col("timestamp"))
+    rows = rows.where(F.col("timestamp").isNull() | moment.isNotNull())
+    whole = {
+        name: F.coalesce(*[F.col(c).try_cast("double") for c in sources]).try_cast("int") for name, sources in WHOLE.items()
+    }
+    spare = [c for sources in WHOLE.values() for c in sources[1:]]
+    return rows.withColumns({**whole, "timestamp": moment, "attack_types": types}).drop("attacks", *spare)
 
 
 def normalize(events: DataFrame, now=None):

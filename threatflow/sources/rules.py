@@ -192,34 +192,86 @@ def rule_from(entry):
     )
 
 
+class _Unread(Exception):
+    """A pattern uses something the reader below does not know."""
+
+
 def needed_texts(pattern):
     """Lower-case texts of which every match holds at least one; empty if none is known.
 
     A plain text search is many times cheaper than a regular expression, so payloads
-    without any of these texts never reach it.
+    without any of these texts never reach it. Patterns with parts that are not read here
+    (lookaround, back references, code points) have no such texts.
     """
-    found = _needed(re._parser.parse(pattern))
-    return sorted(found) if found and min(map(len, found)) > 1 else []
-
-
-def _needed(parts):
-    options, run = [], ""
-    for op, arg in [*parts, (None, None)]:
-        if op is re._constants.LITERAL:
-            run += chr(arg).lower()
-            continue
-        if run:
-            options.append({run})
+    try:
+        found, end = _alternatives(pattern, 0)
+    except (_Unread, IndexError):
+        return []
+    return sorted(found) if found and end == len(pattern) and min(map(len, found)) > 1 else []
+
+
+def _alternatives(p, i):
+    """Texts one of which the alternatives from place ``i`` need, and where these end."""
+    branches = []
+    while not branches or (i < len(p) and p[i] == "|"):
+        found, i = _sequence(p, i + bool(branches))
+        branches.append(found)
+    return (set().union(*branches) if all(branches) else set()), i
+
+
+def _sequence(p, i):
+    options, run = [set()], ""
+    while i < len(p) and p[i] not in "|)":
+        letter, inner, i = _atom(p, i)
+        least, repeated, i = _repeats(p, i)
+        if letter and least:
+            run += letter.lower()
+        if repeated or not letter:
+            options += [{run}] if run else []
             run = ""
-        if op is re._constants.SUBPATTERN:
-            options.append(_needed(arg[-1]))
-        elif op is re._constants.BRANCH:
-            branches = [_needed(b) for b in arg[1]]
-            options.append(set().union(*branches) if all(branches) else set())
-        elif op is re._constants.MAX_REPEAT and arg[0] > 0:
-            options.append(_needed(arg[2]))
+        if inner and least:
+            options.append(inner)
+    options += [{run}] if run else []
     # the option whose shortest text is longest filters best
-    return max((o for o in options if o), key=lambda o: min(map(len, o)), default=set())
+    return max((o for o in options if o), key=lambda o: min(map(len, o)), default=set()), i
+
+
+def _atom(p, i):
+    """The letter one atom stands for, or the texts its group needs, and where it ends."""
+    if p[i] == "(":
+        kind = re.match(r"\((\?([imsu]+\)|[imsu]*:|<[A-Za-z]\w*>))?(?!\?)", p[i:])
+        if not kind:
+            raise _Unread
+        if kind.group().endswith(")"):
+            return "", set(), i + kind.end()
+        found, end = _alternatives(p, i + kind.end())
+        if p[end] != ")":
+            raise _Unread
+        return "", found, end + 1
+    if p[i] == "[":
+        known = re.match(r"\[\^?\]?([^\[\]\\]|\\.)*\]", p[i:])
+        if not known:
+            raise _Unread
+        return "", set(), i + known.end()
+    if p[i] == "\\":
+        known = re.match(r"\\([pP](\{\w+\}|\w)|[dDwWsSbBAzZnrt])", p[i:])
+        if known:
+            return "", set(), i + known.end()
+        if p[i + 1].isalnum():
+            raise _Unread
+        return p[i + 1], set(), i + 2
+    if p[i] in "*+?{":
+        raise _Unread
+    return ("" if p[i] in ".^$" else p[i]), set(), i + 1
+
+
+def _repeats(p, i):
+    """How often at least the atom before place ``i`` occurs, whether it may repeat, and what follows."""
+    found = re.match(r"([*+?]|\{(\d+)(,\d*)?\})[?+]?", p[i:])
+    if not found:
+        return 1, False, i
+    least = int(found[2]) if found[2] else int(found[1] == "+")
+    return least, True, i + found.end()
 
 
 def load_rules(path=None):
