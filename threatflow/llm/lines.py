@@ -9,6 +9,8 @@ from threatflow.plans.ranges import unused
 
 #: Buckets that words are counted in, for their rarity, and bits of the map of wanted lines.
 BUCKETS, BITS = 1 << 16, 1 << 21
+#: Words from which on a set has four words of parity bits besides the one that all have.
+LONG = 110
 #: Rarest words that first find each line one likely partner.
 FIRST = 3
 #: Rows of one word that a task looks at together when partners are first sought.
@@ -53,13 +55,16 @@ def _likeable(x, y, percent):
     """Whether two sets can be alike, from their sizes and parities.
 
     Alike sets differ in at most a share of their sizes, and each word in which two sets differ flips one
-    of 64 parity bits.
+    parity bit: of 64, and for two long sets, whose differences would fill those, of 256.
     """
     nx, ny = x["n"], y["n"]
+    few = (100 - percent) * (nx + ny)
     apart = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
+    wide = sum(F.bit_count(x["wide"][w].bitwiseXOR(y["wide"][w])) for w in "abcd")
     return (
         (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-        & ((100 + percent) * apart <= (100 - percent) * (nx + ny))
+        & ((100 + percent) * apart <= few)
+        & F.coalesce((100 + percent) * wide <= few, F.lit(True))
     )
 
 
@@ -90,13 +95,26 @@ def _pairs_with_sets(pairs, lines, ranks, percent):
     return both.where((100 + percent) * common >= percent * (F.size("xs") + F.size("ys"))).select("xd", "xl", "xp").distinct()
 
 
+def _bit(key):
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)).cast("int"))
+
+
 def _parity(column):
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(
-        F.col(column),
-        F.lit(0).cast("bigint"),
-        lambda s, k: s.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(k, F.lit(64)).cast("int"))),
-    )
+    return F.aggregate(F.col(column), F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(_bit(k)))
+
+
+def _wide(column):
+    """Parities of the words of four kinds, for long sets; null for others."""
+    none = F.lit(0).cast("bigint")
+
+    def flip(state, k):
+        kind, bit = F.pmod(F.shiftright(k, 6), F.lit(4)), _bit(k)
+        return F.struct(
+            *[F.when(kind == i, state[w].bitwiseXOR(bit)).otherwise(state[w]).alias(w) for i, w in enumerate("abcd")]
+        )
+
+    whole = F.aggregate(F.col(column), F.struct(*[none.alias(w) for w in "abcd"]), flip)
+    return F.when(F.size(column) >= LONG, whole)
 
 
 def later_lines(docs, text="text", key="doc_id", percent=80):
@@ -106,7 +124,7 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     likeness ``percent`` / 100 or more, whether that line itself stays or not. Equal sets are one class, placed
     where they first occur. Words are ordered by rarity; alike sets share a word among the first
     n - ceil(n * percent / 100) + 1 of each. Classes that share such a word are compared by length, by position
-    (what can still be shared after it) and by parity bits, and confirmed on their whole sets.
+    (what can be shared if it is the first shared word) and by parity bits, and confirmed on their whole sets.
 
     So that many versions of one line don't make pairs with each other, a class is first compared with the first
     and the closest class before it at its rarest words; one confirmed partner settles it. Only classes
@@ -123,13 +141,13 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     placed = stored(
         rows.withColumn("n", F.size("set"))
         .withColumn("parity", _parity("set"))
-        .select("doc_id", "line_no", F.xxhash64("set").alias("hash"), "parity", "n", short.alias("prefix"))
+        .select("doc_id", "line_no", F.xxhash64("set").alias("hash"), "parity", "n", _wide("set").alias("wide"), short.alias("prefix"))
     )
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     classes = stored(
         placed.groupBy("hash", "parity", "n")
-        .agg(first, F.any_value("prefix").alias("prefix"))
-        .select("hash", "parity", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "prefix")
+        .agg(first, F.any_value("wide").alias("wide"), F.any_value("prefix").alias("prefix"))
+        .select("hash", "parity", "n", "first.doc_id", "first.line_no", "wide", "prefix")
     )
 
     likely = stored(_likely_partners(classes, percent))
@@ -152,7 +170,7 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
 def _likely_partners(classes, percent):
     """For each class at most one class before it that may be alike: the closest by parity of a few."""
     rows = classes.select(
-        F.explode(F.slice("prefix", 1, FIRST)).alias("t"), F.struct("doc_id", "line_no", "n", "parity").alias("x"), "hash"
+        F.explode(F.slice("prefix", 1, FIRST)).alias("t"), F.struct("doc_id", "line_no", "n", "parity", "wide").alias("x"), "hash"
     )
     # a word's rank bounds how often it occurs; words that may be hot are dealt to several groups
     dealt = F.pow(F.lit(2.0), F.shiftright("t", 36) - 1) / HOT
@@ -163,7 +181,7 @@ def _likely_partners(classes, percent):
     )
     y = F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("y")
     tried = rows.select("x", y).where(F.col("y").isNotNull() & (F.struct("y.doc_id", "y.line_no") < F.struct("x.doc_id", "x.line_no")))
-    x, y = ({n: F.col(f"{s}.{n}") for n in ("n", "parity", "doc_id", "line_no")} for s in "xy")
+    x, y = ({n: F.col(f"{s}.{n}") for n in ("n", "parity", "wide", "doc_id", "line_no")} for s in "xy")
     apart = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
     best = (
         tried.where(_likeable(x, y, percent))
@@ -176,17 +194,18 @@ def _likely_partners(classes, percent):
 def _all_partners(classes, percent):
     """Pairs of each class that is not ``gone`` with all classes before it that may be alike."""
     rows = classes.select(
-        "doc_id", "line_no", "parity", (F.col("n") * 2 + F.col("gone").cast("int")).alias("size"), F.posexplode("prefix").alias("i", "t")
+        "doc_id", "line_no", "parity", "wide", (F.col("n") * 2 + F.col("gone").cast("int")).alias("size"), F.posexplode("prefix").alias("i", "t")
     )
 
     def side(s):
-        return rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "line_no", "parity", "size", "i")])
+        return rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "line_no", "parity", "wide", "size", "i")])
 
     x, y = (
-        {"n": F.shiftright(s + "size", 1), "parity": F.col(s + "parity"), "i": F.col(s + "i"), "at": F.struct(s + "doc_id", s + "line_no")}
+        {"n": F.shiftright(s + "size", 1), "parity": F.col(s + "parity"), "wide": F.col(s + "wide"), "i": F.col(s + "i"), "at": F.struct(s + "doc_id", s + "line_no")}
         for s in "xy"
     )
-    shared = F.least(x["i"], y["i"]) + 1 + F.least(x["n"] - x["i"], y["n"] - y["i"]) - 1
+    # one of the shared words is the first, and at that one all others come after it
+    shared = F.least(x["n"] - x["i"], y["n"] - y["i"])
     gone = F.col("xsize").bitwiseAND(F.lit(1))
     matched = side("x").join(side("y"), "t")
     kept = matched.where(
