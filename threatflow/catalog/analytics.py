@@ -199,14 +199,16 @@ def fixed_window_limit(spark, sf):
     return out.select("packet_id", "bucket", "allowed", "remaining", "reset_s")
 
 
-ALARMS = [("HighPacketRate", "packet_rate", 80.0, "warning"), ("HighAlertRate", "alert_rate", 20.0, "critical"), ("HighDetectionLatency", "latency_p95", 50.0, "warning")]
+# The five alarms at levels that steps of six hours of the test table reach.
+LEVELS = {"packet_rate": 80.0, "alert_rate": 20.0, "latency_p95": 100.0, "blocked_ips": 3.0, "connections": 40.0}
+ALARMS = [(name, metric, LEVELS[metric], severity) for name, metric, _, severity in V.ALARMS]
 
 
 @query(
     "sustained_alarms",
-    """WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, avg(value) AS latency_p95 FROM packets GROUP BY 1),
-    o AS (SELECT 'HighPacketRate' AS alarm, 'warning' AS severity, step FROM s WHERE packet_rate > 80 UNION ALL SELECT 'HighAlertRate', 'critical', step FROM s WHERE alert_rate > 20
-      UNION ALL SELECT 'HighDetectionLatency', 'warning', step FROM s WHERE latency_p95 > 50),
+    f"""WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, quantile_cont(value, 0.95) AS latency_p95,
+      count(DISTINCT src_ip) FILTER (event_type = 'error') AS blocked_ips, count(DISTINCT src_port) AS connections FROM packets GROUP BY 1),
+    o AS ({" UNION ALL ".join(f"SELECT '{n}' AS alarm, '{sev}' AS severity, step FROM s WHERE {m} > {level}" for n, m, level, sev in ALARMS)}),
     r AS (SELECT *, step - row_number() OVER (PARTITION BY alarm ORDER BY step) AS run FROM o)
     SELECT alarm, severity, min(step) AS first_step, max(step) AS last_step, count(*) AS steps FROM r GROUP BY alarm, severity, run HAVING count(*) >= 3""",
     over=["packets"],
@@ -216,7 +218,9 @@ def sustained_alarms(spark, sf):
         views.packets(spark, sf), 21_600,
         F.count(F.lit(1)).alias("packet_rate"),
         F.count_if(F.col("event_type") == "click").alias("alert_rate"),
-        F.avg("value").alias("latency_p95"),
+        F.percentile("value", 0.95).alias("latency_p95"),
+        F.count_distinct(F.when(F.col("event_type") == "error", F.col("src_ip"))).alias("blocked_ips"),
+        F.count_distinct("src_port").alias("connections"),
     )
     return rate.sustained(steps, ALARMS, 3)
 

@@ -176,7 +176,10 @@ def dedup_keys(spark, sf):
 )
 def int64_clamp(spark, sf):
     wide = (F.col("event_id") - 5000).cast("decimal(20,0)") * F.lit("10000000000000000").cast("decimal(17,0)")
-    return views.table(spark, sf, "events").select("event_id", fields.clamp_int64(wide).alias("clamped"))
+    nested = F.struct(F.create_map(F.lit("list"), F.array(wide)).alias("record"), F.lit("text").alias("note"))
+    rows = views.table(spark, sf, "events").select("event_id", nested.alias("data"))
+    stored = rows.select("event_id", fields.clamp_nested(F.col("data"), rows.schema["data"].dataType).alias("data"))
+    return stored.select("event_id", F.col("data.record")["list"][0].alias("clamped"))
 
 
 @query(

@@ -1,7 +1,7 @@
 """Streaming queries: the events file as a stream, run to its end.
 
-Each has the SQL of its batch twin; windows that the watermark cannot close yet are
-left out on both sides.
+Each has the SQL of its batch twin. Windowed counts are closed at the end of the input, so
+no window is missing.
 """
 
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ from threatflow.streaming import jobs
 
 DAY = 86_400
 HOUR_US = 3_600_000_000
-LATE_US = 600_000_000
 
 
 def events(spark, sf):
@@ -32,21 +31,22 @@ def packets(spark, sf):
 
 @query(
     "stream_hourly_counts",
-    f"SELECT ts_us // {HOUR_US} * {HOUR_US} AS start_us, attack_type, count(*) AS n FROM alerts GROUP BY 1, 2 HAVING start_us + {HOUR_US} <= (SELECT max(ts_us) FROM alerts) - {LATE_US}",
+    f"SELECT ts_us // {HOUR_US} * {HOUR_US} AS start_us, attack_type, count(*) AS n FROM alerts GROUP BY 1, 2",
     over=["alerts"],
 )
 def stream_hourly_counts(spark, sf):
-    return jobs.run_to_end(jobs.tumbling_counts(alerts(spark, sf), ["attack_type"]), "hourly")
+    return jobs.run_closed(events(spark, sf), lambda e: jobs.tumbling_counts(views.as_alerts(e), ["attack_type"]), "hourly")
 
 
 @query(
     "stream_sliding_counts",
-    f"WITH s AS (SELECT *, unnest(range(0, 4)) AS k FROM packets) SELECT (ts_us // {6 * HOUR_US} - k) * {6 * HOUR_US} AS start_us, src_ip, count(*) AS n FROM s GROUP BY 1, 2 "
-    f"HAVING start_us + {24 * HOUR_US} <= (SELECT max(ts_us) FROM packets) - {LATE_US}",
+    f"WITH s AS (SELECT *, unnest(range(0, 4)) AS k FROM packets) SELECT (ts_us // {6 * HOUR_US} - k) * {6 * HOUR_US} AS start_us, src_ip, count(*) AS n FROM s GROUP BY 1, 2",
     over=["packets"],
 )
 def stream_sliding_counts(spark, sf):
-    return jobs.run_to_end(jobs.sliding_counts(packets(spark, sf), "src_ip", "24 hours", "6 hours"), "sliding")
+    return jobs.run_closed(
+        events(spark, sf), lambda e: jobs.sliding_counts(views.as_packets(e), "src_ip", "24 hours", "6 hours"), "sliding"
+    )
 
 
 @query("stream_rate_alerts")
@@ -71,14 +71,17 @@ def stream_flow_sessions(spark, sf):
 
 @query(
     "stream_session_totals",
-    f"WITH {detect.FLOW_CTES}, t AS (SELECT flow, sid, min(session_us) AS session_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, max(ts_us) - min(ts_us) AS flow_duration, max(ts_us) AS last FROM j GROUP BY flow, sid) "
-    f"SELECT flow, session_us, packets, bytes, flow_duration FROM t WHERE last + {int(detect.TIMEOUT * 1e6)} <= (SELECT max(ts_us) - 1000000 FROM flow_packets)",
+    f"WITH {detect.FLOW_CTES}, t AS (SELECT flow, sid, min(session_us) AS session_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, max(ts_us) - min(ts_us) AS flow_duration FROM j GROUP BY flow, sid) "
+    "SELECT flow, session_us, packets, bytes, flow_duration FROM t",
     over=["flow_packets"],
 )
 def stream_session_totals(spark, sf):
-    p = views.as_flow_packets(events(spark, sf))
-    out = jobs.session_totals(p, f"{int(detect.TIMEOUT)} seconds", "1 second")
-    return jobs.run_to_end(out, "session-totals").select("flow", "session_us", "packets", "bytes", "flow_duration")
+    out = jobs.run_closed(
+        events(spark, sf),
+        lambda e: jobs.session_totals(views.as_flow_packets(e), f"{int(detect.TIMEOUT)} seconds", "1 second"),
+        "session-totals",
+    )
+    return out.select("flow", "session_us", "packets", "bytes", "flow_duration")
 
 
 @query(

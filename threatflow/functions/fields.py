@@ -1,6 +1,6 @@
 """Column expressions that clean and derive packet and alert fields."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from threatflow.functions import values as V
 
@@ -93,6 +93,19 @@ def clamp_int64(col: Column):
     return F.least(F.greatest(wide, low), high).cast("long")
 
 
+def clamp_nested(col: Column, kind):
+    """A value of type ``kind`` with all whole numbers in it, at any depth, within the 64-bit range."""
+    if isinstance(kind, T.DecimalType) and kind.scale == 0:
+        return clamp_int64(col)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: clamp_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, x: clamp_nested(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[clamp_nested(col[f.name], f.dataType).alias(f.name) for f in kind]))
+    return col
+
+
 def dedup_key(attacks: Column, src, dst, node, protocol, src_port, dst_port, payload):
     """One text per kind of alert: same key means same alert seen again."""
 
