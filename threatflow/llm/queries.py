@@ -61,13 +61,50 @@ def op1(spark, sf_dir):
     )
 
 
-@query("op2_cover_tree")
+@query(
+    "op2_cover_tree",
+    """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node),
+roots AS (SELECT node, min(root) AS component_id FROM reached GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON node = vec_id
+""",
+)
 def op2(spark, sf_dir):
     """Each vector's links and component among the vectors of its label."""
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op3_minhash")
+@query(
+    "op3_minhash",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node),
+roots AS (SELECT node, min(root) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN roots ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+""",
+)
 def op3(spark, sf_dir):
     """Each document's component of near duplicates over two-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -235,7 +272,26 @@ def op9(spark, sf_dir):
     )
 
 
-@query("op10_sharding")
+@query(
+    "op10_sharding",
+    """
+WITH steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+docs AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1),
+      lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, list_extract(t, CAST(xor(c, b) % 256 + 1 AS BIGINT)))), 4294967295) AS text_crc32
+  FROM raw, steps),
+line AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS begins, sum(size) OVER () AS whole FROM docs),
+dealt AS (SELECT *, CAST(least(15, (2 * begins + size) * 16 // (2 * whole)) AS INTEGER) AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+""",
+)
 def op10(spark, sf_dir):
     """Every document's shard and place in it, shards of near equal bytes in the order of doc_id."""
     docs = table(spark, sf_dir, "documents").select(
