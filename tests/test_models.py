@@ -131,3 +131,24 @@ def test_decisions(spark):
 
 def test_tuner_settings_repeat():
     assert models.sample_params(3, 1) == models.sample_params(3, 1) != models.sample_params(3, 2)
+
+
+@pytest.mark.parametrize("block_rows", [20, 4096])
+def test_hashed_neighbours_find_most(spark, block_rows):
+    """Recall against the exact search where vectors cluster; all are of the class, none is the row itself."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(600):
+        g = "ab"[i % 2]
+        rows.append((g, i, [float(x) for x in rng.normal(size=8) * 0.2 + 4 * np.random.default_rng(i % 30).normal(size=8)]))
+    df = spark.createDataFrame(rows, "g string, id bigint, v array<double>")
+    exact, found = {}, {}
+    for r in neighbours.class_neighbours(df, "g", "id", "v", 5).collect():
+        exact.setdefault(r.id, set()).add(r.other)
+    for r in neighbours.hashed_neighbours(df, "g", "id", "v", 5, block_rows=block_rows).collect():
+        assert r.id != r.other and r.id % 2 == r.other % 2
+        found.setdefault(r.id, set()).add(r.other)
+    recall = sum(len(exact[i] & found.get(i, set())) for i in exact) / sum(map(len, exact.values()))
+    assert recall >= 0.9
+    small = df.where("g = 'a' OR id < 200")
+    assert neighbours.smote(small, "g", "id", "v", search=neighbours.hashed_neighbours).count() == 200

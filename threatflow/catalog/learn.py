@@ -66,7 +66,13 @@ def class_neighbours(spark, sf):
 )
 def smote_rows(spark, sf):
     made = neighbours.smote(views.table(spark, sf, "embeddings"), "label", "vec_id", "embedding", pivots=8, block_rows=64)
-    inside = (F.col("share") >= 0) & (F.col("share") < 1) & (F.col("base_id") != F.col("other_id"))
+    rows = views.table(spark, sf, "embeddings")
+    near = neighbours.class_neighbours(rows, "label", "vec_id", "embedding", pivots=8, block_rows=64).select(
+        F.col("id").alias("base_id"), F.col("other").alias("other_id"), F.lit(True).alias("near")
+    )
+    # the other row is among the neighbours in the class, and the new one lies between the two
+    made = made.join(near, ["base_id", "other_id"], "left")
+    inside = (F.col("share") >= 0) & (F.col("share") < 1) & F.coalesce("near", F.lit(False))
     return made.groupBy("label").agg(F.count(F.lit(1)).alias("made"), F.bool_and(inside).alias("inside"))
 
 

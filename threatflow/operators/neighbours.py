@@ -131,13 +131,64 @@ def class_neighbours(df: DataFrame, group, row_id, vector, k=5, pivots=64, block
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def smote(df: DataFrame, group, row_id, vector, k=5, seed=42, **options):
-    """Synthetic rows that raise every class to the largest: points between neighbours."""
+def hashed_neighbours(df: DataFrame, group, row_id, vector, k=5, tables=8, bits=6, block_rows=4096, seed=42):
+    """Near rows of the same class for every row, not always the nearest ``k``, in time linear in the rows.
+
+    In each of ``tables`` tables, ``bits`` planes halfway between two rows of the class cut it into buckets, and
+    a row is compared with its bucket; a bucket of more than ``block_rows`` rows is cut by a hash. More
+    tables and fewer bits find more of the true neighbours and compare more rows.
+    ``class_neighbours`` is the exact search; it compares all pairs of a class where vectors don't cluster.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    heads = rows.withColumn("_h", F.xxhash64("id", F.lit(seed)))
+    heads = heads.groupBy("g", F.pmod("_h", F.lit(2 * tables * bits)).alias("_b")).agg(F.min_by("v", F.struct("_h", "id")).alias("v"))
+    planes = {}
+    # classes x tables x bits x 2 rows
+    for r in heads.orderBy("g", "_b").collect():
+        planes.setdefault(r["g"], []).append(r["v"])
+    for g, picked in planes.items():
+        at = np.arange(tables * bits)
+        ends = np.array(picked, float)
+        a, b = ends[(2 * at) % len(ends)], ends[(2 * at + 1) % len(ends)]
+        planes[g] = (a - b, ((a - b) * (a + b)).sum(1) / 2)
+    shared = df.sparkSession.sparkContext.broadcast(planes)
+
+    @F.pandas_udf("array<bigint>")
+    def codes(g: pd.Series, v: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(g), index=g.index, dtype=object)
+        for name, idx in g.groupby(g).groups.items():
+            if name in shared.value:
+                normal, offset = shared.value[name]
+                side = np.stack(v.loc[idx].to_numpy()) @ normal.T > offset
+                code = (side.reshape(len(idx), tables, bits) << np.arange(bits)).sum(2)
+                out.loc[idx] = list(code)
+        return out
+
+    placed = rows.select("g", "id", "v", F.posexplode(codes("g", "v")).alias("t", "code"))
+    blocks = placed.groupBy("g", "t", "code").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    placed = placed.join(blocks, ["g", "t", "code"]).withColumn("block", F.pmod(F.xxhash64("id", "t"), F.col("blocks")))
+
+    def inside(pdf):
+        v, ids = np.stack(pdf["v"].to_numpy()), pdf["id"].to_numpy()
+        a, b, d = _nearest(v, ids, v, ids, k)
+        return pd.DataFrame({"id": a, "other": b, "dist": d})
+
+    found = placed.groupBy("g", "t", "code", "block").applyInPandas(inside, "id long, other long, dist double")
+    found = found.groupBy("id", "other").agg(F.min("dist").alias("dist"))
+    best = Window.partitionBy("id").orderBy("dist", "other")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def smote(df: DataFrame, group, row_id, vector, k=5, seed=42, search=class_neighbours, **options):
+    """Synthetic rows that raise every class to the largest: points between neighbours.
+
+    ``search`` finds the neighbours: exactly, or by ``hashed_neighbours``, the choice for large classes.
+    """
     plan = balance_plan(df, group, "smote")
     rows = df.select(F.col(group).alias("g"), F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     plan = plan.select(F.col(group).alias("g"), "have", "want").where(F.col("want") > F.col("have"))
     small = rows.join(broadcast_if_small(plan), "g")
-    near = class_neighbours(small.select("g", "id", "v"), "g", "id", "v", k, seed=seed, **options)
+    near = search(small.select("g", "id", "v"), "g", "id", "v", k, seed=seed, **options)
     numbered = ordered.number_rows(small.withColumn("_h", F.xxhash64("id", F.lit(seed))), ["g"], ["_h", "id"], "_rn")
     extra = F.col("want") - F.col("have")
     copies = F.floor(extra / F.col("have")) + (F.col("_rn") <= extra % F.col("have")).cast("long")
