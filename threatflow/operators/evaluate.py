@@ -79,18 +79,19 @@ def classification_report(df: DataFrame, label, pred):
     return per.select(F.col("name").cast("string"), *cols, "support").unionByName(totals)
 
 
-def score_steps(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS):
-    """One row per distinct score, best first, with positives and negatives up to it.
+def score_steps(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=()):
+    """One row per distinct score (of each group), best first, with positives and negatives up to it.
 
     Equal scores are merged by the first aggregation, so the ordered pass sees each
     score once, and it runs in chunks where there are many.
     """
-    rows = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("score")).agg(
+    rows = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
     )
     rows = rows.withColumn("_k", F.lit(0)).withColumn("_down", -F.col("score"))
-    rows = ordered.split_hot(rows, ["_k"], "_down", chunk_rows)
-    rows = ordered.carry(rows, ["_k"], ["_down"], tp=("sum", "pos"), fp=("sum", "neg"))
+    keys = [*by, "_k"]
+    rows = ordered.split_hot(rows, keys, "_down", chunk_rows)
+    rows = ordered.carry(rows, keys, ["_down"], tp=("sum", "pos"), fp=("sum", "neg"))
     return rows.drop("_k", "_down", "_chunk")
 
 
@@ -99,10 +100,10 @@ def _totals(steps):
     return one.select("p").scalar(), one.select("n").scalar()
 
 
-def ranking(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS):
-    """ROC-AUC and average precision, NULL if only one class occurs."""
-    steps = score_steps(df, y, p, chunk_rows)
-    agg = steps.agg(
+def ranking(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=()):
+    """ROC-AUC and average precision (per group), NULL if only one class occurs."""
+    steps = score_steps(df, y, p, chunk_rows, by)
+    agg = steps.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
         F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
@@ -110,7 +111,7 @@ def ranking(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS):
     )
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return agg.select(
-        "positives", "negatives",
+        *by, "positives", "negatives",
         F.when(both, F.col("_auc") / F.col("positives") / F.col("negatives")).alias("roc_auc"),
         F.when(both, F.col("_ap") / F.col("positives")).alias("pr_auc"),
     )

@@ -139,12 +139,19 @@ def classifier_alerts(scored: DataFrame, threshold, p="p"):
 
 
 def evaluate_days(model, days: DataFrame, features, label="y", by="_day", threshold=0.5):
-    """Confusion counts and metrics per day and overall; incomplete rows are dropped and counted."""
+    """Confusion counts, metrics, ROC-AUC and average precision per day and overall.
+
+    Incomplete rows are dropped and counted.
+    """
     aligned = align_features(days, features, keep=[label, by], fill=None)
     marked = finite_rows(aligned, features)
     scored = score(model, marked, features)
     pred = F.when(F.col("valid"), (F.col("p") >= threshold).cast("int"))
-    return evaluate.confusion(scored.withColumn("_pred", pred), label, "_pred", [by])
+    counts = evaluate.confusion(scored.withColumn("_pred", pred), label, "_pred", [by])
+    rated = scored.where("valid")
+    whole = evaluate.ranking(rated, label, "p").withColumn(by, F.lit(None).cast(scored.schema[by].dataType))
+    ranks = evaluate.ranking(rated, label, "p", by=[by]).unionByName(whole).select(F.col(by).alias("_by"), "roc_auc", "pr_auc")
+    return counts.join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def generalisation(model, rows: DataFrame, features, label="y", threshold=0.5, by="dataset"):
