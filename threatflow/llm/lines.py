@@ -11,8 +11,12 @@ from threatflow.plans.ranges import unused
 BUCKETS, BITS = 1 << 16, 1 << 21
 #: Words from which on a set has four words of parity bits besides the one that all have.
 LONG = 110
-#: Rarest words that first find each line one likely partner.
-FIRST = 3
+#: Places in the prefix, from its first to its last word, whose words first find each line likely partners.
+PLACES = 4
+#: Lines just before a line with the same word that are tried, besides the first one.
+BEFORE = 4
+#: Likely partners that are confirmed for each line.
+PARTNERS = 3
 #: Rows of one word that a task looks at together when partners are first sought.
 HOT = 1 << 17
 
@@ -51,15 +55,15 @@ def _filtered(lines):
     return lines.where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def _likeable(x, y, percent):
-    """Whether two sets can be alike, from their sizes and parities.
+def _likeable(x, y, percent, apart=0):
+    """Whether two sets can be alike, from their sizes and parities, if they differ in ``apart`` other words.
 
     Alike sets differ in at most a share of their sizes, and each word in which two sets differ flips one
     parity bit: of 64, and for two long sets, whose differences would fill those, of 256.
     """
     nx, ny = x["n"], y["n"]
     few = (100 - percent) * (nx + ny)
-    apart = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
+    apart = F.bit_count(x["parity"].bitwiseXOR(y["parity"])) + apart
     wide = sum(F.bit_count(x["wide"][w].bitwiseXOR(y["wide"][w])) for w in "abcd")
     return (
         (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
@@ -68,29 +72,32 @@ def _likeable(x, y, percent):
     )
 
 
-def _pairs_with_sets(pairs, lines, ranks, percent):
+def _pairs_with_sets(pairs, docs, text, key, ranks, percent):
     """The pairs whose sets' exact Jaccard likeness is at least ``percent``.
 
-    Only lines at wanted places are read as words again: a bit map of fixed size lets them through,
-    with some others, which the join then leaves out.
+    Only wanted lines of wanted documents are read as words again: a bit map of fixed size lets them
+    through, with some others, which the join then leaves out.
     """
-    wanted = pairs.select("xd", "xl").union(pairs.select("yd", "yl"))
+    places = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl"))
     spot = lambda d, n: F.pmod(F.xxhash64(d, n), F.lit(BITS))
-    marks = wanted.select(spot(F.col("xd"), F.col("xl")).alias("s"))
-    found = marks.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s", F.lit(64)).cast("int"))).alias("bits")
-    ).collect()
+    marks = places.select(F.explode(F.array(spot(F.col("d"), F.col("l")), spot(F.col("d"), F.lit(-1)))).alias("s"))
+    found = marks.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(_bit(F.col("s"))).alias("bits")).collect()
     bits = [0] * (BITS // 64)
     for row in found:
         bits[row.w] = row.bits
-    here = spot(F.col("doc_id"), F.col("line_no"))
-    word = F.get(listed(bits), F.shiftright(here, 6).cast("int"))
-    let = _filtered(lines.where(F.call_function("bit_get", word, F.pmod(here, F.lit(64)).cast("int")) == 1))
+    bits = listed(bits)
+
+    def marked(d, n):
+        place = spot(d, n)
+        return F.call_function("bit_get", F.get(bits, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    some = docs.where(marked(F.col(key).cast("bigint"), F.lit(-1)))
+    let = _filtered(lines_of(some, text, key).where(marked(F.col("doc_id"), F.col("line_no"))))
     sets = let.select("doc_id", "line_no", _tokens(F.col("line"), ranks).alias("set"))
     sets = sets.withColumn("parity", _parity("set"))
     sx = sets.select(F.col("doc_id").alias("xd"), F.col("line_no").alias("xl"), F.col("parity").alias("xp"), F.col("set").alias("xs"))
-    sy = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yl"), F.col("parity").alias("yp"), F.col("set").alias("ys"))
-    both = pairs.join(sx, ["xd", "xl", "xp"]).join(sy, ["yd", "yl", "yp"])
+    sy = sets.select(F.col("doc_id").alias("yd"), F.col("line_no").alias("yl"), F.col("set").alias("ys"))
+    both = pairs.join(sx, ["xd", "xl"]).join(sy, ["yd", "yl"])
     common = F.size(F.array_intersect("xs", "ys"))
     return both.where((100 + percent) * common >= percent * (F.size("xs") + F.size("ys"))).select("xd", "xl", "xp").distinct()
 
@@ -129,8 +136,9 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     So that many versions of one line don't make pairs with each other, a class is first compared with the first
     and the closest class before it at its rarest words; one confirmed partner settles it. Only classes
     without one, and those whose partner proves unlike, are then joined with all classes before them.
-    Lines without words stay. Rows with equal key and text are the same place.
+    Lines without words stay, rows without a key are left out. Rows with equal key and text are the same place.
     """
+    docs = docs.where(F.col(key).isNotNull())
     lines = lines_of(docs, text, key)
     ranks = listed(rarity(_filtered(lines)))
     rows = _filtered(lines).select("doc_id", "line_no", _tokens(F.col("line"), ranks).alias("set"))
@@ -151,14 +159,14 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     )
 
     likely = stored(_likely_partners(classes, percent))
-    confirmed = stored(_pairs_with_sets(likely, lines, ranks, percent))
+    confirmed = stored(_pairs_with_sets(likely, docs, text, key, ranks, percent))
     settled = classes.join(
         broadcast_if_small(confirmed.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no"), F.col("xp").alias("parity"), F.lit(True).alias("gone"))),
         ["doc_id", "line_no", "parity"],
         "left",
     )
     more = stored(_all_partners(settled.withColumn("gone", F.coalesce("gone", F.lit(False))), percent))
-    near = confirmed.unionByName(_pairs_with_sets(more, lines, ranks, percent))
+    near = confirmed.unionByName(_pairs_with_sets(more, docs, text, key, ranks, percent))
 
     near = near.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no"), F.col("xp").alias("parity"))
     firsts = classes.join(near.withColumn("near", F.lit(True)), ["doc_id", "line_no", "parity"], "left")
@@ -168,54 +176,69 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
 
 
 def _likely_partners(classes, percent):
-    """For each class at most one class before it that may be alike: the closest by parity of a few."""
+    """For each class a few classes before it that may be alike: the closest by parity.
+
+    Words spread over the prefix find them, as the rarest may be those in which versions of a line differ.
+    """
+    last = F.size("prefix") - 1
+    words = F.array_distinct(F.array(*[F.get("prefix", F.floor(last * i / (PLACES - 1)).cast("int")) for i in range(PLACES)]))
     rows = classes.select(
-        F.explode(F.slice("prefix", 1, FIRST)).alias("t"), F.struct("doc_id", "line_no", "n", "parity", "wide").alias("x"), "hash"
+        F.explode(words).alias("t"), F.struct("doc_id", "line_no", "n", "parity", "wide").alias("x"), "hash"
     )
     # a word's rank bounds how often it occurs; words that may be hot are dealt to several groups
     dealt = F.pow(F.lit(2.0), F.shiftright("t", 36) - 1) / HOT
     rows = rows.withColumn("part", F.when(dealt > 1, F.pmod("hash", F.ceil(dealt).cast("bigint"))).otherwise(0))
     before = Window.partitionBy("t", "part").orderBy("x")
     rows = rows.select(
-        "x", F.first("x").over(before).alias("a"), F.lag("x", 1).over(before).alias("b"), F.lag("x", 2).over(before).alias("c")
+        "x", F.first("x").over(before).alias("y0"), *[F.lag("x", i).over(before).alias(f"y{i}") for i in range(1, BEFORE + 1)]
     )
-    y = F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("y")
+    y = F.explode(F.array_distinct(F.array(*[f"y{i}" for i in range(BEFORE + 1)]))).alias("y")
     tried = rows.select("x", y).where(F.col("y").isNotNull() & (F.struct("y.doc_id", "y.line_no") < F.struct("x.doc_id", "x.line_no")))
     x, y = ({n: F.col(f"{s}.{n}") for n in ("n", "parity", "wide", "doc_id", "line_no")} for s in "xy")
     apart = F.bit_count(x["parity"].bitwiseXOR(y["parity"]))
+    found = F.struct(apart.alias("apart"), F.col("y.doc_id").alias("d"), F.col("y.line_no").alias("l"))
     best = (
         tried.where(_likeable(x, y, percent))
-        .groupBy(x["doc_id"].alias("xd"), x["line_no"].alias("xl"), x["parity"].alias("xp"))
-        .agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc_id").alias("d"), F.col("y.line_no").alias("l"), F.col("y.parity").alias("p"))).alias("y"))
+        .groupBy(x["doc_id"].alias("xd"), x["line_no"].alias("xl"))
+        .agg(F.slice(F.array_sort(F.collect_set(found)), 1, PARTNERS).alias("ys"))
+        .select("xd", "xl", F.explode("ys").alias("y"))
     )
-    return best.select("xd", "xl", "xp", F.col("y.d").alias("yd"), F.col("y.l").alias("yl"), F.col("y.p").alias("yp"))
+    return best.select("xd", "xl", F.col("y.d").alias("yd"), F.col("y.l").alias("yl"))
 
 
 def _all_partners(classes, percent):
     """Pairs of each class that is not ``gone`` with all classes before it that may be alike."""
+    def step(state, word):
+        return F.struct(
+            state["rest"].bitwiseXOR(_bit(word)).alias("rest"), F.concat(state["out"], F.array(state["rest"])).alias("out")
+        )
+
+    none = F.array().cast("array<bigint>").alias("out")
+    # the parity of the words from each place on
+    rests = F.aggregate("prefix", F.struct(F.col("parity").alias("rest"), none), step)["out"].alias("rest")
     rows = classes.select(
-        "doc_id", "line_no", "parity", "wide", (F.col("n") * 2 + F.col("gone").cast("int")).alias("size"), F.posexplode("prefix").alias("i", "t")
-    )
+        "doc_id", "line_no", "wide", (F.col("n") * 2 + F.col("gone").cast("int")).alias("size"),
+        F.posexplode(F.arrays_zip(F.col("prefix").alias("t"), rests)).alias("i", "e"),
+    ).select("doc_id", "line_no", "wide", "size", "i", F.col("e")["t"].alias("t"), F.col("e")["rest"].alias("rest"))
 
     def side(s):
-        return rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "line_no", "parity", "wide", "size", "i")])
+        return rows.select("t", *[F.col(c).alias(s + c) for c in ("doc_id", "line_no", "rest", "wide", "size", "i")])
 
     x, y = (
-        {"n": F.shiftright(s + "size", 1), "parity": F.col(s + "parity"), "wide": F.col(s + "wide"), "i": F.col(s + "i"), "at": F.struct(s + "doc_id", s + "line_no")}
+        {"n": F.shiftright(s + "size", 1), "parity": F.col(s + "rest"), "wide": F.col(s + "wide"), "i": F.col(s + "i"), "at": F.struct(s + "doc_id", s + "line_no")}
         for s in "xy"
     )
-    # one of the shared words is the first, and at that one all others come after it
+    # one of the shared words is the first: at that one, all others come after it and all words before it differ
     shared = F.least(x["n"] - x["i"], y["n"] - y["i"])
     gone = F.col("xsize").bitwiseAND(F.lit(1))
     matched = side("x").join(side("y"), "t")
     kept = matched.where(
-        _likeable(x, y, percent)
+        _likeable(x, y, percent, x["i"] + y["i"])
         & ((100 + percent) * shared >= percent * (x["n"] + y["n"]) * (1 - gone) + (200 * gone) * (x["n"] + y["n"]))
         & (y["at"] < x["at"])
     )
     return kept.select(
-        F.col("xdoc_id").alias("xd"), F.col("xline_no").alias("xl"), F.col("xparity").alias("xp"),
-        F.col("ydoc_id").alias("yd"), F.col("yline_no").alias("yl"), F.col("yparity").alias("yp"),
+        F.col("xdoc_id").alias("xd"), F.col("xline_no").alias("xl"), F.col("ydoc_id").alias("yd"), F.col("yline_no").alias("yl")
     ).distinct()
 
 
@@ -226,7 +249,7 @@ def dedup(docs, text="text", key="doc_id", percent=80):
     Null texts and null keys stay as they are, all columns stay.
     """
     gone = unused(docs, "_gone")
-    named = later_lines(docs.where(F.col(key).isNotNull()), text, key, percent)
+    named = later_lines(docs, text, key, percent)
     by_doc = named.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
     kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(gone, i))
     return docs.join(by_doc, key, "left").select(
