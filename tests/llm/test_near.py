@@ -101,6 +101,36 @@ def test_large_groups_are_settled_in_blocks(spark, monkeypatch):
     check_documents(minhash.near_duplicates(df, size=5).collect(), rows, 5)
 
 
+def test_large_buckets_stay_in_bounded_groups(spark, monkeypatch):
+    """Versions of a template that are alike but not close, so that nearly every one is a hub."""
+    sizes, grouped = [], minhash._grouped
+
+    def counted(rows, key="g"):
+        sizes.append(rows.groupBy(key).count().agg(F.max("count")).first()[0])
+        return grouped(rows, key)
+
+    monkeypatch.setattr(minhash, "BUCKET", 50)
+    monkeypatch.setattr(minhash, "_grouped", counted)
+    random.seed(8)
+    rows = []
+    for i in range(600):
+        words = [f"t{j}" for j in range(60)]
+        for j in random.sample(range(60), 2):
+            words[j] = f"v{random.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    schema = "doc_id bigint, n bigint, key binary, est binary, bands array<bigint>"
+    nodes = shared.saved(df.mapInArrow(minhash._sketches(2), schema))
+    full = nodes.select(F.explode("bands").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert full > 200
+    found = {bytes(r.node): bytes(r.root) for r in shared.components(minhash.candidates(nodes)).collect()}
+    assert max(sizes) <= 100
+    keys = {r.doc_id: bytes(r.key) for r in nodes.collect()}
+    _, roots = document_components(rows)
+    assert sum(d != r for d, r in roots.items()) > 300
+    assert all(found.get(keys[d], keys[d]) == found.get(keys[r], keys[r]) for d, r in roots.items())
+
+
 def test_estimates_are_near_the_truth():
     words = [f"a{i}" for i in range(1500)]
     a = minhash.registers(minhash.shingles(" ".join(words[:1000])))

@@ -117,40 +117,38 @@ class Sets:
             self.up[max(i, j)] = min(i, j)
 
 
-def _hubs(near, close, final):
+def _hubs(near, close):
     """For each group of registers, ties of its members to hubs.
 
     A member is compared with the hubs so far, tied to those that are ``near``, and becomes a hub itself
     unless one is ``close``. Of two linked members the first is a hub or close to one, and the second is
     then near that hub, so both end up tied together; members that agree in a band only by chance don't.
+    A chunk of a larger bucket ties all its members to its first one, which it reports with the bucket.
     """
 
     def run(batches):
         for group in groups(batches):
-            keys, est = group.column("key").to_pylist(), group.column("est").to_pylist()
-            regs = np.frombuffer(b"".join(est), np.uint16).reshape(len(keys), ESTIMATED)
-            hubs, sets = np.empty(0, np.int64), Sets(len(keys))
-            found = []
-            for i in range(len(keys)):
-                like = estimates(regs[i], regs[hubs]) if len(hubs) else np.zeros(0)
-                for h in hubs[like >= near].tolist():
-                    sets.join(i, h)
-                if not len(like) or like.max() < close:
-                    hubs = np.append(hubs, i)
-                    found.append(i)
-            roots = [sets.root(i) for i in range(len(keys))]
-            g, wide = group.column("b")[0].as_py(), group.column("chunks")[0].as_py() > 1
-            out = [(keys[i], keys[r], None, None) for i, r in enumerate(roots) if i != r]
-            if wide and not final:
-                out += [(keys[i], keys[i], est[i], g) for i in found]
+            keys = group.column("key").to_pylist()
+            if group.column("chunks")[0].as_py() > 1:
+                out = [(k, keys[0], None) for k in keys[1:]] + [(keys[0], keys[0], group.column("b")[0].as_py())]
+            else:
+                regs = np.frombuffer(b"".join(group.column("est").to_pylist()), np.uint16).reshape(len(keys), ESTIMATED)
+                hubs, sets = np.empty(0, np.int64), Sets(len(keys))
+                for i in range(len(keys)):
+                    like = estimates(regs[i], regs[hubs]) if len(hubs) else np.zeros(0)
+                    for h in hubs[like >= near].tolist():
+                        sets.join(i, h)
+                    if not len(like) or like.max() < close:
+                        hubs = np.append(hubs, i)
+                roots = [sets.root(i) for i in range(len(keys))]
+                out = [(keys[i], keys[r], None) for i, r in enumerate(roots) if i != r]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([o[0] for o in out], pa.binary()),
                     pa.array([o[1] for o in out], pa.binary()),
-                    pa.array([o[2] for o in out], pa.binary()),
-                    pa.array([o[3] for o in out], pa.int64()),
+                    pa.array([o[2] for o in out], pa.int64()),
                 ],
-                ["a", "b", "est", "g"],
+                ["a", "b", "bucket"],
             )
 
     return run
@@ -220,24 +218,22 @@ def candidates(nodes):
     """Ties (a, b) such that linked sets are connected, from ``nodes`` (key, est, bands).
 
     Only buckets with two members or more carry registers on. A bucket with more than ``BUCKET`` members
-    is cut into chunks by a hash; the chunks' hubs, far fewer, are then compared with each other at a
-    distance that covers two members in different chunks.
+    is cut into chunks by a hash and tied together as a whole, through a first member of each chunk: its members
+    agree in a band far too often for chance, and whole sets decide later. So no group is larger than a
+    chunk, and the work is linear in the members of large buckets.
     """
     places = nodes.select("key", F.explode("bands").alias("b"))
     full = places.groupBy("b").count().where("count > 1").select("b", F.ceil(F.col("count") / BUCKET).alias("chunks"))
     rows = places.join(full, "b").join(nodes.select("key", "est"), "key")
-    rows = rows.withColumn(
+    rows = rows.withColumn("est", F.when(F.col("chunks") == 1, F.col("est"))).withColumn(
         "g", F.when(F.col("chunks") == 1, F.col("b")).otherwise(F.xxhash64("b", F.pmod(F.xxhash64("key"), "chunks")))
     )
-    schema = TIES + ", est binary, g bigint"
     # close: estimated 0.9, so at least 0.75 but for five standard errors; near: 0.55 less five, two steps of 0.2 and 0.25
-    tied = saved(_grouped(rows).mapInArrow(_hubs(0.3, 0.9, False), schema))
-    hubs = tied.where("est is not null").select(F.col("a").alias("key"), "est", "g", F.col("g").alias("b"), F.lit(1).alias("chunks"))
-    ties = tied.where("est is null").select("a", "b")
-    if not hubs.isEmpty():
-        # hubs of two linked members are at most 0.25 + 0.2 + 0.25 apart
-        ties = ties.unionByName(_grouped(hubs).mapInArrow(_hubs(0.1, 2.0, True), schema).select("a", "b"))
-    return ties
+    tied = saved(_grouped(rows).mapInArrow(_hubs(0.3, 0.9), TIES + ", bucket bigint"))
+    firsts = tied.where("bucket is not null").select("a", "bucket")
+    least = firsts.groupBy("bucket").agg(F.min("a").alias("b"))
+    across = firsts.join(least, "bucket").where("a <> b").select("a", "b")
+    return tied.where("bucket is null").select("a", "b").unionByName(across)
 
 
 def near_duplicates(docs, text="text", key="doc_id", threshold=80, size=2):
