@@ -29,6 +29,24 @@ def test_forest_with_full_pool(spark):
     assert nodes.where("depth > 12").count() == 0
 
 
+def test_trees_sample_from_all_rows(spark, monkeypatch):
+    """With leaves that hold the rows drawn: each tree has its own, from the whole input, however it is split."""
+
+    def drawn(x, tree, seed):
+        import pandas as pd
+
+        return pd.DataFrame({"tree": tree, "node": range(len(x)), "feature": -1, "cut": x[:, 0], "left": -1, "right": -1, "depth": 0.0})
+
+    monkeypatch.setattr(forest, "grow_tree", drawn)
+    df = spark.range(20_000).select("id", F.col("id").cast("double").alias("a"))
+    got = sorted((r["tree"], r["cut"]) for r in forest.fit_forest(df, ["a"], "id", sample=16).collect())
+    assert [t for t, _ in got] == [t for t in range(200) for _ in range(16)]
+    # 3200 draws of 20,000 rows
+    assert len({a for _, a in got}) > 2800 and min(got)[1] >= 0
+    again = forest.fit_forest(df.repartition(7), ["a"], "id", sample=16).collect()
+    assert got == sorted((r["tree"], r["cut"]) for r in again)
+
+
 def separable(spark, n=400):
     return spark.range(n).select(
         "id", (F.col("id") % 20).cast("double").alias("a"), F.rand(1).alias("b"), (F.col("id") % 20 >= 15).cast("int").alias("y"),

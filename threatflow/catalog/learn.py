@@ -147,7 +147,7 @@ def forest_anomalies(spark, sf):
     p = views.packets(spark, sf).select("packet_id", "event_type", *[F.col(c).cast("double") for c in ("size", "payload_len", "value", "src_port")])
     cols = ["size", "payload_len", "value", "src_port"]
     normal = p.where("event_type = 'view'")
-    nodes = forest.fit_forest(normal, cols, "packet_id", trees=50).cache()
+    nodes = forest.fit_forest(normal, cols, "packet_id").cache()
     offset = forest.forest_threshold(normal, cols, nodes)
     return forest.anomalies(p, cols, nodes, offset).where("is_anomaly").select("packet_id", "score", "confidence")
 

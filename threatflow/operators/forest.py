@@ -43,18 +43,25 @@ def grow_tree(x, tree, seed):
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
-def fit_forest(df: DataFrame, features, row_id, trees=200, sample=256, seed=42, pool=16):
+#: Rows that a tree's threshold lets through for each row it samples, on average.
+SPARE = 4
+
+
+def fit_forest(df: DataFrame, features, row_id, trees=200, sample=256, seed=42):
     """Node table of the forest.
 
-    Every tree draws ``sample`` rows by a hash of row and tree from one pool of ``pool * sample`` rows,
-    which a hash of the row draws from the input, in the same way at every size. So the work is
-    bounded by trees x pool x sample rows.
+    Every tree samples the ``sample`` rows of the whole input with the least hashes of row and tree, in the
+    same way at every size. A threshold that about ``SPARE * sample`` rows per tree pass comes first, so
+    only those are ranked. ``row_id`` tells rows apart.
     """
     drawn = df.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
-                      F.col(row_id).alias("_id"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("_h"))
-    drawn = drawn.orderBy("_h", "_id").limit(pool * sample)
+                      F.col(row_id).alias("_id"))
+    n = drawn.count()
     drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))
+    drawn = drawn.withColumn("_h", F.xxhash64("_id", "tree", F.lit(seed)))
+    if n > SPARE * sample:
+        drawn = drawn.where(F.col("_h") < F.lit(SPARE * sample * 2**64 // n - 2**63))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_id"))
     drawn = drawn.withColumn("_r", rank).where(F.col("_r") <= sample)
     cols = [f"x{i}" for i in range(len(features))]
 
