@@ -1,11 +1,16 @@
 """Properties of what SQL cannot say: forest, trees, synthetic rows, policy, decisions."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from threatflow.operators import evaluate, forest, models, neighbours, policy, prep
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_forest_finds_planted_outliers(spark):
     rng = np.random.default_rng(0)
@@ -68,6 +73,32 @@ def test_trees_separate(spark):
     assert total["dropped_rows"] == days.where("b IS NULL").count() and total["f1"] == 1.0
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+@pytest.mark.parametrize(
+    "name", ["classifier_evaluation", "classifier_alerts", "multiclass_evaluation", "generalisation_suite", "feedback_retraining"]
+)
+def test_queries_train_at_the_reference_setting(spark, monkeypatch, name):
+    class Told(Exception):
+        pass
+
+    def trees(**settings):
+        raise Told(settings["maxIter"], settings["maxDepth"])
+
+    monkeypatch.setattr(models, "GBTClassifier", trees)
+    with pytest.raises(Told) as told:
+        entry.queries()[name](spark, SF)
+    assert told.value.args == (400, 6)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_leaderboard_searches_the_whole_space(spark, monkeypatch):
+    asked, sample = [], models.sample_params
+    monkeypatch.setattr(models, "sample_params", lambda *args: asked.extend(sample(*args)) or [])
+    entry.queries()["tuning_leaderboard"](spark, SF)
+    assert len(asked) == 50
+    assert {p["n_estimators"] for p in asked} == {300, 500, 800, 1200} and {p["max_depth"] for p in asked} == {4, 6, 8, 10}
+
+
 def test_multiclass(spark):
     df = separable(spark)
     model = models.train_classifier(df, ["a", "b"], "label", multiclass=True, maxIter=3, maxDepth=3)

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from threatflow.catalog.registry import query, rounded
-from threatflow.functions import values as V
 from threatflow.operators import forest, models, neighbours, plugins, policy, prep
 from threatflow.plans import views
 
@@ -77,10 +76,6 @@ def smote_rows(spark, sf):
 
 
 FEATURES = ["quantity", "price", "discount", "tax"]
-#: Trees of the classifier queries, a parameter of theirs: the operator's own default is 400 trees of depth 6.
-QUICK = {"maxIter": 3, "maxDepth": 3}
-#: Values that the leaderboard query tries: as the whole search space, but with fewer trees.
-FEW_TREES = {**V.TUNER_SPACE, "n_estimators": [2, 3], "max_depth": [3, 4]}
 
 
 def labelled(spark, sf):
@@ -93,14 +88,14 @@ def labelled(spark, sf):
 def classifier_evaluation(spark, sf):
     rows = labelled(spark, sf)
     parts = prep.split_by_group(rows, "_day")
-    model = models.train_classifier(parts.where(~F.col("is_test")), FEATURES, raise_rare=True, **QUICK)
+    model = models.train_classifier(parts.where(~F.col("is_test")), FEATURES, raise_rare=True)
     return models.evaluate_days(model, parts.where("is_test"), FEATURES)
 
 
 @query("classifier_alerts")
 def classifier_alerts(spark, sf):
     rows = labelled(spark, sf).withColumnRenamed("row_id", "packet_id")
-    model = models.train_classifier(rows, FEATURES, scaler=prep.fit_scaler(rows, FEATURES), **QUICK)
+    model = models.train_classifier(rows, FEATURES, scaler=prep.fit_scaler(rows, FEATURES))
     found = models.classifier_alerts(models.score(model, rows, FEATURES), models.runtime_threshold(0.2))
     return found.select("packet_id", F.array_join("attack_types", ",").alias("attacks"), "confidence")
 
@@ -110,14 +105,14 @@ def multiclass_evaluation(spark, sf):
     from threatflow.operators import evaluate
 
     rows = prep.relabel(labelled(spark, sf), "label")
-    model = models.train_classifier(rows, FEATURES, "label", multiclass=True, maxIter=2, maxDepth=3)
+    model = models.train_classifier(rows, FEATURES, "label", multiclass=True)
     return evaluate.classification_report(models.predict_classes(model, rows, FEATURES), "label", "predicted")
 
 
 @query("generalisation_suite")
 def generalisation_suite(spark, sf):
     rows = labelled(spark, sf)
-    model = models.train_classifier(rows.where("_day < '1998'"), FEATURES, **QUICK)
+    model = models.train_classifier(rows.where("_day < '1998'"), FEATURES)
     later = rows.where("_day >= '1998'").withColumnRenamed("_day", "dataset")
     return models.generalisation(model, later, FEATURES)
 
@@ -125,7 +120,7 @@ def generalisation_suite(spark, sf):
 @query("tuning_leaderboard")
 def tuning_leaderboard(spark, sf):
     parts = prep.split_random(labelled(spark, sf), "y", "row_id")
-    return models.random_search(parts.where(~F.col("is_test")), parts.where("is_test"), FEATURES, trials=2, space=FEW_TREES).drop("params")
+    return models.random_search(parts.where(~F.col("is_test")), parts.where("is_test"), FEATURES).drop("params")
 
 
 @query("feedback_retraining")
@@ -138,7 +133,7 @@ def feedback_retraining(spark, sf):
     if not models.should_retrain(drift, now):
         raise RuntimeError("no drift alert in the last day")
     snaps = a.select("alert_id", "ts_us", F.create_map(F.lit("quantity"), F.col("value"), F.lit("tax"), F.col("confidence")).alias("features"))
-    _, figures = models.retrain(labelled(spark, sf), feedback(spark, sf), snaps, FEATURES, **QUICK)
+    _, figures = models.retrain(labelled(spark, sf), feedback(spark, sf), snaps, FEATURES)
     return figures
 
 
