@@ -112,6 +112,17 @@ def test_urls_of_all_kinds(spark):
     assert urls.UrlFilter(URL_RULES).fit(none).judge(none).count() == 0
 
 
+def test_copies_of_a_url_do_not_fill_the_sample(spark):
+    """Each labelled URL has more copies than the sample has rows."""
+    rules = {"good.org": "allow", "bad.org": "block"}
+    links = [f"https://{h}.org/{w}/{i}" for i in range(10) for h, w in (("good", "read"), ("bad", "win-$$$-now-777"))]
+    rows = [(u,) for u in links for _ in range(30)] + [("https://a.net/read/3",), ("https://b.net/win-$$$-now-777/3",)]
+    df = spark.createDataFrame(rows, "url string")
+    got = {r.url: r for r in urls.UrlFilter(rules, rows=20, trees=5).fit(df).judge(df).collect()}
+    assert [got[u].verdict for u, in rows[-2:]] == ["allow", "block"]
+    assert all(got[u].score is not None for u, in rows[-2:])
+
+
 def test_url_trees_separate_labelled_urls(spark):
     got = op6(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()

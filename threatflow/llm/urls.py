@@ -9,7 +9,7 @@ from threatflow.llm.shared import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Labelled rows the trees are fitted on at most, taken by a hash of the URL.
+#: Different labelled URLs the trees are fitted on at most, taken by a hash of the URL.
 TRAIN_ROWS = 20_000
 
 FEATURES = (
@@ -77,7 +77,7 @@ def lexical(urls, url="url"):
 class UrlFilter:
     """Boosted trees on lexical features, trained from the URLs that rules label.
 
-    At most ``rows`` labelled URLs are used, chosen by a hash; they also give the suffix statistics
+    At most ``rows`` different labelled URLs are used, chosen by a hash, each once; they also give the suffix statistics
     (smoothed share of blocked URLs and number of rows per suffix; at most ``rows`` suffixes, so
     the table is small enough to broadcast). Without both verdicts among them, all URLs get
     the one verdict there is, or ``allow``.
@@ -87,9 +87,9 @@ class UrlFilter:
         self.rules, self.rows, self.trees, self.depth, self.seed = rules, rows, trees, depth, seed
 
     def fit(self, urls, url="url"):
-        judged = lexical(parts(urls.select(url), url), url).withColumn("_rule", fitting(self.rules))
-        chosen = judged.where("_rule is not null").withColumn("_hash", F.xxhash64(url))
-        chosen = chosen.orderBy("_hash", url).limit(self.rows)
+        judged = parts(urls.select(url), url).withColumn("_rule", fitting(self.rules)).where("_rule is not null")
+        chosen = judged.select(url).distinct().orderBy(F.xxhash64(url), url).limit(self.rows)
+        chosen = lexical(parts(chosen, url), url).withColumn("_rule", fitting(self.rules))
         chosen = saved(chosen.withColumn("label", (F.col("_rule.verdict") == "block").cast("double")).drop("_rule"))
         seen = chosen.agg(F.min("label").alias("least"), F.max("label").alias("most"), F.avg("label").alias("mean")).first()
         self.only, self.model = ("block" if seen.least == 1 else "allow"), None
