@@ -123,6 +123,19 @@ def test_copies_of_a_url_do_not_fill_the_sample(spark):
     assert all(got[u].score is not None for u, in rows[-2:])
 
 
+def test_suffixes_are_counted_over_all_labelled_rows(spark):
+    """However few URLs the trees are fitted on."""
+    rows = [(f"https://{h}/{i % 50}",) for i in range(200) for h in ("www.good.org", "a.bad.org", "b.ugly.net")]
+    df = spark.createDataFrame(rows + [("https://free.org/",), (None,)], "url string")
+    rules = {"good.org": "allow", "bad.org": "block", "ugly.net": "block"}
+    model = urls.UrlFilter(rules, rows=12, trees=2).fit(df)
+    got = {r.suffix: (r.f_suffix, r.f_suffix_rows) for r in model.suffixes.collect()}
+    low, high = (0 + 5 * 2 / 3) / 205, (200 + 5 * 2 / 3) / 205
+    assert got == {
+        "good.org": (pytest.approx(low), 200), "bad.org": (pytest.approx(high), 200), "ugly.net": (pytest.approx(high), 200)
+    }
+
+
 def test_url_trees_separate_labelled_urls(spark):
     got = op6(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()

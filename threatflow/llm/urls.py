@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from threatflow.llm.shared import saved
+from threatflow.plans.sizes import broadcast_if_small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,10 +78,9 @@ def lexical(urls, url="url"):
 class UrlFilter:
     """Boosted trees on lexical features, trained from the URLs that rules label.
 
-    At most ``rows`` different labelled URLs are used, chosen by a hash, each once; they also give the suffix statistics
-    (smoothed share of blocked URLs and number of rows per suffix; at most ``rows`` suffixes, so
-    the table is small enough to broadcast). Without both verdicts among them, all URLs get
-    the one verdict there is, or ``allow``.
+    At most ``rows`` different labelled URLs are used, chosen by a hash, each once. All labelled rows give the
+    suffix statistics (smoothed share of blocked rows and number of rows per suffix). Without both
+    verdicts among the URLs used, all URLs get the one verdict there is, or ``allow``.
     """
 
     def __init__(self, rules, rows=TRAIN_ROWS, trees=20, depth=4, seed=7):
@@ -89,19 +89,20 @@ class UrlFilter:
     def fit(self, urls, url="url"):
         judged = parts(urls.select(url), url).withColumn("_rule", fitting(self.rules)).where("_rule is not null")
         chosen = judged.select(url).distinct().orderBy(F.xxhash64(url), url).limit(self.rows)
+        blocked = (F.col("_rule.verdict") == "block").cast("double")
         chosen = lexical(parts(chosen, url), url).withColumn("_rule", fitting(self.rules))
-        chosen = saved(chosen.withColumn("label", (F.col("_rule.verdict") == "block").cast("double")).drop("_rule"))
-        seen = chosen.agg(F.min("label").alias("least"), F.max("label").alias("most"), F.avg("label").alias("mean")).first()
+        chosen = saved(chosen.withColumn("label", blocked).drop("_rule"))
+        seen = chosen.agg(F.min("label").alias("least"), F.max("label").alias("most")).first()
         self.only, self.model = ("block" if seen.least == 1 else "allow"), None
         if seen.least == seen.most:
             return self
-        self.mean = seen.mean
-        self.suffixes = saved(
-            chosen.groupBy("suffix").agg(
-                ((F.sum("label") + 5 * self.mean) / (F.count("*") + 5)).alias("f_suffix"),
-                F.count("*").cast("double").alias("f_suffix_rows"),
-            )
+        counts = judged.groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(
+            F.sum(blocked).alias("blocked"), F.count("*").cast("double").alias("f_suffix_rows")
         )
+        counts = saved(counts)
+        self.mean = counts.agg(F.sum("blocked") / F.sum("f_suffix_rows")).first()[0]
+        share = (F.col("blocked") + 5 * self.mean) / (F.col("f_suffix_rows") + 5)
+        self.suffixes = broadcast_if_small(counts.select("suffix", share.alias("f_suffix"), "f_suffix_rows"))
         trees = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=self.trees, maxDepth=self.depth, stepSize=0.2, seed=self.seed,
             maxMemoryInMB=64, cacheNodeIds=False,
@@ -110,7 +111,7 @@ class UrlFilter:
         return self
 
     def _vectors(self, rows):
-        rows = rows.join(F.broadcast(self.suffixes), "suffix", "left").fillna(
+        rows = rows.join(self.suffixes, "suffix", "left").fillna(
             {"f_suffix": self.mean, "f_suffix_rows": 0.0}
         )
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
