@@ -124,3 +124,12 @@ def test_a_burst_in_one_instant_is_split_by_rows(spark):
     assert sum(sizes) == 20_000 and max(sizes) <= 2000 and len(sizes) >= 15
     numbered = ordered.number_rows(rows, ["k"], ["t", "id"], "rn", 1000)
     assert numbered.where("rn <> id + 1").count() == 0
+
+
+def test_shared_folder_is_never_machine_local_on_a_cluster():
+    from threatflow.plans.session import _local_base
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            _local_base(master)
+    assert _local_base("local[4]").startswith("/")

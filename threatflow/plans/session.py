@@ -1,7 +1,6 @@
 """Session set-up and the shared folder used for files between jobs."""
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -30,15 +29,22 @@ def build_session(app="threatflow", cores="*", shuffle_partitions=None, **conf):
 def shared_dir(spark, name):
     """A fresh folder below the cluster's checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it is.  Only where
-    the session names none (tests on one machine) a local one is made.
+    The folder named in ``spark.checkpoint.dir`` is used as it is. Where the session names none, a session
+    on one machine gets a local folder; on a cluster, whose executors could not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="threatflow-")
+        base = _local_base(spark.sparkContext.master)
     return os.path.join(base, "threatflow", f"{name}-{uuid.uuid4().hex}")
 
 
+def _local_base(master):
+    """A temporary folder for a session whose executors run in the driver's own process."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="threatflow-")
+
+
 def ensure_checkpoint_dir(spark):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
