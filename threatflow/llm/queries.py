@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import bpe, chat, covertree, fingerprints, lines, minhash, mixing, quality, sharding, urls
+from threatflow.llm import audit_query, bpe, chat, covertree, fingerprints, lines, minhash, mixing, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -308,3 +308,6 @@ def op10(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+query("op11_structure_repair", audit_query.SQL)(audit_query.op11)
