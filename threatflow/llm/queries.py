@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import audit_query, bpe, chat, covertree, fingerprints, lines, minhash, mixing, quality, sharding, urls
+from threatflow.llm import audit_query, bpe, chat, covertree, fingerprints, graph, lines, minhash, mixing, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -311,3 +311,23 @@ def op10(spark, sf_dir):
 
 
 query("op11_structure_repair", audit_query.SQL)(audit_query.op11)
+
+
+@query(
+    "op12_graph_search",
+    """
+WITH good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+)
+def op12(spark, sf_dir):
+    """The five nearest vectors of every vector whose id is divisible by 50, found in the graphs of all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph.nearest(graph.index(vectors), vectors.where("vec_id % 50 = 0"), 5)

@@ -225,20 +225,20 @@ def repair(rows, conv="conv_id", turn="turn", role="role", text="text", present=
     text, so its rows meet in one task, one conversation at a time; other columns are ignored.
     """
     here = F.lit(True) if present is None else present
-    at = F.when(here, F.col(turn))
     row = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text")
     )
     # nulls come first in an ascending array_sort of structs only if the field says so
     line = F.struct(F.col(turn).isNotNull().alias("known"), row.alias("row"))
     held = rows.groupBy(F.col(conv).alias("_conv")).agg(
-        F.array_sort(F.collect_list(F.when(here, line))).alias("_lines"),
-        F.coalesce(F.max(at) - F.min(at) + 1 - F.count_distinct(at), F.lit(0)).cast("bigint").alias("gaps"),
+        F.array_sort(F.collect_list(F.when(here, line))).alias("_lines")
     )
+    turns = F.transform(F.filter("_lines", lambda x: x["known"]), lambda x: x["row"]["turn"])
+    gaps = F.array_max(turns) - F.array_min(turns) + 1 - F.size(F.array_distinct(turns))
     named = held.select(
         F.col("_conv").alias(conv),
         F.size("_lines").cast("bigint").alias("n_rows"),
-        "gaps",
+        F.coalesce(gaps, F.lit(0)).cast("bigint").alias("gaps"),
         F.transform("_lines", lambda x: F.struct(x["row"]["role"].alias("role"), x["row"]["text"].alias("text"))).alias("_rows"),
     )
     kind = named.schema[conv].dataType.simpleString()
