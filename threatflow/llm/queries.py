@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm import audit_query, bpe, chat, covertree, fingerprints, graph, lines, minhash, mixing, quality, sharding, urls
+from threatflow.llm import audit_query, bpe, chat, covertree, fingerprints, graph, lines, minhash, mixing, negatives, quality, sharding, urls
 from threatflow.llm.shared import WORD, table, text_of
 from threatflow.plans.ranges import partitions, with_border_rows
 
@@ -331,3 +331,34 @@ def op12(spark, sf_dir):
     """The five nearest vectors of every vector whose id is divisible by 50, found in the graphs of all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return graph.nearest(graph.index(vectors), vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query(
+    "op13_hard_negatives",
+    """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT * FROM ranked WHERE rank <= 5
+""",
+)
+def op13(spark, sf_dir):
+    """For every hundredth vector and each of its five positives the five hardest negatives."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", shifted.alias("label"), negatives.whole_numbers(F.col("embedding")).alias("vector")
+    )
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
