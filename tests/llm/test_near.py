@@ -169,7 +169,7 @@ def test_many_versions_of_a_line(spark):
         words[random.randrange(12)] = f"v{random.randrange(40)}"
         rows.append((i, " ".join(words) + "\n" + " ".join(random.sample(words, 3)) + "\n \n"))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(r.doc_id, r.line_no) for r in lines.later_lines(df).collect()}
+    got = {(r.doc_id, n) for r in lines.later_lines(df).collect() for n in r.removed or ()}
     assert got == removed_places(rows)
 
 
@@ -185,6 +185,29 @@ def test_dedup_keeps_rows_and_first_lines(docs):
     assert lines.dedup(docs.where("1 = 0")).count() == 0
 
 
+def test_texts_that_share_a_key_keep_their_own_lines(spark):
+    """A line that occurs once stays, whatever lines other rows of its key lose."""
+    rows = [
+        (1, "alpha beta gamma\nkeep me one two"), (1, "other words here now\nalpha beta gamma"), (1, None),
+        (2, "keep this\nalpha beta gamma\nand this"), (3, "x"), (3, "x"), (3, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'a' AS _no", "'b' AS removed_", "1 AS _place")
+    got = sorted((r.doc_id, r.text or "") for r in lines.dedup(df).collect())
+    alpha = [t for i, t in got if i == 1]
+    assert sum("alpha beta gamma" in t for t in alpha) == 1
+    assert any("keep me one two" in t for t in alpha) and any("other words here now" in t for t in alpha)
+    assert [t for i, t in got if i == 2] == ["keep this\nand this"] and [t for i, t in got if i == 3] == ["x"] * 3
+
+
+def test_rarity_fits_into_levels(spark, monkeypatch):
+    """More octaves than levels: the rarest words share one, the result is the same."""
+    monkeypatch.setattr(lines, "LEVELS", 2)
+    rows = [(i, "very common " * 3 + f"word{i % 7} some{i % 3} other{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, n) for r in lines.later_lines(df).collect() for n in r.removed or ()}
+    assert got == removed_places(rows)
+
+
 def check_vectors(got, rows, threshold=0.93):
     good = {}
     for i, v, label in rows:

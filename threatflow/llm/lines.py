@@ -3,12 +3,15 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threatflow.llm.shared import BLANKS, listed, stored
-from threatflow.plans.sizes import broadcast_if_small
+from threatflow.llm.shared import listed, stored
+from threatflow.plans.ordered import number_rows
 from threatflow.plans.ranges import unused
+from threatflow.plans.sizes import broadcast_if_small
 
-#: Buckets that words are counted in, for their rarity, and bits of the map of wanted lines.
-BUCKETS, BITS = 1 << 16, 1 << 21
+#: Buckets that words are counted in, for their rarity; levels of rarity, an octave each.
+BUCKETS, LEVELS = 1 << 16, 16
+#: Bits of the map of wanted lines for each of them, and the most that the map has.
+BITS_EACH, BITS = 16, 1 << 27
 #: Words from which on a set has four words of parity bits besides the one that all have.
 LONG = 110
 #: Places in the prefix, from its first to its last word, whose words first find each line likely partners.
@@ -21,34 +24,68 @@ PARTNERS = 3
 HOT = 1 << 17
 
 
+def told_apart(docs, text, key, no):
+    """The documents with a column ``no``: 0, or for rows that share a key with another text the number of their text.
+
+    Texts are known by a hash; only those of keys that have several are counted.
+    """
+    mark, place = F.xxhash64(F.lit(1), text), unused(docs, "_text")
+    keyed = docs.select(F.col(key).alias("_key"), mark.alias("_mark")).where("_key is not null")
+    several = stored(keyed.groupBy("_key").agg(F.min("_mark").alias("lo"), F.max("_mark").alias("hi")).where("lo <> hi").select("_key"))
+    if several.isEmpty():
+        return docs.withColumn(no, F.lit(0).cast("bigint"))
+    marks = keyed.join(broadcast_if_small(several), "_key", "left_semi").distinct()
+    numbered = number_rows(marks, ["_key"], ["_mark"], no).where(F.col(no) > 1)
+    theirs = broadcast_if_small(stored(numbered.select(F.struct("_key", "_mark").alias(place), (F.col(no) - 1).alias(no))))
+    rows = docs.join(theirs, F.struct(F.col(key).alias("_key"), mark.alias("_mark")) == F.col(place), "left")
+    return rows.withColumn(no, F.coalesce(no, F.lit(0).cast("bigint"))).drop(place)
+
+
 def lines_of(docs, text, key):
-    """Rows (doc_id, line_no, line), one per line; null texts have none."""
+    """Rows (doc_id, line_no, line), one per line; null texts have none.
+
+    The number of the row's text (column ``_no``, see ``told_apart``) stands above the lower 32 bits of ``line_no``.
+    """
     at = F.posexplode(F.split(F.col(text), "\n"))
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), at.alias("line_no", "line"))
+    some = docs.select(F.col(key).cast("bigint").alias("doc_id"), "_no", at.alias("line_no", "line"))
+    return some.select("doc_id", F.shiftleft("_no", 32).bitwiseOR(F.col("line_no").cast("bigint")).alias("line_no"), "line")
 
 
 def _words(line):
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANKS)
+    """The words of a line; may hold empty ones. Blanks become spaces first, as splitting at one sign is quick."""
+    for blank in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.split(line, " ")
 
 
 def rarity(lines):
-    """Sixteenths of the binary logarithm of how often words occur, by hash bucket: a list of ``BUCKETS``."""
-    words = lines.select(F.explode(_words(F.col("line"))).alias("w"))
-    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
-    ranks = [0] * BUCKETS
-    for row in counted:
-        ranks[row.b] = min(row["count"].bit_length() * 16 + (row["count"] * 16 >> max(row["count"].bit_length() - 1, 0)) % 16, 1023)
-    return ranks
+    """How often words occur, by hash bucket: a constant of packed levels, and the octave that level 0 ends at.
+
+    Levels are octaves below that of the most frequent bucket, the rarest words share the lowest. Sixteen levels
+    lie in one number, so plans that hold them stay short.
+    """
+    words = lines.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
+    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    octaves = counted.select("b", F.floor(F.log2("count")).cast("int").alias("octave")).collect()
+    lowest = max(max((r.octave for r in octaves), default=0) - LEVELS + 1, 0)
+    packed = [0] * (BUCKETS // 16)
+    for row in octaves:
+        packed[row.b >> 4] |= max(row.octave - lowest, 0) << (row.b % 16 * 4)
+    return listed(p - (1 << 64) if p >> 63 else p for p in packed), lowest
 
 
 def _tokens(line, ranks):
-    """A line's different words as whole numbers, the rarest first: rank above 52 bits of the hash."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    keys = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(BUCKETS)).cast("int")), 52).bitwiseOR(F.shiftrightunsigned(h, 12)),
-    )
-    return F.sort_array(F.array_distinct(keys))
+    """A line's different words as whole numbers, the rarest first: level of rarity above 56 bits of the hash."""
+    hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+    def keyed(h):
+        level = F.call_function(
+            "shiftright", F.get(ranks, F.shiftright(bucket(h), 4)), F.pmod(bucket(h), F.lit(16)) * 4
+        ).bitwiseAND(F.lit(LEVELS - 1))
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.array_distinct(F.transform(hashes, keyed)))
 
 
 def _filtered(lines):
@@ -75,21 +112,24 @@ def _likeable(x, y, percent, apart=0):
 def _pairs_with_sets(pairs, docs, text, key, ranks, percent):
     """The pairs whose sets' exact Jaccard likeness is at least ``percent``.
 
-    Only wanted lines of wanted documents are read as words again: a bit map of fixed size lets them
+    Only wanted lines of wanted documents are read as words again: a bit map, sized by their number, lets them
     through, with some others, which the join then leaves out.
     """
     places = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl"))
-    spot = lambda d, n: F.pmod(F.xxhash64(d, n), F.lit(BITS))
+    bits = 1 << 16
+    while bits < min(BITS, 2 * BITS_EACH * pairs.count()):
+        bits *= 2
+    spot = lambda d, n: F.pmod(F.xxhash64(d, n), F.lit(bits))
     marks = places.select(F.explode(F.array(spot(F.col("d"), F.col("l")), spot(F.col("d"), F.lit(-1)))).alias("s"))
-    found = marks.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(_bit(F.col("s"))).alias("bits")).collect()
-    bits = [0] * (BITS // 64)
-    for row in found:
-        bits[row.w] = row.bits
-    bits = listed(bits)
+    found = marks.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(_bit(F.col("s"))).alias("bits"))
+    # one row with all words in order; as a subquery it is in no plan's text
+    every = docs.sparkSession.range(bits // 64).select(F.col("id").alias("w")).join(found, "w", "left")
+    line = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    map_of = stored(every.agg(F.transform(line, lambda e: e["bits"]).alias("map"))).scalar()
 
     def marked(d, n):
         place = spot(d, n)
-        return F.call_function("bit_get", F.get(bits, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
+        return F.call_function("bit_get", F.get(map_of, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
 
     some = docs.where(marked(F.col(key).cast("bigint"), F.lit(-1)))
     let = _filtered(lines_of(some, text, key).where(marked(F.col("doc_id"), F.col("line_no"))))
@@ -124,10 +164,10 @@ def _wide(column):
     return F.when(F.size(column) >= LONG, whole)
 
 
-def later_lines(docs, text="text", key="doc_id", percent=80):
+def _later(docs, text, key, percent):
     """Places (doc_id, line_no) of the lines that repeat an earlier one, exactly or nearly.
 
-    A line goes if a line before it, in the order of (key, line number), has a word set of Jaccard
+    A line goes if a line before it, in the order of (key, text's number, line number), has a word set of Jaccard
     likeness ``percent`` / 100 or more, whether that line itself stays or not. Equal sets are one class, placed
     where they first occur. Words are ordered by rarity; alike sets share a word among the first
     n - ceil(n * percent / 100) + 1 of each. Classes that share such a word are compared by length, by position
@@ -138,13 +178,13 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     without one, and those whose partner proves unlike, are then joined with all classes before them.
     Lines without words stay, rows without a key are left out. Rows with equal key and text are the same place.
     """
-    docs = docs.where(F.col(key).isNotNull())
+    docs = docs.where(F.col(key).isNotNull()).select(key, text, "_no")
     lines = lines_of(docs, text, key)
-    ranks = listed(rarity(_filtered(lines)))
+    ranks, lowest = rarity(_filtered(lines))
     rows = _filtered(lines).select("doc_id", "line_no", _tokens(F.col("line"), ranks).alias("set"))
     prefix = F.slice("set", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     short = F.transform(
-        prefix, lambda k: F.shiftleft(F.shiftright(k, 52), 32).bitwiseOR(k.bitwiseAND(F.lit(0xFFFFFFFF)))
+        prefix, lambda k: F.shiftleft(F.shiftright(k, 56), 32).bitwiseOR(k.bitwiseAND(F.lit(0xFFFFFFFF)))
     )
     placed = stored(
         rows.withColumn("n", F.size("set"))
@@ -158,7 +198,7 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
         .select("hash", "parity", "n", "first.doc_id", "first.line_no", "wide", "prefix")
     )
 
-    likely = stored(_likely_partners(classes, percent))
+    likely = stored(_likely_partners(classes, percent, lowest))
     confirmed = stored(_pairs_with_sets(likely, docs, text, key, ranks, percent))
     settled = classes.join(
         broadcast_if_small(confirmed.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line_no"), F.col("xp").alias("parity"), F.lit(True).alias("gone"))),
@@ -175,7 +215,24 @@ def later_lines(docs, text="text", key="doc_id", percent=80):
     return every.where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
 
 
-def _likely_partners(classes, percent):
+def later_lines(docs, text="text", key="doc_id", percent=80, out="removed"):
+    """The documents with an array ``out`` of the numbers of those lines that repeat an earlier one; null if none does.
+
+    Lines are numbered from 0, earlier ones are those of lesser keys and lines before them in the text; see ``_later``.
+    Rows with equal key and text lose the same lines. Where a key has several texts, these are told apart, and one
+    comes before the other. Rows without a key or text have none; other columns stay, whatever their names.
+    """
+    no, place = unused(docs, "_no"), unused(docs, "_place")
+    rows = told_apart(docs, text, key, no)
+    gone = _later(rows.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(no).alias("_no")), "text", "doc_id", percent)
+    named = gone.groupBy(F.struct("doc_id", F.shiftright("line_no", 32).alias("no")).alias(place)).agg(
+        F.sort_array(F.collect_set(F.col("line_no").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(out)
+    )
+    mine = F.struct(F.col(key).cast("bigint").alias("doc_id"), F.col(no).alias("no"))
+    return rows.join(named, mine == F.col(place), "left").select(*docs.columns, out)
+
+
+def _likely_partners(classes, percent, lowest):
     """For each class a few classes before it that may be alike: the closest by parity.
 
     Words spread over the prefix find them, as the rarest may be those in which versions of a line differ.
@@ -185,8 +242,8 @@ def _likely_partners(classes, percent):
     rows = classes.select(
         F.explode(words).alias("t"), F.struct("doc_id", "line_no", "n", "parity", "wide").alias("x"), "hash"
     )
-    # a word's rank bounds how often it occurs; words that may be hot are dealt to several groups
-    dealt = F.pow(F.lit(2.0), F.shiftright("t", 36) - 1) / HOT
+    # a word's level bounds how often it occurs; words that may be hot are dealt to several groups
+    dealt = F.pow(F.lit(2.0), F.shiftright("t", 32) + lowest + 1) / HOT
     rows = rows.withColumn("part", F.when(dealt > 1, F.pmod("hash", F.ceil(dealt).cast("bigint"))).otherwise(0))
     before = Window.partitionBy("t", "part").orderBy("x")
     rows = rows.select(
@@ -249,9 +306,6 @@ def dedup(docs, text="text", key="doc_id", percent=80):
     Null texts and null keys stay as they are, all columns stay.
     """
     gone = unused(docs, "_gone")
-    named = later_lines(docs, text, key, percent)
-    by_doc = named.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(gone, i))
-    return docs.join(by_doc, key, "left").select(
-        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else c for c in docs.columns]
-    )
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
+    named = later_lines(docs, text, key, percent, gone)
+    return named.select(*[F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else c for c in docs.columns])

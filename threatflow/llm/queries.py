@@ -114,12 +114,10 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     """Each document's lines, and which of them repeat an earlier line of any document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = lines.later_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return counted.join(gone, "doc_id", "left").select(
+    return lines.later_lines(docs).select(
         "doc_id",
-        F.col("n_lines").cast("bigint"),
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
         F.size(removed).cast("bigint").alias("n_removed"),
         F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"),
     )
