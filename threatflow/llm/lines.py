@@ -65,24 +65,24 @@ def rarity(lines):
     lie in one number, so plans that hold them stay short.
     """
     words = lines.select(F.explode(_words(F.col("line"))).alias("w")).where("w <> ''")
-    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     octaves = counted.select("b", F.floor(F.log2("count")).cast("int").alias("octave")).collect()
     lowest = max(max((r.octave for r in octaves), default=0) - LEVELS + 1, 0)
     packed = [0] * (BUCKETS // 16)
     for row in octaves:
-        packed[row.b >> 4] |= max(row.octave - lowest, 0) << (row.b % 16 * 4)
+        packed[row.b % (BUCKETS // 16)] |= max(row.octave - lowest, 0) << (row.b // (BUCKETS // 16) * 4)
     return listed(p - (1 << 64) if p >> 63 else p for p in packed), lowest
 
 
 def _tokens(line, ranks):
     """A line's different words as whole numbers, the rarest first: level of rarity above 56 bits of the hash."""
     hashes = F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
 
     def keyed(h):
-        level = F.call_function(
-            "shiftright", F.get(ranks, F.shiftright(bucket(h), 4)), F.pmod(bucket(h), F.lit(16)) * 4
-        ).bitwiseAND(F.lit(LEVELS - 1))
+        # the lowest twelve bits of a bucket choose the number, the next four the level in it
+        packed = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS // 16 - 1)).cast("int"))
+        place = F.shiftright(h, 10).bitwiseAND(F.lit(60)).cast("int")
+        level = F.call_function("shiftright", packed, place).bitwiseAND(F.lit(15))
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, keyed)))

@@ -113,11 +113,12 @@ def op3(spark, sf_dir):
 @query("op4_line_dedup")
 def op4(spark, sf_dir):
     """Each document's lines, and which of them repeat an earlier line of any document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", counted.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return lines.later_lines(docs).select(
         "doc_id",
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
+        "n_lines",
         F.size(removed).cast("bigint").alias("n_removed"),
         F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"),
     )
