@@ -1,5 +1,6 @@
 """Properties of what SQL cannot say: forest, trees, synthetic rows, policy, decisions."""
 
+import json
 from pathlib import Path
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from threatflow.operators import evaluate, forest, models, neighbours, policy, prep
+from threatflow.operators import boosting, evaluate, forest, models, neighbours, policy, prep
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +64,7 @@ def test_trees_separate(spark):
     df = separable(spark)
     parts = prep.split_random(df, "y", "id")
     train, test = parts.where("NOT is_test"), parts.where("is_test")
-    model = models.train_classifier(train, ["a", "b"], raise_rare=True, scaler=prep.fit_scaler(train, ["a", "b"]), maxIter=5, maxDepth=3)
+    model = models.train_classifier(train, ["a", "b"], raise_rare=True, scaler=prep.fit_scaler(train, ["a", "b"]), n_estimators=30, max_depth=3)
     assert evaluate.ranking(models.score(model, test, ["a", "b"]), "y", "p").first()["roc_auc"] > 0.9
     alerts = models.classifier_alerts(models.score(model, test.withColumn("packet_id", F.col("id")), ["a", "b"]), 0.5)
     assert alerts.count() == test.where("y = 1").count()
@@ -78,16 +79,28 @@ def test_trees_separate(spark):
     "name", ["classifier_evaluation", "classifier_alerts", "multiclass_evaluation", "generalisation_suite", "feedback_retraining"]
 )
 def test_queries_train_at_the_reference_setting(spark, monkeypatch, name):
-    class Told(Exception):
-        pass
+    asked, of = [], boosting.of
+    monkeypatch.setattr(boosting, "of", lambda params: asked.append(of(params)) or asked[-1])
+    entry.queries()[name](spark, SF).collect()
+    assert [(s.n_estimators, s.max_depth, s.learning_rate, s.subsample) for s in asked] == [(400, 6, 0.1, 0.8)]
 
-    def trees(**settings):
-        raise Told(settings["maxIter"], settings["maxDepth"])
 
-    monkeypatch.setattr(models, "GBTClassifier", trees)
-    with pytest.raises(Told) as told:
-        entry.queries()[name](spark, SF)
-    assert told.value.args == (400, 6)
+def test_search_rates_every_point(spark):
+    df = separable(spark)
+    parts = prep.split_random(df, "y", "id").withColumn("watch", F.col("id") % 4 == 0)
+    space = {"n_estimators": [5, 9], "max_depth": [2, 3], "learning_rate": [0.3], "gamma": [0.0, 0.1], "reg_alpha": [0.0], "reg_lambda": [1.0]}
+    board = models.random_search(
+        parts.where("not is_test"), parts.where("is_test"), ["a", "b"], trials=6, space=space, early_stop="watch"
+    ).collect()
+    assert [r["score"] for r in board] == sorted((r["score"] for r in board), reverse=True)
+    assert sorted(r["trial"] for r in board) == [1, 2, 3, 4, 5, 6]
+    points = models.sample_params(6, 42, space)
+    assert all(json.loads(r["params"]) == points[r["trial"] - 1] for r in board)
+    assert all(r["trees"] <= json.loads(r["params"])["n_estimators"] and r["score"] > 0.95 for r in board)
+    alone = models.train_classifier(parts.where("not is_test"), ["a", "b"], early_stop="watch", seed=42, **points[0])
+    first = next(r for r in board if r["trial"] == 1)
+    rated = evaluate.ranking(models.score(alone, parts.where("is_test"), ["a", "b"]), "y", "p").first()
+    assert first["score"] == pytest.approx(rated["roc_auc"])
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -95,21 +108,21 @@ def test_leaderboard_searches_the_whole_space(spark, monkeypatch):
     asked, sample = [], models.sample_params
     monkeypatch.setattr(models, "sample_params", lambda *args: asked.extend(sample(*args)) or [])
     entry.queries()["tuning_leaderboard"](spark, SF)
-    assert len(asked) == 50
+    assert len(asked) == 50 and all(len(p) == 9 for p in asked)
     assert {p["n_estimators"] for p in asked} == {300, 500, 800, 1200} and {p["max_depth"] for p in asked} == {4, 6, 8, 10}
 
 
 def test_multiclass(spark):
     df = separable(spark)
-    model = models.train_classifier(df, ["a", "b"], "label", multiclass=True, maxIter=3, maxDepth=3)
+    model = models.train_classifier(df, ["a", "b"], "label", multiclass=True, n_estimators=10, max_depth=3)
     report = evaluate.classification_report(models.predict_classes(model, df, ["a", "b"]), "label", "predicted")
     assert report.where("name = 'accuracy'").first()["f1"] > 0.95
 
 
 def test_early_stop(spark):
     df = separable(spark).withColumn("watch", (F.col("id") % 5 == 0).cast("int"))
-    model = models.train_classifier(df, ["a", "b"], early_stop="watch", maxIter=20, maxDepth=2)
-    assert model.stages[-1].getNumTrees <= 20
+    model = models.train_classifier(df, ["a", "b"], early_stop="watch", n_estimators=20, max_depth=2)
+    assert len(model.rounds) <= 20
 
 
 @pytest.mark.parametrize("block_rows", [10, 4096])

@@ -3,17 +3,13 @@
 import json
 import random
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
-from threatflow.operators import evaluate, prep
+from threatflow.operators import boosting, evaluate, prep
 from threatflow.operators.prep import align_features, finite_rows
 from threatflow.plans import ordered
-from threatflow.plans.session import ensure_checkpoint_dir
 
 SECOND = 1_000_000
 
@@ -57,66 +53,48 @@ def promotion(new: DataFrame, old: DataFrame):
 
 # ----------------------------------------------------------------- training
 
-DEFAULTS = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-
-
-def assembler(features, scaler=None):
-    """Stages from named columns to one vector; a fitted scaler is stored with the model."""
-    stages, inputs = [], list(features)
-    if scaler is not None:
-        fitted = {r["feature"]: (r["centre"], r["width"]) for r in scaler.collect()}
-        cols = ", ".join(f"(`{f}` - {fitted[f][0]!r}D) / {fitted[f][1]!r}D AS `_scaled_{i}`" for i, f in enumerate(features))
-        stages.append(SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"))
-        inputs = [f"_scaled_{i}" for i in range(len(features))]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+#: Rows that a classifier is fitted on at most; more are sampled. Cuts and figures always come from all rows given.
+FIT_ROWS = 1_000_000
 
 
 def train_classifier(
     train: DataFrame, features, label="y", weight=None, scaler=None, multiclass=False, raise_rare=False,
-    early_stop=None, seed=42, **params,
+    early_stop=None, max_rows=FIT_ROWS, **params,
 ):
-    """Boosted trees as a pipeline model.
+    """Boosted trees for a label of 0 and 1, or with ``multiclass`` for its values in alphabetical order.
 
-    ``raise_rare`` weighs attacks by the ratio of normal rows to attacks.  With
-    ``early_stop`` (a 0/1 column) training ends when the marked rows stop improving.
+    ``raise_rare`` weighs attacks by the ratio of normal rows to attacks. With ``early_stop`` (a column) marked
+    rows are watched instead of trained on, and training ends when they stop improving. ``scaler`` (see
+    ``prep.fit_scaler``) is stored with the model. ``params`` are those of ``boosting.Settings``.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-    rows = train.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight).cast("double"))
-    if raise_rare and not multiclass:
-        n = rows.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
-        ratio = n["neg"] / n["pos"] if n["pos"] else 1.0
-        rows = rows.withColumn("_w", F.when(F.col(label) == 1, F.col("_w") * ratio).otherwise(F.col("_w")))
-    settings = {**DEFAULTS, "seed": seed, "cacheNodeIds": False, **params}
-    trees = GBTClassifier(featuresCol="features", labelCol="_label", weightCol="_w", **settings)
-    if early_stop:
-        rows = rows.withColumn(early_stop, F.col(early_stop).cast("boolean"))
-        trees = trees.setValidationIndicatorCol(early_stop)
+    classes = rare = None
     if multiclass:
-        index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
-        last = OneVsRest(classifier=trees, labelCol="_label", featuresCol="features", weightCol="_w", parallelism=2)
-        stages = [index, *assembler(features, scaler), last]
-    else:
-        rows = rows.withColumn("_label", F.col(label).cast("double"))
-        stages = [*assembler(features, scaler), trees]
-    return Pipeline(stages=stages).fit(rows)
+        classes = [r[0] for r in train.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+    elif raise_rare:
+        use = train if early_stop is None else train.where(~F.coalesce(F.col(early_stop).cast("boolean"), F.lit(False)))
+        n = use.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
+        rare = n["neg"] / max(n["pos"], 1)
+    widths = None if scaler is None else {r["feature"]: (r["centre"], r["width"]) for r in scaler.collect()}
+    return boosting.train(
+        train, features, label, weight, widths, early_stop, classes, max_rows, positive_weight=rare, **params
+    )
 
 
 def score(model, df: DataFrame, features, out="p"):
     """Attack probability per row; absent or bad feature values count as 0."""
     rows = align_features(df, features, keep=[c for c in df.columns if c not in features])
-    scored = model.transform(rows)
-    extra = [c for c in scored.columns if c not in rows.columns]
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(*extra)
+    return rows.withColumn(out, F.get(model.probability_column(), F.lit(0)))
 
 
 def predict_classes(model, df: DataFrame, features, out="predicted"):
-    """Class name per row from a multiclass pipeline."""
+    """Class name per row, the likeliest one; of equally likely ones the first."""
     rows = align_features(df, features, keep=[c for c in df.columns if c not in features])
-    names = model.stages[0].labels
-    scored = PipelineModel(model.stages[1:]).transform(rows)
-    extra = [c for c in scored.columns if c not in rows.columns]
-    labels = F.array(*[F.lit(n) for n in names])
-    return scored.withColumn(out, F.get(labels, F.col("prediction").cast("int"))).drop(*extra)
+    if not model.classes:
+        return rows.withColumn(out, F.lit(None).cast("string"))
+    names = F.array(*[F.lit(n) for n in model.classes])
+    scored = rows.withColumn("_p", model.probability_column())
+    best = F.array_position("_p", F.array_max("_p")).cast("int") - 1
+    return scored.withColumn(out, F.get(names, best)).drop("_p")
 
 
 def runtime_threshold(tuned, least=0.5):
@@ -159,41 +137,66 @@ def generalisation(model, rows: DataFrame, features, label="y", threshold=0.5, b
     return evaluate_days(model, rows, features, label, by, threshold)
 
 
-#: Parameters of the search space that Spark's trainer has, with their names there. Its ``minInfoGain`` is on another
-#: scale than ``gamma``, and the two regularisation weights have no counterpart, so these are not searched.
-TRAINER_NAMES = {
-    "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
-    "colsample_bytree": "featureSubsetStrategy", "min_child_weight": "minInstancesPerNode",
-}
+#: Rows that a trial of the search is fitted on at most, and nodes of trees that are rated together.
+TRIAL_ROWS, RATED_NODES = 150_000, 2_000_000
 
 
 def sample_params(trials, seed=42, space=None):
     """Random points of the search space, the same for the same seed."""
     rng = random.Random(seed)
-    space = {k: v for k, v in (space or V.TUNER_SPACE).items() if k in TRAINER_NAMES}
-    return [{k: rng.choice(v) for k, v in space.items()} for _ in range(trials)]
+    return [{k: rng.choice(v) for k, v in (space or V.TUNER_SPACE).items()} for _ in range(trials)]
 
 
-def spark_params(p):
-    """A point of the search space in the names Spark's trainer uses."""
-    kinds = {"featureSubsetStrategy": str, "minInstancesPerNode": int}
-    return {TRAINER_NAMES[k]: kinds.get(TRAINER_NAMES[k], lambda x: x)(v) for k, v in p.items()}
-
-
-def random_search(train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, space=None):
-    """Train each sampled setting, rate it on the holdout rows, best first.
+def random_search(
+    train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, space=None, early_stop=None, max_rows=TRIAL_ROWS,
+):
+    """Train each sampled setting, rate it on all holdout rows, best first.
 
-    ``space`` maps parameters to the values tried, the full search space by default. Trials follow one
-    another: each is a distributed job that fills the cluster.
+    ``space`` maps parameters to the values tried, the full search space by default. Trials are independent: each is a
+    task that trains on the same block of at most ``max_rows`` rows (a documented bound), and ends early on the
+    rows that ``early_stop`` marks. All holdout rows are scored by some models at a time, up to RATED_NODES.
     """
-    board = []
-    for i, p in enumerate(sample_params(trials, seed, space), 1):
-        model = train_classifier(train, features, label, seed=seed, **spark_params(p))
-        scored = score(model, holdout, features)
-        figures = {**evaluate.ranking(scored, label, "p").first().asDict(), **evaluate.at_threshold(scored, label, "p", 0.5).first().asDict()}
-        board.append((i, metric, float(figures[metric] or 0.0), float(figures["f1"]), float(figures["accuracy"]), json.dumps(p, sort_keys=True)))
-    table = train.sparkSession.createDataFrame(board, "trial int, score_metric string, score double, f1 double, accuracy double, params string")
-    return table.orderBy(F.desc("score"), "trial")
+    spark = train.sparkSession
+    points = sample_params(trials, seed, space)
+    if not points:
+        return spark.createDataFrame([], _BOARD)
+    path, _, model = boosting.prepare(train, features, label, watched=early_stop, max_rows=min(max_rows, boosting.BLOCK_ROWS))
+    done = boosting.trials(spark, path, len(features), 1, early_stop is not None, [boosting.of({"seed": seed, **p}) for p in points])
+    done = done.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = dict(done.mapValues(lambda r: sum(t[0].size for trees in r[0] for t in trees)).collect())
+    rows = holdout.select(label, *features).repartition(spark.sparkContext.defaultParallelism)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    board, held = [], {}
+
+    def rate():
+        """Figures of the held models, from one job that scores all holdout rows with each."""
+        rated = rows.select(F.col(label).cast("int").alias("y"), F.posexplode(F.array(*[
+            F.get(boosting.BoostedTrees(model.features, model.cuts, None, model.base, r).probability_column(), F.lit(0)) for r in held.values()
+        ])).alias("k", "p")).persist(StorageLevel.MEMORY_AND_DISK)
+        ranks = {r["k"]: r for r in evaluate.ranking(rated, "y", "p", by=["k"]).collect()}
+        marks = evaluate.confusion(rated.withColumn("hit", (F.col("p") >= 0.5).cast("int")), "y", "hit", ["k"])
+        marks = {r["k"]: r for r in marks.where("k is not null").collect()}
+        rated.unpersist()
+        for k, (i, rounds) in enumerate(held.items()):
+            figures = {**marks[k].asDict(), **ranks[k].asDict()}
+            board.append((
+                i + 1, metric, float(figures[metric] or 0.0), float(figures["f1"]), float(figures["accuracy"]),
+                len(rounds), json.dumps(points[i], sort_keys=True),
+            ))
+        held.clear()
+
+    for i, (rounds, _) in done.toLocalIterator():
+        if held and sum(sizes[j] for j in held) + sizes[i] > RATED_NODES:
+            rate()
+        held[i] = rounds
+    if held and not rows.isEmpty():
+        rate()
+    rows.unpersist()
+    done.unpersist()
+    return spark.createDataFrame(board, _BOARD).orderBy(F.desc("score"), "trial")
+
+
+_BOARD = "trial int, score_metric string, score double, f1 double, accuracy double, trees int, params string"
 
 
 def should_retrain(alerts: DataFrame, now_us, lookback_h=24, force=False):
