@@ -336,12 +336,18 @@ def shadow_comparison(spark, sf):
 
 @query(
     "promotion_decision",
-    """WITH m AS (SELECT grp, avg(CAST((p >= 0.5) = (y = 1) AS INT)) AS f1, avg(p) AS auc FROM scored GROUP BY 1), o AS (SELECT avg(f1) AS f1, avg(auc) AS auc FROM m)
-    SELECT grp, CASE WHEN m.f1 >= o.f1 OR (m.auc >= o.auc AND m.f1 >= 0.95 * o.f1) THEN 'swap' ELSE 'keep' END AS decision FROM m, o""",
+    """WITH g AS (SELECT grp, y, p FROM scored UNION ALL SELECT NULL, y, p FROM scored),
+    s AS (SELECT grp, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM g GROUP BY 1, 2),
+    t AS (SELECT *, sum(pos) OVER (PARTITION BY grp ORDER BY p DESC) AS tp FROM s),
+    a AS (SELECT grp, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, 2 * sum(pos) FILTER (p >= 0.5) / (sum(pos + neg) FILTER (p >= 0.5) + sum(pos)) AS f1 FROM t GROUP BY 1)
+    SELECT m.grp, CASE WHEN m.f1 >= o.f1 OR (m.auc >= o.auc AND m.f1 >= 0.95 * o.f1) THEN 'swap' ELSE 'keep' END AS decision
+    FROM a m, a o WHERE o.grp IS NULL AND m.grp IS NOT NULL""",
     over=["scored"],
 )
 def promotion_decision(spark, sf):
-    hit = ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")
-    new = views.scored(spark, sf).groupBy("grp").agg(F.avg(hit).alias("f1"), F.avg("p").alias("roc_auc"))
-    old = new.agg(F.avg("f1").alias("f1"), F.avg("roc_auc").alias("roc_auc"))
-    return models.promotion(new, old).select("grp", "decision")
+    """Each group's scores as a new model's, against those of all groups as the model's in use."""
+    rows = views.scored(spark, sf).withColumn("hit", (F.col("p") >= 0.5).cast("int"))
+    marks = evaluate.confusion(rows, "y", "hit", ["grp"]).select("grp", "f1")
+    ranks = evaluate.ranking(rows, "y", "p", by=["grp"]).select("grp", "roc_auc")
+    old = marks.where("grp is null").withColumn("roc_auc", evaluate.ranking(rows, "y", "p").select("roc_auc").scalar())
+    return models.promotion(marks.join(ranks, "grp"), old).select("grp", "decision")
