@@ -123,15 +123,10 @@ def baseline_stats(df: DataFrame, features):
     return one.withColumn("std", F.when(F.col("std") == 0, 1.0).otherwise(F.col("std")))
 
 
-def drift_alerts(
-    df: DataFrame, key, order, features, baseline: DataFrame,
-    window=500, z_at=3.0, min_features=4, cooldown_us=300_000_000, chunk_rows=ordered.CHUNK_ROWS,
+def drifted(
+    df: DataFrame, key, order, features, baseline: DataFrame, window=500, z_at=3.0, min_features=4, keep=(), chunk_rows=ordered.CHUNK_ROWS,
 ):
-    """Rows on which the rolling means left the baseline, at most one per cooldown.
-
-    ``baseline`` has one row per feature; its means and deviations enter the plan as
-    one scalar map, so nothing is joined.  ``order`` starts with a microsecond column.
-    """
+    """All rows on which the rolling means have left the baseline, with the names of the first ten features."""
     rows = numbered(df, key, order, chunk_rows)
     tie = order[-1]
     rows = ordered.rolling_range(
@@ -151,11 +146,23 @@ def drift_alerts(
         return F.abs(F.col(f"_sum_{f}") / F.col("_n") - base["mean"]) / std
 
     rows = rows.where(F.col("_n") >= max(50, min_features * 5))
-    rows = rows.select(key, *order, *[(z(f) >= z_at).alias(f"_z_{f}") for f in features])
+    rows = rows.select(key, *order, *keep, *[(z(f) >= z_at).alias(f"_z_{f}") for f in features])
     n_features = sum((F.col(f"_z_{f}").cast("int") for f in features), F.lit(0))
     rows = rows.withColumn("n_features", n_features).where(F.col("n_features") >= min_features)
     named = F.filter(F.array(*[F.when(F.col(f"_z_{f}"), F.lit(f)) for f in features]), lambda n: n.isNotNull())
-    rows = rows.select(
-        key, *order, "n_features", F.slice(named, 1, 10).alias("features"), F.lit(0.6).alias("confidence")
+    return rows.select(
+        key, *order, *keep, "n_features", F.slice(named, 1, 10).alias("features"), F.lit(0.6).alias("confidence")
     )
-    return ordered.keep_spaced(rows, [key], order[0], tie, cooldown_us, chunk_rows)
+
+
+def drift_alerts(
+    df: DataFrame, key, order, features, baseline: DataFrame,
+    window=500, z_at=3.0, min_features=4, cooldown_us=300_000_000, chunk_rows=ordered.CHUNK_ROWS,
+):
+    """Rows on which the rolling means left the baseline, at most one per cooldown.
+
+    ``baseline`` has one row per feature; its means and deviations enter the plan as
+    one scalar map, so nothing is joined.  ``order`` starts with a microsecond column.
+    """
+    rows = drifted(df, key, order, features, baseline, window, z_at, min_features, (), chunk_rows)
+    return ordered.keep_spaced(rows, [key], order[0], order[-1], cooldown_us, chunk_rows)

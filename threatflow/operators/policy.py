@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threatflow.functions import values as V
 from threatflow.plans import ordered
@@ -12,23 +13,39 @@ def policy_blocks(votes: DataFrame, key, order, vote="is_tp", interval=50, chunk
 
     Counting is split by hot keys; from here on the data is ``interval`` times smaller.
     """
+    return more_blocks(votes, key, order, None, vote, interval, chunk_rows)[0]
+
+
+def more_blocks(votes: DataFrame, key, order, counts, vote="is_tp", interval=50, chunk_rows=ordered.CHUNK_ROWS):
+    """Full blocks after those that ``counts`` (key, blocks, total, hits) tells of; left votes; counts after them."""
     rows = ordered.number_rows(votes.select(key, *order, vote), [key], order, "_rn", chunk_rows)
-    blocks = rows.groupBy(key, (F.floor((F.col("_rn") - 1) / interval) + 1).alias("block")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(vote).cast("long")).alias("_tp")
-    )
-    blocks = ordered.split_hot(blocks, [key], "block", chunk_rows)
-    blocks = ordered.carry(blocks, [key], ["block"], _total=("sum", "_n"), _hits=("sum", "_tp"))
+    rows = rows.withColumn("block", F.floor((F.col("_rn") - 1) / interval) + 1)
+    blocks = rows.groupBy(key, "block").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(vote).cast("long")).alias("_tp"))
+    full = blocks.where(F.col("_n") == interval)
+    rest = rows.join(blocks.where(F.col("_n") < interval), [key, "block"], "left_semi").select(key, *order, vote)
+    full = ordered.split_hot(full, [key], "block", chunk_rows)
+    full = ordered.carry(full, [key], ["block"], _total=("sum", "_n"), _hits=("sum", "_tp"))
+    if counts is not None:
+        full = full.join(counts, key, "left").withColumns({
+            "block": F.col("block") + F.coalesce("blocks", F.lit(0)),
+            "_total": F.col("_total") + F.coalesce("total", F.lit(0)),
+            "_hits": F.col("_hits") + F.coalesce("hits", F.lit(0)),
+        }).drop("blocks", "total", "hits")
+    after = full.groupBy(key).agg(F.max("block").alias("blocks"), F.max("_total").alias("total"), F.max("_hits").alias("hits"))
+    if counts is not None:
+        after = after.unionByName(counts.join(after, key, "left_anti"))
     attack = F.col("_hits") / F.col("_total")
     false = (F.col("_total") - F.col("_hits")) / F.col("_total")
 
     def bin5(rate):
         return F.least(F.lit(4), F.floor(rate * 5)).cast("int")
 
-    return blocks.where(F.col("_n") == interval).select(
+    out = full.select(
         key, "block", attack.alias("attack_rate"), false.alias("fp_rate"),
         bin5(attack).alias("attack_bin"), bin5(false).alias("fp_bin"),
         (attack - false * false).alias("reward"),
     )
+    return out, rest, after
 
 
 def _fold_partitions(df, groups, order, step, extra):
@@ -38,6 +55,7 @@ def _fold_partitions(df, groups, order, step, extra):
     """
     schema = T.StructType([*df.schema.fields, *extra])
     names = [f.name for f in extra]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in extra}
 
     def run(batches):
         current, state = object(), None
@@ -50,7 +68,7 @@ def _fold_partitions(df, groups, order, step, extra):
                 state, values = step(state, row)
                 for n, v in zip(names, values):
                     out[n].append(v)
-            arrays = [*batch.columns, *[pa.array(out[n]) for n in names]]
+            arrays = [*batch.columns, *[pa.array(out[n], kinds[n]) for n in names]]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     placed = df.repartition(*groups).sortWithinPartitions(*groups, *order)
@@ -75,29 +93,43 @@ def move_threshold(threshold, action, step=0.02, low=0.3, high=0.99):
     return threshold
 
 
-def policy_run(blocks: DataFrame, key, start=0.5, alpha=0.3, gamma=0.85, step=0.02, low=0.3, high=0.99):
+def policy_run(
+    blocks: DataFrame, key, start=0.5, alpha=0.3, gamma=0.85, step=0.02, low=0.3, high=0.99, values=None, thresholds=None
+):
     """Action, values and threshold after each block, without random exploration.
 
     The values of a state depend only on the visits to that state, so states of a key
     learn side by side; the threshold then follows the actions in block order.  Both
     are strictly sequential per key by definition, on one row per ``interval`` votes.
+    ``values`` (key, bins, q) and ``thresholds`` (key, threshold) say what was learnt before; column ``q`` is what
+    has been learnt of the state by now.
     """
+    at = [key, "attack_bin", "fp_bin"]
+    if values is None:
+        rows = blocks.withColumn("_q", F.lit(None).cast("array<double>"))
+    else:
+        rows = blocks.join(values.select(*at, F.col("q").alias("_q")), at, "left")
 
     def learn(q, row):
-        q, a = learn_step(q, row["reward"], alpha, gamma)
-        return q, (V.POLICY_ACTIONS[a], q[a])
+        q, a = learn_step(row["_q"] if q is None else q, row["reward"], alpha, gamma)
+        return q, (V.POLICY_ACTIONS[a], q[a], list(q))
 
     acted = _fold_partitions(
-        blocks, [key, "attack_bin", "fp_bin"], ["block"], learn,
-        [T.StructField("action", T.StringType()), T.StructField("q_value", T.DoubleType())],
-    )
+        rows, at, ["block"], learn,
+        [T.StructField("action", T.StringType()), T.StructField("q_value", T.DoubleType()), T.StructField("q", T.ArrayType(T.DoubleType()))],
+    ).drop("_q")
+    if thresholds is None:
+        acted = acted.withColumn("_from", F.lit(float(start)))
+    else:
+        acted = acted.join(thresholds.select(key, F.col("threshold").alias("_from")), key, "left")
+        acted = acted.withColumn("_from", F.coalesce("_from", F.lit(float(start))))
 
     def move(threshold, row):
-        old = start if threshold is None else threshold
+        old = row["_from"] if threshold is None else threshold
         new = move_threshold(old, row["action"], step, low, high)
         return new, (old, new)
 
     return _fold_partitions(
         acted, [key], ["block"], move,
         [T.StructField("old_threshold", T.DoubleType()), T.StructField("new_threshold", T.DoubleType())],
-    )
+    ).drop("_from")
