@@ -43,7 +43,7 @@ def rows(df, *cols):
 def run(feed, build, step, row_id="alert_id", delay=DELAY):
     done = inorder.run_in_order(feed(), build, step, "t", row_id=row_id, delay=delay)
     assert done.late().count() == 0
-    assert len(done._numbers("steps")) > 2
+    assert len(done._numbers("steps")) > 1
     return done.results()
 
 
@@ -92,7 +92,7 @@ def test_derived_alerts(spark, feed):
 
 
 def test_flow_features_on_timeout(spark, feed):
-    got = run(feed, views.as_flow_packets, steps.session_step(8.0), "packet_id", "2 minutes")  # the clock of flows is fast
+    got = run(feed, views.as_flow_packets, steps.session_step(8.0), "packet_id", "45 seconds")  # the clock of flows is fast
     want = ff.flow_features(views.flow_packets(spark, SF), 8.0, 1.0)
     assert len(got.columns) == 80 and rows(got) == rows(want) != []
 

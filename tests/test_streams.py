@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from threatflow.operators import baseline, correlate, flow_features as ff, policy, rate, respond
+from threatflow.operators import correlate, rate
 from threatflow.plans import views
 from threatflow.plans.session import shared_dir
-from threatflow.streaming import jobs, keyed
+from threatflow.streaming import jobs, scoring, upsert
 
 SF = "/root/testdata/sf0.001"
 DAY = 86_400
@@ -30,77 +30,6 @@ def rows(df, *cols):
     return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
 
 
-def test_rate(spark, feed):
-    cols = ("packet_id", "in_window", "packets_analyzed", "confidence")
-    args = dict(threshold=3, window_s=float(DAY))
-    got = jobs.run_to_end(jobs.rate_alerts(views.as_packets(feed()), **args), "t")
-    assert rows(got, *cols) == rows(rate.rate_alerts(views.packets(spark, SF), **args), *cols) != []
-
-
-def test_suppression(spark, feed):
-    got = jobs.run_to_end(jobs.suppress_repeats(views.as_alerts(feed()), "source_ip", 2 * DAY), "t")
-    want = respond.suppress_repeats(views.alerts(spark, SF), ["source_ip"], 2 * DAY)
-    assert rows(got, "alert_id") == rows(want, "alert_id") != []
-
-
-def test_kill_chains(spark, feed):
-    cols = ("trigger_id", "n_stages", "total_alerts")
-    got = jobs.run_to_end(jobs.kill_chains(views.as_alerts(feed()), DAY), "t")
-    assert rows(got, *cols) == rows(correlate.chain_alerts(views.alerts(spark, SF), DAY), *cols) != []
-
-
-def test_partners(spark, feed):
-    got = jobs.run_to_end(jobs.partner_counts(views.as_alerts(feed()), DAY / 2), "t")
-    per = got.groupBy("alert_id").agg(F.sum("partners").alias("partners"))
-    want = correlate.correlations(views.alerts(spark, SF), DAY / 2)
-    assert rows(per, "alert_id", "partners") == rows(want, "alert_id", "partners") != []
-
-
-def test_rolling(spark, feed):
-    a = dict(window=50, least=20)
-    got = jobs.run_to_end(jobs.adaptive_threshold(views.as_alerts(feed()), "location", "value", **a), "t")
-    got = got.withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))
-    want = baseline.adaptive_threshold(views.alerts(spark, SF), "location", ["ts_us", "alert_id"], "value", **a)
-    assert rows(got, "alert_id", "threshold", "is_anomaly") == rows(want, "alert_id", "threshold", "is_anomaly")
-
-
-def test_ewma(spark, feed):
-    cols = ["location", "n", "mean_size", "var_size"]
-    as_double = F.col("size").cast("double")
-    got = jobs.run_to_end(jobs.moving_baseline(views.as_packets(feed()).withColumn("size", as_double), "location", ["size"]), "t")
-    last = got.groupBy("location").agg(F.max_by(F.struct(*cols[1:]), "n").alias("s")).select("location", "s.*")
-    batch = views.packets(spark, SF).withColumn("size", as_double)
-    assert rows(last, *cols) == rows(baseline.moving_baseline(batch, "location", ["ts_us", "packet_id"], ["size"]), *cols)
-
-
-def test_policy(spark, feed):
-    vote = F.col("value") > 20
-    got = jobs.run_to_end(jobs.policy_decisions(views.as_alerts(feed()).withColumn("is_tp", vote), "location", 20), "t")
-    blocks = policy.policy_blocks(views.alerts(spark, SF).withColumn("is_tp", vote), "location", ["ts_us", "alert_id"], interval=20)
-    cols = ("location", "block", "action", "new_threshold")
-    assert rows(got, *cols) == rows(policy.policy_run(blocks, "location"), *cols) != []
-
-
-def test_flow_sessions(spark, feed):
-    got = jobs.run_to_end(jobs.flow_sessions(views.as_flow_packets(feed()), 8.0), "t")
-    want = ff.flow_features(views.flow_packets(spark, SF), 8.0, 1.0)
-    done = {(r["flow"], r["session_us"]): (r["packets"], r["bytes"]) for r in got.collect()}
-    full = {(r["flow"], r["session_us"]): (r["tot_fwd_pkts"] + r["tot_bwd_pkts"], r["totlen_fwd_pkts"] + r["totlen_bwd_pkts"]) for r in want.collect()}
-    last = {}
-    for flow, start in full:
-        last[flow] = max(last.get(flow, start), start)
-    # the newest session of a flow is still open in the stream
-    assert done == {k: v for k, v in full.items() if k[1] != last[k[0]]} != {}
-
-
-def test_restart_goes_on(spark, feed):
-    base = shared_dir(spark, "test-restart")
-    for _ in range(2):
-        got = jobs.run_to_end(jobs.suppress_repeats(views.as_alerts(feed()), "source_ip", 2 * DAY), "t", base)
-    want = respond.suppress_repeats(views.alerts(spark, SF), ["source_ip"], 2 * DAY)
-    assert rows(got, "alert_id") == rows(want, "alert_id")
-
-
 def test_store_is_idempotent(spark, feed):
     base = shared_dir(spark, "test-store")
     alerts = views.as_alerts(feed()).select("alert_id", "ts_us", "source_ip")
@@ -126,11 +55,94 @@ def test_late_rows_are_counted(spark):
     assert rows(out, "start_us", "n") == sorted(repr([h * hour, 1]) for h in (1, 2, 9, 10))
 
 
-def test_state_goes_with_the_watermark():
-    fold = keyed.refractory(10)
-    import pandas as pd
-
-    state, out = fold(None, pd.DataFrame({"ts_us": [0, 5, 10, 12]}))
-    assert (state, out["ts_us"].tolist()) == (10, [0, 10])
-    state, out = fold(state, pd.DataFrame({"ts_us": [19, 20]}))
-    assert (state, out["ts_us"].tolist()) == (20, [20])
+def test_joined_partners(spark, feed):
+    """The join of two streams counts what the rolling windows count; the file source alone leaves windows open."""
+    events = views.table(spark, SF, "events")
+    source = jobs.read_table(spark, f"{SF}/events.parquet")
+    got = jobs.run_closed(source, lambda e: jobs.joined_partners(views.as_alerts(e), DAY / 2), "t", stages=2)
+    want = correlate.correlations(views.as_alerts(events), DAY / 2).withColumn("attacks", F.array_join("attack_types", ","))
+    assert rows(got, "alert_id", "partners", "attacks") == rows(want, "alert_id", "partners", "attacks") != []
+
+
+def test_key_table_reads_a_base_and_the_changes_after_it(spark):
+    day = 86_400_000_000
+    base = shared_dir(spark, "test-keys")
+    table = upsert.KeyTable(spark, base, buckets=3, every=3, late_s=5 * 86_400)
+    kinds = "key string, ts_us long, deleted boolean, note int"
+
+    def change(*rows):
+        return spark.createDataFrame([(k, t * day, d, n) for k, t, d, n in rows], kinds)
+
+    batches = [
+        change(("a", 1, False, 1), ("b", 1, False, 2), ("a", 2, False, 3), (None, 1, False, 4)),
+        change(("b", 3, True, 5), ("c", 3, False, 6), ("c", 3, True, 7)),
+        change(("b", 2, False, 8), ("d", 9, False, 9)),
+        change(("e", 4, None, 10), ("a", 1, False, 11)),
+        change(("b", 10, False, 12)),
+    ]
+    assert table.current() is None
+    for number, batch in enumerate(batches):
+        for _ in range(2 if number in (1, 4) else 1):
+            table.apply(batch, number)  # twice, as after a lost executor
+    assert table._numbers("base") == [2] and table._numbers("changes") == [0, 1, 2, 3, 4]
+    folders = {f.rsplit("/part-", 1)[0].split(base)[1].split("/bucket")[0] for f in table._read().inputFiles()}
+    assert folders == {"/base/2", "/changes/3", "/changes/4"}
+    live = {r["key"]: r["note"] for r in table.current().collect()}
+    assert live == {"a": 3, "d": 9, "e": 10, "b": 12, None: 4}
+    # deletions older than what may still come have left the base
+    assert {r["key"] for r in spark.read.parquet(f"{base}/base/2").where("deleted").collect()} == set()
+    table.apply(batches[0], 0)
+    assert {r["key"]: r["note"] for r in table.current().collect()} == live
+    table.compact()
+    assert table._numbers("base") == [2, 4] and {r["key"]: r["note"] for r in table.current().collect()} == live
+
+
+def test_thresholds_have_versions(spark):
+    path = shared_dir(spark, "test-thresholds")
+    assert scoring.current_threshold(spark, path, "m") is None
+    assert [scoring.set_threshold(spark, path, "m", t) for t in (0.7, 0.2)] == [1, 2]
+    scoring.set_threshold(spark, path, "other", 0.9)
+    assert tuple(scoring.current_threshold(spark, path, "m")) == (2, "m", 0.5)
+
+
+def test_scores_in_a_stream_follow_the_threshold(spark):
+    from threatflow.operators import models
+
+    base = shared_dir(spark, "test-scores")
+    rows = spark.range(400).select(F.col("id").alias("packet_id"), (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 20 >= 15).cast("int").alias("y"))
+    model = models.train_classifier(rows, ["a"], n_estimators=8)
+    model.save(spark, f"{base}/model")
+    for part in (rows.where("packet_id < 200"), rows.where("packet_id >= 200")):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def run():
+        stream = jobs.read_table(spark, f"{base}/in", files_per_batch=1)
+        scoring.score_batches(stream, ["a"], f"{base}/model", f"{base}/thresholds", "m", f"{base}/alerts", f"{base}/checkpoint").awaitTermination()
+        return spark.read.parquet(f"{base}/alerts")
+
+    scoring.set_threshold(spark, f"{base}/thresholds", "m", 0.2)
+    want = models.classifier_alerts(models.score(model, rows, ["a"]), 0.5)
+    got = run()
+    assert rows_of(got) == rows_of(want) and got.count() == 100
+    scoring.set_threshold(spark, f"{base}/thresholds", "m", 0.999)
+    rows.withColumn("packet_id", F.col("packet_id") + 1000).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    assert run().where("version = 2").count() == 0 and run().count() == 100
+
+
+def rows_of(df):
+    return sorted((r["packet_id"], r["confidence"]) for r in df.collect())
+
+
+def test_histograms_merge(spark):
+    """Quantiles of merged histograms are those of the histogram of all rows, and lie in the right bucket."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    borders = [10, 25, 50, 75, 100]
+    parts = df.groupBy("k").agg(*rate.bucket_counts("v", borders))
+    merged = rate.merged_counts(parts, borders).select(rate.bucket_quantile(borders, 0.9).alias("q")).first()["q"]
+    whole = rate.histogram_quantile(df, "v", borders, 0.9).first()
+    exact = df.agg(F.percentile("v", 0.9)).first()[0]
+    assert merged == whole["quantile"] and whole["n"] == 1000 and abs(merged - exact) < 3
+    none = df.where("v < 0").agg(*rate.bucket_counts("v", borders)).select(rate.bucket_quantile(borders, 0.9).alias("q"))
+    assert none.first()["q"] is None
+    assert df.agg(rate.distinct_about(F.col("k").cast("string")).alias("n")).first()["n"] == 7
+    assert df.where("k < 0").agg(rate.distinct_about(F.col("k")).alias("n")).first()["n"] == 0

@@ -204,9 +204,28 @@ LEVELS = {"packet_rate": 80.0, "alert_rate": 20.0, "latency_p95": 100.0, "blocke
 ALARMS = [(name, metric, LEVELS[metric], severity) for name, metric, _, severity in V.ALARMS]
 
 
+#: Borders of the buckets that the alarms' latency is read from.
+VALUE_BORDERS = [20, 40, 60, 80, 90, 100, 110, 120, 150, 200, 500]
+
+
+def p95_sql(value, borders, q=0.95):
+    """The quantile by interpolation within a group, as in ``rate.bucket_quantile``."""
+    def upto(i):
+        return f"count(*) FILTER ({value} <= {borders[i]})" if i >= 0 else "0"
+
+    parts = []
+    for i, hi in enumerate(borders):
+        lo = borders[i - 1] if i else 0
+        inside = f"({upto(i)} - {upto(i - 1)})"
+        parts.append(
+            f"WHEN {upto(i)} >= count({value}) * {q} THEN {lo} + {hi - lo} * coalesce((count({value}) * {q} - {upto(i - 1)}) / nullif({inside}, 0), 0)"
+        )
+    return f"CASE WHEN count({value}) = 0 THEN NULL {' '.join(parts)} ELSE {borders[-1]} END"
+
+
 @query(
     "sustained_alarms",
-    f"""WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, quantile_cont(value, 0.95) AS latency_p95,
+    f"""WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, {p95_sql("value", VALUE_BORDERS)} AS latency_p95,
       count(DISTINCT src_ip) FILTER (event_type = 'error') AS blocked_ips, count(DISTINCT src_port) AS connections FROM packets GROUP BY 1),
     o AS ({" UNION ALL ".join(f"SELECT '{n}' AS alarm, '{sev}' AS severity, step FROM s WHERE {m} > {level}" for n, m, level, sev in ALARMS)}),
     r AS (SELECT *, step - row_number() OVER (PARTITION BY alarm ORDER BY step) AS run FROM o)
@@ -214,15 +233,16 @@ ALARMS = [(name, metric, LEVELS[metric], severity) for name, metric, _, severity
     over=["packets"],
 )
 def sustained_alarms(spark, sf):
+    """Runs of steps on which an alarm's metric stayed above its level; all metrics are sketches that merge."""
     steps = rate.per_step(
         views.packets(spark, sf), 21_600,
         F.count(F.lit(1)).alias("packet_rate"),
         F.count_if(F.col("event_type") == "click").alias("alert_rate"),
-        F.percentile("value", 0.95).alias("latency_p95"),
-        F.count_distinct(F.when(F.col("event_type") == "error", F.col("src_ip"))).alias("blocked_ips"),
-        F.count_distinct("src_port").alias("connections"),
+        *rate.bucket_counts("value", VALUE_BORDERS),
+        rate.distinct_about(F.when(F.col("event_type") == "error", F.col("src_ip"))).alias("blocked_ips"),
+        rate.distinct_about(F.col("src_port")).alias("connections"),
     )
-    return rate.sustained(steps, ALARMS, 3)
+    return rate.sustained(steps.withColumn("latency_p95", rate.bucket_quantile(VALUE_BORDERS, 0.95)), ALARMS, 3)
 
 
 @query(

@@ -78,12 +78,16 @@ def smote_rows(spark, sf):
 FEATURES = ["quantity", "price", "discount", "tax"]
 
 
-def labelled(spark, sf):
-    f = views.flows(spark, sf)
+def as_labelled(f):
+    """Flows with a label that the features tell, and the day."""
     y = (F.col("price") / F.col("quantity") + F.col("discount") * 3000 > 1600).cast("int")
     return f.select(F.col("flow_id").alias("row_id"), *FEATURES, y.alias("y"), F.substring("day", 1, 4).alias("_day"), "label")
 
 
+def labelled(spark, sf):
+    return as_labelled(views.flows(spark, sf))
+
+
 #: The labelled rows in SQL.
 ROWS = "l AS (SELECT flow_id, quantity, price, discount, tax, label, CAST(price / quantity + discount * 3000 > 1600 AS INT) AS y, substr(day, 1, 4) AS _day FROM flows)"
 COUNTS = "count(*) AS n_rows, count(*) FILTER (y = 1) AS positives, 0 AS dropped_rows, true AS well_ranked, true AS accurate"

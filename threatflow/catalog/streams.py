@@ -1,17 +1,17 @@
 """Streaming queries: the events file as a stream, run to its end.
 
-Each has the SQL of its batch twin. Windowed counts are closed at the end of the input, so
-no window is missing.
+Each has the SQL of its batch twin. Queries that need the order of time read the events from three files whose
+times overlap by up to five days, and within a file rows come in any order. All windows are closed at the end of the input.
 """
 
 from pyspark.sql import functions as F
 
-from threatflow.catalog import detect, learn, respond  # noqa: F401
+from threatflow.catalog import analytics, detect, learn, respond  # noqa: F401
 from threatflow.catalog.registry import SQL, query, rounded
 from threatflow.operators import baseline
 from threatflow.plans import views
 from threatflow.plans.session import shared_dir
-from threatflow.streaming import jobs
+from threatflow.streaming import inorder, jobs, scoring, steps, upsert
 
 DAY = 86_400
 HOUR_US = 3_600_000_000
@@ -25,8 +25,24 @@ def alerts(spark, sf):
     return views.as_alerts(events(spark, sf))
 
 
-def packets(spark, sf):
-    return views.as_packets(events(spark, sf))
+#: Files that the events come in, and the most that a row comes late by.
+FILES, DELAY = 3, "6 days"
+
+
+def arriving(spark, sf, place=None):
+    """The events as a stream of three files, one a micro-batch, out of order within and between them."""
+    base = shared_dir(spark, "arriving")
+    rows = views.table(spark, sf, "events")
+    part = F.least(F.lit(FILES - 1), F.floor((F.dayofmonth("ts") - 1 + F.col("event_id") % 5) / 12)) if place is None else place
+    rows = rows.withColumn("_part", part).orderBy(F.xxhash64("event_id"))
+    for i in range(FILES):
+        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(base)
+    return jobs.read_table(spark, base, files_per_batch=1)
+
+
+def in_order(spark, sf, build, step, name, row_id="alert_id", delay=DELAY):
+    """What a step gives for the arriving events; none of them is late."""
+    return inorder.run_in_order(arriving(spark, sf), build, step, name, row_id=row_id, delay=delay).results()
 
 
 @query(
@@ -51,22 +67,80 @@ def stream_sliding_counts(spark, sf):
 
 @query("stream_rate_alerts")
 def stream_rate_alerts(spark, sf):
-    out = jobs.run_to_end(jobs.rate_alerts(packets(spark, sf), threshold=4, window_s=float(DAY)), "rate")
+    step = steps.rate_step(4, float(DAY), keep_s=365.0 * DAY)
+    out = in_order(spark, sf, views.as_packets, step, "rate", "packet_id")
     return rounded(out.select("packet_id", "src_ip", "in_window", "packets_analyzed", "confidence"))
 
 
 SQL["stream_rate_alerts"] = SQL["rate_alerts"]
 
 
+@query("stream_request_limit")
+def stream_request_limit(spark, sf):
+    out = in_order(spark, sf, views.as_packets, steps.limit_step("src_ip", 2, 43_200), "limit", "packet_id")
+    return out.select("packet_id", "bucket", "allowed", "remaining", "reset_s")
+
+
+SQL["stream_request_limit"] = SQL["fixed_window_limit"]
+
+
+@query(
+    "stream_rate_metrics",
+    f"SELECT ts_us // {6 * HOUR_US} * {6 * HOUR_US} AS start_us, count(*) AS n, {analytics.p95_sql('value', analytics.VALUE_BORDERS)} AS p95 FROM packets GROUP BY 1",
+    over=["packets"],
+)
+def stream_rate_metrics(spark, sf):
+    """Rows and the 95th percentile per window, from histograms that merge."""
+    borders = analytics.VALUE_BORDERS
+    out = jobs.run_closed(
+        events(spark, sf), lambda e: jobs.rate_metrics(views.as_packets(e), "value", borders, "6 hours"), "metrics"
+    )
+    return out.select("start_us", "n", analytics.rate.bucket_quantile(borders, 0.95).alias("p95"))
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH t AS (SELECT ts_us, packet_id % 3 AS part FROM packets), w AS (SELECT part, max(max(ts_us)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t GROUP BY part)
+    SELECT part, count(*) FILTER (late) AS late_rows, count(*) FILTER (NOT late) AS rows_in_time FROM (
+      SELECT t.part, coalesce(ts_us <= (seen // 1000 - {20 * DAY * 1000}) * 1000, false) AS late FROM t JOIN w USING (part)) GROUP BY part""",
+    over=["packets"],
+)
+def stream_late_rows(spark, sf):
+    """Files that are spread over the whole time, with 20 days of patience: how many rows come too late in each."""
+    run = inorder.run_in_order(
+        arriving(spark, sf, F.col("event_id") % FILES), views.as_packets, lambda rows, carried, upto: (rows.select("packet_id"), {}), "late", delay="20 days"
+    )
+    late = run.late().select((F.col("id").cast("bigint") % FILES).alias("part"), F.lit(1).alias("late"))
+    kept = run.results().select((F.col("packet_id") % FILES).alias("part"), F.lit(0).alias("late"))
+    return late.unionByName(kept).groupBy("part").agg(
+        F.count_if(F.col("late") == 1).alias("late_rows"), F.count_if(F.col("late") == 0).alias("rows_in_time")
+    )
+
+
+@query("stream_flow_features")
+def stream_flow_features(spark, sf):
+    """The 78 features of each flow session, once its timeout has passed."""
+    step = steps.session_step(detect.TIMEOUT, detect.IDLE)
+    # the clock of these packets runs 20,000 times faster
+    return rounded(in_order(spark, sf, views.as_flow_packets, step, "features", "packet_id", "45 seconds"))
+
+
+SQL["stream_flow_features"] = SQL["flow_features"]
+
+
 @query(
     "stream_flow_sessions",
-    f"WITH {detect.FLOW_CTES}, t AS (SELECT flow, sid, min(session_us) AS session_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, max(ts_us) - min(ts_us) AS flow_duration, sid = max(sid) OVER (PARTITION BY flow) AS open FROM j GROUP BY flow, sid) "
-    "SELECT flow, session_us, packets, bytes, flow_duration FROM t WHERE NOT open",
+    f"WITH {detect.FLOW_CTES} SELECT flow, min(session_us) AS session_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, greatest(max(ts_us) - min(ts_us), 1) AS flow_duration FROM j GROUP BY flow, sid",
     over=["flow_packets"],
 )
 def stream_flow_sessions(spark, sf):
-    p = views.as_flow_packets(events(spark, sf))
-    return jobs.run_to_end(jobs.flow_sessions(p, detect.TIMEOUT), "flows")
+    """All sessions: packets, bytes and duration."""
+    step = steps.session_step(detect.TIMEOUT, detect.IDLE)
+    out = in_order(spark, sf, views.as_flow_packets, step, "flows", "packet_id", "45 seconds")
+    return out.select(
+        "flow", "session_us", (F.col("tot_fwd_pkts") + F.col("tot_bwd_pkts")).cast("bigint").alias("packets"),
+        (F.col("totlen_fwd_pkts") + F.col("totlen_bwd_pkts")).cast("bigint").alias("bytes"), "flow_duration",
+    )
 
 
 @query(
@@ -90,14 +164,15 @@ def stream_session_totals(spark, sf):
     over=["alerts"],
 )
 def stream_alert_dedup(spark, sf):
-    a = alerts(spark, sf).withColumn("key", F.concat("attack_type", "source_ip"))
-    return jobs.run_to_end(jobs.suppress_repeats(a, "key", 2 * DAY), "dedup").select("alert_id", "key")
+    def build(e):
+        return views.as_alerts(e).select("alert_id", "ts_us", F.concat("attack_type", "source_ip").alias("key"))
+
+    return in_order(spark, sf, build, steps.suppress_step(["key"], 2 * DAY), "dedup").select("alert_id", "key")
 
 
 @query("stream_adaptive_threshold")
 def stream_adaptive_threshold(spark, sf):
-    out = jobs.run_to_end(jobs.adaptive_threshold(alerts(spark, sf), "location", "value"), "adaptive")
-    out = out.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold")))
+    out = in_order(spark, sf, views.as_alerts, steps.threshold_step("location", "value"), "adaptive")
     return rounded(out.select("alert_id", "threshold", "is_anomaly"))
 
 
@@ -106,11 +181,9 @@ SQL["stream_adaptive_threshold"] = SQL["adaptive_threshold"]
 
 @query("stream_ewma_baseline")
 def stream_ewma_baseline(spark, sf):
-    p = packets(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("size", "payload_len")})
-    states = jobs.run_to_end(jobs.moving_baseline(p, "location", ["size", "payload_len"]), "ewma")
-    rest = [c for c in states.columns if c != "location"]
-    last = states.groupBy("location").agg(F.max_by(F.struct(*rest), "n").alias("s")).select("location", "s.*")
-    return rounded(last)
+    out = in_order(spark, sf, views.as_packets, steps.baseline_step("location", ["size", "payload_len"]), "ewma", "packet_id")
+    rest = [c for c in out.columns if c != "location"]
+    return rounded(out.groupBy("location").agg(F.max_by(F.struct(*rest), "n").alias("s")).select("location", "s.*"))
 
 
 SQL["stream_ewma_baseline"] = SQL["ewma_baseline"]
@@ -118,10 +191,10 @@ SQL["stream_ewma_baseline"] = SQL["ewma_baseline"]
 
 @query("stream_drift_alerts")
 def stream_drift_alerts(spark, sf):
-    stats = baseline.baseline_stats(views.packets(spark, sf), detect.DRIFT_FEATURES).collect()
-    base = {r["feature"]: (r["mean"], r["std"]) for r in stats}
-    p = packets(spark, sf).withColumns({c: F.col(c).cast("double") for c in detect.DRIFT_FEATURES})
-    return jobs.run_to_end(jobs.drift_alerts(p, "location", detect.DRIFT_FEATURES, base, 200, 0.08, 2, 7200.0), "drift")
+    stats = baseline.baseline_stats(views.packets(spark, sf), detect.DRIFT_FEATURES)
+    step = steps.drift_step("location", detect.DRIFT_FEATURES, stats, 200, 0.08, 2, 7200.0)
+    out = in_order(spark, sf, views.as_packets, step, "drift", "packet_id")
+    return out.select("location", "packet_id", "n_features", "confidence")
 
 
 SQL["stream_drift_alerts"] = SQL["drift_alerts"]
@@ -133,7 +206,18 @@ SQL["stream_drift_alerts"] = SQL["drift_alerts"]
     over=["alerts"],
 )
 def stream_kill_chains(spark, sf):
-    return jobs.run_to_end(jobs.kill_chains(alerts(spark, sf), respond.GAP), "chains")
+    out = in_order(spark, sf, views.as_alerts, steps.chain_step(respond.GAP), "chains")
+    return out.select("trigger_id", "source_ip", "n_stages", "total_alerts")
+
+
+@query("stream_derived_alerts")
+def stream_derived_alerts(spark, sf):
+    """Correlations of both sides and kill-chain alerts, the chain's first."""
+    out = in_order(spark, sf, views.as_alerts, steps.correlation_step(respond.WINDOW), "derived")
+    return rounded(out.select("event_id", "kind", "confidence"))
+
+
+SQL["stream_derived_alerts"] = SQL["derived_alerts"]
 
 
 @query(
@@ -143,14 +227,28 @@ def stream_kill_chains(spark, sf):
     over=["alerts"],
 )
 def stream_partner_counts(spark, sf):
-    return jobs.run_to_end(jobs.partner_counts(alerts(spark, sf), respond.WINDOW), "partners")
+    return in_order(spark, sf, views.as_alerts, steps.partner_step(respond.WINDOW), "partners")
+
+
+@query(
+    "stream_joined_partners",
+    f"WITH {respond.CORR} SELECT alert_id, partners, attacks FROM corr",
+    over=["alerts"],
+)
+def stream_joined_partners(spark, sf):
+    """Partners of both sides by a join of two watermarked streams."""
+    return jobs.run_closed(
+        events(spark, sf), lambda e: jobs.joined_partners(views.as_alerts(e), respond.WINDOW), "joined", stages=2
+    ).select("alert_id", "partners", "attacks")
 
 
 @query("stream_policy_decisions")
 def stream_policy_decisions(spark, sf):
     vote = ~F.col("attack_type").isin("Anomaly", "Port Scanning") | (F.col("alert_id") % 4 == 0)
-    v = alerts(spark, sf).withColumn("is_tp", vote)
-    return rounded(jobs.run_to_end(jobs.policy_decisions(v, "location"), "policy"))
+    out = in_order(
+        spark, sf, lambda e: views.as_alerts(e).select("alert_id", "ts_us", "location", vote.alias("is_tp")), steps.policy_step("location"), "policy"
+    )
+    return rounded(out.select("location", "block", "action", "new_threshold"))
 
 
 SQL["stream_policy_decisions"] = SQL["policy_run"]
@@ -166,34 +264,64 @@ def stream_alert_store(spark, sf):
 
 @query("stream_blocklist")
 def stream_blocklist(spark, sf):
-    from threatflow.operators.respond import latest_per_key
-
+    """Live entries of a table of keys that three micro-batches of changes went into."""
     base = shared_dir(spark, "stream-blocks")
-    rows = alerts(spark, sf).where("event_type = 'error'").select(
+    table = upsert.KeyTable(spark, f"{base}/blocked", buckets=4, every=2)
+    rows = views.as_alerts(arriving(spark, sf)).where("event_type = 'error'").select(
         F.col("source_ip").alias("key"), "ts_us", (F.col("ts_us") + 2 * respond.DAY_US).alias("expires_us"),
         (F.col("alert_id") % 4 == 0).alias("deleted"),
     )
-    jobs.store_batches(rows, f"{base}/changes", f"{base}/checkpoint").awaitTermination()
-    return latest_per_key(spark.read.parquet(f"{base}/changes").drop("batch")).select("key", "ts_us", "expires_us")
+    table.run(rows, f"{base}/checkpoint").awaitTermination()
+    return table.current().select("key", "ts_us", "expires_us")
 
 
 SQL["stream_blocklist"] = SQL["blocklist_latest"]
 
 
-@query("stream_ingest")
+@query(
+    "stream_classifier_alerts",
+    f"WITH {learn.ROWS} SELECT count(*) AS n_rows, count(*) FILTER (y = 1) AS attacks, true AS about_as_many, true AS as_in_batch FROM l",
+    over=["flows"],
+)
+def stream_classifier_alerts(spark, sf):
+    """Flows scored as a stream by a saved model, against the alerts of the same model in a batch."""
+    from threatflow.operators import models, prep
+
+    base = shared_dir(spark, "stream-scores")
+    rows = learn.labelled(spark, sf).withColumnRenamed("row_id", "packet_id")
+    model = models.train_classifier(rows, learn.FEATURES, scaler=prep.fit_scaler(rows, learn.FEATURES))
+    model.save(spark, f"{base}/model")
+    scoring.set_threshold(spark, f"{base}/thresholds", "attacks", 0.2)
+    flows = learn.as_labelled(views.as_flows(jobs.read_table(spark, f"{sf}/lineitem.parquet"))).withColumnRenamed("row_id", "packet_id")
+    scoring.score_batches(
+        flows, learn.FEATURES, f"{base}/model", f"{base}/thresholds", "attacks", f"{base}/alerts", f"{base}/checkpoint"
+    ).awaitTermination()
+    told = spark.read.parquet(f"{base}/alerts").select("packet_id", "confidence")
+    whole = models.classifier_alerts(models.score(model, rows, learn.FEATURES), 0.5).select("packet_id", "confidence")
+    other = told.exceptAll(whole).count() + whole.exceptAll(told).count()
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("attacks")).select(
+        "n_rows", "attacks",
+        (F.abs(F.col("attacks") - told.count()) <= F.col("n_rows") * 0.02).alias("about_as_many"),
+        F.lit(other == 0).alias("as_in_batch"),
+    )
+
+
+@query(
+    "stream_ingest",
+    "SELECT event_id // 600 * 600 AS start_s, event_id % 6 IN (1, 2) AS alert, count(*) AS n FROM events WHERE event_id % 6 < 4 GROUP BY 1, 2",
+)
 def stream_ingest(spark, sf):
+    """Messages read and counted per ten minutes of their time, all windows closed."""
     from threatflow.catalog.tables import MESSAGE
     from threatflow.sources import messages
 
-    raw = events(spark, sf).select(F.expr(MESSAGE).alias("value"))
-    parsed = messages.normalize(messages.parse_messages(raw))
-    late = parsed.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", "10 minutes")
-    out = late.groupBy(F.window("event_time", "10 minutes"), F.col("attack_types").isNotNull().alias("alert")).agg(F.count(F.lit(1)).alias("n"))
-    out = out.select(F.unix_seconds("window.start").alias("start_s"), "alert", "n")
-    return jobs.run_to_end(out, "ingest")
-
+    def build(e):
+        # the closing row has no event, so its message is written here
+        end = F.lit('{"timestamp": 4102444800, "src_ip": "0.0.0.0"}')
+        raw = e.select(F.when(F.col("event_id").isNull(), end).otherwise(F.expr(MESSAGE)).alias("value"))
+        parsed = messages.normalize(messages.parse_messages(raw))
+        timed = parsed.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", "10 minutes")
+        out = timed.groupBy(F.window("event_time", "10 minutes"), F.col("attack_types").isNotNull().alias("alert")).agg(F.count(F.lit(1)).alias("n"))
+        return out.select(F.unix_seconds("window.start").alias("start_s"), "alert", "n")
 
-SQL["stream_ingest"] = (
-    "SELECT event_id // 600 * 600 AS start_s, event_id % 6 IN (1, 2) AS alert, count(*) AS n FROM events WHERE event_id % 6 < 4 GROUP BY 1, 2 "
-    "HAVING start_s + 600 <= (SELECT max(event_id) - 600 FROM events WHERE event_id % 6 < 4)"
-)
+    return jobs.run_closed(events(spark, sf), build, "ingest")

@@ -72,28 +72,48 @@ def trailing_rate(rows: DataFrame, by, now_us, span_s=3600, n=10):
     return counts.orderBy(F.desc("rate"), by).limit(n)
 
 
+def bucket_counts(value, borders):
+    """Aggregates of a histogram of fixed buckets: how many values are up to each border (``b0`` and on), and how many at all (``n_values``).
+
+    Histograms merge by adding; they take constant space, in batches, over steps and in streams.
+    """
+    return [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(borders)] + [F.count(value).alias("n_values")]
+
+
+def bucket_quantile(borders, q):
+    """Quantile read off such a histogram's columns, linear inside the bucket it falls into; null without values.
+
+    Beyond the last border it is that border.
+    """
+    rank = F.col("n_values") * q
+    result = F.lit(float(borders[-1]))
+    for i in reversed(range(len(borders))):
+        below = F.col(f"b{i - 1}") if i else F.lit(0)
+        lower = float(borders[i - 1]) if i else 0.0
+        inside = F.col(f"b{i}") - below
+        at = F.lit(lower) + (borders[i] - lower) * F.when(inside > 0, (rank - below) / inside).otherwise(0.0)
+        result = F.when(F.col(f"b{i}") >= rank, at).otherwise(result)
+    return F.when(F.col("n_values") > 0, result)
+
+
+def merged_counts(histograms: DataFrame, borders, by=()):
+    """Histograms added up per ``by``."""
+    return histograms.groupBy(*by).agg(*[F.sum(c).alias(c) for c in [*[f"b{i}" for i in range(len(borders))], "n_values"]])
+
+
+def distinct_about(value):
+    """How many different values there are, from a sketch of fixed size that merges (exact for some hundred)."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(value, F.lit(14))), F.lit(0))
+
+
 def latency_histogram(df: DataFrame, value, buckets, by=()):
     """Cumulative bucket counts: one row per bound, +Inf as NULL, zero counts included."""
-    bounds = F.array(*[F.lit(float(b)) for b in buckets], F.lit(None).cast("double"))
-    counts = df.groupBy(*by).agg(
-        *[F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(buckets)],
-        F.count(value).alias("_all"),
-    )
-    pairs = [F.struct(bounds[i].alias("le"), F.col(f"_b{i}").alias("n")) for i in range(len(buckets))]
-    pairs.append(F.struct(bounds[len(buckets)].alias("le"), F.col("_all").alias("n")))
+    counts = df.groupBy(*by).agg(*bucket_counts(value, buckets))
+    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(buckets)]
+    pairs.append(F.struct(F.lit(None).cast("double").alias("le"), F.col("n_values").alias("n")))
     return counts.select(*by, F.explode(F.array(*pairs)).alias("p")).select(*by, "p.le", "p.n")
 
 
 def histogram_quantile(df: DataFrame, value, buckets, q):
-    """Quantile read off the histogram, linear inside the bucket it falls into."""
-    counts = [F.count_if(F.col(value) <= b) for b in buckets]
-    one = df.agg(*[c.alias(f"b{i}") for i, c in enumerate(counts)], F.count(value).alias("n"))
-    rank = F.col("n") * q
-    result = F.lit(float(buckets[-1]))
-    for i in reversed(range(len(buckets))):
-        below = F.col(f"b{i - 1}") if i else F.lit(0)
-        lower = float(buckets[i - 1]) if i else 0.0
-        inside = F.col(f"b{i}") - below
-        at = F.lit(lower) + (buckets[i] - lower) * F.when(inside > 0, (rank - below) / inside).otherwise(0.0)
-        result = F.when(F.col(f"b{i}") >= rank, at).otherwise(result)
-    return one.select("n", F.when(F.col("n") > 0, result).alias("quantile"))
+    """Quantile read off the histogram of all rows."""
+    return df.agg(*bucket_counts(value, buckets)).select(F.col("n_values").alias("n"), bucket_quantile(buckets, q).alias("quantile"))

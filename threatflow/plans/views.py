@@ -124,6 +124,10 @@ def as_flow_packets(events):
     return _view(events, FLOW_PACKETS)
 
 
+def as_flows(lineitem):
+    return _view(lineitem, FLOWS)
+
+
 def packets(spark, sf_dir):
     return _view(table(spark, sf_dir, "events"), PACKETS)
 

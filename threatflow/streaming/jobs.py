@@ -4,12 +4,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatflow.functions import values as V
+from threatflow.operators import rate
 from threatflow.operators.flow_features import with_flow_key
-from threatflow.operators.lookup import stage_of
-from threatflow.operators.policy import learn_step, move_threshold
 from threatflow.plans.session import shared_dir
-from threatflow.streaming import keyed
 
 SECOND = 1_000_000
 
@@ -46,23 +43,29 @@ def run_to_end(stream: DataFrame, name, base=None):
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_closed(source: DataFrame, build, name):
+def run_closed(source: DataFrame, build, name, stages=1):
     """Process what there is and close all windows: ``build`` makes the query from the source.
 
     A first run reads the source. Then a row of the year 2100, all else NULL, comes in through a folder of
     its own, and a second run from the same checkpoint moves the watermark past every real window. The
-    window of that row stays open, so it never shows.
+    window of that row stays open, so it never shows. A query of several ``stages`` with state needs as many
+    such rows, since each stage learns of the watermark one micro-batch after the one before it.
     """
     spark = source.sparkSession
     base = shared_dir(spark, f"stream-{name}")
     beats = f"{base}/beats"
-    late = [F.lit("2100-01-01 00:00:00" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in source.schema]
-    beat = spark.range(1).select(*late)
-    beat.limit(0).write.parquet(beats)
+
+    def beat(year):
+        late = [F.lit(f"{year}-01-01 00:00:00" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in source.schema]
+        return spark.range(1).select(*late)
+
+    beat(2100).limit(0).write.parquet(beats)
     stream = source.unionByName(spark.readStream.schema(source.schema).parquet(beats))
-    run_to_end(build(stream), name, base)
-    beat.write.mode("append").parquet(beats)
-    return run_to_end(build(stream), name, base)
+    out = run_to_end(build(stream), name, base)
+    for stage in range(stages):
+        beat(2100 + stage).write.mode("append").parquet(beats)
+        out = run_to_end(build(stream), name, base)
+    return out
 
 
 def late_rows(query):
@@ -73,10 +76,15 @@ def late_rows(query):
 # ------------------------------------------------------------------- queries
 
 
+def with_event_time(rows: DataFrame, delay="10 minutes"):
+    """Add ``event_time`` from ``ts_us`` and let rows be late by ``delay``."""
+    return rows.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
+
+
 def tumbling_counts(rows: DataFrame, by, width="1 hour", delay="10 minutes"):
     """Rows per window and label, each window once it is closed."""
     win = F.window("event_time", width)
-    return keyed.with_event_time(rows, delay).groupBy(win, *by).agg(F.count(F.lit(1)).alias("n")).select(
+    return with_event_time(rows, delay).groupBy(win, *by).agg(F.count(F.lit(1)).alias("n")).select(
         F.unix_micros("window.start").alias("start_us"), *by, "n"
     )
 
@@ -84,98 +92,66 @@ def tumbling_counts(rows: DataFrame, by, width="1 hour", delay="10 minutes"):
 def sliding_counts(rows: DataFrame, key, width="10 seconds", step="1 second", delay="10 minutes"):
     """Bucketed rate per source: cheap, mergeable, and split before the shuffle."""
     win = F.window("event_time", width, step)
-    return keyed.with_event_time(rows, delay).groupBy(win, key).agg(F.count(F.lit(1)).alias("n")).select(
+    return with_event_time(rows, delay).groupBy(win, key).agg(F.count(F.lit(1)).alias("n")).select(
         F.unix_micros("window.start").alias("start_us"), key, "n"
     )
 
 
-def rate_alerts(packets: DataFrame, key="src_ip", threshold=100, window_s=10.0, delay="10 minutes"):
-    """Exact rate detector with the times of the window as state."""
-    rows = keyed.with_event_time(packets.select(key, "packet_id", "ts_us"), delay)
-    fold = keyed.sliding_count(key, "packet_id", int(window_s * SECOND), threshold)
-    schema = f"{key} string, packet_id bigint, ts_us bigint, in_window bigint, packets_analyzed bigint, confidence double"
-    return keyed.run_fold(rows, key, fold, schema, ("ts_us", "packet_id"))
-
-
-def flow_sessions(packets: DataFrame, timeout_s=120.0, delay="10 minutes"):
-    """Flow sessions, each when a later packet of the flow shows that it ended."""
-    rows = with_flow_key(packets).select("flow", "packet_id", "ts_us", "size")
-    schema = "flow string, session_us bigint, packets bigint, bytes bigint, flow_duration bigint"
-    return keyed.run_fold(
-        keyed.with_event_time(rows, delay), "flow", keyed.flow_session(int(timeout_s * SECOND)), schema, ("ts_us", "packet_id")
-    )
-
-
 def session_totals(packets: DataFrame, timeout="120 seconds", delay="10 minutes"):
     """Mergeable flow totals with Spark's own session window, once the session is closed."""
-    rows = keyed.with_event_time(with_flow_key(packets), delay)
+    rows = with_event_time(with_flow_key(packets), delay)
     return rows.groupBy(F.session_window("event_time", timeout), "flow").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"), F.min("ts_us").alias("session_us"),
         (F.max("ts_us") - F.min("ts_us")).alias("flow_duration"),
     ).drop("session_window")
 
 
-def suppress_repeats(alerts: DataFrame, key, window_s=30.0, delay="10 minutes"):
-    """Refractory suppression; state goes once the window has passed."""
-    rows = keyed.with_event_time(alerts.select(key, "alert_id", "ts_us"), delay)
-    schema = f"{key} string, alert_id bigint, ts_us bigint, event_time timestamp"
-    return keyed.run_fold(
-        rows, key, keyed.refractory(int(window_s * SECOND)), schema, ("ts_us", "alert_id"), keep_s=window_s
-    ).drop("event_time")
-
-
-def adaptive_threshold(scores: DataFrame, key, score, window=500, quantile=0.01, least=200, delay="10 minutes"):
-    rows = keyed.with_event_time(scores.select(key, "alert_id", "ts_us", score), delay)
-    fold = keyed.rolling_quantile(key, "alert_id", score, window, quantile, least)
-    schema = f"{key} string, alert_id bigint, threshold double, is_anomaly boolean"
-    return keyed.run_fold(rows, key, fold, schema, ("ts_us", "alert_id"))
-
-
-def moving_baseline(packets: DataFrame, key, features, alpha=0.05, delay="10 minutes"):
-    rows = keyed.with_event_time(packets.select(key, "packet_id", "ts_us", *features), delay)
-    schema = f"{key} string, n bigint, " + ", ".join(f"mean_{f} double, var_{f} double" for f in features)
-    return keyed.run_fold(rows, key, keyed.moving_average(key, features, alpha), schema, ("ts_us", "packet_id"))
-
+def request_limits(requests: DataFrame, key, limit=100, width="60 seconds", delay="10 minutes"):
+    """Requests and how many were refused per key and window: the counting half of the request limit."""
+    return tumbling_counts(requests, [key], width, delay).select(
+        "start_us", key, F.col("n").alias("requests"), F.greatest(F.col("n") - limit, F.lit(0)).alias("refused")
+    )
 
-def drift_alerts(packets: DataFrame, key, features, baseline, window=500, z_at=3.0, min_features=4, cooldown_s=300.0, delay="10 minutes"):
-    rows = keyed.with_event_time(packets.select(key, "packet_id", "ts_us", *features), delay)
-    fold = keyed.drift(key, "packet_id", features, baseline, window, z_at, min_features, int(cooldown_s * SECOND))
-    schema = f"{key} string, packet_id bigint, n_features int, confidence double"
-    return keyed.run_fold(rows, key, fold, schema, ("ts_us", "packet_id"))
 
+def rate_metrics(rows: DataFrame, value, borders, width="5 minutes", delay="10 minutes"):
+    """Per window the rows, and how many values lie in each bucket of a histogram (see ``rate.bucket_counts``)."""
+    win = F.window("event_time", width)
+    return with_event_time(rows, delay).groupBy(win).agg(
+        F.count(F.lit(1)).alias("n"), *rate.bucket_counts(value, borders)
+    ).withColumn("start_us", F.unix_micros("window.start")).drop("window")
 
-def kill_chains(alerts: DataFrame, window_s=300.0, delay="10 minutes"):
-    rows = alerts.withColumn("stage", stage_of(F.col("attack_types"))).where(F.col("stage").isNotNull())
-    rows = keyed.with_event_time(rows.select("source_ip", "alert_id", "ts_us", "stage"), delay)
-    schema = "source_ip string, trigger_id bigint, n_stages int, total_alerts bigint"
-    return keyed.run_fold(
-        rows, "source_ip", keyed.kill_chain(int(window_s * SECOND)), schema, ("ts_us", "alert_id"), keep_s=window_s
-    )
 
+def joined_partners(alerts: DataFrame, window_s=300.0, delay="10 minutes"):
+    """Correlation partners by a join of the alerts with themselves within an interval, both sides united.
 
-def partner_counts(alerts: DataFrame, window_s=300.0, delay="10 minutes"):
-    """Correlation partners by source and by target, one row per alert and side."""
+    Earlier alerts of the same source or the same target join each alert while the watermarks of both sides
+    allow it; then partners are counted and their types united per alert. Every pair is a row in between: for
+    bursts ``steps.correlation_step`` counts without pairs.
+    """
+    span = int(window_s * SECOND)
     sides = F.array(
         F.struct(F.lit("source").alias("side"), F.col("source_ip").alias("ip")),
         F.struct(F.lit("target").alias("side"), F.col("dest_ip").alias("ip")),
     )
-    rows = alerts.select("alert_id", "ts_us", "attack_type", F.explode(sides).alias("s")).select(
-        "alert_id", "ts_us", "attack_type", "s.side", F.concat_ws("|", "s.side", "s.ip").alias("key")
-    )
-    schema = "alert_id bigint, side string, partners bigint, attacks string"
-    return keyed.run_fold(
-        keyed.with_event_time(rows, delay), "key", keyed.partners(int(window_s * SECOND)), schema,
-        ("ts_us", "alert_id"), keep_s=window_s,
+    base = alerts.select("alert_id", "ts_us", "attack_type", F.explode(sides).alias("s"))
+    # alerts without an address stay, for the watermark, under a key of their own
+    alone = F.concat(F.lit("#"), F.coalesce(F.col("alert_id").cast("string"), F.lit("")))
+    base = base.select("alert_id", "ts_us", "attack_type", "s.side", F.coalesce(F.nullif("s.ip", F.lit("")), alone).alias("ip"))
+
+    def half(p):
+        named = base.select(*[F.col(c).alias(f"{p}_{c}") for c in base.columns])
+        return named.withColumn(f"{p}_at", F.timestamp_micros(f"{p}_ts_us")).withWatermark(f"{p}_at", delay)
+
+    near = F.expr(f"b_at <= a_at AND b_at >= a_at - INTERVAL {span} MICROSECONDS")
+    earlier = (F.col("b_ts_us") > F.col("a_ts_us") - span) & (F.struct("b_ts_us", "b_alert_id") < F.struct("a_ts_us", "a_alert_id"))
+    pairs = half("a").join(half("b"), (F.col("a_side") == F.col("b_side")) & (F.col("a_ip") == F.col("b_ip")) & near & earlier)
+    return pairs.groupBy("a_at", F.col("a_alert_id").alias("alert_id"), F.col("a_attack_type").alias("attack_type")).agg(
+        F.count(F.lit(1)).alias("partners"), F.collect_set("b_attack_type").alias("types")
+    ).select(
+        "alert_id", "partners", F.array_join(F.array_sort(F.array_distinct(F.concat(F.array("attack_type"), "types"))), ",").alias("attacks")
     )
 
 
-def policy_decisions(votes: DataFrame, key, interval=50, delay="10 minutes"):
-    rows = keyed.with_event_time(votes.select(key, "alert_id", "ts_us", "is_tp"), delay)
-    schema = f"{key} string, block bigint, action string, new_threshold double"
-    fold = keyed.policy(key, learn_step, move_threshold, V.POLICY_ACTIONS, interval)
-    return keyed.run_fold(rows, key, fold, schema, ("ts_us", "alert_id"))
-
-
 # --------------------------------------------------------------------- sinks
 
 

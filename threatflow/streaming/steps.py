@@ -137,6 +137,27 @@ def drift_step(key, features, stats, window=500, z_at=3.0, min_features=4, coold
     return step
 
 
+def _open_chains(known, steps_of, upto, gap, row_id):
+    """Ids of the alerts that belong to a chain that still may go on."""
+    alive = steps_of.groupBy("source_ip", "chain_us").agg(F.max("ts_us").alias("_last")).where(F.col("_last") >= upto - gap)
+    return steps_of.join(alive, ["source_ip", "chain_us"], "left_semi").select(row_id)
+
+
+def chain_step(window_s=300.0, row_id="alert_id"):
+    """K1 and K2 in a stream: kill-chain alerts. Carried are the alerts of chains that still may go on."""
+    gap = int(window_s * SECOND)
+
+    def step(rows, carried, upto):
+        both = _with_tail(rows, carried.get("tail"))
+        known = both.drop("_fresh")
+        fresh = both.where("_fresh").select(F.col(row_id).alias("trigger_id"))
+        out = correlate.chain_alerts(known, window_s).join(fresh, "trigger_id", "left_semi")
+        alive = _open_chains(known, correlate.chain_steps(known, window_s), upto, gap, row_id)
+        return out, {"tail": known.join(alive, row_id, "left_semi")}
+
+    return step
+
+
 def correlation_step(window_s=300.0, row_id="alert_id"):
     """J5, K1 to K3 in a stream: correlations by source and by target, kill-chain alerts, and the chain's precedence.
 
@@ -149,11 +170,30 @@ def correlation_step(window_s=300.0, row_id="alert_id"):
         known = both.drop("_fresh")
         fresh = both.where("_fresh").select(F.col(row_id).alias("event_id"))
         out = correlate.derived_alerts(known, window_s).join(fresh, "event_id", "left_semi")
-        steps = correlate.chain_steps(known, window_s)
-        alive = steps.groupBy("source_ip", "chain_us").agg(F.max("ts_us").alias("_last")).where(F.col("_last") >= upto - gap)
-        open_ids = steps.join(alive, ["source_ip", "chain_us"], "left_semi").select(row_id)
+        alive = _open_chains(known, correlate.chain_steps(known, window_s), upto, gap, row_id)
         recent = known.where(F.col("ts_us") > upto - gap).select(row_id)
-        return out, {"tail": known.join(recent.union(open_ids).distinct(), row_id, "left_semi")}
+        return out, {"tail": known.join(recent.union(alive).distinct(), row_id, "left_semi")}
+
+    return step
+
+
+def partner_step(window_s=300.0):
+    """J5 by side in a stream: earlier alerts of the same source or target, counted, with their types united."""
+    span = int(window_s * SECOND)
+
+    def step(rows, carried, upto):
+        sides = F.array(
+            F.struct(F.lit("source").alias("side"), F.col("source_ip").alias("ip")),
+            F.struct(F.lit("target").alias("side"), F.col("dest_ip").alias("ip")),
+        )
+        rows = rows.select("alert_id", "ts_us", "attack_type", F.explode(sides).alias("s"))
+        rows = rows.select("alert_id", "ts_us", "attack_type", "s.side", "s.ip").where("ip <> ''")
+        both = _with_tail(rows, carried.get("tail"))
+        out = ordered.rolling_range(
+            both, ["side", "ip"], "ts_us", span, "alert_id", closed=False, n=("count", None), types=("set", "attack_type")
+        ).where(F.col("_fresh") & (F.col("n") > 1))
+        out = out.select("alert_id", "side", (F.col("n") - 1).alias("partners"), F.array_join("types", ",").alias("attacks"))
+        return out, {"tail": both.where(F.col("ts_us") > upto - span).drop("_fresh")}
 
     return step
 
