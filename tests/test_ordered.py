@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from threatflow.plans import ordered
 
 CHUNKS = [3, 1_000_000]
@@ -64,11 +66,14 @@ def test_number_rows(spark, chunk):
         assert [got[r[2]] for r in part] == list(range(1, len(part) + 1))
 
 
+@pytest.mark.parametrize("chunk", CHUNKS)
 @pytest.mark.parametrize("closed", [True, False])
-def test_rolling_range(spark, closed):
+def test_rolling_range(spark, closed, chunk):
     rows = sample(3)
+    # a flood: many rows of the hot key at one instant
+    rows += [("hot", 300, 1000 + i, i % 4 or None) for i in range(120)]
     res = ordered.rolling_range(
-        frame(spark, rows), ["k"], "t", 20, "id", closed=closed,
+        frame(spark, rows), ["k"], "t", 20, "id", closed=closed, chunk_rows=chunk,
         n=("count", None), s=("sum", "v"), lo=("min", "v"), hi=("max", "v"), vs=("set", "v"),
     ).collect()
     assert len(res) == len(rows)
@@ -82,6 +87,44 @@ def test_rolling_range(spark, closed):
             assert g.vs == sorted(set(vs))
 
 
+def test_no_task_of_a_rolling_window_holds_a_flood(spark):
+    """99 of 100 rows of one key in one instant: no task of the windows gets more than twice the chunk."""
+    rows = [("hot", 500 if i % 100 else i // 100, i, 1) for i in range(4000)]
+    chunk, seen = 250, []
+    split = ordered.split_hot
+
+    def watched(df, keys, order, chunk_rows):
+        out = split(df, keys, order, chunk_rows)
+        seen.append(out)
+        return out
+
+    ordered.split_hot = watched
+    try:
+        res = ordered.rolling_range(frame(spark, rows), ["k"], "t", 100, "id", chunk_rows=chunk, n=("count", None))
+    finally:
+        ordered.split_hot = split
+    sizes = [r["count"] for r in seen[0].groupBy("k", "_block", "_chunk").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 2 * chunk
+    got = {r.id: r.n for r in res.collect()}
+    line = sorted(rows, key=lambda r: (r[1], r[2]))
+    assert all(got[r[2]] == sum(1 for x in line[: i + 1] if r[1] - x[1] <= 100) for i, r in enumerate(line[::37]) for i in [line.index(r)])
+
+
+@pytest.mark.parametrize("chunk", [30, 1_000_000])
+def test_newest_and_union(spark, chunk):
+    rows = sample(7)
+    df = frame(spark, rows).withColumn("vs", F.array(F.coalesce("v", F.lit(9)), F.col("id") % 3))
+    df = ordered.split_hot(df, ["k"], ["t", "id"], chunk)
+    assert ("_chunk" in df.columns) == (chunk < 100)
+    res = ordered.carry(df, ["k"], ["t", "id"], last=("newest", "id"), types=("union", "vs")).collect()
+    got = {r.id: (r["last"], r.types) for r in res}
+    assert len(got) == len(rows)
+    for part in grouped(rows).values():
+        for i, r in enumerate(part):
+            want = sorted({x for q in part[: i + 1] for x in (9 if q[3] is None else q[3], q[2] % 3)})
+            assert got[r[2]] == ([q[2] for q in part[max(0, i - 19) : i + 1]], want)
+
+
 def greedy(part, gap):
     kept, last = [], None
     for r in part:

@@ -127,10 +127,10 @@ def drifted(
     df: DataFrame, key, order, features, baseline: DataFrame, window=500, z_at=3.0, min_features=4, keep=(), chunk_rows=ordered.CHUNK_ROWS,
 ):
     """All rows on which the rolling means have left the baseline, with the names of the first ten features."""
-    rows = numbered(df, key, order, chunk_rows)
+    rows, hot = ordered.numbered(df, [key], order, "rn", chunk_rows)
     tie = order[-1]
     rows = ordered.rolling_range(
-        rows, [key], "rn", window - 1, tie, **{f"_sum_{f}": ("sum", f) for f in features},
+        rows, [key], "rn", window - 1, tie, chunk_rows=chunk_rows, hot=hot, **{f"_sum_{f}": ("sum", f) for f in features},
         _n=("count", None),
     )
     table = baseline.agg(

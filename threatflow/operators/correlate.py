@@ -10,7 +10,7 @@ SECOND = 1_000_000
 STAGE_NAMES = list(V.STAGES)
 
 
-def correlations(alerts: DataFrame, window_s=300.0):
+def correlations(alerts: DataFrame, window_s=300.0, chunk_rows=ordered.CHUNK_ROWS):
     """Alerts with at least one earlier partner of the same source or target.
 
     A partner is an earlier alert less than ``window_s`` old; one that shares source
@@ -25,7 +25,7 @@ def correlations(alerts: DataFrame, window_s=300.0):
     rows = known
     for side, key in (("src", "source_ip"), ("dst", "dest_ip")):
         rows = ordered.rolling_range(
-            rows, [key], "ts_us", span, "alert_id", closed=False,
+            rows, [key], "ts_us", span, "alert_id", closed=False, chunk_rows=chunk_rows,
             **{
                 f"_{side}_n": ("count", None),
                 f"_{side}_types": ("set", "attack_type"),
@@ -57,6 +57,11 @@ def staged(alerts: DataFrame):
 
 
 def chain_steps(alerts: DataFrame, window_s=300.0, chunk_rows=ordered.CHUNK_ROWS):
+    """Staged alerts with the start of their chain, the stages so far and ``nth`` per source; see ``_steps``."""
+    return _steps(alerts, window_s, chunk_rows).drop("_chunk")
+
+
+def _steps(alerts, window_s, chunk_rows):
     """Staged alerts with the start of their chain, the stages so far and ``nth`` per source.
 
     A chain of a source ends after more than ``window_s`` without a staged alert.  A
@@ -90,32 +95,25 @@ def chain_steps(alerts: DataFrame, window_s=300.0, chunk_rows=ordered.CHUNK_ROWS
         rows.withColumn("stages", F.filter(here, lambda s: s.isNotNull()))
         .withColumn("n_stages", F.size("stages"))
         .withColumn("first_of_stage", F.col("_new") | ~seen_before)
-        .drop("_one", "_prev", "_new", "_chunk", *last, *before)
+        .drop("_one", "_prev", "_new", *last, *before)
     )
 
 
-def chain_alerts(alerts: DataFrame, window_s=300.0, least=3, newest=20, chunk_rows=ordered.CHUNK_ROWS):
+def chain_alerts(alerts: DataFrame, window_s=300.0, least=3, chunk_rows=ordered.CHUNK_ROWS):
     """One alert each time a chain reaches three or more stages, or one more.
 
-    A chain gives at most five alerts, so joining them back to its steps multiplies
-    no row more than five times; the ids kept are the newest twenty.
+    What an alert tells of its chain so far (alerts per stage, types, the ids of the newest twenty) are running values
+    of the chain, so the alerts are read off its steps and nothing is joined back.
     """
-    steps = chain_steps(alerts, window_s, chunk_rows)
-    hits = steps.where(F.col("first_of_stage") & (F.col("n_stages") >= least)).select(
-        "source_ip", "chain_us", F.col("alert_id").alias("trigger_id"), F.col("ts_us").alias("at_us"),
-        F.col("nth").alias("_upto"), "n_stages", F.col("stages").alias("chain_stages"),
+    keys, order = ["source_ip", "chain_us"], ["ts_us", "alert_id"]
+    rows = _steps(alerts, window_s, chunk_rows).withColumn("_one", F.lit(1).cast("long"))
+    counts = {f"n_{s}": ("sum", F.when(F.col("stage_ord") == i, 1).otherwise(0).cast("long")) for i, s in enumerate(STAGE_NAMES, 1)}
+    rows = ordered.carry(
+        rows, keys, order, total_alerts=("sum", "_one"), attacks=("union", "attack_types"), correlated_events=("newest", "alert_id"), **counts
     )
-    parts = steps.select("source_ip", "chain_us", "alert_id", "nth", "stage_ord", "attack_types")
-    joined = parts.join(hits, ["source_ip", "chain_us"]).where(F.col("nth") <= F.col("_upto"))
-    recent = F.when(F.col("nth") > F.col("_upto") - newest, F.struct("nth", "alert_id"))
-    out = joined.groupBy("source_ip", "chain_us", "trigger_id").agg(
-        F.first("at_us").alias("at_us"),
-        F.first("n_stages").alias("n_stages"),
-        F.first("chain_stages").alias("stages"),
-        F.count(F.lit(1)).alias("total_alerts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("attack_types")))).alias("attacks"),
-        *[F.count_if(F.col("stage_ord") == i).alias(f"n_{s}") for i, s in enumerate(STAGE_NAMES, 1)],
-        F.array_sort(F.collect_list(recent))["alert_id"].alias("correlated_events"),
+    out = rows.where(F.col("first_of_stage") & (F.col("n_stages") >= least)).select(
+        "source_ip", "chain_us", F.col("alert_id").alias("trigger_id"), F.col("ts_us").alias("at_us"), "n_stages", "stages",
+        "total_alerts", "attacks", *counts, "correlated_events",
     )
     share = F.col("n_stages") / len(STAGE_NAMES)
     return (
@@ -141,7 +139,7 @@ def derived_alerts(alerts: DataFrame, window_s=300.0, chunk_rows=ordered.CHUNK_R
         F.col("trigger_id").alias("event_id"), F.lit("kill_chain").alias("kind"), "source_ip",
         (F.col("confidence") / 100).alias("confidence"), "action",
     )
-    pairs = correlations(source, window_s).select(
+    pairs = correlations(source, window_s, chunk_rows).select(
         F.col("alert_id").alias("event_id"), F.lit("correlation").alias("kind"), "source_ip", "confidence", "action"
     )
     pairs = pairs.join(chains.select("event_id"), "event_id", "left_anti")

@@ -252,7 +252,7 @@ def flow_features(
     ])
 
 
-def packet_features(packets: DataFrame, window_s=1.0):
+def packet_features(packets: DataFrame, window_s=1.0, chunk_rows=ordered.CHUNK_ROWS):
     """17 features per packet over the packets of its flow in the last ``window_s``."""
     span = int(window_s * SECOND)
     rows = with_flow_key(packets)
@@ -275,9 +275,11 @@ def packet_features(packets: DataFrame, window_s=1.0):
             f"min{s}": ("min", f"_size{s}"), f"max{s}": ("max", f"_size{s}"), f"head{s}": ("sum", f"_head{s}"),
             f"t0{s}": ("min", f"_at{s}"), f"t1{s}": ("max", f"_at{s}"),
         }
-    # one row per flow, so a hot flow is split by the skew-join rule on its packet side
-    first = rows.groupBy("flow").agg(F.min_by("side", F.struct("ts_us", "packet_id")).alias("_first"))
-    rows = ordered.rolling_range(rows, ["flow"], "ts_us", span, "packet_id", **aggs).join(first, "flow")
+    order = ["ts_us", "packet_id"]
+    rows = ordered.split_hot(rows, ["flow"], order, chunk_rows)
+    hot = "_chunk" in rows.columns
+    rows = ordered.carry(rows, ["flow"], order, _first=("first", "side")).drop("_chunk")
+    rows = ordered.rolling_range(rows, ["flow"], "ts_us", span, "packet_id", chunk_rows=chunk_rows, hot=hot, **aggs)
 
     def fwd(name):
         return F.when(F.col("_first") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))

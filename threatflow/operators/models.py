@@ -14,10 +14,10 @@ from threatflow.plans import ordered
 SECOND = 1_000_000
 
 
-def model_health(drift: DataFrame, key, window_s=3600, red_at=3, tie="alert_id"):
+def model_health(drift: DataFrame, key, window_s=3600, red_at=3, tie="alert_id", chunk_rows=ordered.CHUNK_ROWS):
     """Per drift alert the alerts in the trailing window, a colour and the retrain trigger."""
     rows = ordered.rolling_range(
-        drift, [key], "ts_us", window_s * SECOND, tie, closed=False, recent=("count", None)
+        drift, [key], "ts_us", window_s * SECOND, tie, closed=False, chunk_rows=chunk_rows, recent=("count", None)
     )
     yellow = max(1, red_at // 2)
     health = F.when(F.col("recent") >= red_at, "red").when(F.col("recent") >= yellow, "yellow").otherwise("green")

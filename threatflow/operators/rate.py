@@ -1,7 +1,6 @@
 """Rate detection, top talkers, fixed-window limits and sustained conditions."""
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from threatflow.plans import ordered
 
@@ -11,9 +10,9 @@ SECOND = 1_000_000
 def rate_alerts(packets: DataFrame, threshold=100, window_s=10.0, key="src_ip", chunk_rows=ordered.CHUNK_ROWS):
     """Packets whose source sent at least ``threshold`` in the window up to them."""
     rows = packets.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, "ts_us", "packet_id")
-    rows = ordered.number_rows(rows, [key], ["ts_us", "packet_id"], "packets_analyzed", chunk_rows)
+    rows, hot = ordered.numbered(rows, [key], ["ts_us", "packet_id"], "packets_analyzed", chunk_rows)
     rows = ordered.rolling_range(
-        rows, [key], "ts_us", int(window_s * SECOND), "packet_id", in_window=("count", None)
+        rows, [key], "ts_us", int(window_s * SECOND), "packet_id", chunk_rows=chunk_rows, hot=hot, in_window=("count", None)
     )
     over = F.col("in_window") - threshold
     return rows.where(over >= 0).withColumn("confidence", F.least(F.lit(0.95), 0.60 + over * 0.05))
@@ -24,17 +23,16 @@ def top_sources(rows: DataFrame, n=5, key="src_ip"):
     return counts.orderBy(F.desc("hits"), key).limit(n)
 
 
-def rate_limit(requests: DataFrame, key, limit=100, window_s=60, tie="packet_id"):
+def rate_limit(requests: DataFrame, key, limit=100, window_s=60, tie="packet_id", chunk_rows=ordered.CHUNK_ROWS):
     """Per request: allowed or not, what remains, and when the window ends.
 
-    Requests count per key and window, so a busy key spreads over its windows.
+    Requests count per key and window; a window of too many requests is numbered in chunks.
     """
     width = window_s * SECOND
-    bucket = F.floor(F.col("ts_us") / width)
-    nth = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("ts_us", tie))
+    rows = requests.withColumn("bucket", F.floor(F.col("ts_us") / width))
+    rows = ordered.number_rows(rows, [key, "bucket"], ["ts_us", tie], "nth", chunk_rows)
     return (
-        requests.withColumn("bucket", bucket)
-        .withColumn("nth", nth)
+        rows.withColumn("nth", F.col("nth").cast("int"))
         .withColumn("allowed", F.col("nth") <= limit)
         .withColumn("remaining", F.greatest(F.lit(limit) - F.col("nth"), F.lit(0)))
         .withColumn("reset_s", F.floor(F.col("ts_us") / SECOND) + window_s)

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from threatflow.functions import verdicts
 from threatflow.operators.lookup import playbook_of
 from threatflow.plans import ordered
+from threatflow.plans.session import written
 
 SECOND = 1_000_000
 
@@ -25,7 +26,8 @@ def incidents(alerts: DataFrame, cooldown_s=60.0, chunk_rows=ordered.CHUNK_ROWS)
         alerts.withColumn("primary", primary)
         .withColumn("_key", F.concat_ws("|", F.coalesce("source_ip", F.lit("unknown")), "primary"))
     )
-    rows = suppress_repeats(rows, ["_key"], cooldown_s, chunk_rows=chunk_rows).withColumn("_one", F.lit(0))
+    # numbering looks for hot keys first; written, so that this does not suppress all over again
+    rows = written(suppress_repeats(rows, ["_key"], cooldown_s, chunk_rows=chunk_rows)).withColumn("_one", F.lit(0))
     rows = ordered.number_rows(rows, ["_one"], ["ts_us", "alert_id"], "seq", chunk_rows)
     rows = rows.withColumn("playbook", playbook_of(F.col("primary")))
 

@@ -31,6 +31,9 @@ CHUNK_ROWS = 1_000_000
 SAMPLED = 64
 COLD = -1
 FIGURES = {"sum": F.sum, "max": F.max, "min": F.min}
+# Rows whose values ``newest`` carries.
+NEWEST = 20
+
 
 
 def split_hot(df: DataFrame, keys, order, chunk_rows=CHUNK_ROWS):
@@ -106,6 +109,8 @@ def carry(df: DataFrame, keys, order, **specs):
     * ``prior`` last non-NULL value before this row
     * ``first`` first non-NULL value up to and with this row
     * ``sum`` / ``max`` / ``min``  running figure with this row
+    * ``union`` the different elements of an array column so far, sorted
+    * ``newest`` values of the last NEWEST rows with this one, oldest first
     """
     split = "_chunk" in df.columns
     inner = Window.partitionBy(*parts(df, keys)).orderBy(*order)
@@ -123,6 +128,13 @@ def carry(df: DataFrame, keys, order, **specs):
         elif kind in ("last", "prior"):
             local[name] = F.last(col, True).over(upto if kind == "last" else before)
             summary.append(F.max_by(col, F.when(col.isNotNull(), position)).alias(f"_s_{name}"))
+        elif kind == "union":
+            local[name] = F.flatten(F.collect_set(col).over(upto))
+            summary.append(F.array_distinct(F.flatten(F.collect_set(col))).alias(f"_s_{name}"))
+        elif kind == "newest":
+            local[name] = F.collect_list(F.struct(col.alias("v"))).over(inner.rowsBetween(1 - NEWEST, 0))
+            # the last row of a chunk has what the next chunk needs
+            summary.append(F.max_by(F.col(f"_l_{name}"), position).alias(f"_s_{name}"))
         elif kind == "first":
             local[name] = F.first(col, True).over(upto)
             summary.append(F.min_by(col, F.when(col.isNotNull(), position)).alias(f"_s_{name}"))
@@ -134,13 +146,22 @@ def carry(df: DataFrame, keys, order, **specs):
 
     if split:
         # One row per chunk of a hot key; cold keys have no summary at all.
-        chunks = df.where(F.col("_chunk") >= 0).groupBy(*keys, "_chunk").agg(*summary)
+        source = out if any(kind == "newest" for kind, _ in specs.values()) else df
+        chunks = source.where(F.col("_chunk") >= 0).groupBy(*keys, "_chunk").agg(*summary)
         earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        recent = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-NEWEST, -1)
         fold = {**FIGURES, "first": lambda c: F.first(c, True)}
-        entry = [
-            fold.get(kind, lambda c: F.last(c, True))(F.col(f"_s_{name}")).over(earlier).alias(f"_e_{name}")
-            for name, (kind, _) in specs.items()
-        ]
+
+        def entered_with(name, kind):
+            col = F.col(f"_s_{name}")
+            if kind == "union":
+                return F.flatten(F.collect_list(col).over(earlier))
+            if kind == "newest":
+                # a chunk has a row at least, so no more chunks are needed than rows
+                return F.flatten(F.collect_list(col).over(recent))
+            return fold.get(kind, lambda c: F.last(c, True))(col).over(earlier)
+
+        entry = [entered_with(name, kind).alias(f"_e_{name}") for name, (kind, _) in specs.items()]
         # the windows came first, so the join finds its rows partitioned already
         out = out.join(chunks.select(*keys, "_chunk", *entry), [*keys, "_chunk"], "left")
 
@@ -155,30 +176,45 @@ def carry(df: DataFrame, keys, order, **specs):
                 value = (F.greatest if kind == "max" else F.least)(value, entered)
             elif kind == "first":
                 value = F.coalesce(entered, value)
+            elif kind in ("union", "newest"):
+                value = F.coalesce(F.concat(entered, value), value)
             else:
                 value = F.coalesce(value, entered)
-        values.append((value["v"] if kind == "lag" else value).alias(name))
+        if kind == "lag":
+            value = value["v"]
+        elif kind == "union":
+            value = F.array_sort(F.array_distinct(value))
+        elif kind == "newest":
+            value = F.slice(value, F.greatest(F.size(value) - NEWEST, F.lit(0)) + 1, NEWEST)["v"]
+        values.append(value.alias(name))
     return out.select(*[F.col(c) for c in df.columns], *values)
 
 
 def number_rows(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS):
     """``row_number()`` per key."""
+    return numbered(df, keys, order, out, chunk_rows)[0]
+
+
+def numbered(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS):
+    """``row_number()`` per key, and whether a key is hot."""
     rows = split_hot(df, keys, order, chunk_rows).withColumn("_one", F.lit(1).cast("long"))
-    return carry(rows, keys, order, **{out: ("sum", "_one")}).drop("_one", "_chunk")
+    return carry(rows, keys, order, **{out: ("sum", "_one")}).drop("_one", "_chunk"), "_chunk" in rows.columns
 
 
-def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, **aggs):
+def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, chunk_rows=CHUNK_ROWS, hot=True, **aggs):
     """Aggregates over the rows with ``at`` in [t - span, t] up to the current row.
 
     Time is cut into blocks as long as the window, so a window is the end of the
     block before plus the start of its own block.  Every row is sent to its own
     block and, moved on by ``span``, to the next one.  There one growing window
     runs backwards over the moved rows and one forwards over the own rows.  So the
-    cost does not depend on how many rows a window holds, and a hot key spreads
-    over as many tasks as it has blocks.
+    cost does not depend on how many rows a window holds. A hot key spreads over its
+    blocks, and a block of too many rows, even of one instant, is cut into chunks of rows: each chunk then
+    gets the figures of the own rows before it and of the moved rows after it.
 
     ``aggs`` are ``name=(kind, column)`` with kind sum, min, max, count or set.
-    With ``closed=False`` rows exactly ``span`` old are left out.
+    With ``closed=False`` rows exactly ``span`` old are left out. ``hot=False`` says that no key
+    is hot (see ``split_hot``), which saves the search for hot blocks.
     """
     block = F.floor(F.col(at) / F.lit(span)).cast("long")
     used = {c for _, c in aggs.values() if c is not None} | {*keys, at, tie}
@@ -192,33 +228,57 @@ def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, **aggs):
         (block + F.col("_moved")).alias("_block"),
         (F.col(at) + F.col("_moved") * F.lit(span)).alias("_at"),
     )
-    side = Window.partitionBy(*keys, "_block")
-    moved_first = F.col("_moved").desc() if closed else F.col("_moved").asc()
-    back = side.orderBy(F.col("_at").desc(), moved_first).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = side.orderBy("_at", "_moved", tie).rowsBetween(Window.unboundedPreceding, 0)
+    # at one instant, moved rows come after the own ones if they count for these, else before
+    rows = rows.withColumn("_side", F.col("_moved") if closed else 1 - F.col("_moved"))
+    group, order = [*keys, "_block"], ["_at", "_side", tie]
+    if hot:
+        rows = split_hot(rows, group, order, chunk_rows)
+    within = Window.partitionBy(*parts(rows, group))
+    back = within.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     kinds = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.sum, "set": F.collect_set}
 
-    def part(kind, col, moved, frame):
+    def part(kind, col, moved):
         value = F.lit(1).cast("long") if kind == "count" and col is None else F.col(col)
         if kind == "count" and col is not None:
             value = F.when(value.isNotNull(), F.lit(1).cast("long"))
-        return kinds[kind](F.when(F.col("_moved") == moved, value)).over(frame)
+        return kinds[kind](F.when(F.col("_moved") == moved, value))
 
-    rows = rows.select("*", *[part(k, c, 1, back).alias(f"_b_{n}") for n, (k, c) in aggs.items()])
-    rows = rows.select("*", *[part(k, c, 0, ahead).alias(f"_a_{n}") for n, (k, c) in aggs.items()])
-    rows = rows.where(F.col("_moved") == 0)
-    for name, (kind, _) in aggs.items():
-        b, a = F.col(f"_b_{name}"), F.col(f"_a_{name}")
+    def both(kind, x, y):
         if kind in ("sum", "count"):
-            value = F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-        elif kind == "set":
-            value = F.array_sort(F.array_union(a, b))
-        else:
-            value = (F.least if kind == "min" else F.greatest)(a, b)
-        rows = rows.withColumn(name, value)
-    return rows.drop(
-        "_moved", "_block", "_at", *[f"_b_{n}" for n in aggs], *[f"_a_{n}" for n in aggs]
-    )
+            return F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+        if kind == "set":
+            return F.array_sort(F.array_union(F.coalesce(x, y), F.coalesce(y, x)))
+        return (F.least if kind == "min" else F.greatest)(x, y)
+
+    plain = rows
+    rows = rows.select("*", *[part(k, c, 1).over(back).alias(f"_b_{n}") for n, (k, c) in aggs.items()])
+    rows = rows.select("*", *[part(k, c, 0).over(ahead).alias(f"_a_{n}") for n, (k, c) in aggs.items()])
+    if "_chunk" in plain.columns:
+        # one row per chunk of a hot block
+        whole = plain.where(F.col("_chunk") >= 0).groupBy(*group, "_chunk").agg(*[
+            part(k, c, m).alias(f"_{m}_{n}") for n, (k, c) in aggs.items() for m in (0, 1)
+        ])
+        past = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy(*group).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+        def gathered(kind, col, frame):
+            if kind == "set":
+                return F.array_distinct(F.flatten(F.collect_list(col).over(frame)))
+            return kinds[kind](F.col(col)).over(frame)
+
+        entry = whole.select(
+            *group, "_chunk", *[gathered(k, f"_0_{n}", past).alias(f"_ea_{n}") for n, (k, _) in aggs.items()],
+            *[gathered(k, f"_1_{n}", later).alias(f"_eb_{n}") for n, (k, _) in aggs.items()],
+        )
+        rows = rows.join(entry, [*group, "_chunk"], "left")
+        for name, (kind, _) in aggs.items():
+            for s in "ab":
+                rows = rows.withColumn(f"_{s}_{name}", both(kind, F.col(f"_{s}_{name}"), F.col(f"_e{s}_{name}")))
+    rows = rows.where(F.col("_moved") == 0)
+    return rows.select(*df.columns, *[
+        both(kind, F.col(f"_b_{name}"), F.col(f"_a_{name}")).alias(name) for name, (kind, _) in aggs.items()
+    ])
 
 
 def halo_blocks(df: DataFrame, number, back, block_rows):

@@ -45,6 +45,16 @@ def _local_base(master):
     return tempfile.mkdtemp(prefix="threatflow-")
 
 
+def written(df):
+    """The table as Parquet in the shared folder, read from there; removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "written")
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
