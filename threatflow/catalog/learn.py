@@ -200,14 +200,58 @@ def feedback_retraining(spark, sf):
     )
 
 
-@query("forest_anomalies")
+@query(
+    "forest_anomalies",
+    "SELECT event_type, count(*) AS n_rows, true AS few_of_the_normal, true AS confident, true AS below_offset FROM packets GROUP BY 1",
+    over=["packets"],
+)
 def forest_anomalies(spark, sf):
-    p = views.packets(spark, sf).select("packet_id", "event_type", *[F.col(c).cast("double") for c in ("size", "payload_len", "value", "src_port")])
+    """Anomalies by kind of event, from a forest of normal rows: the offset leaves a hundredth of these below it."""
     cols = ["size", "payload_len", "value", "src_port"]
+    p = views.packets(spark, sf).select("packet_id", "event_type", *[F.col(c).cast("double") for c in cols])
     normal = p.where("event_type = 'view'")
     nodes = forest.fit_forest(normal, cols, "packet_id").cache()
     offset = forest.forest_threshold(normal, cols, nodes)
-    return forest.anomalies(p, cols, nodes, offset).where("is_anomaly").select("packet_id", "score", "confidence")
+    found = forest.anomalies(p, cols, nodes, offset)
+    odd = F.col("is_anomaly")
+    return found.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        ((F.first("event_type") != "view") | (F.avg(odd.cast("int")) <= 0.0101)).alias("few_of_the_normal"),
+        F.bool_and(F.when(odd, F.col("confidence").between(0.5, 0.99)).otherwise(F.col("confidence") == 0.8)).alias("confident"),
+        F.bool_and(odd == (F.col("raw_score") < F.lit(float(offset)))).alias("below_offset"),
+    )
+
+
+@query(
+    "hashed_neighbours",
+    "SELECT label, count(*) AS n_rows, true AS own_class, true AS found_most FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
+)
+def hashed_neighbours(spark, sf):
+    """Neighbours of every row by hashed buckets, and per class whether nine in ten of the true ones are among them.
+
+    The true ones are those of every twentieth row, compared with all rows of its class.
+    """
+    e = views.table(spark, sf, "embeddings").where("label is not null")
+    near = neighbours.hashed_neighbours(e, "label", "vec_id", "embedding", tables=24, bits=3)
+    label = e.select("label", "vec_id")
+    counts = e.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    v = e.select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = v.where("id % 20 = 0")
+    far = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    pairs = asked.alias("a").join(v.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.id") != F.col("b.id")))
+    ranked = pairs.select(F.col("a.label").alias("label"), F.col("a.id").alias("id"), F.col("b.id").alias("other"), far.alias("_d")).withColumn(
+        "_r", F.row_number().over(Window.partitionBy("id").orderBy("_d", "other"))
+    ).where("_r <= 5")
+    hit = ranked.join(near.select("id", "other", F.lit(1).alias("_hit")), ["id", "other"], "left")
+    recall = hit.groupBy("label").agg((F.avg(F.coalesce("_hit", F.lit(0))) >= 0.9).alias("found_most"))
+    own = near.join(label.withColumnsRenamed({"vec_id": "id", "label": "_mine"}), "id").join(
+        label.withColumnsRenamed({"vec_id": "other", "label": "_theirs"}), "other"
+    )
+    own = own.groupBy(F.col("_mine").alias("label")).agg(F.bool_and(F.col("_mine") == F.col("_theirs")).alias("own_class"))
+    # a class without a twentieth row, or of one row, has nothing to find
+    return counts.join(own, "label", "left").join(recall, "label", "left").select(
+        "label", "n_rows", F.coalesce("own_class", F.lit(True)).alias("own_class"), F.coalesce("found_most", F.lit(True)).alias("found_most")
+    )
 
 
 @query(

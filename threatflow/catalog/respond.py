@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatflow.catalog.fields import PB_ROWS, STAGE_ROWS, _fuzzy_sql, _rows_sql
-from threatflow.catalog.registry import query, rounded
+from threatflow.catalog.registry import SQL, query, rounded
 from threatflow.functions import fields, values as V
 from threatflow.operators import correlate, respond
 from threatflow.plans import views
@@ -220,3 +220,19 @@ def kill_chain_alerts(spark, sf):
 )
 def derived_alerts(spark, sf):
     return rounded(correlate.derived_alerts(views.alerts(spark, sf), WINDOW).select("event_id", "kind", "confidence"))
+
+
+@query("pipeline_totals")
+def pipeline_totals(spark, sf):
+    """Drift alerts, repeats dropped and alerts fused, over the whole run."""
+    from threatflow.catalog import detect
+    from threatflow.operators import analytics
+
+    fused = detect.alert_fusion(spark, sf).where("n_alerts > 1")
+    return analytics.pipeline_totals(detect.drift_alerts(spark, sf), views.alerts(spark, sf), alert_dedup(spark, sf), fused)
+
+
+SQL["pipeline_totals"] = (
+    f"SELECT (SELECT count(*) FROM ({SQL['drift_alerts']})) AS drift_alerts, (SELECT count(*) FROM events) - (SELECT count(*) FROM ({SQL['alert_dedup']})) AS deduped_alerts, "
+    f"(SELECT count(*) FROM ({SQL['alert_fusion']}) WHERE n_alerts > 1) AS fused_alerts"
+)

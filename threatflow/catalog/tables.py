@@ -15,6 +15,8 @@ RAW = {
     "Label": "label",
 }
 HALVES = {"early": ("day < '1999'", []), "late": ("day >= '1999'", ["Fwd Pkts/s"])}
+#: Files that each half is written to.
+FILES = {"early": 3, "late": 2}
 
 
 def write_days(spark, sf):
@@ -23,7 +25,7 @@ def write_days(spark, sf):
     f = views.flows(spark, sf)
     for half, (days, extra) in HALVES.items():
         cols = [F.expr(e).alias(c) for c, e in RAW.items()] + [F.col("tax").alias(c) for c in extra]
-        f.where(days).select(*cols).write.option("header", True).csv(f"{base}/{half}")
+        f.where(days).repartition(FILES[half]).select(*cols).write.option("header", True).csv(f"{base}/{half}")
     return base
 
 
@@ -61,9 +63,77 @@ def csv_drop_bad_rows(spark, sf):
     return rounded(days.groupBy(F.col("Label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg("`Flow Byts/s`").alias("rates")))
 
 
-@query("csv_file_listing")
+@query(
+    "csv_file_listing",
+    "SELECT CASE WHEN day < '1999' THEN 'early' ELSE 'late' END AS half, CASE WHEN day < '1999' THEN 3 ELSE 2 END AS files, count(*) AS n_rows, true AS named, true AS sized FROM flows GROUP BY ALL",
+    over=["flows"],
+)
 def csv_file_listing(spark, sf):
-    return csv_days.list_files(spark, write_days(spark, sf), recursive=True).select("day", "length")
+    """The files found below a folder: how many in each half, whether all have names and sizes, and the rows they hold."""
+    base = write_days(spark, sf)
+    files = csv_days.list_files(spark, base, recursive=True).withColumn("half", F.element_at(F.split("path", "/"), -2))
+    raw = csv_days.read_day_files(spark, [r["path"] for r in files.select("path").collect()])
+    held = raw.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    return files.join(held, files["day"] == held["_day"]).groupBy("half").agg(
+        F.count(F.lit(1)).cast("int").alias("files"), F.sum("_n").alias("n_rows"),
+        F.bool_and(F.col("day").endswith(".csv")).alias("named"), F.bool_and(F.col("length") > 0).alias("sized"),
+    )
+
+
+@query(
+    "csv_named_days",
+    f"WITH t AS ({DAY_SQL} AND day < '1999') SELECT label, count(*) AS n, round(avg(port), 6) AS ports, round(avg(rate), 6) AS rates, true AS skipped FROM t GROUP BY 1",
+    over=["flows"],
+)
+def csv_named_days(spark, sf):
+    """The days of a list of file names; the one that is missing is skipped with a warning."""
+    import warnings
+
+    base = write_days(spark, sf)
+    names = [r["day"] for r in csv_days.list_files(spark, f"{base}/early").select("day").collect()]
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        days = csv_days.load_days(spark, base, [*names, "no-such-day.csv"], recursive=True)
+    skipped = any("no-such-day.csv" in str(w.message) for w in told)
+    return rounded(days.groupBy(F.col("Label").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("`Dst Port`").alias("ports"), F.avg("`Flow Byts/s`").alias("rates"),
+    ).withColumn("skipped", F.lit(skipped)))
+
+
+#: Rules as a file holds them; the last pattern of the first is none and is left out.
+RULE_FILE = r"""
+- id: doing
+  name: Doing
+  description: A word that ends in -ing after an article.
+  severity: HIGH
+  payload_patterns: ["(?i)the [a-z]+ing", "(unclosed"]
+- id: scripted
+  name: Scripted
+  severity: low
+  tags: [web]
+  dst_ports: [80, 443]
+  payload_patterns: ["(?i)<script"]
+"""
+
+
+@query(
+    "yaml_rules",
+    """WITH r AS (SELECT 'doing' AS id, 'high' AS severity, 'A word that ends in -ing after an article.' AS description, packet_id FROM payloads WHERE regexp_matches(payload, '(?i)the [a-z]+ing')
+      UNION ALL SELECT 'scripted', 'low', '', packet_id FROM payloads WHERE regexp_matches(payload, '(?i)<script') AND (dst_port IS NULL OR dst_port IN (80, 443)))
+    SELECT id, severity, description, count(*) AS n, true AS built_in FROM r GROUP BY ALL""",
+    over=["payloads"],
+)
+def yaml_rules(spark, sf):
+    """Matches of rules read from a YAML file; where there is no file, the built-in rules hold."""
+    from threatflow.operators import signatures
+
+    base = shared_dir(spark, "rules")
+    spark.createDataFrame([(RULE_FILE,)], "value string").coalesce(1).write.text(base)
+    loaded_rules = rules.check_patterns(spark, rules.load_rules(base, spark))
+    missing = [r.id for r in rules.load_rules(f"{base}-none", spark)]
+    about = rules.rules_table(spark, loaded_rules).select("id", "description")
+    found = signatures.matches(views.payloads(spark, sf), loaded_rules).groupBy("id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(F.broadcast(about), "id").withColumn("built_in", F.lit(missing == [r.id for r in rules.built_in_rules()]))
 
 
 @query(

@@ -102,3 +102,14 @@ def page(rows: DataFrame, limit, offset, order=("ts_us", "alert_id")):
 def counters(rows: DataFrame, *labels):
     """Counter table: rows per label combination."""
     return rows.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pipeline_totals(drift: DataFrame, offered: DataFrame, kept: DataFrame, fused: DataFrame):
+    """How many drift alerts came up, repeats were dropped, and alerts were fused: one row from four tables."""
+    def total(df):
+        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    one = offered.agg(F.count(F.lit(1)).alias("_offered"))
+    return one.select(
+        total(drift).alias("drift_alerts"), (F.col("_offered") - total(kept)).alias("deduped_alerts"), total(fused).alias("fused_alerts")
+    )

@@ -47,20 +47,41 @@ def grow_tree(x, tree, seed):
 SPARE = 4
 
 
+def _binomial(n, p):
+    """Chances of at most 0, 1, 2 and so on of ``n`` events of chance ``p``, up to where only a billionth is left."""
+    out, term = [], (1 - p) ** n
+    total = term
+    for k in range(n):
+        out.append(total)
+        if 1 - total < 1e-9:
+            break
+        term *= (n - k) / (k + 1) * p / (1 - p)
+        total += term
+    return out
+
+
 def fit_forest(df: DataFrame, features, row_id, trees=200, sample=256, seed=42):
     """Node table of the forest.
 
-    Every tree samples the ``sample`` rows of the whole input with the least hashes of row and tree, in the
-    same way at every size. A threshold that about ``SPARE * sample`` rows per tree pass comes first, so
-    only those are ranked. ``row_id`` tells rows apart.
+    Every tree samples ``sample`` rows of the whole input, all equally likely, in the same way at every size. Each row
+    is drawn first for as many trees as its hash says, so that a tree gets about ``SPARE * sample`` rows; most rows of a
+    large input are drawn for none and go no further. Of a tree's rows those of least hash count.
+    ``row_id`` tells rows apart.
     """
     drawn = df.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
                       F.col(row_id).alias("_id"))
-    n = drawn.count()
-    drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("_h", F.xxhash64("_id", "tree", F.lit(seed)))
+    n = df.count()
     if n > SPARE * sample:
-        drawn = drawn.where(F.col("_h") < F.lit(SPARE * sample * 2**64 // n - 2**63))
+        # how many trees draw a row: a binomial count, read off its distribution at the row's hash
+        shares = _binomial(trees, SPARE * sample / n)
+        place = F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11) / F.lit(float(2**53))
+        times = F.size(F.filter(F.array(*[F.lit(c) for c in shares]), lambda c: c <= place))
+        drawn = drawn.withColumn("_times", times).where(F.col("_times") > 0)
+        pick = F.transform(F.sequence(F.lit(1), F.col("_times")), lambda i: F.pmod(F.xxhash64("_id", i, F.lit(seed)), F.lit(trees)).cast("int"))
+        drawn = drawn.withColumn("tree", F.explode(F.array_distinct(pick))).drop("_times")
+    else:
+        drawn = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = drawn.withColumn("_h", F.xxhash64("_id", "tree", F.lit(seed)))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", "_id"))
     drawn = drawn.withColumn("_r", rank).where(F.col("_r") <= sample)
     cols = [f"x{i}" for i in range(len(features))]

@@ -307,22 +307,32 @@ def halo_blocks(df: DataFrame, number, back, block_rows):
 
 
 def _greedy(at, gap, last):
-    """Positions a greedy pass keeps in sorted ``at``, entered with ``last`` kept."""
-    keep, i = [], 0 if last is None else int(np.searchsorted(at, last + gap))
-    while i < len(at):
-        keep.append(i)
-        i = int(np.searchsorted(at, at[i] + gap))
-    return keep
+    """Positions a greedy pass keeps in sorted ``at``, entered with ``last`` kept.
+
+    Each position leads to the next one a pass keeps. The path is followed by doubling: its first 1, 2, 4 and so on
+    positions, and where as many steps lead.
+    """
+    n = len(at)
+    first = 0 if last is None else int(np.searchsorted(at, last + gap))
+    leads = np.append(np.searchsorted(at, at + gap), n)
+    path = np.array([first])
+    while path[-1] < n:
+        path = np.concatenate([path, leads[path]])
+        leads = leads[leads]
+    return path[path < n]
 
 
 def _exits(at, gap):
-    """For each position: the last row kept by a greedy pass that begins there."""
+    """For each position: the last row kept by a greedy pass that begins there; all paths double their steps at once."""
+    n = len(at)
     follow = np.searchsorted(at, at + gap)
-    leave = at.copy()
-    for i in range(len(at) - 1, -1, -1):
-        if follow[i] < len(at):
-            leave[i] = leave[follow[i]]
-    return leave
+    place = np.arange(n)
+    leads = np.where(follow < n, follow, place)
+    while True:
+        further = leads[leads]
+        if (further == leads).all():
+            return at[leads]
+        leads = further
 
 
 def keep_spaced(df: DataFrame, keys, at, tie, gap, chunk_rows=CHUNK_ROWS):

@@ -1,5 +1,6 @@
 """Labelled flow CSVs, one file per day."""
 
+import csv
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,12 +34,23 @@ def list_files(spark: SparkSession, folder, days=None, recursive=False, pattern=
     return files
 
 
+def _header(spark, path):
+    """Column names in a file's first line, read through Spark's file systems without a job."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return tuple(next(csv.reader([reader.readLine() or ""]), ()))
+    finally:
+        stream.close()
+
+
 def read_day_files(spark: SparkSession, paths):
     """Files with the same header in one scan, different headers united by name."""
     by_header = {}
     for path in paths:
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
+        by_header.setdefault(_header(spark, path), []).append(path)
     out = None
     for header, same in by_header.items():
         schema = ", ".join(f"`{c}` STRING" for c in header)
@@ -77,9 +89,9 @@ def clean_days(raw: DataFrame, keep_source=False, fill=0.0, drop_bad=False):
     return out
 
 
-def load_days(spark: SparkSession, folder, days=None, **options):
-    """All named days of a folder as one cleaned table; days without a file are skipped."""
-    files = {r["day"]: r["path"] for r in list_files(spark, folder, days).select("day", "path").collect()}
+def load_days(spark: SparkSession, folder, days=None, recursive=False, **options):
+    """All named days of a folder as one cleaned table; days without a file are skipped with a warning."""
+    files = {r["day"]: r["path"] for r in list_files(spark, folder, days, recursive).select("day", "path").collect()}
     for day in days or ():
         if day not in files:
             warnings.warn(f"{day} not found, skipped")

@@ -274,15 +274,24 @@ def _repeats(p, i):
     return least, True, i + found.end()
 
 
-def load_rules(path=None):
-    """Rules from a YAML file; a missing file gives the built-in rules."""
+def load_rules(path=None, spark: SparkSession | None = None):
+    """Rules from a YAML file, the stock rules without a path; a missing file gives the built-in rules.
+
+    With ``spark`` the path is read through Spark's file systems, else from this machine.
+    """
     if path is None:
         return list(STOCK_RULES)
-    if not Path(path).exists():
-        return built_in_rules()
     import yaml
 
-    return [rule_from(e) for e in yaml.safe_load(Path(path).read_text("utf-8")) or []]
+    if spark is None:
+        text = Path(path).read_text("utf-8") if Path(path).exists() else None
+    else:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()) if there else None
+    if text is None:
+        return built_in_rules()
+    return [rule_from(e) for e in yaml.safe_load(text) or []]
 
 
 def check_patterns(spark: SparkSession, rules):
@@ -314,7 +323,7 @@ def remove_rule(rules, rule_id):
 
 
 RULE_SCHEMA = (
-    "ord int, id string, name string, severity string, tags array<string>, protocol string, "
+    "ord int, id string, name string, description string, severity string, tags array<string>, protocol string, "
     "src_ports array<int>, dst_ports array<int>, patterns array<string>, "
     "equals map<string,string>, metadata map<string,string>"
 )
@@ -322,7 +331,7 @@ RULE_SCHEMA = (
 
 def rules_table(spark: SparkSession, rules):
     rows = [
-        (i, r.id, r.name, r.severity, list(r.tags), r.protocol, list(r.src_ports),
+        (i, r.id, r.name, r.description, r.severity, list(r.tags), r.protocol, list(r.src_ports),
          list(r.dst_ports), list(r.patterns), dict(r.equals), dict(r.metadata))
         for i, r in enumerate(rules)
     ]
