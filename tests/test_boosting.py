@@ -57,7 +57,7 @@ def test_blocks_add_up_to_the_same_trees(spark, monkeypatch):
     df, x, _ = table(spark, 900)
     settings = {"n_estimators": 12, "max_depth": 4, "subsample": 1, "seed": 3}
     one = boosting.train(df, NAMES, "y", **settings)
-    monkeypatch.setattr(boosting, "BLOCK_ROWS", 250)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 750)
     monkeypatch.setattr(boosting, "KEPT_ROUNDS", 5)
     some = boosting.train(df, NAMES, "y", **settings)
     monkeypatch.setattr(boosting, "DIRECT", 2)
@@ -98,7 +98,7 @@ def test_classes_share_their_rounds(spark, monkeypatch):
     p = one.probabilities(x)
     want = np.where(x[:, 0] > 0.5, 0, np.where(x[:, 1] > 0, 2, 1))
     assert p.shape == (900, 3) and np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == want).mean() > 0.97
-    monkeypatch.setattr(boosting, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(boosting, "BLOCK_CELLS", 900)
     some = boosting.train(named, NAMES, "kind", classes=classes, n_estimators=20, max_depth=3, subsample=1)
     assert np.allclose(p, some.probabilities(x))
 

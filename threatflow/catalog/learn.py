@@ -227,7 +227,7 @@ def forest_anomalies(spark, sf):
     "SELECT label, count(*) AS n_rows, true AS own_class, true AS found_most FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
 )
 def hashed_neighbours(spark, sf):
-    """Neighbours of every row by hashed buckets, and per class whether nine in ten of the true ones are among them.
+    """Neighbours of every row by hashed buckets, by class, and whether nine in ten of the true ones are among them.
 
     The true ones are those of every twentieth row, compared with all rows of its class.
     """
@@ -243,14 +243,13 @@ def hashed_neighbours(spark, sf):
         "_r", F.row_number().over(Window.partitionBy("id").orderBy("_d", "other"))
     ).where("_r <= 5")
     hit = ranked.join(near.select("id", "other", F.lit(1).alias("_hit")), ["id", "other"], "left")
-    recall = hit.groupBy("label").agg((F.avg(F.coalesce("_hit", F.lit(0))) >= 0.9).alias("found_most"))
+    recall = hit.agg((F.avg(F.coalesce("_hit", F.lit(0))) >= 0.9).alias("found_most")).scalar()
     own = near.join(label.withColumnsRenamed({"vec_id": "id", "label": "_mine"}), "id").join(
         label.withColumnsRenamed({"vec_id": "other", "label": "_theirs"}), "other"
     )
     own = own.groupBy(F.col("_mine").alias("label")).agg(F.bool_and(F.col("_mine") == F.col("_theirs")).alias("own_class"))
-    # a class without a twentieth row, or of one row, has nothing to find
-    return counts.join(own, "label", "left").join(recall, "label", "left").select(
-        "label", "n_rows", F.coalesce("own_class", F.lit(True)).alias("own_class"), F.coalesce("found_most", F.lit(True)).alias("found_most")
+    return counts.join(own, "label", "left").select(
+        "label", "n_rows", F.coalesce("own_class", F.lit(True)).alias("own_class"), F.coalesce(recall, F.lit(True)).alias("found_most")
     )
 
 

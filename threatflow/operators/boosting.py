@@ -17,8 +17,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from threatflow.plans.session import ensure_checkpoint_dir, shared_dir
 
-#: Rows in a block; blocks added up in one step on the driver; rounds between checkpoints; rows scored together.
-BLOCK_ROWS, DIRECT, KEPT_ROUNDS, SCORED = 150_000, 16, 20, 20_000
+#: Values (rows x features) in a block; rows of a block at least, where all cores get one; blocks added up in one step
+#: on the driver; rounds between checkpoints; rows scored together.
+BLOCK_CELLS, LEAST_ROWS, DIRECT, KEPT_ROUNDS, SCORED = 4_000_000, 20_000, 16, 20, 20_000
 
 
 @dataclass
@@ -400,8 +401,12 @@ def quantile_cuts(rows: DataFrame, columns, max_bin):
     return [np.unique(np.array(found[i] or [], float)) for i in range(len(columns))]
 
 
+def block_rows(width):
+    return max(1, BLOCK_CELLS // max(width, 1))
+
+
 def _blocks_of(cuts, width, trees_each, base):
-    """Binned blocks of at most BLOCK_ROWS rows from Arrow batches, pickled."""
+    """Binned blocks of at most BLOCK_CELLS values from Arrow batches, pickled."""
 
     def run(batches):
         import pickle
@@ -409,7 +414,7 @@ def _blocks_of(cuts, width, trees_each, base):
 
         import pyarrow as pa
 
-        held, count = [], 0
+        held, count, most = [], 0, block_rows(width)
 
         def block():
             table = pa.Table.from_batches(held)
@@ -425,7 +430,7 @@ def _blocks_of(cuts, width, trees_each, base):
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= BLOCK_ROWS:
+            if count >= most:
                 yield block()
                 held, count = [], 0
         if count:
@@ -463,7 +468,9 @@ def prepare(rows: DataFrame, features, label, weight=None, scaler=None, watched=
         base = [math.log(share / (1 - share))]
     else:
         base = [0.0] * len(classes)
-    parts = max(1, math.ceil(n / BLOCK_ROWS))
+    parts = max(1, math.ceil(n / block_rows(len(features))))
+    if parts > 1:
+        parts = max(parts, min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS)))
     path = shared_dir(spark, "blocks")
     blocks = use.repartition(parts).mapInArrow(_blocks_of(cuts, len(features), len(base), base), "block binary")
     blocks.write.parquet(path)

@@ -160,7 +160,7 @@ def random_search(
     points = sample_params(trials, seed, space)
     if not points:
         return spark.createDataFrame([], _BOARD)
-    path, _, model = boosting.prepare(train, features, label, watched=early_stop, max_rows=min(max_rows, boosting.BLOCK_ROWS))
+    path, _, model = boosting.prepare(train, features, label, watched=early_stop, max_rows=min(max_rows, boosting.block_rows(len(features))))
     done = boosting.trials(spark, path, len(features), 1, early_stop is not None, [boosting.of({"seed": seed, **p}) for p in points])
     done = done.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = dict(done.mapValues(lambda r: sum(t[0].size for trees in r[0] for t in trees)).collect())
