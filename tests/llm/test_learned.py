@@ -129,11 +129,35 @@ def test_suffixes_are_counted_over_all_labelled_rows(spark):
     df = spark.createDataFrame(rows + [("https://free.org/",), (None,)], "url string")
     rules = {"good.org": "allow", "bad.org": "block", "ugly.net": "block"}
     model = urls.UrlFilter(rules, rows=12, trees=2).fit(df)
-    got = {r.suffix: (r.f_suffix, r.f_suffix_rows) for r in model.suffixes.collect()}
-    low, high = (0 + 5 * 2 / 3) / 205, (200 + 5 * 2 / 3) / 205
-    assert got == {
-        "good.org": (pytest.approx(low), 200), "bad.org": (pytest.approx(high), 200), "ugly.net": (pytest.approx(high), 200)
-    }
+    got = {r.suffix: (r.blocked, r.f_suffix_rows) for r in model.suffixes.collect()}
+    assert got == {"good.org": (0, 200), "bad.org": (200, 200), "ugly.net": (200, 200)} and model.mean == pytest.approx(2 / 3)
+
+
+def test_a_urls_own_verdict_is_not_in_its_suffix_share(spark, monkeypatch):
+    """Of suffixes with one URL each, the share tells nothing while training."""
+    seen, fit = [], urls.GBTClassifier.fit
+
+    def told(self, df, *more):
+        seen.extend((r.features[urls.FEATURES.index("f_suffix")], r.features[urls.FEATURES.index("f_suffix_rows")]) for r in df.collect())
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(urls.GBTClassifier, "fit", told)
+    rows = [(f"https://host{i}.{'org' if i % 2 else 'net'}/a",) for i in range(40)] * 2
+    model = urls.UrlFilter({"org": "allow", "net": "block"}, trees=2).fit(spark.createDataFrame(rows, "url string"))
+    assert len(seen) == 40 and {(round(a, 9), b) for a, b in seen} == {(0.5, 0.0)}
+    assert {r.f_suffix_rows for r in model.suffixes.collect()} == {2.0}
+
+
+def test_rows_of_one_key_do_not_fill_the_training_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text number {i}") for i in range(300)] + [(7, "the same")] * 300 + [(8, "other words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)], "doc_id bigint, quality int")
+    held = {r.doc_id for r in docs.where(quality.held_out("doc_id")).collect()}
+    sizes = []
+    monkeypatch.setattr(quality.Additive, "fit", lambda self, x, y: sizes.append(len(x)) or self)
+    quality.train(docs, labels, rows=10)
+    assert sizes[0] <= 10 and (sizes[0] == 10) == (7 not in held)
+    quality.train(docs, labels, rows=1000)
+    assert sizes[1] == 301 * (7 not in held) + (8 not in held)
 
 
 def test_url_trees_separate_labelled_urls(spark):
@@ -147,3 +171,18 @@ def test_url_trees_separate_labelled_urls(spark):
     free.rules = {}
     guessed = {r.page_id: r.verdict for r in free.judge(pages).collect()}
     assert np.mean([guessed[r.page_id] == r.verdict for r in labelled]) > 0.9
+
+
+def test_ids_of_halves_join_to_the_librarys_ids(library, monkeypatch):
+    """Pieces without blanks, cut down to a few bytes, whose border windows have to grow."""
+    monkeypatch.setattr(bpe, "LONG", 3)
+    merges = bpe.Merges(CONTENT)
+    rnd = random.Random(8)
+    texts = ["a" * n for n in (1, 5, 64, 333)] + ["ab" * 77, "=" * 100, "日本語" * 30, "é" * 41]
+    texts += ["".join(rnd.choices("abcdefghinorstu", k=rnd.randrange(1, 90))) for _ in range(300)]
+    for text in texts:
+        data = text.encode()
+        assert merges.halved(data) == merges.merged([merges.bytes[b] for b in data])
+    bpe._merges.cache_clear()
+    for text in texts:
+        assert list(bpe.encode_text(text, CONTENT, public_tokenizers.PATTERN)) == library.encode_ordinary(text)

@@ -20,7 +20,7 @@ LEAF = 2048
 #: Pieces whose ids a Python worker remembers.
 REMEMBERED = 400_000
 NONE = 1 << 62
-#: Bytes of a piece from which on pairs wait in a heap.
+#: Bytes of a piece up to which it is not halved, and ids from which on pairs wait in a heap.
 LONG = 64
 
 
@@ -48,7 +48,8 @@ class Merges(dict):
         super().__init__()
         self.ranks = read_lines(content)
         self.bytes = [self.ranks.get(bytes([i])) for i in range(256)]
-        self.pairs = {}
+        self.pairs, self.fitting = {}, {}
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
@@ -60,9 +61,43 @@ class Merges(dict):
             self.clear()
         data = piece.encode("utf-8", "replace")
         known = self.ranks.get(data)
-        ids = self[piece] = (known,) if known is not None else tuple(self.merged([self.bytes[b] for b in data]))
+        ids = self[piece] = (known,) if known is not None else tuple(self.halved(data))
         return ids
 
+    def halved(self, data):
+        """Ids of some bytes: those of both halves, joined."""
+        if len(data) <= LONG:
+            return self.merged([self.bytes[b] for b in data])
+        half = len(data) // 2
+        return self.joined(self.halved(data[:half]), self.halved(data[half:]))
+
+    def joined(self, left, right):
+        """Ids of two neighbouring texts from the ids of each.
+
+        A window of ids at the border is encoded anew, and grows until both of its ends fit their neighbours. Ids are the
+        encoding of their bytes if, and only if, each two neighbours are the encoding of theirs; within both sides and
+        within the window that holds already, so once it holds at the window's ends, all ids outside stand.
+        """
+        taken = 1
+        while True:
+            a, b = max(0, len(left) - taken), min(len(right), taken)
+            window = self.merged([self.bytes[x] for i in [*left[a:], *right[:b]] for x in self.tokens[i]])
+            fits_left = a == 0 or self.fits(left[a - 1], window[0])
+            if fits_left and (b == len(right) or self.fits(window[-1], right[b])):
+                return [*left[:a], *window, *right[b:]]
+            taken *= 2
+
+    def fits(self, a, b):
+        """Whether two ids next to each other are the encoding of their bytes."""
+        key = a << 32 | b
+        known = self.fitting.get(key)
+        if known is None:
+            if len(self.fitting) >= REMEMBERED:
+                self.fitting.clear()
+            both = [self.bytes[x] for x in self.tokens[a] + self.tokens[b]]
+            known = self.fitting[key] = self.merged(both) == [a, b]
+        return known
+
     def merged(self, ids):
         """Join the neighbours of least rank, leftmost first, until no two make a token."""
         if len(ids) >= LONG:

@@ -17,6 +17,7 @@ def escaped(text):
 
 
 def unescaped(text):
+    """The text that ``escaped`` was given."""
     return F.regexp_replace(text, r"<\^(\^*)\|", r"<$1|")
 
 
@@ -32,12 +33,44 @@ def text_parts(text):
     )
 
 
-def _placeholder(part):
-    """What a part reads as: its escaped text, or a marker of its kind."""
-    shown = F.coalesce(escaped(part["text"]), F.lit(""))
-    for kind in UNIT_TOKENS:
-        shown = F.when(part["kind"] == kind, F.lit(f"<|{kind}|>")).otherwise(shown)
-    return shown
+def line_parts(text):
+    """A text as a list of parts, one per line, each with its line break."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    last = F.size(lines) - 1
+    return F.transform(
+        lines,
+        lambda line, i: F.struct(
+            F.lit("text").alias("kind"),
+            F.when(i < last, F.concat(line, F.lit("\n"))).otherwise(line).alias("text"),
+            F.lit(None).cast("string").alias("ref"),
+            F.lit(None).cast("bigint").alias("units"),
+        ),
+    )
+
+
+def _body(parts):
+    """What a turn's parts read as: texts escaped, a marker of its kind for each attachment.
+
+    Neighbouring texts are joined before they are escaped, so no control string can come about between them.
+    """
+    none = F.lit("")
+
+    def marker(part):
+        shown = F.lit(None).cast("string")
+        for kind in UNIT_TOKENS:
+            shown = F.when(part["kind"] == kind, F.lit(f"<|{kind}|>")).otherwise(shown)
+        return shown
+
+    def visit(state, part):
+        mark = marker(part)
+        pending = F.concat(state["text"], F.coalesce(part["text"], none))
+        return F.struct(
+            F.when(mark.isNull(), state["done"]).otherwise(F.concat(state["done"], escaped(state["text"]), mark)).alias("done"),
+            F.when(mark.isNull(), pending).otherwise(none).alias("text"),
+        )
+
+    start = F.struct(none.alias("done"), none.alias("text"))
+    return F.aggregate(parts, start, visit, lambda s: F.concat(s["done"], escaped(s["text"])))
 
 
 def _tokens(part):
@@ -50,7 +83,7 @@ def _tokens(part):
 def formatted(turns, conversation="conv_id", turn="turn", role="role", parts="parts", learned="assistant"):
     """One row per conversation: ``formatted``, ``loss`` and ``attachments``.
 
-    A visitor reads each turn's ``parts`` (``PART``) in order: text is escaped, an image, audio or document
+    A visitor reads each turn's ``parts`` (``PART``) in order: neighbouring texts are joined and escaped, an image, audio or document
     part becomes a placeholder, and ``attachments`` lists kind, reference, turn, the placeholder's number
     and its expanded tokens (units of the part times ``UNIT_TOKENS``; null units: 1). ``loss`` has for
     each turn of the role ``learned`` the turn's number and where the learned code points lie within
@@ -60,7 +93,7 @@ def formatted(turns, conversation="conv_id", turn="turn", role="role", parts="pa
     number are ordered by role and content, null numbers come first, null conversations are one
     conversation. A conversation is one text, so its turns meet in one task.
     """
-    body = F.array_join(F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), _placeholder), "")
+    body = _body(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")))
     outside = F.filter(F.col(parts), lambda p: p["kind"].isin(*UNIT_TOKENS))
     files = F.transform(
         F.coalesce(outside, F.array().cast(f"array<{PART}>")),

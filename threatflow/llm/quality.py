@@ -168,18 +168,24 @@ def held_out(key):
 def train(docs, labels, text="text", key="doc_id", label="quality", rows=TRAIN_ROWS, **settings):
     """Fit a model on at most ``rows`` labelled rows that are not held out.
 
-    Rows are chosen by a hash of their key, so the choice does not depend on their order, and at
-    most ``rows`` keys are broadcast and as many short lists of numbers collected. Labels other
-    than 0 and 1 and labels without a text are left out; without both classes the model is constant.
+    Keys and then rows are chosen by hashes of key and text, so the choice does not depend on their order; equal
+    rows count once. At most ``rows`` keys and places are broadcast, and as many short lists of numbers collected,
+    however often a key occurs. Labels other than 0 and 1 and labels without a text are left out; without both
+    classes the model is constant.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
         .select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_label"))
+        .distinct()
         .orderBy(F.xxhash64("_key"), "_key", "_label")
         .limit(rows)
     )
-    joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
-    got = joined.select("_key", "_label", measured(F.col("_text")).alias("_x")).collect()
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.lit(1), text).alias("_mark"))
+    places = texts.select("_key", "_mark").join(F.broadcast(chosen), "_key").distinct()
+    places = places.orderBy(F.xxhash64("_mark", "_key"), "_key", "_mark", "_label").limit(rows)
+    joined = texts.join(F.broadcast(places), ["_key", "_mark"])
+    measures = joined.select("_key", "_mark", "_label", measured(F.col("_text")).alias("_x"))
+    got = measures.dropDuplicates(["_key", "_mark", "_label"]).select("_key", "_label", "_x").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return Additive(**settings).fit(x, np.array([r[1] for r in got], float))

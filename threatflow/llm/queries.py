@@ -128,11 +128,11 @@ def op4(spark, sf_dir):
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-def bpe_columns(docs, text="text"):
-    """A text column's ids and the bytes they decode to."""
+def bpe_columns(docs, text="text", ids="ids", decoded="decoded"):
+    """A text column's ids and the bytes they decode to, in columns of these names, which must be free."""
     content = bpe.read_ranks(public_tokenizers.path(RANKS))
-    coded = docs.withColumn("ids", bpe.encode(F.col(text), content, public_tokenizers.PATTERN))
-    return coded.withColumn("decoded", bpe.decode(F.col("ids"), content))
+    coded = docs.withColumn(ids, bpe.encode(F.col(text), content, public_tokenizers.PATTERN))
+    return coded.withColumn(decoded, bpe.decode(F.col(ids), content))
 
 
 @query("op5_byte_bpe")
@@ -213,7 +213,7 @@ def op8(spark, sf_dir):
         F.lit(HOSTILE).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
-    done = chat.formatted(turns.withColumn("parts", chat.text_parts(F.col("text"))))
+    done = chat.formatted(turns.withColumn("parts", chat.line_parts(F.col("text"))))
     read = (
         done.withColumn("pieces", chat.turn_texts(F.col("formatted")))
         .withColumn("turns", chat.read_turns(F.col("pieces")))
@@ -256,18 +256,21 @@ line AS (
     ROWS UNBOUNDED PRECEDING) - size AS pos FROM docs)
 SELECT doc_id, size, source_size, target,
   CAST(size * (SELECT count(*) FROM range(3) AS c(copy)
-    WHERE 2 * (copy * source_size + pos) + size < 2 * target) AS BIGINT) AS taken
+    WHERE 2 * (copy * source_size + pos) + size < 2 * target) AS BIGINT) AS taken,
+  CAST(CASE WHEN size > 0 THEN (SELECT count(*) FROM range(3) AS c(copy)
+    WHERE 2 * (copy * source_size + pos) + size < 2 * target) ELSE 0 END AS BIGINT) AS dealt
 FROM line JOIN plan ON line.source IS NOT DISTINCT FROM plan.source
 """,
 )
 def op9(spark, sf_dir):
-    """How many words of each document the mix of all sources takes."""
+    """How many words of each document the mix of all sources takes, and how often the quota tree dealt it to a shard."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.regexp_count(text_of("text"), F.lit(WORD)).cast("bigint").alias("size")
     )
     taken = mixing.mixed(docs, "size")
     return taken.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("takes")).cast("bigint").alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("takes")).cast("bigint").alias("taken"),
+        F.size(F.filter("takes", lambda t: t["shard"].between(0, 15))).cast("bigint").alias("dealt"),
     )
 
 

@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Different labelled URLs the trees are fitted on at most, taken by a hash of the URL.
 TRAIN_ROWS = 20_000
+#: Parts that URLs are dealt to, for suffix counts that leave a URL's own part out.
+FOLDS = 5
 
 FEATURES = (
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_letters", "f_hyphens",
@@ -87,33 +89,46 @@ class UrlFilter:
         self.rules, self.rows, self.trees, self.depth, self.seed = rules, rows, trees, depth, seed
 
     def fit(self, urls, url="url"):
+        """Train on a table's URLs, and count suffixes over all that a rule labels; returns the filter.
+
+        A URL that is trained on takes its suffix's counts from the other FOLDS - 1 parts of the URLs, so that they
+        tell nothing of its own verdict. Null URLs and those without a rule are left out.
+        """
         judged = parts(urls.select(url), url).withColumn("_rule", fitting(self.rules)).where("_rule is not null")
         chosen = judged.select(url).distinct().orderBy(F.xxhash64(url), url).limit(self.rows)
         blocked = (F.col("_rule.verdict") == "block").cast("double")
+        fold = F.pmod(F.xxhash64(F.lit(3), url), F.lit(FOLDS)).alias("_fold")
         chosen = lexical(parts(chosen, url), url).withColumn("_rule", fitting(self.rules))
-        chosen = saved(chosen.withColumn("label", blocked).drop("_rule"))
+        chosen = saved(chosen.select("*", blocked.alias("label"), fold).drop("_rule"))
         seen = chosen.agg(F.min("label").alias("least"), F.max("label").alias("most")).first()
         self.only, self.model = ("block" if seen.least == 1 else "allow"), None
         if seen.least == seen.most:
             return self
-        counts = judged.groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(
+        counts = judged.groupBy(F.substring_index("host", ".", -2).alias("suffix"), fold).agg(
             F.sum(blocked).alias("blocked"), F.count("*").cast("double").alias("f_suffix_rows")
         )
         counts = saved(counts)
         self.mean = counts.agg(F.sum("blocked") / F.sum("f_suffix_rows")).first()[0]
-        share = (F.col("blocked") + 5 * self.mean) / (F.col("f_suffix_rows") + 5)
-        self.suffixes = broadcast_if_small(counts.select("suffix", share.alias("f_suffix"), "f_suffix_rows"))
+        whole = counts.groupBy("suffix").agg(F.sum("blocked").alias("blocked"), F.sum("f_suffix_rows").alias("f_suffix_rows"))
+        self.suffixes = broadcast_if_small(whole)
+        own = counts.select("suffix", "_fold", F.col("blocked").alias("_blocked"), F.col("f_suffix_rows").alias("_rows"))
         trees = GBTClassifier(
             labelCol="label", featuresCol="features", maxIter=self.trees, maxDepth=self.depth, stepSize=0.2, seed=self.seed,
             maxMemoryInMB=64, cacheNodeIds=False,
         )
-        self.model = trees.fit(self._vectors(chosen).select("features", "label").repartition(4, "features"))
+        fitted = self._vectors(chosen.join(broadcast_if_small(own), ["suffix", "_fold"], "left"), F.col("_blocked"), F.col("_rows"))
+        self.model = trees.fit(fitted.select("features", "label").repartition(4, "features"))
         return self
 
-    def _vectors(self, rows):
-        rows = rows.join(self.suffixes, "suffix", "left").fillna(
-            {"f_suffix": self.mean, "f_suffix_rows": 0.0}
-        )
+    def _vectors(self, rows, own_blocked=None, own_rows=None):
+        """Feature vectors, with the suffix's smoothed share of blocked rows and number of rows, less some own ones."""
+        def less(name, own):
+            whole = F.coalesce(name, F.lit(0.0))
+            return whole if own is None else whole - F.coalesce(own, F.lit(0.0))
+
+        rows = rows.join(self.suffixes, "suffix", "left")
+        share = (less("blocked", own_blocked) + 5 * self.mean) / (less("f_suffix_rows", own_rows) + 5)
+        rows = rows.withColumn("f_suffix", share).withColumn("f_suffix_rows", less("f_suffix_rows", own_rows))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     def judge(self, urls, url="url"):
