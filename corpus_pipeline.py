@@ -35,9 +35,14 @@ def keep_one_of_group(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """The mix of all sources: a row for each time a document is taken."""
-    counted = docs.withColumn("_words", F.regexp_count(text_of("text"), F.lit(WORD)))
-    return mixing.mix(counted, "_words").select(docs.columns)
+    """The mix of all sources: a row for each time a document is taken, shard after shard, each in its drawn order.
+
+    Rows travel in one column, so columns of any name come through.
+    """
+    words = F.regexp_count(text_of("text"), F.lit(WORD)).alias("size")
+    mixed = mixing.mix(docs.select("doc_id", "source", words, F.struct(*docs.columns).alias("row")), "size")
+    placed = mixed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return placed.select("row.*").select(docs.columns)
 
 
 def encode(spark, docs, sf_dir):
