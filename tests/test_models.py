@@ -165,6 +165,30 @@ def test_policy_by_hand(spark):
     assert [round(r["new_threshold"], 2) for r in out] == [0.52, 0.54, 0.56]
 
 
+@pytest.mark.parametrize("run", [1, 3, 7, 10_000])
+def test_thresholds_in_runs(spark, monkeypatch, run):
+    """Runs of blocks made at once give the thresholds that blocks made one after another give."""
+    import random
+
+    monkeypatch.setattr(policy, "RUN_BLOCKS", run)
+    rnd, rows = random.Random(3), []
+    for key in "ab":
+        for i in range(60):
+            good = rnd.random()
+            rows.append((key, i + 1, good, 1 - good, int(good * 4.99), int((1 - good) * 4.99), rnd.uniform(-1, 1)))
+    kinds = "k string, block long, attack_rate double, fp_rate double, attack_bin int, fp_bin int, reward double"
+    got = policy.policy_run(spark.createDataFrame(rows, kinds), "k", step=0.2).orderBy("k", "block").collect()
+    q, at, seen = {}, {}, set()
+    for row, r in zip(sorted(rows), got):
+        state = (row[0], row[4], row[5])
+        q[state], a = policy.learn_step(q.get(state), row[6])
+        action = policy.V.POLICY_ACTIONS[a]
+        at[row[0]] = policy.move_threshold(at.get(row[0], 0.5), action, 0.2)
+        seen.add(round(at[row[0]], 6))
+        assert (r["k"], r["block"], r["action"]) == (*row[:2], action) and r["new_threshold"] == pytest.approx(at[row[0]])
+    assert {0.3, 0.99} <= seen
+
+
 def test_policy_moves_on_after_a_bad_reward():
     q, a = policy.learn_step(None, -1.0)
     assert (a, q[0]) == (0, -0.3)

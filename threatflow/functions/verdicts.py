@@ -137,7 +137,7 @@ def answer_json(text: Column):
 
 
 def narrative(severity, attack, source_ip, dest_ip, node, confidence, automated, manual):
-    """Incident text: what was seen, and which actions run alone or need a person."""
+    """Incident text: what was seen, and which actions run alone or need a person. Its wording is a fixed value."""
     shown = F.when(confidence <= 1, (confidence * 100).cast("int").cast("string")).otherwise(
         confidence.cast("int").cast("string")
     )

@@ -121,6 +121,7 @@ def chain_alerts(alerts: DataFrame, window_s=300.0, least=3, chunk_rows=ordered.
         .withColumn("severity", F.when(share >= 0.6, "critical").otherwise("high"))
         .withColumn("confidence", F.least(F.lit(99), F.floor(share * 100 + 20)).cast("int"))
         .withColumn("action", F.when(share >= 0.5, "block").otherwise("flagged"))
+        # fixed value: the wording of the description
         .withColumn("description", F.concat(
             F.lit("Kill chain detected from "), "source_ip", F.lit(": "), F.array_join("stages", " → "),
             F.lit(" ("), F.floor(share * 100).cast("string"), F.lit("% complete, "),

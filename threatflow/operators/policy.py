@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from threatflow.functions import values as V
 from threatflow.plans import ordered
@@ -93,14 +94,55 @@ def move_threshold(threshold, action, step=0.02, low=0.3, high=0.99):
     return threshold
 
 
+#: Blocks whose moves of the threshold one task makes.
+RUN_BLOCKS = 10_000
+#: Beyond all thresholds.
+FAR = 1e9
+
+
+def _entries(acted, key, step, low, high):
+    """For each run of RUN_BLOCKS blocks of a key the threshold it begins with, from the moves of the runs before it.
+
+    A move adds something and stops at a border; any moves one after another do so too, with other numbers
+    (``add``, ``least``, ``most``). So each run is one such move, and only these are chained.
+    """
+    def stop(least, most, x):
+        return F.least(most, F.greatest(least, x))
+
+    up, down = F.col("action") == "decrease_sensitivity", F.col("action") == "increase_sensitivity"
+    one = F.struct(
+        "block",
+        F.when(up, step).when(down, -step).otherwise(0.0).alias("add"),
+        F.when(down, low).otherwise(-FAR).alias("least"),
+        F.when(up, high).otherwise(FAR).alias("most"),
+    )
+
+    def after(first, second):
+        def moved(x):
+            return stop(second["least"], second["most"], x + second["add"])
+
+        return F.struct(
+            (first["add"] + second["add"]).alias("add"), moved(first["least"]).alias("least"), moved(first["most"]).alias("most")
+        )
+
+    still = F.struct(F.lit(0.0).alias("add"), F.lit(-FAR).alias("least"), F.lit(FAR).alias("most"))
+    runs = acted.groupBy(key, "_run", "_from").agg(F.array_sort(F.collect_list(one)).alias("_moves"))
+    runs = runs.select(key, "_run", "_from", F.aggregate("_moves", still, after).alias("_move"))
+    before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.collect_list("_move").over(before)
+    return runs.select(key, "_run", F.aggregate(
+        earlier, F.col("_from"), lambda x, m: stop(m["least"], m["most"], x + m["add"])
+    ).alias("_enters"))
+
+
 def policy_run(
     blocks: DataFrame, key, start=0.5, alpha=0.3, gamma=0.85, step=0.02, low=0.3, high=0.99, values=None, thresholds=None
 ):
     """Action, values and threshold after each block, without random exploration.
 
-    The values of a state depend only on the visits to that state, so states of a key
-    learn side by side; the threshold then follows the actions in block order.  Both
-    are strictly sequential per key by definition, on one row per ``interval`` votes.
+    The values of a state depend only on the visits to that state, so states of a key learn side by side; the visits
+    of one state are sequential by definition, on one row per ``interval`` votes, streamed through constant
+    memory. The threshold then follows the actions in block order, in runs of blocks at once (see ``_entries``).
     ``values`` (key, bins, q) and ``thresholds`` (key, threshold) say what was learnt before; column ``q`` is what
     has been learnt of the state by now.
     """
@@ -124,12 +166,15 @@ def policy_run(
         acted = acted.join(thresholds.select(key, F.col("threshold").alias("_from")), key, "left")
         acted = acted.withColumn("_from", F.coalesce("_from", F.lit(float(start))))
 
+    acted = acted.withColumn("_run", F.floor((F.col("block") - 1) / RUN_BLOCKS))
+    acted = acted.drop("_from").join(_entries(acted, key, step, low, high), [key, "_run"])
+
     def move(threshold, row):
-        old = row["_from"] if threshold is None else threshold
+        old = row["_enters"] if threshold is None else threshold
         new = move_threshold(old, row["action"], step, low, high)
         return new, (old, new)
 
     return _fold_partitions(
-        acted, [key], ["block"], move,
+        acted, [key, "_run"], ["block"], move,
         [T.StructField("old_threshold", T.DoubleType()), T.StructField("new_threshold", T.DoubleType())],
-    ).drop("_from")
+    ).drop("_run", "_enters")
