@@ -119,12 +119,26 @@ def classifier_evaluation(spark, sf):
     return checked(models.evaluate_days(model, parts.where("is_test"), FEATURES), "_day")
 
 
-@query("classifier_alerts")
+@query(
+    "classifier_alerts",
+    f"WITH {ROWS} SELECT 'XGBoost Detection' AS attacks, count(*) AS n_rows, count(*) FILTER (y = 1) AS positives, true AS about_as_many, true AS right, true AS confident FROM l",
+    over=["flows"],
+)
 def classifier_alerts(spark, sf):
-    rows = labelled(spark, sf).withColumnRenamed("row_id", "packet_id")
+    """Alerts of a trained model on all flows: as many as there are attacks, nearly all of them attacks, none below the threshold."""
+    rows = labelled(spark, sf)
     model = models.train_classifier(rows, FEATURES, scaler=prep.fit_scaler(rows, FEATURES))
-    found = models.classifier_alerts(models.score(model, rows, FEATURES), models.runtime_threshold(0.2))
-    return found.select("packet_id", F.array_join("attack_types", ",").alias("attacks"), "confidence")
+    scored = models.score(model, rows, FEATURES).withColumn("packet_id", F.struct("row_id", "y"))
+    found = models.classifier_alerts(scored, models.runtime_threshold(0.2))
+    n = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("positives"))
+    told = found.groupBy(F.array_join("attack_types", ",").alias("attacks")).agg(
+        F.count(F.lit(1)).alias("_alerts"), F.avg(F.col("packet_id.y")).alias("_right"), F.min("confidence").alias("_least")
+    )
+    return told.select(
+        "attacks", n.select("n_rows").scalar().alias("n_rows"), n.select("positives").scalar().alias("positives"),
+        (F.abs(F.col("_alerts") - n.select("positives").scalar()) <= n.select("n_rows").scalar() * 0.02).alias("about_as_many"),
+        (F.col("_right") >= 0.98).alias("right"), (F.col("_least") >= 0.5).alias("confident"),
+    )
 
 
 @query(
