@@ -230,7 +230,7 @@ def forest_anomalies(spark, sf):
     odd = F.col("is_anomaly")
     return found.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        ((F.first("event_type") != "view") | (F.avg(odd.cast("int")) <= 0.0101)).alias("few_of_the_normal"),
+        ((F.first("event_type") != "view") | (F.count_if(odd) <= F.floor((F.count(F.lit(1)) - 1) * 0.01) + 1)).alias("few_of_the_normal"),
         F.bool_and(F.when(odd, F.col("confidence").between(0.5, 0.99)).otherwise(F.col("confidence") == 0.8)).alias("confident"),
         F.bool_and(odd == (F.col("raw_score") < F.lit(float(offset)))).alias("below_offset"),
     )
