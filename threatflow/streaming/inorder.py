@@ -132,14 +132,14 @@ class InOrder:
     def __call__(self, batch, number):
         batch = batch.persist()
         try:
-            late = batch.where("late")
-            late.select("at_us", "id").write.mode("overwrite").parquet(f"{self.base}/late/{number}")
-            upto = batch.agg(F.max("upto_us")).first()[0]
-            carried, before = self._carried(number)
-            if upto is None:
+            seen = batch.agg(F.max("upto_us").alias("upto"), F.count_if("late").alias("late")).first()
+            if seen["late"]:
+                batch.where("late").select("at_us", "id").write.mode("overwrite").parquet(f"{self.base}/late/{number}")
+            if seen["upto"] is None:
                 return
+            carried, before = self._carried(number)
             rows = batch.where("not late").select(F.from_json("body", self.schema).alias("r")).select("r.*")
-            self._run(rows, carried, max(upto, before or upto), number)
+            self._run(rows, carried, max(seen["upto"], before or seen["upto"]), number)
         finally:
             batch.unpersist()
 
@@ -160,7 +160,7 @@ class InOrder:
         return self.spark.read.parquet(*[f"{self.base}/steps/{n}/out" for n in numbers])
 
     def late(self):
-        """Rows (at_us, id) that came after their time had passed, also those not let through by a restart."""
+        """Rows (at_us, id) that came after their time had passed."""
         path = self._path("late")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
