@@ -176,3 +176,24 @@ def test_shared_folder_is_never_machine_local_on_a_cluster():
         with pytest.raises(RuntimeError):
             _local_base(master)
     assert _local_base("local[4]").startswith("/")
+
+
+def test_shared_folders_go_with_the_application(tmp_path):
+    """A driver of its own writes to the named folder, and leaves nothing there when it ends."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from threatflow.plans.session import build_session, shared_dir, written
+spark = build_session("t", cores="1", **{{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+kept = written(spark.range(5))
+spark.range(3).write.parquet(shared_dir(spark, "mine"))
+assert kept.count() == 5 and len(os.listdir({str(tmp_path)!r} + "/threatflow/" + spark.sparkContext.applicationId)) == 2
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
+    left = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert left == []

@@ -1,5 +1,6 @@
 """Session set-up and the shared folder used for files between jobs."""
 
+import functools
 import os
 import tempfile
 import uuid
@@ -31,28 +32,32 @@ def shared_dir(spark, name):
 
     The folder named in ``spark.checkpoint.dir`` is used as it is. Where the session names none, a session
     on one machine gets a local folder; on a cluster, whose executors could not see it, that is an error.
+    All folders of an application lie in one, which goes when its driver's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = _local_base(spark.sparkContext.master)
-    return os.path.join(base, "threatflow", f"{name}-{uuid.uuid4().hex}")
+    root = os.path.join(base, "threatflow", spark.sparkContext.applicationId)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(where):
+        files.deleteOnExit(where)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+@functools.cache
 def _local_base(master):
-    """A temporary folder for a session whose executors run in the driver's own process."""
+    """A temporary folder for sessions whose executors run in the driver's own process, one for all of them."""
     if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="threatflow-")
 
 
 def written(df):
-    """The table as Parquet in the shared folder, read from there; removed when the session's JVM ends."""
-    spark = df.sparkSession
-    path = shared_dir(spark, "written")
+    """The table as Parquet in the shared folder, read from there."""
+    path = shared_dir(df.sparkSession, "written")
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ensure_checkpoint_dir(spark):
