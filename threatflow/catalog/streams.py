@@ -4,6 +4,8 @@ Each has the SQL of its batch twin. Queries that need the order of time read the
 times overlap by up to five days, and within a file rows come in any order. All windows are closed at the end of the input.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from threatflow.catalog import analytics, detect, learn, respond  # noqa: F401
@@ -27,17 +29,28 @@ def alerts(spark, sf):
 
 #: Files that the events come in, and the most that a row comes late by.
 FILES, DELAY = 3, "6 days"
+#: Rows of a file of arriving events; a micro-batch of more rows comes in several files.
+FILE_ROWS = 500_000
+
 
+def arriving(spark, sf, place=None, file_rows=FILE_ROWS):
+    """The events as a stream of three parts, one a micro-batch, out of order within and between them.
 
-def arriving(spark, sf, place=None):
-    """The events as a stream of three files, one a micro-batch, out of order within and between them."""
+    A part is one file, or as many as keep a file at about ``file_rows`` rows, the same number for every part.
+    """
     base = shared_dir(spark, "arriving")
     rows = views.table(spark, sf, "events")
     part = F.least(F.lit(FILES - 1), F.floor((F.dayofmonth("ts") - 1 + F.col("event_id") % 5) / 12)) if place is None else place
-    rows = rows.withColumn("_part", part).orderBy(F.xxhash64("event_id"))
+    rows = rows.withColumn("_part", part)
+    sizes = dict(rows.groupBy("_part").count().collect())
+    n = max(1, math.ceil(max(sizes.get(i, 0) for i in range(FILES)) / file_rows))
     for i in range(FILES):
-        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(base)
-    return jobs.read_table(spark, base, files_per_batch=1)
+        dealt = rows.where(F.col("_part") == i).drop("_part").repartition(n)
+        dealt.sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(base)
+        # rows may be too few for all files of a part
+        for _ in range(n * (i + 1) - len(spark.read.parquet(base).inputFiles())):
+            dealt.limit(0).coalesce(1).write.mode("append").parquet(base)
+    return jobs.read_table(spark, base, files_per_batch=n)
 
 
 def in_order(spark, sf, build, step, name, row_id="alert_id", delay=DELAY):

@@ -1,15 +1,13 @@
 """Streams in event-time order: rows wait until the watermark has passed them, then batch operators take over.
 
-Rows of a stream come late and in any order. ``Reorder`` keeps them in state, dealt by a hash of their id and not
-by a key of the data, so no key is hot, and lets go of them once the watermark is past them. What a micro-batch
-lets go of is all there will ever be of its stretch of time, so the batch operators work on it as they are, with all
+Rows of a stream come late and in any order. ``Arrivals`` writes each micro-batch as a table, sorted by time within its
+files, and lets go of its rows once the watermark is past them; no row waits in the memory of a task. What a
+micro-batch lets go of is all there will ever be of its stretch of time, so the batch operators work on it as they are, with all
 they do about hot keys, next to a small carried table: the rows that windows still reach back to, and totals. Rows that
 come after their time has passed are set aside.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from threatflow.plans.session import shared_dir
 
@@ -19,85 +17,6 @@ END = "2100-01-01 00:00:00"
 OUT = "at_us bigint, id string, body string, late boolean, upto_us bigint"
 
 
-class Reorder(StatefulProcessor):
-    """Holds rows (at_us, id, body) until the watermark passes them; late ones go on at once, marked."""
-
-    def init(self, handle):
-        self.handle = handle
-        self.held = handle.getListState("held", "lo bigint, rows binary")
-
-    @staticmethod
-    def _packed(pdf):
-        import pyarrow as pa
-
-        table = pa.table({"at_us": pa.array(pdf["at_us"], pa.int64()), "id": pa.array(pdf["id"], pa.string()), "body": pa.array(pdf["body"], pa.large_string())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        return int(pdf["at_us"].min()), sink.getvalue().to_pybytes()
-
-    @staticmethod
-    def _out(pdf, late, upto):
-        return pd.DataFrame({
-            "at_us": pdf["at_us"].to_numpy(), "id": pdf["id"].to_numpy(object), "body": pdf["body"].to_numpy(object),
-            "late": [late] * len(pdf), "upto_us": [upto] * len(pdf),
-        })
-
-    def _wake(self, lo):
-        self.handle.registerTimer(-(-lo // 1000))
-
-    def handleInputRows(self, key, rows, timerValues):
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        for pdf in rows:
-            late = pdf["at_us"] <= upto
-            if late.any():
-                yield self._out(pdf[late], True, upto)
-            if not late.all():
-                lo, packed = self._packed(pdf[~late])
-                self.held.appendValue((lo, packed))
-                self._wake(lo)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pyarrow as pa
-
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        kept, least = [], None
-        for lo, packed in self.held.get():
-            if lo <= upto:
-                pdf = pa.ipc.open_stream(packed).read_all().to_pandas()
-                due = pdf["at_us"] <= upto
-                yield self._out(pdf[due], False, upto)
-                if due.all():
-                    continue
-                lo, packed = self._packed(pdf[~due])
-            kept.append((lo, packed))
-            least = lo if least is None else min(least, lo)
-        if kept:
-            self.held.put(kept)
-            self._wake(least)
-        else:
-            self.held.clear()
-
-    def close(self):
-        pass
-
-
-def released(rows: DataFrame, at, row_id, delay, buckets):
-    """A stream's rows as (at_us, id, body, late, upto_us), each once the watermark has passed it.
-
-    Late rows are those at or before the watermark of the micro-batch they come in.
-    """
-    body = F.to_json(F.struct(*rows.columns))
-    packed = rows.select(
-        F.col(at).alias("at_us"), F.col(row_id).cast("string").alias("id"), body.alias("body"),
-        F.coalesce(F.pmod(F.xxhash64(row_id), F.lit(buckets)), F.lit(-1)).alias("bucket"),
-        F.timestamp_micros(at).alias("event_time"),
-    )
-    # without the time column Spark keeps late rows, so that they can be told of
-    timed = packed.withWatermark("event_time", delay).drop("event_time")
-    return timed.groupBy("bucket").transformWithStateInPandas(Reorder(), OUT, "Append", "EventTime")
-
-
 class InOrder:
     """A run of a stream through ``step(rows, carried, upto_us) -> (out, carried)``, micro-batch by micro-batch.
 
@@ -134,15 +53,23 @@ class InOrder:
         try:
             seen = batch.agg(F.max("upto_us").alias("upto"), F.count_if("late").alias("late")).first()
             if seen["late"]:
-                batch.where("late").select("at_us", "id").write.mode("overwrite").parquet(f"{self.base}/late/{number}")
+                self.set_aside(batch.where("late").select("at_us", "id"), number)
             if seen["upto"] is None:
                 return
-            carried, before = self._carried(number)
             rows = batch.where("not late").select(F.from_json("body", self.schema).alias("r")).select("r.*")
-            self._run(rows, carried, max(seen["upto"], before or seen["upto"]), number)
+            self.advance(rows, seen["upto"], number)
         finally:
             batch.unpersist()
 
+    def set_aside(self, rows, number):
+        """Keep rows (at_us, id) of a micro-batch that came too late."""
+        rows.write.mode("overwrite").parquet(f"{self.base}/late/{number}")
+
+    def advance(self, rows, upto, number):
+        """Put the rows up to ``upto`` through the step."""
+        carried, before = self._carried(number)
+        self._run(rows, carried, max(upto, before or upto), number)
+
     def _run(self, rows, carried, upto, number):
         folder = f"{self.base}/steps/{number}"
         out, left = self.step(rows, carried, upto)
@@ -168,17 +95,67 @@ class InOrder:
         return self.spark.read.option("recursiveFileLookup", "true").schema("at_us bigint, id string").parquet(f"{self.base}/late")
 
 
-def run_in_order(source: DataFrame, build, step, name, at="ts_us", row_id="packet_id", delay="10 minutes", buckets=8, closed=True, base=None):
+class Arrivals:
+    """Takes in the micro-batches of a stream and lets rows go on to ``run`` once the watermark has passed them.
+
+    The watermark is ``delay`` behind the latest time of all micro-batches so far, in milliseconds and never falling, as
+    Spark's is; rows at or before the watermark that their micro-batch begins with are late. Each micro-batch is written under its
+    number. It lets go of the rows between the watermark it begins with and the one it leaves, so a batch that runs again
+    does the same again. Tables of which all rows have passed are deleted.
+    """
+
+    def __init__(self, run, at, row_id, delay):
+        self.run, self.spark, self.base = run, run.spark, f"{run.base}/arrived"
+        self.at, self.row_id = at, row_id
+        epoch = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+        self.delay_ms = self.spark.sql(f"SELECT timestampdiff(MILLISECOND, {epoch}, {epoch} + INTERVAL {delay}) AS ms").first()["ms"]
+
+    def _mark(self, number):
+        """What the micro-batch before ``number`` left: the watermark, tables with rows that wait, and tables without."""
+        before = [n for n in self.run._numbers("arrived") if n < number]
+        if not before:
+            return 0, {}, []
+        mark = self.spark.read.parquet(f"{self.base}/{before[-1]}/done").first()
+        return mark["upto_us"], dict(mark["waiting"]), mark["passed"]
+
+    def _rows(self, numbers, schema):
+        return self.spark.read.schema(schema).parquet(*[f"{self.base}/{n}/rows" for n in numbers])
+
+    def __call__(self, batch, number):
+        begin, tables, passed = self._mark(number)
+        at = F.col(self.at)
+        batch.sortWithinPartitions(self.at).write.mode("overwrite").parquet(f"{self.base}/{number}/rows")
+        came = self._rows([number], batch.schema)
+        seen = came.agg(F.max(at).alias("last"), F.count_if(at <= begin).alias("late")).first()
+        if seen["late"]:
+            self.run.set_aside(came.where(at <= begin).select(at.alias("at_us"), F.col(self.row_id).cast("string").alias("id")), number)
+        upto = begin
+        if seen["last"] is not None:
+            upto = max(begin, (seen["last"] // 1000 - self.delay_ms) * 1000)
+            tables[number] = seen["last"]
+        if upto > begin:
+            rows = self._rows(sorted(tables), batch.schema)
+            self.run.advance(rows.where((at > begin) & (at <= upto)), upto, number)
+        self._leave(number, upto, {n: last for n, last in tables.items() if last > upto}, [n for n, last in tables.items() if last <= upto])
+        # this micro-batch may run again, so tables that passed in it stay for the next one to delete
+        for n in passed:
+            path = self.run._path(f"arrived/{n}/rows")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _leave(self, number, upto, waiting, passed):
+        schema = "upto_us bigint, waiting map<bigint, bigint>, passed array<bigint>"
+        mark = self.spark.createDataFrame([(upto, waiting, passed)], schema)
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/{number}/done")
+
+
+def run_in_order(source: DataFrame, build, step, name, at="ts_us", row_id="packet_id", delay="10 minutes", closed=True, base=None):
     """Run a finite stream through ``step`` in event-time order and give back the run (see ``InOrder``).
 
     ``build`` makes rows with a time in microseconds (``at``) and an id from the source. With ``closed`` the input is
     finished: a row of the year 2100 comes in through a folder of its own and moves the watermark past all others, so that
     no row stays behind. A run with the same ``base`` goes on where the last one ended.
     """
-    from threatflow.streaming.jobs import use_state_store
-
     spark = source.sparkSession
-    use_state_store(spark)
     base = base or shared_dir(spark, f"stream-{name}")
     if closed:
         beats = f"{base}/beats"
@@ -191,11 +168,11 @@ def run_in_order(source: DataFrame, build, step, name, at="ts_us", row_id="packe
         source = source.unionByName(spark.readStream.schema(source.schema).parquet(beats))
     rows = build(source)
     run = InOrder(spark, rows.schema, step, base)
+    arrivals = Arrivals(run, at, row_id, delay)
 
     def go():
-        stream = released(rows, at, row_id, delay, buckets)
         query = (
-            stream.writeStream.foreachBatch(run).outputMode("append").trigger(availableNow=True)
+            rows.writeStream.foreachBatch(arrivals).outputMode("append").trigger(availableNow=True)
             .option("checkpointLocation", f"{base}/checkpoint").start()
         )
         query.awaitTermination()
