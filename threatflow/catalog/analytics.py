@@ -225,7 +225,7 @@ def p95_sql(value, borders, q=0.95):
 
 @query(
     "sustained_alarms",
-    f"""WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, {p95_sql("value", VALUE_BORDERS)} AS latency_p95,
+    f"""WITH s AS (SELECT ts_us // 21600000000 AS step, count(*) AS packet_rate, count(*) FILTER (event_type = 'click') AS alert_rate, quantile_cont(value, 0.95) AS latency_p95,
       count(DISTINCT src_ip) FILTER (event_type = 'error') AS blocked_ips, count(DISTINCT src_port) AS connections FROM packets GROUP BY 1),
     o AS ({" UNION ALL ".join(f"SELECT '{n}' AS alarm, '{sev}' AS severity, step FROM s WHERE {m} > {level}" for n, m, level, sev in ALARMS)}),
     r AS (SELECT *, step - row_number() OVER (PARTITION BY alarm ORDER BY step) AS run FROM o)
@@ -233,16 +233,20 @@ def p95_sql(value, borders, q=0.95):
     over=["packets"],
 )
 def sustained_alarms(spark, sf):
-    """Runs of steps on which an alarm's metric stayed above its level; all metrics are sketches that merge."""
+    """Runs of steps on which an alarm's metric stayed above its level: exact quantiles and counts of different values."""
+    packets = views.packets(spark, sf)
     steps = rate.per_step(
-        views.packets(spark, sf), 21_600,
+        packets, 21_600,
         F.count(F.lit(1)).alias("packet_rate"),
         F.count_if(F.col("event_type") == "click").alias("alert_rate"),
-        *rate.bucket_counts("value", VALUE_BORDERS),
-        rate.distinct_about(F.when(F.col("event_type") == "error", F.col("src_ip"))).alias("blocked_ips"),
-        rate.distinct_about(F.col("src_port")).alias("connections"),
-    )
-    return rate.sustained(steps.withColumn("latency_p95", rate.bucket_quantile(VALUE_BORDERS, 0.95)), ALARMS, 3)
+    ).where(F.col("step").isNotNull())
+    for more in (
+        rate.step_quantile(packets, 21_600, "value", 0.95, "latency_p95"),
+        rate.step_distinct(packets, 21_600, F.when(F.col("event_type") == "error", F.col("src_ip")), "blocked_ips"),
+        rate.step_distinct(packets, 21_600, F.col("src_port"), "connections"),
+    ):
+        steps = steps.join(more, "step", "left")
+    return rate.sustained(steps.na.fill(0, ["blocked_ips", "connections"]), ALARMS, 3)
 
 
 @query(

@@ -41,7 +41,23 @@ def rate_limit(requests: DataFrame, key, limit=100, window_s=60, tie="packet_id"
 
 def per_step(rows: DataFrame, step_s, *aggs):
     """One row per step of time that has rows."""
-    return rows.groupBy(F.floor(F.col("ts_us") / (step_s * SECOND)).alias("step")).agg(*aggs)
+    return rows.groupBy(step_of(step_s)).agg(*aggs)
+
+
+def step_of(step_s):
+    return F.floor(F.col("ts_us") / (step_s * SECOND)).alias("step")
+
+
+def step_quantile(rows: DataFrame, step_s, value, q, out, chunk_rows=ordered.CHUNK_ROWS):
+    """The exact, linearly interpolated quantile of each step that has values; no task holds all values of a step."""
+    timed = rows.where(F.col("ts_us").isNotNull()).select(step_of(step_s), value)
+    return ordered.quantiles(timed, ["step"], value, [q], chunk_rows).select("step", F.col("q0").alias(out))
+
+
+def step_distinct(rows: DataFrame, step_s, value, out):
+    """How many different values each step has, exactly: values are told apart before they are counted."""
+    pairs = rows.select(step_of(step_s), value.alias("_v")).where(F.col("step").isNotNull() & F.col("_v").isNotNull())
+    return pairs.distinct().groupBy("step").agg(F.count(F.lit(1)).alias(out))
 
 
 def sustained(steps: DataFrame, alarms, hold_steps, chunk_rows=ordered.CHUNK_ROWS):
