@@ -40,3 +40,13 @@ def test_blocks_of_a_large_class_grow_with_it(spark):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     assert all(got[i] == set(np.argsort(d[i])[:3].tolist()) for i in range(400))
+
+
+def test_copies_are_ranked_by_id():
+    v = np.repeat(np.random.default_rng(7).normal(size=(5, 64)) * 30, 40, axis=0)
+    ids = np.random.default_rng(8).permutation(200)
+    a, b, d = neighbours._nearest(v, ids, v, ids, 3)
+    home = {int(i): at // 40 for at, i in enumerate(ids)}
+    for i in home:
+        same = sorted(j for j in home if j != i and home[j] == home[i])[:3]
+        assert b[a == i].tolist() == same and (d[a == i] == 0).all()
