@@ -132,3 +132,40 @@ def test_missing_values_weights_and_odd_tables(spark):
     assert len(bounded.rounds) == 3
     with pytest.raises(TypeError):
         boosting.train(df, NAMES, "y", maxIter=3)
+
+
+@pytest.mark.parametrize("depth,bins", [(0, 64), (3, 5), (6, 64), (10, 256)])
+def test_lookups_find_the_leaves_that_steps_lead_to(depth, bins):
+    """Deep trees have leaves in several words; some features are never asked, some splits leave a side empty."""
+    rng = np.random.default_rng(depth)
+    sizes = [bins, bins, 3, 2, bins, 1]
+    x = np.stack([rng.integers(0, s, 25_000) for s in sizes]).astype(np.uint8)
+    tree = boosting.Tree()
+    tree.value[0] = -1.5
+    level = [0]
+    for _ in range(depth):
+        level = [
+            c for node in level if rng.random() < 0.9
+            for c in tree.split(node, int(rng.choice([0, 1, 2, 4])), int(rng.integers(0, bins - 1)), float(rng.random()), rng.normal(size=2).tolist())
+        ]
+    tree.prune(0.2)
+    packed = tree.packed()
+    for rows in (x, x[:, :1], x[:, :0]):
+        got, groups = np.full(rows.shape[1], 0.25), boosting.grouped(sizes)
+        opened = boosting.open_leaves(packed, sizes)
+        boosting.add_values(got, opened, boosting.combined(rows, sizes, groups), sizes, groups)
+        assert (got == 0.25 + packed[3][boosting.leaves(packed, rows)]).all()
+
+
+def test_models_are_scored_together_batch_by_batch(spark, monkeypatch):
+    """Several models in one pass over the rows, over batches put together, give each model's own probabilities."""
+    df, x, _ = table(spark, 900)
+    some = [boosting.train(df, NAMES, "y", n_estimators=6, max_depth=d) for d in (2, 5)]
+    monkeypatch.setattr(boosting, "SCORED", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = {r["id"]: r["p"] for r in df.withColumn("p", boosting.probability_columns(some)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = np.concatenate([m.probabilities(x) for m in some], axis=1)
+    assert all(got[i] == want[i].tolist() for i in range(len(x)))

@@ -8,9 +8,11 @@ round's blocks follow from the ones before and are checkpointed now and then, so
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -19,7 +21,7 @@ from threatflow.plans.session import ensure_checkpoint_dir, shared_dir
 
 #: Values (rows x features) in a block; rows of a block at least, where all cores get one; blocks added up in one step
 #: on the driver; rounds between checkpoints; rows scored together.
-BLOCK_CELLS, LEAST_ROWS, DIRECT, KEPT_ROUNDS, SCORED = 4_000_000, 20_000, 16, 20, 20_000
+BLOCK_CELLS, LEAST_ROWS, DIRECT, KEPT_ROUNDS, SCORED = 4_000_000, 20_000, 16, 20, 100_000
 
 
 @dataclass
@@ -109,6 +111,93 @@ def _depth(tree):
     return int(depth.max())
 
 
+# --------------------------------------------------- rows through whole trees
+
+#: Leaves whose bits lie in a word; pairs of bins, or more, that one lookup takes at once; rows looked up together.
+WORD, JOINED, LOOKED_UP = 64, 4_096, 10_000
+
+
+def grouped(sizes):
+    """Features dealt into groups whose bins, ``sizes`` of them each, make at most JOINED combinations, in order."""
+    groups, count = [], 0
+    for f, size in enumerate(sizes):
+        if groups and count * size <= JOINED:
+            groups[-1].append(f)
+            count *= size
+        else:
+            groups.append([f])
+            count = size
+    return groups
+
+
+def combined(bins, sizes, groups):
+    """Each row's combination of bins in each group, counted with the first feature fastest."""
+    out = np.zeros((len(groups), bins.shape[1]), np.intp)
+    for code, group in zip(out, groups):
+        for f in reversed(group):
+            code *= sizes[f]
+            code += bins[f]
+    return out
+
+
+def open_leaves(tree, sizes):
+    """Values of a tree's leaves (word by bit), and by feature asked for the leaves open to each bin (word by bin).
+
+    A leaf is open to the bins between the cuts on its way, and a row ends at the one leaf that is open to all its bins.
+    """
+    feature, cut, left, value = tree[:4]
+    low, high = np.zeros((len(left), len(sizes)), np.int16), np.full((len(left), len(sizes)), NEVER, np.int16)
+    ends, asked, nodes = [], set(), np.zeros(1, np.int64)
+    while len(nodes):
+        last = left[nodes] == nodes
+        ends.append(nodes[last])
+        nodes = nodes[~last]
+        f, c, down = feature[nodes], cut[nodes], left[nodes]
+        asked.update(f.tolist())
+        for child in (down, down + 1):
+            low[child], high[child] = low[nodes], high[nodes]
+        high[down, f] = np.minimum(high[down, f], c)
+        low[down + 1, f] = np.maximum(low[down + 1, f], c + 1)
+        nodes = np.concatenate([down, down + 1])
+    ends = np.concatenate(ends)
+    words = -(-len(ends) // WORD)
+    values = np.zeros((words, WORD + 1))
+    values[:, :WORD].flat[: len(ends)] = value[ends]
+    masks = {}
+    for f in asked:
+        bin_ = np.arange(sizes[f])[:, None]
+        is_open = np.zeros((sizes[f], words * WORD), bool)
+        is_open[:, : len(ends)] = (bin_ >= low[ends, f]) & (bin_ <= high[ends, f])
+        masks[f] = np.ascontiguousarray(np.packbits(is_open, axis=1, bitorder="little").view("<u8").T)
+    return values, masks
+
+
+def add_values(margin, opened, codes, sizes, groups):
+    """Add to each row's ``margin`` the value of its leaf, by a lookup per group instead of a step per level."""
+    values, masks = opened
+    tables = []
+    for code, group in zip(codes, groups):
+        if any(f in masks for f in group):
+            table = np.full((len(values), 1), -1).astype("<u8")
+            for f in group:
+                mask = masks[f] if f in masks else np.full((len(values), sizes[f]), -1).astype("<u8")
+                table = (mask[:, :, None] & table[:, None, :]).reshape(len(values), -1)
+            tables.append((code, table))
+    if not tables:
+        margin += values[0, 0]
+        return
+    for start in range(0, len(margin), LOOKED_UP):
+        here = slice(start, start + LOOKED_UP)
+        for word, value in enumerate(values):
+            found = None
+            for code, table in tables:
+                some = table[word].take(code[here], mode="clip")
+                found = some if found is None else np.bitwise_and(found, some, out=found)
+            # one bit of one word is set; below it are as many bits as its place, and 64 where a word has none
+            found -= np.uint64(1)
+            margin[here] += value.take(np.bitwise_count(found), mode="clip")
+
+
 # ------------------------------------------------------------------ blocks
 
 
@@ -117,10 +206,10 @@ class Block:
 
     def __init__(self, number, bins, target, weight, watched, margin):
         self.number, self.bins, self.target, self.weight, self.watched, self.margin = number, bins, target, weight, watched, margin
-        self.round, self.some = None, None
+        self.round, self.some, self.codes = None, None, None
 
     def __getstate__(self):
-        return {**self.__dict__, "round": None, "some": None}
+        return {**self.__dict__, "round": None, "some": None, "codes": None}
 
     def odds(self):
         """Probability of each class, or of class 1 if there are two."""
@@ -185,8 +274,16 @@ class Block:
 
     def advanced(self, trees):
         """These rows after a round's trees."""
-        margin = self.margin + np.stack([t[3][leaves(t, self.bins)] for t in trees])
-        return Block(self.number, self.bins, self.target, self.weight, self.watched, margin)
+        margin = self.margin.copy()
+        if self.codes is None:
+            sizes = [int(most) + 1 for most in self.bins.max(axis=1, initial=0)]
+            groups = grouped(sizes)
+            self.codes = combined(self.bins, sizes, groups), sizes, groups
+        for row, tree in zip(margin, trees):
+            add_values(row, open_leaves(tree, self.codes[1]), *self.codes)
+        after = Block(self.number, self.bins, self.target, self.weight, self.watched, margin)
+        after.codes = self.codes
+        return after
 
 
 def added(a, b):
@@ -321,7 +418,10 @@ class BoostedTrees:
 
     def __init__(self, features, cuts, classes, base, rounds, scaler=None, losses=()):
         self.features, self.cuts, self.classes, self.base = list(features), cuts, classes, base
-        self.rounds, self.scaler, self.losses = rounds, scaler, list(losses)
+        self.rounds, self.scaler, self.losses, self.opened = rounds, scaler, list(losses), None
+
+    def __getstate__(self):
+        return {**self.__dict__, "opened": None}
 
     def binned(self, matrix):
         return binned(matrix, self.cuts)
@@ -329,28 +429,19 @@ class BoostedTrees:
     def probabilities(self, matrix):
         """Probability of each class (row by class), of class 1 alone where there are two."""
         margin = np.repeat(np.array(self.base, float)[:, None], len(matrix), axis=1)
-        bins = self.binned(matrix)
-        for trees in self.rounds:
-            for k, tree in enumerate(trees):
-                margin[k] += tree[3][leaves(tree, bins)]
+        sizes = [len(cut) + 1 for cut in self.cuts]
+        groups = grouped(sizes)
+        if self.opened is None:
+            self.opened = [[open_leaves(tree, sizes) for tree in trees] for trees in self.rounds]
+        codes = combined(self.binned(matrix), sizes, groups)
+        for trees in self.opened:
+            for row, opened in zip(margin, trees):
+                add_values(row, opened, codes, sizes, groups)
         return Block(0, None, None, None, None, margin).odds().T
 
     def probability_column(self):
         """An array column of probabilities from the feature columns."""
-        inputs = F.array(*[c.cast("double") for c in scaled(self.features, self.scaler)])
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def run(values):
-            import pandas as pd
-
-            width, out = len(self.features), []
-            for start in range(0, len(values), SCORED):
-                some = values.iloc[start : start + SCORED]
-                flat = np.concatenate(some.to_list()).astype(float) if len(some) else np.zeros(0)
-                out.extend(self.probabilities(flat.reshape(-1, width)).tolist())
-            return pd.Series(out)
-
-        return run(inputs)
+        return probability_columns([self])
 
     def save(self, spark, path):
         """Write the model as two small tables below ``path``."""
@@ -375,6 +466,39 @@ class BoostedTrees:
         return cls(about["features"], [np.array(c) for c in about["cuts"]], about["classes"], about["base"], rounds, about["scaler"], about["losses"])
 
 
+def probability_columns(models):
+    """One array column of what models with the same inputs say, one after the other.
+
+    Batches are scored SCORED rows at a time, since a tree's lookups are made anew for each call.
+    """
+    inputs = F.array(*[c.cast("double") for c in scaled(models[0].features, models[0].scaler)])
+    width = len(models[0].features)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def scored(held):
+            flat = np.concatenate([b.flatten().to_numpy(zero_copy_only=False).astype(float) for b in held])
+            matrix = flat.reshape(-1, width)
+            odds = np.concatenate([m.probabilities(matrix) for m in models], axis=1)
+            start = 0
+            for batch in held:
+                some = odds[start : start + len(batch)]
+                start += len(batch)
+                ends = np.arange(len(some) + 1, dtype=np.int32) * odds.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(some.ravel()))
+
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= SCORED:
+                yield from scored(held)
+                held = []
+        if held:
+            yield from scored(held)
+
+    return run(inputs)
+
+
 def scaled(features, scaler):
     """Feature columns, scaled if there is a scaler (feature: centre, width)."""
     plain = [F.col(f"`{f}`") for f in features]
@@ -412,8 +536,6 @@ def _blocks_of(cuts, width, trees_each, base):
         import pickle
         import zlib
 
-        import pyarrow as pa
-
         held, count, most = [], 0, block_rows(width)
 
         def block():

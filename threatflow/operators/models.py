@@ -170,9 +170,10 @@ def random_search(
 
     def rate():
         """Figures of the held models, from one job that scores all holdout rows with each."""
-        rated = rows.select(F.col(label).cast("int").alias("y"), F.posexplode(F.array(*[
-            F.get(boosting.BoostedTrees(model.features, model.cuts, None, model.base, r).probability_column(), F.lit(0)) for r in held.values()
-        ])).alias("k", "p")).persist(StorageLevel.MEMORY_AND_DISK)
+        found = [boosting.BoostedTrees(model.features, model.cuts, None, model.base, r) for r in held.values()]
+        rated = rows.select(
+            F.col(label).cast("int").alias("y"), F.posexplode(boosting.probability_columns(found)).alias("k", "p")
+        ).persist(StorageLevel.MEMORY_AND_DISK)
         ranks = {r["k"]: r for r in evaluate.ranking(rated, "y", "p", by=["k"]).collect()}
         marks = evaluate.confusion(rated.withColumn("hit", (F.col("p") >= 0.5).cast("int")), "y", "hit", ["k"])
         marks = {r["k"]: r for r in marks.where("k is not null").collect()}
