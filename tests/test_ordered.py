@@ -197,3 +197,34 @@ spark.stop()
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, capture_output=True)
     left = [p for p in tmp_path.rglob("*") if p.is_file()]
     assert left == []
+
+
+@pytest.mark.parametrize("bits,chunk", [(1, 3), (1, 1_000_000), (12, 50)])
+def test_mark_first(spark, monkeypatch, bits, chunk):
+    """The first rows of each key by hash and id, as numbering all rows gives them; equal rows are taken one by one."""
+    monkeypatch.setattr(ordered, "RANGE_BITS", bits)
+    rows = [(k, i % 150, i) for i, (k, *_) in enumerate(sample())] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, id long, n long").repartition(3).withColumn("h", F.xxhash64("id"))
+    sizes = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    takes = {"hot": sizes["hot"] // 3, "a": 0, "b": sizes["b"], "c": 1}
+    takes_df = spark.createDataFrame(list(takes.items()), "k string, _take long")
+    got = ordered.mark_first(df, ["k"], "h", "id", takes_df, "is_first", chunk).collect()
+    assert sorted(r["n"] for r in got) == sorted(n for k, _, n in rows if k in takes)
+    for key, take in takes.items():
+        mine = [r for r in got if r["k"] == key]
+        want = sorted((r["h"], r["id"]) for r in mine)[:take]
+        assert sorted((r["h"], r["id"]) for r in mine if r["is_first"]) == want
+
+
+def test_split_orders_few_rows(spark, monkeypatch):
+    """Only rows near the border of a class are put in order, not the class."""
+    from threatflow.operators import prep
+
+    seen, carry = [], ordered.carry
+    monkeypatch.setattr(ordered, "carry", lambda df, *a, **k: seen.append(df.count()) or carry(df, *a, **k))
+    df = spark.range(40_000).select("id", (F.col("id") % 2).alias("y"))
+    counts = {(r["y"], r["is_test"]): r["count"] for r in prep.split_random(df, "y", "id").groupBy("y", "is_test").count().collect()}
+    assert counts == {(y, t): 4_000 if t else 16_000 for y in (0, 1) for t in (True, False)}
+    made = prep.balance(df.where("y = 0 OR id < 10000"), "y", "id", "oversample").groupBy("y").count()
+    assert {r["y"]: r["count"] for r in made.collect()} == {0: 20_000, 1: 20_000}
+    assert sum(seen) < 400

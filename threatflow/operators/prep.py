@@ -91,14 +91,14 @@ def balance_plan(df: DataFrame, label, method="hybrid", least=10_000, most=100_0
 def balance(df: DataFrame, label, row_id, method="hybrid", least=10_000, most=100_000, seed=42, chunk_rows=ordered.CHUNK_ROWS):
     """Exactly the planned rows per class: too many are thinned, too few repeated.
 
-    Rows are drawn in the order of a hash of their id, which spreads evenly, so even
-    a class with nearly all rows is numbered in equal chunks.
+    Rows are drawn in the order of a hash of their id. All rows of a class come equally often, but for the first
+    ones, which come once more, so only these have to be told from the rest.
     """
-    plan = balance_plan(df, label, method, least, most)
+    plan = balance_plan(df, label, method, least, most).withColumn("_take", F.col("want") % F.col("have"))
     rows = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    rows = ordered.number_rows(rows, [label], ["_h", row_id], "_rn", chunk_rows)
+    rows = ordered.mark_first(rows, [label], "_h", row_id, plan.select(label, "_take"), "_more", chunk_rows)
     rows = rows.join(broadcast_if_small(plan), label)
-    copies = F.floor(F.col("want") / F.col("have")) + (F.col("_rn") <= F.col("want") % F.col("have")).cast("long")
+    copies = F.floor(F.col("want") / F.col("have")) + F.col("_more").cast("long")
     rows = rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))))
     return rows.select(*df.columns, "copy")
 
@@ -109,10 +109,8 @@ def balance(df: DataFrame, label, row_id, method="hybrid", least=10_000, most=10
 def split_random(df: DataFrame, label, row_id, test_size=0.2, seed=42, chunk_rows=ordered.CHUNK_ROWS):
     """Add ``is_test``: the same share of each class, exact to the row."""
     rows = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    rows = ordered.number_rows(rows, [label], ["_h", row_id], "_rn", chunk_rows)
     counts = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * test_size + 0.5).alias("_take"))
-    rows = rows.join(broadcast_if_small(counts), label)
-    return rows.withColumn("is_test", F.col("_rn") <= F.col("_take")).select(*df.columns, "is_test")
+    return ordered.mark_first(rows, [label], "_h", row_id, counts, "is_test", chunk_rows).select(*df.columns, "is_test")
 
 
 def split_by_group(df: DataFrame, group, test_size=0.2, chunk_rows=ordered.CHUNK_ROWS):

@@ -9,6 +9,7 @@ table with one row per hot chunk.  Results equal those of the plain window.
 * ``split_hot``      marks hot keys and gives their rows a chunk number
 * ``carry``          lag / last value / running sum / running max
 * ``number_rows``    row_number per key
+* ``mark_first``     the first rows per key in the order of a hash, without putting all in order
 * ``rolling_range``  aggregates over [t - span, t], linear in the rows
 * ``keep_spaced``    greedy suppression: keep a row, drop followers within ``gap``
 * ``quantiles``      exact interpolated quantiles without one big buffer
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from threatflow.plans.session import written
 from threatflow.plans.sizes import broadcast_if_small
 
 # A key with more rows than this is cut into chunks of about this many rows.
@@ -33,6 +35,8 @@ COLD = -1
 FIGURES = {"sum": F.sum, "max": F.max, "min": F.min}
 # Rows whose values ``newest`` carries.
 NEWEST = 20
+# Upper bits of a hash that ``mark_first`` counts rows by.
+RANGE_BITS = 12
 
 
 
@@ -201,6 +205,32 @@ def numbered(df: DataFrame, keys, order, out="rn", chunk_rows=CHUNK_ROWS):
     return carry(rows, keys, order, **{out: ("sum", "_one")}).drop("_one", "_chunk"), "_chunk" in rows.columns
 
 
+def mark_first(df: DataFrame, keys, at, tie, takes: DataFrame, out="first", chunk_rows=CHUNK_ROWS):
+    """Whether a row is among the first ``_take`` of its key by ``at`` (a 64-bit hash) and ``tie``.
+
+    ``takes`` has the keys and ``_take``; rows of other keys are left out. Rows are counted by ranges of the hash, and only
+    those of the range in which the last row taken lies are put in order: of an even hash one row in 4,096.
+    """
+    here = F.shiftright(at, 64 - RANGE_BITS)
+    counts = df.groupBy(*keys, here.alias("_range")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).join(broadcast_if_small(takes), list(keys))
+    used = F.col("_before") < F.col("_take")
+    ends = written(counts.groupBy(*keys).agg(
+        F.max(F.when(used, F.col("_range"))).alias("_last"),
+        (F.max("_take") - F.max(F.when(used, F.col("_before")))).alias("_need"),
+        F.max_by("_c", F.when(used, F.col("_range"))).alias("_size"),
+    ))
+    rows = df.join(broadcast_if_small(ends), list(keys))
+    settled = rows.where(F.col("_last").isNull() | (here != F.col("_last")))
+    settled = settled.select(*df.columns, F.coalesce(here < F.col("_last"), F.lit(False)).alias(out))
+    last = rows.where(here == F.col("_last"))
+    if (ends.agg(F.max("_size")).first()[0] or 0) > chunk_rows:
+        last = split_hot(last, keys, [at, tie], chunk_rows)
+    last = carry(last.withColumn("_one", F.lit(1).cast("long")), keys, [at, tie], _rn=("sum", "_one"))
+    return settled.unionByName(last.select(*df.columns, (F.col("_rn") <= F.col("_need")).alias(out)))
+
+
 def rolling_range(df: DataFrame, keys, at, span, tie, closed=True, chunk_rows=CHUNK_ROWS, hot=True, **aggs):
     """Aggregates over the rows with ``at`` in [t - span, t] up to the current row.
 
