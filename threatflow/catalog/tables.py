@@ -1,5 +1,7 @@
 """Queries for file sources and sinks; the files are written from the tables first."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from threatflow.catalog.registry import query, rounded
@@ -19,13 +21,24 @@ HALVES = {"early": ("day < '1999'", []), "late": ("day >= '1999'", ["Fwd Pkts/s"
 FILES = {"early": 3, "late": 2}
 
 
-def write_days(spark, sf):
-    """All flows as CSV in two folders, the later one with a column more."""
+#: Rows that a file of flows to be read back holds at most, about.
+FILE_ROWS = 1_000_000
+
+
+def write_days(spark, sf, file_rows=None):
+    """All flows as CSV in two folders, the later one with a column more.
+
+    With ``file_rows`` each of the files becomes as many as keep a file at about that many rows.
+    """
     base = shared_dir(spark, "csv")
     f = views.flows(spark, sf)
+    files = FILES
+    if file_rows:
+        sizes = f.agg(*[F.count_if(F.expr(days)).alias(half) for half, (days, _) in HALVES.items()]).first()
+        files = {half: n * max(1, math.ceil(sizes[half] / n / file_rows)) for half, n in FILES.items()}
     for half, (days, extra) in HALVES.items():
         cols = [F.expr(e).alias(c) for c, e in RAW.items()] + [F.col("tax").alias(c) for c in extra]
-        f.where(days).repartition(FILES[half]).select(*cols).write.option("header", True).csv(f"{base}/{half}")
+        f.where(days).repartition(files[half]).select(*cols).write.option("header", True).csv(f"{base}/{half}")
     return base
 
 
@@ -34,7 +47,7 @@ DAY_SQL = """SELECT day, flow_id, quantity AS port, CASE WHEN flow_id % 9 <= 3 T
 
 
 def loaded(spark, sf, **options):
-    base = write_days(spark, sf)
+    base = write_days(spark, sf, FILE_ROWS)
     files = csv_days.list_files(spark, base, recursive=True).select("path").collect()
     return csv_days.clean_days(csv_days.read_day_files(spark, [r["path"] for r in files]), **options)
 
