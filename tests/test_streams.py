@@ -146,3 +146,50 @@ def test_histograms_merge(spark):
     assert none.first()["q"] is None
     assert df.agg(rate.distinct_about(F.col("k").cast("string")).alias("n")).first()["n"] == 7
     assert df.where("k < 0").agg(rate.distinct_about(F.col("k")).alias("n")).first()["n"] == 0
+
+
+def test_joined_partners_of_a_burst(spark):
+    """Sixty thousand alerts between two addresses within a window; a row per pair would be 3.6 billion rows."""
+    n = 60_000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.floor(F.col("id") / 10)).alias("ts"), F.when(F.col("id") > 0, "a").otherwise("b").alias("kind")
+    )
+    base = jobs.shared_dir(spark, "burst")
+    rows.write.parquet(base)
+
+    def build(e):
+        return jobs.joined_partners(
+            e.select(
+                F.col("event_id").alias("alert_id"), F.unix_micros("ts").alias("ts_us"), F.lit("1").alias("source_ip"),
+                F.lit("2").alias("dest_ip"), F.col("kind").alias("attack_type"),
+            ), 1000.0
+        )
+
+    out = jobs.run_closed(jobs.read_table(spark, base), build, "burst-joined")
+    # ten a second, those of the second a window ago are too old
+    first = F.greatest((F.floor(F.col("alert_id") / 10) - 999) * 10, F.lit(0))
+    wrong = (F.col("partners") != 2 * (F.col("alert_id") - first)) | (F.col("attacks") != F.when(first == 0, "a,b").otherwise("a"))
+    got = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong")).first()
+    assert (got["n"], got["wrong"]) == (n - 1, 0)
+
+
+def test_joined_partners_of_equal_alerts(spark):
+    """Rows of one time and id don't count for each other, and all copies count; times border on the window."""
+    at = [0, 1, 9, 9, 10, 10, 11, 19, 20, 20, 21, 30, 40, 41]
+    rows = [(i // 2, t * jobs.SECOND, s, d, k) for i, t in enumerate(at) for s, d, k in [("1", "2", "x"), ("1", "", None), ("3", "2", "y")][: 1 + i % 3]]
+    base = jobs.shared_dir(spark, "equal")
+    schema = "alert_id bigint, ts_us bigint, source_ip string, dest_ip string, attack_type string"
+    spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz")).write.parquet(base)
+
+    def build(e):
+        return jobs.joined_partners(e.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))), 10.0)
+
+    got = jobs.run_closed(jobs.read_table(spark, base), build, "equal-joined")
+    want = {}
+    for i, t, s, d, k in rows:
+        for j, u, s2, d2, k2 in rows:
+            for x, y in ((s, s2), (d or f"#{i}", d2 or f"#{j}")):
+                if x == y and u > t - 10 * jobs.SECOND and (u, j) < (t, i):
+                    n, kinds = want.setdefault((t, i, k), (0, {k}))
+                    want[t, i, k] = (n + 1, kinds | {k2})
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, n, ",".join(sorted(x for x in kinds if x))) for (_, i, _), (n, kinds) in want.items())

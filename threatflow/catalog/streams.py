@@ -251,7 +251,7 @@ def stream_partner_counts(spark, sf):
 def stream_joined_partners(spark, sf):
     """Partners of both sides by a join of two watermarked streams."""
     return jobs.run_closed(
-        events(spark, sf), lambda e: jobs.joined_partners(views.as_alerts(e), respond.WINDOW), "joined", stages=2
+        events(spark, sf), lambda e: jobs.joined_partners(views.as_alerts(e), respond.WINDOW), "joined"
     ).select("alert_id", "partners", "attacks")
 
 

@@ -24,10 +24,13 @@ def read_table(spark: SparkSession, path, files_per_batch=None):
 
 
 def use_state_store(spark: SparkSession):
+    """State in RocksDB: a micro-batch writes what changed instead of all, and a join keeps one store a task instead of four."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 def run_to_end(stream: DataFrame, name, base=None):
@@ -124,9 +127,10 @@ def rate_metrics(rows: DataFrame, value, borders, width="5 minutes", delay="10 m
 def joined_partners(alerts: DataFrame, window_s=300.0, delay="10 minutes"):
     """Correlation partners by a join of the alerts with themselves within an interval, both sides united.
 
-    Earlier alerts of the same source or the same target join each alert while the watermarks of both sides
-    allow it; then partners are counted and their types united per alert. Every pair is a row in between: for
-    bursts ``steps.correlation_step`` counts without pairs.
+    The alerts of an address are gathered in cells as long as the window, so earlier partners lie in the own cell or the
+    one before it. Each cell joins these two while the watermarks of both sides allow it, and each alert's partners
+    in them are told from its place among their sorted times: a pair of cells is a row, not a pair of alerts. Then partners are
+    added and their types united per alert.
     """
     span = int(window_s * SECOND)
     sides = F.array(
@@ -139,19 +143,80 @@ def joined_partners(alerts: DataFrame, window_s=300.0, delay="10 minutes"):
     base = base.select("alert_id", "ts_us", "attack_type", "s.side", F.coalesce(F.nullif("s.ip", F.lit("")), alone).alias("ip"))
 
     def half(p):
-        named = base.select(*[F.col(c).alias(f"{p}_{c}") for c in base.columns])
-        return named.withColumn(f"{p}_at", F.timestamp_micros(f"{p}_ts_us")).withWatermark(f"{p}_at", delay)
-
+        cell = F.window("at", f"{span} microseconds")
+        timed = base.withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", delay).groupBy(cell, "side", "ip")
+        rows = timed.agg(F.array_sort(F.collect_list(F.struct("ts_us", "alert_id", "attack_type"))).alias("rows"))
+        named = rows.select(F.window_time("window").alias("at"), (F.unix_micros("window.start") / span).cast("bigint").alias("cell"), "side", "ip", "rows")
+        return named.select(*[F.col(c).alias(f"{p}_{c}") for c in named.columns])
+
+    # each cell also counts for the next one
+    earlier = half("b").withColumn("b_next", F.explode(F.array("b_cell", F.col("b_cell") + 1)))
     near = F.expr(f"b_at <= a_at AND b_at >= a_at - INTERVAL {span} MICROSECONDS")
-    earlier = (F.col("b_ts_us") > F.col("a_ts_us") - span) & (F.struct("b_ts_us", "b_alert_id") < F.struct("a_ts_us", "a_alert_id"))
-    pairs = half("a").join(half("b"), (F.col("a_side") == F.col("b_side")) & (F.col("a_ip") == F.col("b_ip")) & near & earlier)
-    return pairs.groupBy("a_at", F.col("a_alert_id").alias("alert_id"), F.col("a_attack_type").alias("attack_type")).agg(
-        F.count(F.lit(1)).alias("partners"), F.collect_set("b_attack_type").alias("types")
+    same = (F.col("a_side") == F.col("b_side")) & (F.col("a_ip") == F.col("b_ip")) & (F.col("a_cell") == F.col("b_next"))
+    pairs = half("a").join(earlier, same & near)
+    parts = F.when(F.col("a_cell") == F.col("b_cell"), _within("a_rows")).otherwise(_since("a_rows", "b_rows", span))
+    found = pairs.select("a_at", F.explode(parts).alias("p")).select("a_at", "p.*").where("n > 0")
+    return found.groupBy("a_at", "ts_us", "alert_id", "attack_type").agg(
+        F.sum("n").alias("partners"), F.flatten(F.collect_set("types")).alias("types")
     ).select(
         "alert_id", "partners", F.array_join(F.array_sort(F.array_distinct(F.concat(F.array("attack_type"), "types"))), ",").alias("attacks")
     )
 
 
+def _bound(value, use):
+    """``use`` of a value that is worked out once, however often a lambda in it asks for it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _ends(rows, place):
+    """The different types of some rows, each with the first or last place it has among them."""
+    types = F.array_distinct(F.filter(F.transform(rows, lambda r: r["attack_type"]), lambda t: t.isNotNull()))
+    return F.transform(types, lambda t: F.struct(t.alias("type"), place(t).alias("at")))
+
+
+def _parts(rows, ends, n, reached):
+    """Each row with ``n`` partners and the types whose ends are ``reached``; ``rows`` have ``r`` and what these ask for."""
+    return _bound(ends, lambda known: F.transform(rows, lambda e: F.struct(
+        e["r"]["ts_us"].alias("ts_us"), e["r"]["alert_id"].alias("alert_id"), e["r"]["attack_type"].alias("attack_type"),
+        n(e).cast("bigint").alias("n"), F.transform(F.filter(known, lambda k: reached(e, k)), lambda k: k["type"]).alias("types"),
+    )))
+
+
+def _within(name):
+    """For each of the sorted rows how many come before it in time and id, and of which types."""
+    rows = F.col(name)
+    differs = lambda r, i: (i == 0) | ~F.struct(r["ts_us"], r["alert_id"]).eqNullSafe(
+        F.struct(F.get(rows, i - 1)["ts_us"], F.get(rows, i - 1)["alert_id"])
+    )
+    # rows of one time and id are one run and don't count for each other
+    marked = F.transform(rows, lambda r, i: F.struct(i.alias("i"), differs(r, i).alias("new")))
+    starts = F.transform(F.filter(marked, lambda m: m["new"]), lambda m: m["i"])
+
+    def runs(first):
+        def run(s, j):
+            end = F.coalesce(F.get(first, j + 1), F.size(rows))
+            return F.transform(F.slice(rows, s + 1, end - s), lambda r: F.struct(r.alias("r"), s.alias("before")))
+
+        return F.flatten(F.transform(first, run))
+
+    names = F.transform(rows, lambda r: r["attack_type"])
+    firsts = _bound(names, lambda every: _ends(rows, lambda t: F.array_position(every, t) - 1))
+    return _parts(_bound(starts, runs), firsts, lambda e: e["before"], lambda e, k: k["at"] < e["before"])
+
+
+def _since(name, before, span):
+    """For each of the sorted rows how many of those of the cell before came less than ``span`` before it, and of which types."""
+    rows, old = F.col(name), F.col(before)
+    # both in one order of time; at one instant, those of the cell before come first and are too old
+    own = F.transform(rows, lambda r: F.struct((r["ts_us"] - span).alias("at"), F.lit(1).alias("own"), r.alias("r")))
+    others = F.transform(old, lambda r: F.struct(r["ts_us"].alias("at"), F.lit(0).alias("own"), F.when(F.lit(False), r).alias("r")))
+    placed = F.transform(F.array_sort(F.concat(own, others)), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    mine = F.filter(placed, lambda p: p["e"]["own"] == 1)
+    left = F.transform(mine, lambda p, j: F.struct(p["e"]["r"].alias("r"), p["e"]["at"].alias("since"), (F.size(old) - (p["i"] - j)).alias("left")))
+    lasts = _ends(old, lambda t: F.array_max(F.transform(F.filter(old, lambda r: r["attack_type"] == t), lambda r: r["ts_us"])))
+    return _parts(left, lasts, lambda e: e["left"], lambda e, k: k["at"] > e["since"])
+
+
 # --------------------------------------------------------------------- sinks
 
 
