@@ -238,3 +238,19 @@ def test_hashed_neighbours_find_most(spark, block_rows):
     assert recall >= 0.9
     small = df.where("g = 'a' OR id < 200")
     assert neighbours.smote(small, "g", "id", "v", search=neighbours.hashed_neighbours).count() == 200
+
+
+@pytest.mark.parametrize("most", [7, 16_384])
+def test_true_neighbours_in_blocks(spark, most):
+    """Blocks that meet give what all distances of a class do; rows of one place go by id, no row is its own neighbour."""
+    rng = np.random.default_rng(5)
+    at = rng.integers(0, 4, (90, 3)).astype(float)
+    df = spark.createDataFrame([(i, i % 2, at[i].tolist()) for i in range(90)] + [(200, 7, [0.0, 0.0, 0.0])], "id long, g int, v array<double>")
+    out = neighbours.true_neighbours(df.where("id % 5 = 0"), df, "g", "id", "v", 4, most)
+    got = {}
+    for r in out.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    for i in range(0, 90, 5):
+        mine = sorted((j for j in range(90) if j != i and j % 2 == i % 2), key=lambda j: (float(np.sqrt(((at[i] - at[j]) ** 2).sum())), j))
+        assert got[i] == mine[:4]
+    assert 200 not in got
