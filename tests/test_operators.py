@@ -67,6 +67,22 @@ def test_needed_texts_are_needed():
                     assert any(t in sample.lower() for t in texts), (pattern, sample)
 
 
+def test_texts_are_sought_together(spark):
+    import pyarrow as pa
+
+    texts = signatures.needed_by(rules.STOCK_RULES)
+    payloads = ["", "nmapsexec", "overpass the shell.php", "\u00e9 $_ (eval", None, "x" * 5000 + "xmrig", " ".join(texts)]
+    found = signatures.found_texts(pa.array(payloads), texts).to_pylist()
+    assert found == [[i for i, t in enumerate(texts) if t in (p or "")] for p in payloads]
+    many = [f"{i:04d}" for i in range(3 * signatures.TOGETHER + 1)]
+    assert signatures.found_texts(pa.array(["0000 0256 0768", "none"]), many).to_pylist() == [[0, 256, 768], []]
+    assert signatures.found_texts(pa.array([], pa.string()), many).to_pylist() == []
+    # a payload is not searched once more for each of the texts
+    df = spark.createDataFrame([("a --", "tcp", 80, None)], "payload string, protocol string, dst_port int, service string")
+    plan = signatures.with_matches(df, rules.STOCK_RULES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Contains(" not in plan
+
+
 def test_rule_editing(spark):
     mine = rules.rule_from({"id": "m", "name": "Mine", "severity": "odd", "payload_patterns": ["zz+", "(open"]})
     with pytest.warns(UserWarning):

@@ -4,8 +4,16 @@ The rules are few and known before the job runs, so the theta join is written as
 SQL expression: each rule is a guard on protocol, ports and fields, followed by its
 patterns as literal regular expressions, which Spark compiles once.  Matching
 needs no join, and no shuffle where the input has enough splits.
+
+Most patterns need one of a few texts to match. All these texts are sought together
+beforehand, so a payload is passed over a few times instead of once per text.
 """
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from threatflow.functions import values as V
@@ -14,6 +22,12 @@ from threatflow.plans.sizes import spread
 from threatflow.sources.rules import needed_texts
 
 
+# Texts sought in one pass at most, so that their automaton stays small.
+TOGETHER = 256
+# Payloads searched at once.
+ROWS = 500
+
+
 def quoted(text):
     """A text as a SQL literal."""
     return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -34,18 +48,64 @@ def _guard(rule, cols):
     return " AND ".join(tests) or "true"
 
 
-def _pattern_test(pattern):
-    """The literal pattern, behind a plain search for a text it cannot match without."""
+def needed_by(rules):
+    """All texts that patterns cannot match without: short ones, which most payloads hold, first."""
+    texts = {t for r in rules for p in r.patterns for t in needed_texts(p)}
+    return sorted(texts, key=lambda t: (len(t), t))
+
+
+def found_texts(payloads: pa.Array, texts):
+    """For each payload the places in ``texts`` of those that it holds.
+
+    Texts are sought all together; where one is found, by halves, down to single texts.
+    """
+    rows, places = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    sought = [
+        (np.arange(len(payloads)), payloads, i, min(i + TOGETHER, len(texts))) for i in reversed(range(0, len(texts), TOGETHER))
+    ]
+    while sought:
+        at, held, start, end = sought.pop()
+        hits = pc.fill_null(pc.match_substring_regex(held, "|".join(map(re.escape, texts[start:end]))), False)
+        at, held = at[hits.to_numpy(zero_copy_only=False)], held.filter(hits)
+        if not len(at):
+            continue
+        if end - start == 1:
+            rows.append(at)
+            places.append(np.full(len(at), start, np.int32))
+        else:
+            middle = (start + end) // 2
+            sought += [(at, held, middle, end), (at, held, start, middle)]
+    rows, places = np.concatenate(rows), np.concatenate(places)
+    ends = np.cumsum(np.bincount(rows, minlength=len(payloads)))
+    offsets = pa.array(np.append(0, ends), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(places[np.argsort(rows, kind="stable")]))
+
+
+def _held(texts):
+    @F.arrow_udf("array<int>")
+    def held(payloads: pa.Array) -> pa.Array:
+        # a few rows at a time, so that little besides the batch is in memory
+        found = [found_texts(payloads.slice(at, ROWS), texts) for at in range(0, len(payloads), ROWS)]
+        return pa.concat_arrays(found) if found else found_texts(payloads, texts)
+
+    return held(F.lower("payload"))
+
+
+def _pattern_test(pattern, places):
+    """The literal pattern, tried only where a text was found that it cannot match without."""
     found = f"payload RLIKE {quoted(pattern)}"
-    near = " OR ".join(f"contains(_lower, {quoted(t)})" for t in needed_texts(pattern))
+    near = " OR ".join(f"array_contains(_held, {places[t]})" for t in needed_texts(pattern))
     return f"({near}) AND {found}" if near else found
 
 
-def match_sql(place, rule, cols):
-    """One rule as a struct whose evidence is empty where the rule does not match."""
+def match_sql(place, rule, cols, places):
+    """One rule as a struct whose evidence is empty where the rule does not match.
+
+    ``places`` are those of needed texts in the column ``_held``.
+    """
     none = "CAST(array() AS ARRAY<STRING>)"
     if rule.patterns:
-        hits = [f"IF({_pattern_test(p)}, array({quoted(p)}), {none})" for p in rule.patterns]
+        hits = [f"IF({_pattern_test(p, places)}, array({quoted(p)}), {none})" for p in rule.patterns]
         evidence = f"concat({', '.join(hits)})"
     else:
         evidence = "array('metadata-match')"
@@ -62,10 +122,13 @@ def with_matches(packets: DataFrame, rules, out="signatures"):
     """Add the array of matching rules, in rule order, each with all its evidence."""
     cols = set(packets.columns)
     text = F.coalesce("payload", F.lit("")) if "payload" in cols else F.lit("")
-    rows = spread(packets).withColumn("payload", text).withColumn("_lower", F.lower("payload"))
+    texts = needed_by(rules)
+    none = F.array().cast("array<int>")
+    rows = spread(packets).withColumn("payload", text)
+    rows = rows.withColumn("_held", _held(texts) if texts and "payload" in cols else none)
     if "protocol" in cols:
         rows = rows.withColumn("_protocol", protocol_name(F.col("protocol")))
-    tried = ", ".join(match_sql(i, r, cols) for i, r in enumerate(rules))
+    tried = ", ".join(match_sql(i, r, cols, {t: n for n, t in enumerate(texts)}) for i, r in enumerate(rules))
     rows = rows.withColumn(out, F.expr(f"filter(array({tried}), m -> size(m.evidence) > 0)"))
     return rows.select(*packets.columns, out)
 
