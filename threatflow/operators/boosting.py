@@ -1,13 +1,17 @@
 """Boosted trees from histograms of binned features, for two or more classes.
 
-Features are cut at quantiles of all rows, so a row is a few bytes per feature. Trees grow level by level: every
-block of rows adds up first and second derivatives of the loss per node, feature and bin, the sums of all blocks
-decide the splits, and only these sums leave the executors. Blocks are written to the shared folder first; each
-round's blocks follow from the ones before and are checkpointed now and then, so lost executors cost little.
+Features are cut at quantiles of all rows, so a row is a few bytes per feature. Rows that share all bins, label and
+weight are alike to every tree, so they are counted and kept as one; row sampling draws how many of them take part.
+Trees grow level by level: every block of rows adds up first and second derivatives of the loss per node, feature and
+bin, the sums of all blocks decide the splits, and only these sums leave the executors. Blocks are written to the
+shared folder first; each round's blocks follow from the ones before and are checkpointed now and then, so lost
+executors cost little.
 """
 
 import json
 import math
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -17,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from threatflow.plans.session import ensure_checkpoint_dir, shared_dir
+from threatflow.plans.session import ensure_checkpoint_dir, shared_dir, written
 
 #: Values (rows x features) in a block; rows of a block at least, where all cores get one; blocks added up in one step
 #: on the driver; rounds between checkpoints; rows scored together.
@@ -201,46 +205,77 @@ def add_values(margin, opened, codes, sizes, groups):
 # ------------------------------------------------------------------ blocks
 
 
+def odds(margin):
+    """Probability of each class, or of class 1 if there are two."""
+    if len(margin) == 1:
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+    up = np.exp(margin - margin.max(axis=0))
+    return up / up.sum(axis=0)
+
+
+def drawn(rng, count, share):
+    """How many of each row's copies a sample of all copies takes."""
+    if share >= 1:
+        return count
+    some = (rng.random(len(count)) < share).astype(np.int64)
+    many = np.flatnonzero(count > 1)
+    some[many] = rng.binomial(count[many], share)
+    return some
+
+
 class Block:
-    """Some rows: their bins (feature by row), classes, weights, and the trees' sum so far."""
+    """Some rows, watched ones last: their bins (feature by row), classes, weights, copies, and the trees' sum so far."""
 
-    def __init__(self, number, bins, target, weight, watched, margin):
-        self.number, self.bins, self.target, self.weight, self.watched, self.margin = number, bins, target, weight, watched, margin
-        self.round, self.some, self.codes = None, None, None
+    def __init__(self, number, bins, target, weight, count, watched, margin):
+        self.number, self.bins, self.target, self.weight, self.count, self.margin = number, bins, target, weight, count, margin
+        self.watched, self.learnt = watched, len(watched) - int(watched.sum())
+        self.forget()
 
-    def __getstate__(self):
-        return {**self.__dict__, "round": None, "some": None, "codes": None}
+    def forget(self):
+        self.round, self.slope, self.curve, self.nodes, self.done, self.asked, self.codes = (None,) * 7
 
-    def odds(self):
-        """Probability of each class, or of class 1 if there are two."""
-        if len(self.margin) == 1:
-            return 1 / (1 + np.exp(-np.clip(self.margin, -500, 500)))
-        up = np.exp(self.margin - self.margin.max(axis=0))
-        return up / up.sum(axis=0)
+    def __getstate__(self):
+        return {**self.__dict__, **dict.fromkeys(("round", "slope", "curve", "nodes", "done", "asked", "codes"))}
+
+    def filed(self, path):
+        """This block with its arrays, and those of its rounds, in files; a pass over it loads only what it touches."""
+        def file(name, like):
+            made = np.memmap(f"{path}-{name}", like.dtype, "w+", shape=like.shape)
+            made[:] = like
+            return made
+
+        for name in ("bins", "target", "weight", "count", "watched", "margin"):
+            setattr(self, name, file(name, getattr(self, name)))
+        zeros = np.zeros((len(self.margin), self.learnt))
+        if self.learnt:
+            self.slope, self.curve = file("slope", zeros), file("curve", zeros)
+        self.nodes = file("nodes", np.zeros(self.margin.shape, np.int64))
+        return self
 
     def begin(self, number, settings):
-        """This round's rows, derivatives, and nodes (all at the root)."""
-        p = self.odds()
+        """This round's derivatives, and nodes (all at the root)."""
+        p = odds(self.margin)
         rng = np.random.default_rng([settings.seed, number, self.number])
-        chosen = ~self.watched
-        if settings.subsample < 1:
-            chosen &= rng.random(len(chosen)) < settings.subsample
-        rows = np.flatnonzero(chosen)
-        weight = self.weight[rows]
-        hit = self.target[rows] == (np.arange(len(p))[:, None] if len(p) > 1 else 1)
-        q = p[:, rows]
-        curve = weight * np.maximum(q * (1 - q) * (2 if len(p) > 1 else 1), 1e-16)
-        bins = np.ascontiguousarray(self.bins[:, rows])
-        self.some = (bins, weight * (q - hit), curve, [np.zeros(len(rows), np.int64) for _ in p], [0] * len(p))
-        self.round = number
+        some = slice(self.learnt)
+        weight = self.weight[some] * drawn(rng, self.count[some], settings.subsample)
+        hit = self.target[some] == (np.arange(len(p))[:, None] if len(p) > 1 else 1)
+        q = p[:, some]
+        if self.slope is None:
+            self.slope, self.curve = np.empty(q.shape), np.empty(q.shape)
+        self.slope[:] = weight * (q - hit)
+        self.curve[:] = weight * np.maximum(q * (1 - q) * (2 if len(p) > 1 else 1), 1e-16)
+        if self.nodes is None:
+            self.nodes = np.zeros(p.shape, np.int64)
+        self.nodes[:] = 0
+        self.round, self.done = number, [0] * len(p)
         return self.loss(p)
 
     def loss(self, p):
         """Loss and weight of the watched rows."""
-        if not self.watched.any():
+        some = slice(self.learnt, None)
+        target, weight, q = self.target[some], self.weight[some] * self.count[some], p[:, some]
+        if not len(target):
             return np.zeros(2)
-        target, weight = self.target[self.watched], self.weight[self.watched]
-        q = p[:, self.watched]
         right = q[target, np.arange(len(target))] if len(q) > 1 else np.where(target == 1, q[0], 1 - q[0])
         return np.array([-(weight * np.log(np.maximum(right, 1e-15))).sum(), weight.sum()])
 
@@ -250,28 +285,33 @@ class Block:
         loss = np.zeros(2)
         if self.round != number:
             loss = self.begin(number, settings)
-        bins, slope, curve, nodes, done = self.some
-        out, row = [], np.arange(bins.shape[1])
+        out, row, self.asked = [], np.arange(self.bins.shape[1]), trees
         for k, (tree, features, level) in enumerate(zip(trees, chosen, levels)):
-            while done[k] < level:
-                nodes[k] = step(tree, bins, nodes[k], row)
-                done[k] += 1
+            while self.done[k] < level:
+                self.nodes[k] = step(tree, self.bins, self.nodes[k], row)
+                self.done[k] += 1
             places = tree[4]
-            slot = np.full(len(tree[0]), -1)
-            slot[places] = np.arange(len(places))
-            base, size = slot.take(nodes[k]), len(places) * settings.max_bin
-            g, h, live = slope[k], curve[k], base >= 0
-            if live.all():
-                live = slice(None)
-            base, g, h = base[live] * settings.max_bin, g[live], h[live]
+            slot, size = np.full(len(tree[0]), -1), len(places) * settings.max_bin
+            slot[places] = np.arange(len(places)) * settings.max_bin
+            base, g, h = slot.take(self.nodes[k][: self.learnt]), self.slope[k], self.curve[k]
+            live = base >= 0
+            here = slice(self.learnt) if live.all() else np.flatnonzero(live)
+            base, g, h = base[here], g[here], h[here]
             whole = np.zeros((len(features), size, 2))
             for i, f in enumerate(features):
-                key = base + bins[f][live]
+                key = base + self.bins[f][here]
                 whole[i, :, 0] = np.bincount(key, g, size)
                 whole[i, :, 1] = np.bincount(key, h, size)
             out.append(whole.reshape(len(features), len(places), settings.max_bin, 2))
         return [loss, *out]
 
+    def settle(self, trees):
+        """Take these rows, which stand one level above the last of a round's trees, to their leaves."""
+        row = np.arange(self.bins.shape[1])
+        for margin, nodes, asked, tree in zip(self.margin, self.nodes, self.asked, trees):
+            margin += tree[3].take(step(tree, self.bins, kept(asked, tree).take(nodes), row))
+        self.round = None
+
     def advanced(self, trees):
         """These rows after a round's trees."""
         margin = self.margin.copy()
@@ -281,26 +321,47 @@ class Block:
             self.codes = combined(self.bins, sizes, groups), sizes, groups
         for row, tree in zip(margin, trees):
             add_values(row, open_leaves(tree, self.codes[1]), *self.codes)
-        after = Block(self.number, self.bins, self.target, self.weight, self.watched, margin)
+        after = Block(self.number, self.bins, self.target, self.weight, self.count, self.watched, margin)
         after.codes = self.codes
         return after
 
 
+def kept(grown, pruned):
+    """For each node of a tree as it grew, itself, or the leaf it went back into when splits were taken back."""
+    place = np.arange(len(grown[0]))
+    split = grown[2] != place
+    if (split & (pruned[2][: len(place)] == place)).any():
+        for node in np.flatnonzero(split):
+            if place[node] != node or pruned[2][node] == node:
+                place[grown[2][node] : grown[2][node] + 2] = place[node]
+    return place
+
+
 def added(a, b):
     return [x + y for x, y in zip(a, b)]
 
 
 class InTask:
-    """One block, held by the task that trains on it."""
+    """Blocks of the task that trains on them: one in memory, several in files of ``folder``, one loaded at a time."""
 
-    def __init__(self, block):
-        self.block, block.round = block, None
+    def __init__(self, blocks, folder):
+        self.blocks = []
+        for block in blocks:
+            self.blocks.append(block)
+            if len(self.blocks) == 2:
+                self.blocks[0].filed(os.path.join(folder, "0"))
+            if len(self.blocks) > 1:
+                block.filed(os.path.join(folder, str(len(self.blocks) - 1)))
 
     def sums(self, ask):
-        return self.block.sums(ask)
+        whole = self.blocks[0].sums(ask)
+        for block in self.blocks[1:]:
+            whole = added(whole, block.sums(ask))
+        return whole
 
     def advance(self, trees):
-        self.block = self.block.advanced(trees)
+        for block in self.blocks:
+            block.settle(trees)
 
 
 class OnCluster:
@@ -437,7 +498,7 @@ class BoostedTrees:
         for trees in self.opened:
             for row, opened in zip(margin, trees):
                 add_values(row, opened, codes, sizes, groups)
-        return Block(0, None, None, None, None, margin).odds().T
+        return odds(margin).T
 
     def probability_column(self):
         """An array column of probabilities from the feature columns."""
@@ -529,8 +590,45 @@ def block_rows(width):
     return max(1, BLOCK_CELLS // max(width, 1))
 
 
-def _blocks_of(cuts, width, trees_each, base):
-    """Binned blocks of at most BLOCK_CELLS values from Arrow batches, pickled."""
+#: Bins in a whole number, a byte each.
+PACKED = 8
+
+
+def cells(rows: DataFrame, cuts):
+    """Rows of values ``x`` and other columns, each different one once with its count ``n`` and bins instead of values.
+
+    Bins lie in columns ``b0``, ``b1``, … of PACKED bins each (see ``bin_columns``).
+    """
+    rest = [c for c in rows.columns if c != "x"]
+    width, names = len(cuts), [f"b{i}" for i in range(-(-len(cuts) // PACKED))]
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)
+            wide = np.zeros((batch.num_rows, len(names) * PACKED), np.uint8)
+            wide[:, :width] = binned(flat.reshape(-1, width), cuts).T
+            packed = [pa.array(np.ascontiguousarray(c)) for c in wide.view("<i8").T]
+            yield pa.RecordBatch.from_arrays([*packed, *[batch.column(c) for c in rest]], [*names, *rest])
+
+    kinds = dict(rows.dtypes)
+    kinds = ", ".join([*[f"{c} bigint" for c in names], *[f"{c} {kinds[c]}" for c in rest]])
+    return rows.mapInArrow(run, kinds).groupBy(*names, *rest).agg(F.count(F.lit(1)).alias("n"))
+
+
+def bin_columns(features):
+    """The bin of each feature from ``cells``, under the feature's name."""
+    return [
+        F.shiftrightunsigned(f"b{i // PACKED}", 8 * (i % PACKED)).bitwiseAND(255).alias(f) for i, f in enumerate(features)
+    ]
+
+
+def values(features, scaler=None):
+    """The values of each row as the array ``x``; missing ones are NaN."""
+    return F.array(*[F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in scaled(features, scaler)]).alias("x")
+
+
+def _blocks_of(width, base):
+    """Blocks of at most BLOCK_CELLS values from Arrow batches of cells, pickled."""
 
     def run(batches):
         import pickle
@@ -538,25 +636,29 @@ def _blocks_of(cuts, width, trees_each, base):
 
         held, count, most = [], 0, block_rows(width)
 
-        def block():
-            table = pa.Table.from_batches(held)
-            flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-            bins = binned(flat.reshape(-1, width), cuts)
+        def block(table):
+            names = [c for c in table.column_names if c not in ("y", "w", "v", "n")]
+            wide = np.stack([table.column(c).to_numpy() for c in names], axis=1).astype("<i8").view(np.uint8)
+            bins = np.ascontiguousarray(wide[:, :width].T)
             target = table.column("y").to_numpy().astype(np.int32)
             weight = table.column("w").to_numpy().astype(float)
+            times = table.column("n").to_numpy().astype(np.int64)
             watched = table.column("v").to_numpy(zero_copy_only=False).astype(bool)
             margin = np.repeat(np.array(base, float)[:, None], len(target), axis=1)
-            made = (zlib.crc32(bins.tobytes()), bins, target, weight, watched, margin)
+            made = (zlib.crc32(bins.tobytes()), bins, target, weight, times, watched, margin)
             return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, 5)], pa.large_binary())], ["block"])
 
         for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count >= most:
-                yield block()
+            while count + batch.num_rows >= most:
+                held.append(batch.slice(0, most - count))
+                batch = batch.slice(most - count)
+                yield block(pa.Table.from_batches(held))
                 held, count = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
         if count:
-            yield block()
+            yield block(pa.Table.from_batches(held))
 
     return run
 
@@ -565,28 +667,28 @@ def prepare(rows: DataFrame, features, label, weight=None, scaler=None, watched=
     """Binned blocks in the shared folder, and what a model needs besides trees.
 
     ``classes`` are the names of the label's values, in order, or None for a label of 0 and 1. Rows without label
-    are left out. At most about ``max_rows`` rows are used, a random sample of them if there are more.
+    are left out. All others are used, unless the caller asks for a random sample of about ``max_rows`` of them.
     """
     spark = rows.sparkSession
     scale = None if scaler is None else {f: tuple(map(float, scaler[f])) for f in features}
-    inputs = [c.cast("double") for c in scaled(features, scale)]
     target = F.col(label).cast("int") if classes is None else F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
     use = rows.where(F.col(label).isNotNull()).select(
-        F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in inputs]).alias("x"),
+        values(features, scale),
         target.alias("y"),
         (F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))).alias("w"),
         (F.lit(False) if watched is None else F.coalesce(F.col(watched).cast("boolean"), F.lit(False))).alias("v"),
     )
-    n = use.count()
-    if max_rows and n > max_rows:
-        use = use.sample(max_rows / n, seed=42)
-        n = max_rows
+    if max_rows:
+        n = use.count()
+        use = use if n <= max_rows else use.sample(max_rows / n, seed=42)
     if positive_weight is not None:
         use = use.withColumn("w", F.when(F.col("y") == 1, F.col("w") * positive_weight).otherwise(F.col("w")))
     cuts = quantile_cuts(use, [F.get("x", F.lit(i)) for i in range(len(features))], max_bin)
+    found = written(cells(use, cuts))
+    mass = F.when(~F.col("v"), F.col("w") * F.col("n"))
+    n, whole, ones = found.agg(F.count(F.lit(1)), F.sum(mass), F.sum(F.when(F.col("y") == 1, mass).otherwise(0.0))).first()
     if classes is None:
-        share = use.where("not v").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
-        share = min(max(share if share is not None and share == share else 0.5, 1e-6), 1 - 1e-6)
+        share = min(max(ones / whole if whole else 0.5, 1e-6), 1 - 1e-6)
         base = [math.log(share / (1 - share))]
     else:
         base = [0.0] * len(classes)
@@ -594,17 +696,22 @@ def prepare(rows: DataFrame, features, label, weight=None, scaler=None, watched=
     if parts > 1:
         parts = max(parts, min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS)))
     path = shared_dir(spark, "blocks")
-    blocks = use.repartition(parts).mapInArrow(_blocks_of(cuts, len(features), len(base), base), "block binary")
-    blocks.write.parquet(path)
+    # the same rows in the same order each time, watched ones last; draws are cheaper where counts repeat
+    keys = [c for c in found.columns if c != "n"]
+    blocks = found.repartition(parts, *keys).sortWithinPartitions("v", "n", F.xxhash64(*keys), *keys)
+    blocks.mapInArrow(_blocks_of(len(features), base), "block binary").write.parquet(path)
     return path, parts, BoostedTrees(features, cuts, classes, base, [], scale)
 
 
-def blocks_rdd(spark, path):
-    """The blocks written by ``prepare``, one file a task."""
+def _block(row):
     import pickle
 
-    rows = spark.read.parquet(path).rdd
-    return rows.map(lambda r: Block(*pickle.loads(r[0])))
+    return Block(*pickle.loads(row[0]))
+
+
+def blocks_rdd(spark, path):
+    """The blocks written by ``prepare``, one file a task."""
+    return spark.read.parquet(path).rdd.map(_block)
 
 
 def train(rows: DataFrame, features, label, weight=None, scaler=None, watched=None, classes=None, max_rows=None, positive_weight=None, **params):
@@ -620,7 +727,7 @@ def train(rows: DataFrame, features, label, weight=None, scaler=None, watched=No
     blocks = blocks_rdd(spark, path)
     width, each, watch = len(model.features), len(model.base), watched is not None
     if parts == 1:
-        done = blocks.map(lambda b: grow(InTask(b), settings, width, each, watch)).collect()
+        done = blocks.map(lambda b: grow(InTask([b], None), settings, width, each, watch)).collect()
     else:
         held = OnCluster(blocks)
         try:
@@ -641,11 +748,16 @@ def of(params):
 
 
 def trials(spark, path, width, each, watch, settings):
-    """Rounds of trees for each of many settings over one block, a task each; an RDD in their order."""
-    def fit(pair):
-        number, block = pair
-        return number, grow(InTask(block), settings[number], width, each, watch)
-
-    block = blocks_rdd(spark, path).repartition(1)
-    copies = block.flatMap(lambda b: [(i, b) for i in range(len(settings))])
-    return copies.partitionBy(len(settings), lambda i: i).map(fit)
+    """Rounds of trees for each of many settings over all blocks, a task each; an RDD of numbers and rounds."""
+    # the longest first, so that none begins when all others are done
+    order = sorted(range(len(settings)), key=lambda i: -settings[i].n_estimators * settings[i].max_depth)
+
+    def fit(place, blocks):
+        with tempfile.TemporaryDirectory(prefix="trial-") as folder:
+            rows = InTask((_block(b) for b in blocks), folder)
+            if rows.blocks:
+                yield order[place], grow(rows, settings[order[place]], width, each, watch)
+
+    # each task reads the blocks from their folder, so no copy of them is made
+    blocks = spark.read.parquet(path).rdd.coalesce(1)
+    return spark.sparkContext.union([blocks] * len(settings)).mapPartitionsWithIndex(fit)

@@ -53,15 +53,11 @@ def promotion(new: DataFrame, old: DataFrame):
 
 # ----------------------------------------------------------------- training
 
-#: Rows that a classifier is fitted on at most; more are sampled. Cuts and figures always come from all rows given.
-FIT_ROWS = 1_000_000
-
-
 def train_classifier(
     train: DataFrame, features, label="y", weight=None, scaler=None, multiclass=False, raise_rare=False,
-    early_stop=None, max_rows=FIT_ROWS, **params,
+    early_stop=None, **params,
 ):
-    """Boosted trees for a label of 0 and 1, or with ``multiclass`` for its values in alphabetical order.
+    """Boosted trees for a label of 0 and 1, or with ``multiclass`` for its values in alphabetical order, from all rows.
 
     ``raise_rare`` weighs attacks by the ratio of normal rows to attacks. With ``early_stop`` (a column) marked
     rows are watched instead of trained on, and training ends when they stop improving. ``scaler`` (see
@@ -76,7 +72,7 @@ def train_classifier(
         rare = n["neg"] / max(n["pos"], 1)
     widths = None if scaler is None else {r["feature"]: (r["centre"], r["width"]) for r in scaler.collect()}
     return boosting.train(
-        train, features, label, weight, widths, early_stop, classes, max_rows, positive_weight=rare, **params
+        train, features, label, weight, widths, early_stop, classes, positive_weight=rare, **params
     )
 
 
