@@ -51,3 +51,14 @@ def test_a_sample_takes_each_copy_with_the_same_chance():
     for n in (1, 2, 40, 1000):
         got = some[count == n]
         assert got.mean() == pytest.approx(0.8 * n, rel=0.01) and got.var() == pytest.approx(0.16 * n, rel=0.05)
+
+
+def test_feedback_model_weighs_all_rows(spark):
+    """Base rows of weight 1 and one analyst's attack of weight 5: no row of either is missing from the share of attacks."""
+    base = spark.range(1_300_000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 50_000 == 0).cast("int").alias("y"))
+    told = spark.createDataFrame([(1, "DoS", 5.0)], "alert_id long, label string, weight double")
+    alerts = spark.createDataFrame([(1, 10, {"a": 3.0})], "alert_id long, ts_us long, features map<string, double>")
+    model, figures = models.retrain(base, told, alerts, ["a"], row_id="id", n_estimators=1, max_depth=1)
+    ones = 26 - round(26 * 0.2) + 5
+    assert model.base == pytest.approx([math.log(ones / (1_040_000 - 21))], rel=1e-12)
+    assert figures.select(F.expr("tp + tn + fp + fn")).first()[0] == 260_000
