@@ -62,3 +62,12 @@ def test_feedback_model_weighs_all_rows(spark):
     ones = 26 - round(26 * 0.2) + 5
     assert model.base == pytest.approx([math.log(ones / (1_040_000 - 21))], rel=1e-12)
     assert figures.select(F.expr("tp + tn + fp + fn")).first()[0] == 260_000
+
+
+def test_generalisation_model_knows_all_rows(spark):
+    """The share of attacks is that of all rows, to the last one; no value is left out of the cuts."""
+    df = spark.range(N).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 50_000 == 0).cast("int").alias("y"))
+    model = models.train_classifier(df, ["a"], n_estimators=1, max_depth=1)
+    assert model.base == pytest.approx([math.log(21 / (N - 21))], rel=1e-12)
+    later = spark.createDataFrame([("x", 1.0, 0), ("y", 2.0, 1)], "dataset string, a double, y int")
+    assert models.generalisation(model, later, ["a"]).count() == 3
