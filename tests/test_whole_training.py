@@ -71,3 +71,14 @@ def test_generalisation_model_knows_all_rows(spark):
     assert model.base == pytest.approx([math.log(21 / (N - 21))], rel=1e-12)
     later = spark.createDataFrame([("x", 1.0, 0), ("y", 2.0, 1)], "dataset string, a double, y int")
     assert models.generalisation(model, later, ["a"]).count() == 3
+
+
+def test_classes_are_learnt_from_all_rows(spark):
+    """A tree that can't split has one value, which follows from the numbers of rows by class."""
+    df = spark.range(N).select(F.lit(1.0).alias("a"), F.when(F.col("id") % 50_000 == 0, "rare").when(F.col("id") % 3 == 0, "some").otherwise("usual").alias("kind"))
+    model = models.train_classifier(df, ["a"], "kind", multiclass=True, n_estimators=1, max_depth=1, subsample=1)
+    counts = dict(df.groupBy("kind").count().collect())
+    assert model.classes == ["rare", "some", "usual"] and sum(counts.values()) == N
+    # slope n / 3 - own rows, curve 4 n / 9, each row starting at a third
+    want = [-0.1 * (N / 3 - counts[k]) / (N * 4 / 9 + 1) for k in model.classes]
+    assert [t[3][0] for t in model.rounds[0]] == pytest.approx(want, rel=1e-9)
