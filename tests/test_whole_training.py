@@ -82,3 +82,28 @@ def test_classes_are_learnt_from_all_rows(spark):
     # slope n / 3 - own rows, curve 4 n / 9, each row starting at a third
     want = [-0.1 * (N / 3 - counts[k]) / (N * 4 / 9 + 1) for k in model.classes]
     assert [t[3][0] for t in model.rounds[0]] == pytest.approx(want, rel=1e-9)
+
+
+def test_trials_learn_from_all_rows(spark):
+    """A trial over 160,000 rows rates like a classifier of the same setting that saw each of them."""
+    df = spark.range(200_000).select(
+        "id", (F.xxhash64("id") % 40).cast("double").alias("a"), (F.xxhash64("id", F.lit(1)) % 50).cast("double").alias("b"), (F.col("id") % 5 == 0).alias("is_test")
+    ).withColumn("y", (F.col("a") + F.col("b") + F.xxhash64("id", F.lit(2)) % 30 > 0).cast("int")).withColumn("watch", F.col("id") % 10 == 1)
+    train, test = df.where("not is_test"), df.where("is_test")
+    space = {"n_estimators": [6], "max_depth": [3], "subsample": [1.0], "learning_rate": [0.3]}
+    (row,) = models.random_search(train, test, ["a", "b"], trials=1, space=space, early_stop="watch").collect()
+    alone = models.train_classifier(train, ["a", "b"], early_stop="watch", seed=42, **models.sample_params(1, 42, space)[0])
+    scored = models.score(alone, test, ["a", "b"])
+    marks = evaluate.at_threshold(scored, "y", "p", 0.5).first()
+    assert row["score"] == pytest.approx(evaluate.ranking(scored, "y", "p").first()["roc_auc"], rel=1e-12)
+    assert (row["f1"], row["accuracy"]) == pytest.approx((marks["f1"], marks["accuracy"]), rel=1e-12)
+
+
+def test_counted_rows_rate_like_their_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(y), float(p), int(k), int(n)) for y, p, k, n in zip(rng.integers(0, 2, 300), rng.integers(0, 9, 300) / 9, rng.integers(0, 2, 300), rng.integers(1, 5, 300))]
+    once = spark.createDataFrame([*rows, (None, 0.5, 0, 3)], "y int, p double, k int, n long").withColumn("hit", (F.col("p") > 0.4).cast("int"))
+    copies = once.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    for found in (lambda df, t: evaluate.ranking(df, "y", "p", by=["k"], times=t), lambda df, t: evaluate.confusion(df, "y", "hit", ["k"], times=t)):
+        got, want = [[tuple(r) for r in found(*a).orderBy("k").collect()] for a in ((once, "n"), (copies, None))]
+        assert len(got) == len(want) > 1 and [r for r in got] == [pytest.approx(r) for r in want]

@@ -21,20 +21,28 @@ def with_metrics(counts: DataFrame):
     return out.withColumn("f1", _ratio(2 * p * r, p + r))
 
 
-def confusion_aggs(y, pred):
+def _counted(test, times):
+    """Rows that pass; with ``times`` each counts as often as that column says."""
+    return F.count_if(test) if times is None else F.coalesce(F.sum(F.when(test, F.col(times))), F.lit(0))
+
+
+def confusion_aggs(y, pred, times=None):
     y, pred = F.col(y), F.col(pred)
     return [
-        F.count_if((y == 1) & (pred == 1)).alias("tp"),
-        F.count_if((y == 0) & (pred == 0)).alias("tn"),
-        F.count_if((y == 0) & (pred == 1)).alias("fp"),
-        F.count_if((y == 1) & (pred == 0)).alias("fn"),
+        _counted((y == 1) & (pred == 1), times).alias("tp"),
+        _counted((y == 0) & (pred == 0), times).alias("tn"),
+        _counted((y == 0) & (pred == 1), times).alias("fp"),
+        _counted((y == 1) & (pred == 0), times).alias("fn"),
     ]
 
 
-def confusion(df: DataFrame, y, pred, by=()):
-    """Counts and metrics per group and overall; rows without prediction count as dropped."""
+def confusion(df: DataFrame, y, pred, by=(), times=None):
+    """Counts and metrics per group and overall; rows without prediction count as dropped.
+
+    With ``times`` (a column) a row stands for that many.
+    """
     grouped = df.rollup(*by) if by else df.groupBy()
-    counts = grouped.agg(*confusion_aggs(y, pred), F.count_if(F.col(pred).isNull()).alias("dropped_rows"))
+    counts = grouped.agg(*confusion_aggs(y, pred, times), _counted(F.col(pred).isNull(), times).alias("dropped_rows"))
     return with_metrics(counts)
 
 
@@ -79,14 +87,15 @@ def classification_report(df: DataFrame, label, pred):
     return per.select(F.col("name").cast("string"), *cols, "support").unionByName(totals)
 
 
-def score_steps(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=()):
+def score_steps(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=(), times=None):
     """One row per distinct score (of each group), best first, with positives and negatives up to it.
 
     Equal scores are merged by the first aggregation, so the ordered pass sees each
-    score once, and it runs in chunks where there are many.
+    score once, and it runs in chunks where there are many. With ``times`` (a column) a row stands for that many.
     """
+    n = F.lit(1) if times is None else F.col(times)
     rows = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("score")).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg")
+        F.sum(F.col(y).cast("long") * n).alias("pos"), F.sum((1 - F.col(y)).cast("long") * n).alias("neg")
     )
     rows = rows.withColumn("_k", F.lit(0)).withColumn("_down", -F.col("score"))
     keys = [*by, "_k"]
@@ -100,9 +109,9 @@ def _totals(steps):
     return one.select("p").scalar(), one.select("n").scalar()
 
 
-def ranking(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=()):
-    """ROC-AUC and average precision (per group), NULL if only one class occurs."""
-    steps = score_steps(df, y, p, chunk_rows, by)
+def ranking(df: DataFrame, y, p, chunk_rows=ordered.CHUNK_ROWS, by=(), times=None):
+    """ROC-AUC and average precision (per group), NULL if only one class occurs; ``times`` as in ``score_steps``."""
+    steps = score_steps(df, y, p, chunk_rows, by, times)
     agg = steps.groupBy(*by).agg(
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -133,8 +134,8 @@ def generalisation(model, rows: DataFrame, features, label="y", threshold=0.5, b
     return evaluate_days(model, rows, features, label, by, threshold)
 
 
-#: Rows that a trial of the search is fitted on at most, and nodes of trees that are rated together.
-TRIAL_ROWS, RATED_NODES = 150_000, 2_000_000
+#: Nodes of trees that are rated together.
+RATED_NODES = 2_000_000
 
 
 def sample_params(trials, seed=42, space=None):
@@ -144,34 +145,38 @@ def sample_params(trials, seed=42, space=None):
 
 
 def random_search(
-    train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, space=None, early_stop=None, max_rows=TRIAL_ROWS,
+    train: DataFrame, holdout: DataFrame, features, label="y", trials=50, metric="roc_auc", seed=42, space=None, early_stop=None,
 ):
-    """Train each sampled setting, rate it on all holdout rows, best first.
+    """Train each sampled setting on all rows, rate it on all holdout rows, best first.
 
     ``space`` maps parameters to the values tried, the full search space by default. Trials are independent: each is a
-    task that trains on the same block of at most ``max_rows`` rows (a documented bound), and ends early on the
-    rows that ``early_stop`` marks. All holdout rows are scored by some models at a time, up to RATED_NODES.
+    task that trains on all rows of ``train``, and ends early on the rows that ``early_stop`` marks. Holdout rows with
+    the same bins get the same score from every model, so they are counted and scored once, by some models at a time,
+    up to RATED_NODES.
     """
     spark = train.sparkSession
     points = sample_params(trials, seed, space)
     if not points:
         return spark.createDataFrame([], _BOARD)
-    path, _, model = boosting.prepare(train, features, label, watched=early_stop, max_rows=min(max_rows, boosting.block_rows(len(features))))
+    path, _, model = boosting.prepare(train, features, label, watched=early_stop)
     done = boosting.trials(spark, path, len(features), 1, early_stop is not None, [boosting.of({"seed": seed, **p}) for p in points])
     done = done.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = dict(done.mapValues(lambda r: sum(t[0].size for trees in r[0] for t in trees)).collect())
-    rows = holdout.select(label, *features).repartition(spark.sparkContext.defaultParallelism)
+    rows = boosting.cells(holdout.select(boosting.values(features), F.col(label).cast("int").alias("y")), model.cuts)
+    rows = rows.select(*boosting.bin_columns(features), "y", "n").repartition(spark.sparkContext.defaultParallelism)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    # bins are whole numbers, so as values they are cut between these
+    steps = [np.arange(1.0, len(cut) + 1) for cut in model.cuts]
     board, held = [], {}
 
     def rate():
         """Figures of the held models, from one job that scores all holdout rows with each."""
-        found = [boosting.BoostedTrees(model.features, model.cuts, None, model.base, r) for r in held.values()]
+        found = [boosting.BoostedTrees(model.features, steps, None, model.base, r) for r in held.values()]
         rated = rows.select(
-            F.col(label).cast("int").alias("y"), F.posexplode(boosting.probability_columns(found)).alias("k", "p")
+            "y", "n", F.posexplode(boosting.probability_columns(found)).alias("k", "p")
         ).persist(StorageLevel.MEMORY_AND_DISK)
-        ranks = {r["k"]: r for r in evaluate.ranking(rated, "y", "p", by=["k"]).collect()}
-        marks = evaluate.confusion(rated.withColumn("hit", (F.col("p") >= 0.5).cast("int")), "y", "hit", ["k"])
+        ranks = {r["k"]: r for r in evaluate.ranking(rated, "y", "p", by=["k"], times="n").collect()}
+        marks = evaluate.confusion(rated.withColumn("hit", (F.col("p") >= 0.5).cast("int")), "y", "hit", ["k"], times="n")
         marks = {r["k"]: r for r in marks.where("k is not null").collect()}
         rated.unpersist()
         for k, (i, rounds) in enumerate(held.items()):
