@@ -107,3 +107,58 @@ def test_counted_rows_rate_like_their_copies(spark):
     for found in (lambda df, t: evaluate.ranking(df, "y", "p", by=["k"], times=t), lambda df, t: evaluate.confusion(df, "y", "hit", ["k"], times=t)):
         got, want = [[tuple(r) for r in found(*a).orderBy("k").collect()] for a in ((once, "n"), (copies, None))]
         assert len(got) == len(want) > 1 and [r for r in got] == [pytest.approx(r) for r in want]
+
+
+def some_block(n=6_000, number=7):
+    rng = np.random.default_rng(number)
+    bins = np.stack([rng.integers(0, s, n) for s in (40, 9, 7)]).astype(np.uint8)
+    target = (bins[0] + 3 * bins[1] + rng.integers(0, 20, n) > 45).astype(np.int32)
+    watched = np.arange(n) >= n * 0.8
+    return boosting.Block(number, bins, target, np.ones(n), rng.integers(1, 4, n), watched, np.zeros((1, n)))
+
+
+@pytest.mark.parametrize("gamma", [0.0, 20.0])
+def test_trees_over_few_features_see_combinations_of_bins(monkeypatch, gamma):
+    """A tree that may ask some features grows over the combinations of their bins: the same trees as over all rows."""
+    settings = boosting.of({"n_estimators": 15, "max_depth": 5, "colsample_bytree": 0.7, "gamma": gamma})
+    block, plain = some_block(), some_block()
+    assert block.grid([0, 1])[1].shape[1] == 360 and block.grid([0, 1, 2])[1].shape[1] == 2_520
+    monkeypatch.setattr(plain, "grid", lambda features: None)
+    (got, losses), (want, plain_losses) = [boosting.grow(boosting.InTask([b], None), settings, 3, 1, True) for b in (block, plain)]
+    assert losses == pytest.approx(plain_losses) and len(got) == len(want) > 5
+    for (a,), (b,) in zip(got, want):
+        assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and np.allclose(a[3], b[3])
+    if len(got) == 15:
+        # none was dropped, so the rows stand where these trees take them
+        assert np.allclose(block.margin[0], sum(t[0][3][boosting.leaves(t[0], block.bins)] for t in got))
+
+
+def test_a_task_trains_on_several_blocks_in_files(tmp_path):
+    """The blocks of a trial lie in files beyond the first; their trees are those of one block with all rows."""
+    settings = boosting.of({"n_estimators": 8, "max_depth": 4, "subsample": 1.0, "colsample_bytree": 0.7})
+    blocks = [some_block(2_000, n) for n in range(3)]
+    parts = [np.concatenate([getattr(b, n)[..., s] for s in (slice(1_600), slice(1_600, None)) for b in blocks], axis=-1)
+             for n in ("bins", "target", "weight", "count", "watched", "margin")]
+    want, _ = boosting.grow(boosting.InTask([boosting.Block(7, *parts)], None), settings, 3, 1, True)
+    held = boosting.InTask(iter(blocks), str(tmp_path))
+    got, _ = boosting.grow(held, settings, 3, 1, True)
+    assert all(isinstance(b.bins, np.memmap) and isinstance(b.margin, np.memmap) for b in held.blocks)
+    assert len(got) == len(want) == 8
+    for (a,), (b,) in zip(got, want):
+        assert all((x == y).all() for x, y in zip(a[:3], b[:3])) and np.allclose(a[3], b[3])
+
+
+def test_search_runs_over_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 2))
+    rows = [(i, *map(float, v), int(v[0] + v[1] > 0)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int").withColumn("watch", F.col("id") % 5 == 1)
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    space = {"n_estimators": [5, 7], "max_depth": [2, 3], "subsample": [1.0], "learning_rate": [0.3]}
+    boards = []
+    for cells in (4_000_000, 300):
+        monkeypatch.setattr(boosting, "BLOCK_CELLS", cells)
+        boards.append(models.random_search(train, test, ["a", "b"], trials=4, space=space, early_stop="watch").collect())
+    one, many = boards
+    assert [r["trial"] for r in one] == [r["trial"] for r in many] and len(one) == 4
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in many]) and one[0]["score"] > 0.9

@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from threatflow.plans.session import ensure_checkpoint_dir, shared_dir, written
 
 #: Values (rows x features) in a block; rows of a block at least, where all cores get one; blocks added up in one step
-#: on the driver; rounds between checkpoints; rows scored together.
-BLOCK_CELLS, LEAST_ROWS, DIRECT, KEPT_ROUNDS, SCORED = 4_000_000, 20_000, 16, 20, 100_000
+#: on the driver; rounds between checkpoints; rows scored together; sets of features whose combinations are kept.
+BLOCK_CELLS, LEAST_ROWS, DIRECT, KEPT_ROUNDS, SCORED, GRIDS = 4_000_000, 20_000, 16, 20, 100_000, 8
 
 
 @dataclass
@@ -223,6 +223,39 @@ def drawn(rng, count, share):
     return some
 
 
+class Face:
+    """What one tree needs of a block: bins, derivatives and nodes of its rows (watched ones, last, have no derivatives),
+    or of all combinations of the bins it may ask, with the sums of their rows; ``code`` is then each row's combination."""
+
+    def __init__(self, bins, slope, curve, nodes, code):
+        self.bins, self.slope, self.curve, self.nodes, self.code, self.done = bins, slope, curve, nodes, code, 0
+
+    def sums(self, tree, features, level, max_bin):
+        row = np.arange(self.bins.shape[1])
+        while self.done < level:
+            self.nodes[:] = step(tree, self.bins, self.nodes, row)
+            self.done += 1
+        places = tree[4]
+        slot, size = np.full(len(tree[0]), -1), len(places) * max_bin
+        slot[places] = np.arange(len(places)) * max_bin
+        base, g, h = slot.take(self.nodes[: len(self.slope)]), self.slope, self.curve
+        live = base >= 0
+        here = slice(len(g)) if live.all() else np.flatnonzero(live)
+        base, g, h = base[here], g[here], h[here]
+        whole = np.zeros((len(features), size, 2))
+        for i, f in enumerate(features):
+            key = base + self.bins[f][here]
+            whole[i, :, 0] = np.bincount(key, g, size)
+            whole[i, :, 1] = np.bincount(key, h, size)
+        return whole.reshape(len(features), len(places), max_bin, 2)
+
+    def values(self, asked, tree):
+        """Each row's value from the finished tree."""
+        row = np.arange(self.bins.shape[1])
+        value = tree[3].take(step(tree, self.bins, kept(asked, tree).take(self.nodes), row))
+        return value if self.code is None else value.take(self.code)
+
+
 class Block:
     """Some rows, watched ones last: their bins (feature by row), classes, weights, copies, and the trees' sum so far."""
 
@@ -232,10 +265,13 @@ class Block:
         self.forget()
 
     def forget(self):
-        self.round, self.slope, self.curve, self.nodes, self.done, self.asked, self.codes = (None,) * 7
+        self.round, self.slope, self.curve, self.nodes, self.codes = (None,) * 5
+        self.faces, self.grids, self.asked = None, {}, None
 
     def __getstate__(self):
-        return {**self.__dict__, **dict.fromkeys(("round", "slope", "curve", "nodes", "done", "asked", "codes"))}
+        empty = Block.__new__(Block)
+        empty.forget()
+        return {**self.__dict__, **empty.__dict__}
 
     def filed(self, path):
         """This block with its arrays, and those of its rounds, in files; a pass over it loads only what it touches."""
@@ -246,14 +282,14 @@ class Block:
 
         for name in ("bins", "target", "weight", "count", "watched", "margin"):
             setattr(self, name, file(name, getattr(self, name)))
-        zeros = np.zeros((len(self.margin), self.learnt))
         if self.learnt:
+            zeros = np.zeros((len(self.margin), self.learnt))
             self.slope, self.curve = file("slope", zeros), file("curve", zeros)
-        self.nodes = file("nodes", np.zeros(self.margin.shape, np.int64))
+        self.nodes, self.grids = file("nodes", np.zeros(self.margin.shape, np.int64)), None
         return self
 
-    def begin(self, number, settings):
-        """This round's derivatives, and nodes (all at the root)."""
+    def begin(self, number, settings, chosen):
+        """This round's derivatives, and each tree's face of the rows (see ``Face``), all at the root."""
         p = odds(self.margin)
         rng = np.random.default_rng([settings.seed, number, self.number])
         some = slice(self.learnt)
@@ -267,9 +303,38 @@ class Block:
         if self.nodes is None:
             self.nodes = np.zeros(p.shape, np.int64)
         self.nodes[:] = 0
-        self.round, self.done = number, [0] * len(p)
+        self.faces = [self.face(k, features) for k, features in enumerate(chosen)]
+        self.round = number
         return self.loss(p)
 
+    def face(self, k, features):
+        """The rows as a tree over some features sees them."""
+        grid = self.grid(features)
+        if grid is None:
+            return Face(self.bins, self.slope[k], self.curve[k], self.nodes[k], None)
+        code, bins = grid
+        size = bins.shape[1]
+        sums = [np.bincount(code[: self.learnt], v[k], size) for v in (self.slope, self.curve)]
+        return Face(bins, *sums, np.zeros(size, np.int64), code)
+
+    def grid(self, features):
+        """Each row's combination of the features' bins, and the bins of all combinations, if these are far fewer than rows."""
+        key = tuple(features)
+        if self.grids is not None and key in self.grids:
+            return self.grids[key]
+        sizes = [int(self.bins[f].max(initial=0)) + 1 for f in key]
+        found = None
+        if math.prod(sizes) * 2 <= self.bins.shape[1]:
+            (code,) = combined(self.bins[list(key)], sizes, [range(len(key))])
+            bins = np.zeros((len(self.bins), math.prod(sizes)), np.uint8)
+            stride = np.arange(bins.shape[1])
+            for f, size in zip(key, sizes):
+                bins[f], stride = stride % size, stride // size
+            found = code, bins
+        if self.grids is not None and len(self.grids) < GRIDS:
+            self.grids[key] = found
+        return found
+
     def loss(self, p):
         """Loss and weight of the watched rows."""
         some = slice(self.learnt, None)
@@ -284,33 +349,17 @@ class Block:
         number, settings, trees, chosen, levels = ask
         loss = np.zeros(2)
         if self.round != number:
-            loss = self.begin(number, settings)
-        out, row, self.asked = [], np.arange(self.bins.shape[1]), trees
-        for k, (tree, features, level) in enumerate(zip(trees, chosen, levels)):
-            while self.done[k] < level:
-                self.nodes[k] = step(tree, self.bins, self.nodes[k], row)
-                self.done[k] += 1
-            places = tree[4]
-            slot, size = np.full(len(tree[0]), -1), len(places) * settings.max_bin
-            slot[places] = np.arange(len(places)) * settings.max_bin
-            base, g, h = slot.take(self.nodes[k][: self.learnt]), self.slope[k], self.curve[k]
-            live = base >= 0
-            here = slice(self.learnt) if live.all() else np.flatnonzero(live)
-            base, g, h = base[here], g[here], h[here]
-            whole = np.zeros((len(features), size, 2))
-            for i, f in enumerate(features):
-                key = base + self.bins[f][here]
-                whole[i, :, 0] = np.bincount(key, g, size)
-                whole[i, :, 1] = np.bincount(key, h, size)
-            out.append(whole.reshape(len(features), len(places), settings.max_bin, 2))
-        return [loss, *out]
+            loss = self.begin(number, settings, chosen)
+        self.asked = trees
+        return [loss, *[
+            face.sums(tree, features, level, settings.max_bin) for face, tree, features, level in zip(self.faces, trees, chosen, levels)
+        ]]
 
     def settle(self, trees):
         """Take these rows, which stand one level above the last of a round's trees, to their leaves."""
-        row = np.arange(self.bins.shape[1])
-        for margin, nodes, asked, tree in zip(self.margin, self.nodes, self.asked, trees):
-            margin += tree[3].take(step(tree, self.bins, kept(asked, tree).take(nodes), row))
-        self.round = None
+        for margin, face, asked, tree in zip(self.margin, self.faces, self.asked, trees):
+            margin += face.values(asked, tree)
+        self.round, self.faces = None, None
 
     def advanced(self, trees):
         """These rows after a round's trees."""
